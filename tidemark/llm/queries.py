@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import op1_decontamination
+from tidemark.llm.quality_model import op9_quality_classifier
+from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
