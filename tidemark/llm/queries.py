@@ -10,12 +10,14 @@ from tidemark.llm.decontamination import op1_decontamination
 from tidemark.llm.preference import OP3_SQL, op3_chat_formatting
 from tidemark.llm.quality_model import op9_quality_classifier
 from tidemark.llm.quality_rules import OP6_SQL, op6_quality_rules
+from tidemark.llm.surrogates import op4_pii
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.urls import OP7_SQL, op7_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_pii": op4_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
