@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import op1_decontamination
+from tidemark.llm.packing import op2_packing
 from tidemark.llm.preference import OP3_SQL, op3_chat_formatting
 from tidemark.llm.quality_model import op9_quality_classifier
 from tidemark.llm.quality_rules import OP6_SQL, op6_quality_rules
@@ -16,6 +17,7 @@ from tidemark.llm.urls import OP7_SQL, op7_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_pii": op4_pii,
     "op6_quality_rules": op6_quality_rules,
