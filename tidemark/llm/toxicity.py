@@ -144,6 +144,11 @@ class ClassModels:
     def evidence(self, hashes: np.ndarray, counts: np.ndarray, settings: tuple[tuple[int, float, float], ...] = ()) -> np.ndarray:
         """Evidence a word for each text, 0 without words: one row for each setting, or the model's own alone."""
         wanted = settings or (self.setting,)
+        if len(counts) > 200:
+            # in blocks of texts, so that the many arrays of a word each stay small
+            cuts = np.arange(0, len(counts), 200)
+            edges = np.append(np.concatenate([[0], np.cumsum(counts)])[cuts], len(hashes))
+            return np.concatenate([self.evidence(hashes[edges[k] : edges[k + 1]], counts[cut : cut + 200], wanted) for k, cut in enumerate(cuts)], axis=1)
         rows: dict = {}
         if not len(self.words):
             return np.zeros((len(wanted), len(counts)))
