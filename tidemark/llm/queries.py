@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import op1_decontamination
+from tidemark.llm.near_duplicates import op5_jaccard_join
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.preference import OP3_SQL, op3_chat_formatting
 from tidemark.llm.quality_model import op9_quality_classifier
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_pii": op4_pii,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
