@@ -24,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,21 +98,25 @@ def min_hashes(shingles: np.ndarray, counts: np.ndarray, bands: int, rows: int)
     return out.view(np.int64)
 
 
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """id, node (digest of the set), n (its size), bands (null without words)."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType())])
+    """id, text_key (digest of the text), node (digest of the set), n (its size), bands (null without words)."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in tb.chunks(batch.column(1)):
+            for row, end, data, offsets in tb.chunks(batch.column(2)):
                 shingles, counts = shingle_sets(data, offsets)
                 hashed = min_hashes(shingles, counts, bands, rows)
                 packed: list[bytes | None] = [None] * len(counts)
                 for k, line in zip(np.flatnonzero(counts).tolist(), hashed):
                     packed[k] = line.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], pa.array(set_digests(data, offsets, shingles, counts)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], batch.column(1)[row:end], pa.array(set_digests(data, offsets, shingles, counts)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(sign, schema)
+    return docs.select(id_col, _text_key(text_col).alias("text_key"), text_col).mapInArrow(sign, schema)
 
 
 def _band_rows(classes: DataFrame, bands: int) -> DataFrame:
@@ -248,9 +252,9 @@ def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: id, node, class_id, group_id, n_links.
+    """One row for each row of ``docs``: id, text_key, node, group, class_id, group_id, n_links.
 
-    ``node`` is the digest of the row's shingle set, ``class_id`` the least id with that
+    ``text_key`` is a digest of the row's text, ``group`` the least node of its group, ``node`` is the digest of the row's shingle set, ``class_id`` the least id with that
     set, ``n_links`` the number of other sets at the threshold or above, ``group_id`` the
     least class id of all texts connected by links.
     """
@@ -266,8 +270,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = classes.select("node", F.col("id").alias("class_id")).join(linked, "node", "left").join(links, "node", "left")
     named = checkpointed(named.select("node", "class_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    whole = named.join(least, "component").select("node", "class_id", "group_id", "n_links")
-    return signed.select(F.col("id").alias(id_col), "node").join(whole, "node").select(id_col, "node", "class_id", "group_id", "n_links")
+    whole = named.join(least, "component").select("node", F.col("component").alias("group"), "class_id", "group_id", "n_links")
+    return signed.select(F.col("id").alias(id_col), "text_key", "node").join(whole, "node").select(id_col, "text_key", "node", "group", "class_id", "group_id", "n_links")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of ``docs`` for each group: that with the least id (null first), then the least digest of text."""
+    joined = jaccard_join(docs, id_col, text_col, threshold, recall)
+    kept = joined.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("text_key").alias("k"))).alias("kept")).select("kept.i", "kept.k").distinct()
+    rows = docs.withColumn("_key", _text_key(text_col))
+    same = rows[id_col].eqNullSafe(kept["i"]) & (rows["_key"] == kept["k"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_key"]).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

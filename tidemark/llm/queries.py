@@ -12,6 +12,7 @@ from tidemark.llm.packing import op2_packing
 from tidemark.llm.preference import OP3_SQL, op3_chat_formatting
 from tidemark.llm.quality_model import op9_quality_classifier
 from tidemark.llm.quality_rules import OP6_SQL, op6_quality_rules
+from tidemark.llm.suffix_dedup import op10_suffix_dedup
 from tidemark.llm.surrogates import op4_pii
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.urls import OP7_SQL, op7_url_filters
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
