@@ -72,15 +72,22 @@ def title_tokens(title: Column, most: int = 32) -> Column:
 def char_ngrams(title: Column, n: int = 3, most: int = 256) -> Column:
     """All n-grams of the first ``most`` characters, lower case, digit runs as ``0``."""
     text = F.substring(F.regexp_replace(F.lower(title), r"(?U)\d+", "0"), 1, most)
-    count = F.length(text) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+    # a one-element array carries the text into the lambda, so that it is computed once
+    grams = F.transform(F.array(text), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+    return F.filter(F.get(grams, F.lit(0)), lambda g: F.length(g) == n)
 
 
-def bucket_frequencies(tokens: Column, secret: bytes, namespace: str, size: int = SKETCH) -> Column:
-    """Shares of the tokens' keyed hash buckets, rounded to six places; zeros without tokens."""
-    buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(keyed_digest(t, secret, namespace), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(size)).cast("int"))
-    total = F.greatest(F.size(tokens), F.lit(1))
+def keyed_buckets(tokens: Column, secret: bytes, namespace: str, size: int = SKETCH) -> Column:
+    """Keyed hash bucket of each token."""
+    return F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(keyed_digest(t, secret, namespace), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(size)).cast("int"))
+
+
+def bucket_frequencies(buckets: Column, size: int = SKETCH) -> Column:
+    """Shares of buckets, rounded to six places; zeros without any.
+
+    ``buckets`` should be a plain column: it is read once for each of ``size`` shares.
+    """
+    total = F.greatest(F.size(buckets), F.lit(1))
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.round(F.size(F.filter(buckets, lambda x: x == b)) / total, 6))
 
 
@@ -99,12 +106,9 @@ def title_scalars(title: Column) -> dict[str, Column]:
 def title_sketch(df: DataFrame, title: str, secret: bytes) -> DataFrame:
     """Token and character sketches as arrays, and the five scalars."""
     clean = df.withColumn("_title", normalize_title(F.coalesce(F.col(title), F.lit(""))))
-    columns = {
-        "title_token_sketch": bucket_frequencies(title_tokens(F.col("_title")), secret, "title-token"),
-        "title_char3_sketch": bucket_frequencies(char_ngrams(F.col("_title")), secret, "title-char3"),
-        **title_scalars(F.col("_title")),
-    }
-    return clean.withColumns(columns).drop("_title")
+    hashed = clean.withColumns({"_tokens": keyed_buckets(title_tokens(F.col("_title")), secret, "title-token"), "_grams": keyed_buckets(char_ngrams(F.col("_title")), secret, "title-char3")})
+    columns = {"title_token_sketch": bucket_frequencies(F.col("_tokens")), "title_char3_sketch": bucket_frequencies(F.col("_grams")), **title_scalars(F.col("_title"))}
+    return hashed.withColumns(columns).drop("_title", "_tokens", "_grams")
 
 
 def align(ts: Column, seconds: int) -> Column:

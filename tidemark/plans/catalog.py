@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feature_queries
+from tidemark.plans import feature_queries, rule_queries, segment_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (feature_queries,)
+_MODULES = (feature_queries, rule_queries, segment_queries)
 QUERIES: dict[str, Query] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
 

@@ -184,7 +184,7 @@ ORACLE_SQL = {
     "A1_event_buckets": f"WITH {SQL_ACTIVITY} SELECT k, b AS bucket, count(*) AS events, round(sum(dur), 2) AS seconds FROM act GROUP BY k, b",
     "A2_dominant_app": f"WITH {DOM} SELECT k, b AS bucket, app AS app_id FROM dom",
     "A3_dominant_attributes": f"WITH {DOM} SELECT k, b AS bucket, app AS app_category, title AS window_title_hash, app = 'browser' AS is_browser FROM dom",
-    "A4_foreground_ratio": f"WITH {DOM} SELECT k, b AS bucket, round(least(total / {BUCKET}, 1)::DECIMAL(20, 12), 4)::DOUBLE AS app_foreground_time_ratio FROM dom",
+    "A4_foreground_ratio": f"WITH {DOM} SELECT k, b AS bucket, round(least(total / {BUCKET}, 1)::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS app_foreground_time_ratio FROM dom",
     "A5_app_changes": f"WITH {SQL_ACTIVITY}, c AS (SELECT k, b, app <> lag(app) OVER (PARTITION BY k, b ORDER BY ts, seq) AS c FROM act) SELECT k, b AS bucket, count(*) FILTER (WHERE c) AS app_change_count FROM c GROUP BY k, b",
     "A6_input_activity": f"WITH {INP} SELECT * FROM inp",
     "A7_longest_idle_run": f"WITH {INP} SELECT k, b AS bucket, round(idle, 2) AS max_idle_run_seconds FROM idle",
