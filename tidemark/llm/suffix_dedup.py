@@ -39,7 +39,8 @@ from tidemark.llm.shared import checkpointed
 
 LENGTH = 400
 GRAM = 24
-PART_BYTES = 1 << 20
+#: Bytes of runs that are compared at once, if not of one anchor; bytes beyond which an anchor is dealt out.
+CHUNK_BYTES, PART_BYTES = 1 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -203,7 +204,7 @@ def _compare(length: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != last and held >= PART_BYTES:
+                if row[0] != last and held >= CHUNK_BYTES:
                     yield from result()
                     waiting, held = [], 0
                 last = row[0]
