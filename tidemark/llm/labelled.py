@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of each class, and bytes of text in all, that a classifier is fitted on at most.
-MAX_ROWS = 2500
-MAX_BYTES = 20 << 20
+MAX_ROWS = 2000
+MAX_BYTES = 12 << 20
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -87,7 +87,10 @@ def shared_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def _documents(keys: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Distinct keys, in how many ordinary and toxic texts each is, and a place of each."""
     kinds, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    once = np.unique(inverse.astype(np.int64) * len(toxic) + text)
+    inverse *= len(toxic)
+    inverse += text
+    inverse.sort()
+    once = inverse[np.append(True, inverse[1:] != inverse[:-1])[: len(inverse)]]
     kind, mark = once // len(toxic), toxic[once % len(toxic)]
     return kinds, [np.bincount(kind[mark == c], minlength=len(kinds)).astype(np.float32) for c in (0, 1)], first
 
@@ -115,7 +118,7 @@ class ClassModels:
         model.pairs, model.pair_counts, first = _documents(_pairs(before, hashes), text, labels)
         # the start of a text is a context of its own, after the words
         slot, known = _find(model.words, before[first])
-        model.context = np.where(known, slot, len(model.words))
+        model.context = np.where(known, slot, len(model.words)).astype(np.int32)
         return model
 
     def ratios(self, hashes: np.ndarray, counts: np.ndarray, settings: list[tuple[int, float]]) -> Iterator[np.ndarray]:
@@ -194,14 +197,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
 
     folds = [np.concatenate([np.flatnonzero(y == c)[f::2] for c in (0, 1)]) for f in (0, 1)]
     tested = np.concatenate(folds)
-    model = ClassModels.fit(hashes, counts, y, shared)
+    setting, curve = None, None
     if min((y == 0).sum(), (y == 1).sum()) >= 2:
         evidence = np.concatenate([ClassModels.fit(*take(folds[1 - f]), y[folds[1 - f]], shared).evidence(*take(folds[f]), SETTINGS) for f in (0, 1)], axis=1)
         fits = [_logistic(row, y[tested]) for row in evidence]
         best = min(range(len(fits)), key=lambda k: fits[k][2])
-        model.setting, (model.slope, model.offset, _) = SETTINGS[best], fits[best]
-    else:
-        model.slope, model.offset, _ = _logistic(model.evidence(hashes, counts)[0], y)
+        setting, curve = SETTINGS[best], fits[best]
+    model = ClassModels.fit(hashes, counts, y, shared)
+    model.setting = setting or model.setting
+    model.slope, model.offset, _ = curve or _logistic(model.evidence(hashes, counts)[0], y)
+    if model.setting[0] == 1:  # the bigrams were not worth their cost
+        model.pairs, model.pair_counts, model.context = model.pairs[:0], [], model.context[:0]
     return model
 
 
