@@ -278,9 +278,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of ``docs`` for each group: that with the least id (null first), then the least digest of text."""
     joined = jaccard_join(docs, id_col, text_col, threshold, recall)
     kept = joined.groupBy("group").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("text_key").alias("k"))).alias("kept")).select("kept.i", "kept.k").distinct()
-    rows = docs.withColumn("_key", _text_key(text_col))
-    same = rows[id_col].eqNullSafe(kept["i"]) & (rows["_key"] == kept["k"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_key"]).select(*docs.columns)
+    rows = docs.withColumn("_td_key", _text_key(text_col))
+    same = rows[id_col].eqNullSafe(kept["i"]) & (rows["_td_key"] == kept["k"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_td_key"]).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     at = names.index("length")
     kinds = [f for f in pieces.schema.fields if f.name in names]
-    schema = T.StructType([*kinds, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")], T.StructField("open", T.BooleanType()), T.StructField("home", T.LongType())])
+    schema = T.StructType([*kinds, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")], T.StructField("_td_open", T.BooleanType()), T.StructField("_td_home", T.LongType())])
 
     def round_of(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rounds = []
     open_ = pieces.select(*names)
-    partitions = open_.rdd.getNumPartitions()
+    partitions = max(1, open_.rdd.getNumPartitions())
     number = 0
     while True:
         result = checkpointed(open_.mapInArrow(round_of(number), schema))
@@ -158,13 +158,13 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
         if partitions == 1:
             rounds.append(result)
             break
-        rounds.append(result.where(~F.col("open")))
-        moved = result.where("open")
+        rounds.append(result.where(~F.col("_td_open")))
+        moved = result.where("_td_open")
         if moved.isEmpty():
             break
         partitions = -(-partitions // FAN_IN)
         # whole homes move together; the homes of a round are spread evenly over the next one's partitions
-        open_ = moved.withColumn("to", F.pmod("home", F.lit(partitions))).repartition(partitions, "to").select(*names)
+        open_ = moved.withColumn("_td_to", F.pmod("_td_home", F.lit(partitions))).repartition(partitions, "_td_to").select(*names)
     whole = rounds[0]
     for part in rounds[1:]:
         whole = whole.unionByName(part)

@@ -26,10 +26,14 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject a text for which ``rejects`` is true; it reads the columns of ``measured``."""
+    """Reject a text for which ``condition`` is true: SQL on the columns of ``measured``."""
 
     name: str
-    rejects: Column
+    condition: str
+
+    @property
+    def rejects(self) -> Column:
+        return F.expr(self.condition)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -38,27 +42,27 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keep = [F.col(c) for c in docs.columns if c not in made]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != "")
-    split = docs.select(*keep, F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_words"), lines.alias("_lines"))
-    n = F.size("_words")
+    split = docs.select(*keep, F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_td_words"), lines.alias("_td_lines"))
+    n = F.size("_td_words")
 
     def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
+        return F.struct(F.xxhash64(*[F.get("_td_words", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
 
-    hashed = split.select(*keep, n.alias("_n"), F.size("_lines").alias("_n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("_dup"), F.when(n > WINDOW, F.sort_array(F.transform(F.sequence(F.lit(0), n - WINDOW), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_windows"))
+    hashed = split.select(*keep, n.alias("_td_n"), F.size("_td_lines").alias("_td_n_lines"), (F.size("_td_lines") - F.size(F.array_distinct("_td_lines"))).alias("_td_dup"), F.when(n > WINDOW, F.sort_array(F.transform(F.sequence(F.lit(0), n - WINDOW), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_td_windows"))
     # places of windows whose neighbour in hash order is the same window
-    twice = F.filter("_windows", lambda w, k: (F.get("_windows", k - 1)["h"] == w["h"]) | (F.get("_windows", k + 1)["h"] == w["h"]))
-    placed = hashed.select(*keep, "_n", "_n_lines", "_dup", F.sort_array(F.transform(twice, lambda w: w["i"])).alias("_at"))
+    twice = F.filter("_td_windows", lambda w, k: (F.get("_td_windows", k - 1)["h"] == w["h"]) | (F.get("_td_windows", k + 1)["h"] == w["h"]))
+    placed = hashed.select(*keep, "_td_n", "_td_n_lines", "_td_dup", F.sort_array(F.transform(twice, lambda w: w["i"])).alias("_td_at"))
     # a window adds the words that the one before it in the text does not cover
-    gain = F.transform("_at", lambda a, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), a - F.get("_at", k - 1))))
+    gain = F.transform("_td_at", lambda a, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), a - F.get("_td_at", k - 1))))
     covered = F.aggregate(gain, F.lit(0), lambda total, x: total + x)
     length = F.char_length(text)
     return placed.select(
         *keep,
-        F.col("_n").cast("long").alias("n_words"),
+        F.col("_td_n").cast("long").alias("n_words"),
         F.char_length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"),
         (length - F.char_length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.col("_n_lines").cast("long").alias("n_lines"),
-        F.col("_dup").cast("long").alias("n_dup_lines"),
+        F.col("_td_n_lines").cast("long").alias("n_lines"),
+        F.col("_td_dup").cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         (length - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         (length - F.char_length(F.translate(text, "!?", ""))).cast("long").alias("n_bangs"),
@@ -66,16 +70,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 BASE_RULES = (
-    Rule("few words", F.expr("n_words < 10")),
-    Rule("repeated windows", F.expr("100 * n_repeat_words > 20 * n_words")),
+    Rule("few words", "n_words < 10"),
+    Rule("repeated windows", "100 * n_repeat_words > 20 * n_words"),
 )
 RULES = (
     *BASE_RULES,
-    Rule("word length", F.expr("word_chars < 2 * n_words OR word_chars > 15 * n_words")),
-    Rule("symbols", F.expr("10 * n_symbols > 3 * n_words")),
-    Rule("repeated lines", F.expr("10 * n_dup_lines > 3 * n_lines")),
-    Rule("shouting", F.expr("2 * n_upper > word_chars")),
-    Rule("exclamations", F.expr("2 * n_bangs > n_words")),
+    Rule("word length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    Rule("symbols", "10 * n_symbols > 3 * n_words"),
+    Rule("repeated lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("shouting", "2 * n_upper > word_chars"),
+    Rule("exclamations", "2 * n_bangs > n_words"),
 )
 
 

@@ -18,8 +18,9 @@ order, so candidates are narrowed first, without losing any:
    suffixes of each part meet in a grouping on a digest of their window.
 
 Texts are compared by digest, so exact copies cost one text. With ``keep_first`` the
-occurrence at the least (digest of the text, place) stays, as does the row with the least id
-of equal texts; otherwise every occurrence goes. Null texts are empty; texts under
+occurrence at the least (digest of the text, place) stays whole, even where later copies of
+other strings overlap it, as does the row with the least id of equal texts; otherwise every
+occurrence goes. Null texts are empty; texts under
 ``length`` bytes keep all. Removing bytes may cut a character, so kept bytes are binary.
 """
 
@@ -289,14 +290,21 @@ def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "part", "parts", "text", "place", "whole", "bytes"])
 
 
+def _covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Flags of the bytes that windows (place << 32 | count) cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at >> 32, 1)
+    np.add.at(edge, (at >> 32) + (at & 0xFFFFFFFF) + length - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, spans (removed [start, end) byte runs) and kept (the other bytes) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     found = repeated_windows(rows.select("digest", "text"), length)
-    if keep_first:
-        found = found.where("NOT first")
-    marks = found.groupBy(F.col("text").alias("digest")).agg(F.collect_set("at").alias("marks"))
+    stays = F.col("first") & F.lit(keep_first)
+    marks = found.groupBy(F.col("text").alias("digest")).agg(F.collect_set(F.when(~stays, F.col("at"))).alias("marks"), F.collect_set(F.when(stays, F.col("at"))).alias("firsts"))
     copies = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("least_id"))
     marked = rows.join(copies.where("copies > 1").join(marks, "digest", "full"), "digest", "left")
     kind = docs.schema[id_col].dataType
@@ -309,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.utf8(batch.column(1))
-            gone, marks_ = batch.column(2).to_pylist(), batch.column(3)
+            gone, marks_, firsts = batch.column(2).to_pylist(), batch.column(3), batch.column(4)
             spans, kept = [], []
             for k in range(batch.num_rows):
                 own = data[offsets[k] : offsets[k + 1]]
@@ -323,17 +331,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
                     spans.append([])
                     kept.append(own.tobytes())
                     continue
-                start, stop = at >> 32, (at >> 32) + (at & 0xFFFFFFFF) + length - 1
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, stop, -1)
-                covered = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
+                removed = _covered(at, n, length) & ~_covered(firsts[k].values.to_numpy(), n, length)
+                covered = np.concatenate([[False], removed, [False]])
                 turns = np.flatnonzero(covered[1:] != covered[:-1])
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])])
                 kept.append(own[~covered[1:-1]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, span_type), pa.array(kept, pa.binary())], schema.names)
 
-    return marked.select("id", "text", all_gone.alias("gone"), "marks").mapInArrow(cut, schema)
+    return marked.select("id", "text", all_gone.alias("gone"), "marks", "firsts").mapInArrow(cut, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ name keeps its title, script and gender.
 
 Collision check: all distinct entities are gathered by a grouping; an entity whose
 surrogate is that of another (the smaller canonical form keeps it) or is itself an entity
-of the corpus is drawn again until all differ. The few redrawn ones are joined back to the
+of the corpus is drawn again until all differ; a format with too few free values is left for
+a longer surrogate. The few redrawn ones are joined back to the
 texts that hold them, by a digest of the text; when there are none, texts are rewritten in
 one scan without a shuffle.
 
@@ -50,7 +51,8 @@ PATTERNS = (
 _ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 _TITLE = rf"^((?:{_MALE_TITLES}|{_FEMALE_TITLES}|{_TITLES})\.? )"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_DRAWS = 32
+#: Draws within an entity's format; where it has too few free values, later ones add a suffix of 12 digits.
+FORMAT_DRAWS, MAX_DRAWS = 6, 12
 
 
 def kind_of(entity: Column) -> Column:
@@ -126,14 +128,14 @@ def _name(entity: Column, canon: Column, hexes: Column) -> Column:
     return F.concat(title, F.when(F.contains(canon, F.lit(" ")), F.concat(given, F.lit(" "), family)).otherwise(family))
 
 
-def surrogate(kind: Column, entity: Column, canon: Column, hexes: Column) -> Column:
+def surrogate(kind: Column, entity: Column, canon: Column, hexes: Column, draw: Column) -> Column:
     """The replacement; the arguments should be plain columns, as each is used many times."""
     # a mail address keeps its last domain label; its local part follows the canonical lower case
     mail, octet = r"^(.*)(\.[a-z]+)$", lambda k: F.conv(F.substring(hexes, 4 * k + 1, 4), 16, 10).cast("int") % 254 + 1
     hexadecimal = F.regexp_like(entity, F.lit("^[0-9a-f]+$"))
     keep = F.when(kind == "access_key", 4).when(kind == "iban", 2).when(kind == "card", 1).when((kind == "phone") & F.startswith(entity, F.lit("+")), 1).otherwise(0)
     filled = _filled(F.when(kind == "email", F.regexp_extract(canon, mail, 1)).otherwise(entity), hexes, keep)
-    return (
+    made = (
         F.when(kind == "name", _name(entity, canon, hexes))
         .when(kind == "ip", F.concat_ws(".", *[octet(k).cast("string") for k in range(4)]))
         .when((kind == "secret") & hexadecimal & (F.char_length(entity) <= 128), F.substring(hexes, F.lit(1), F.char_length(entity)))
@@ -141,6 +143,7 @@ def surrogate(kind: Column, entity: Column, canon: Column, hexes: Column) -> Col
         .when(kind == "card", _card(entity, filled))
         .otherwise(filled)
     )
+    return F.when(draw >= FORMAT_DRAWS, F.concat(made, F.lit("-"), F.substring(hexes, 101, 12))).otherwise(made)
 
 
 def _may_hold(text: Column) -> Column:
@@ -161,7 +164,7 @@ def redraws(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame | No
 
     def drawn(frame: DataFrame, draw: int) -> DataFrame:
         seeded = frame.withColumn("hexes", _hex(key, F.col("kind"), F.col("canon"), F.lit(draw)))
-        replaced = seeded.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("canon"), F.col("hexes")))
+        replaced = seeded.withColumn("new", surrogate(F.col("kind"), F.col("entity"), F.col("canon"), F.col("hexes"), F.lit(draw)))
         return replaced.select("kind", "canon", canonical(F.col("kind"), F.col("new")).alias("new_canon"))
 
     taken = known.select("kind", F.col("canon").alias("new_canon"))
@@ -186,23 +189,23 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     redrawn = redraws(docs, key, text_col)
     if redrawn is None:
-        marked = docs.select(*names, F.lit(None).cast("map<string,int>").alias("_draws"), _found(text).alias("_found"))
+        marked = docs.select(*names, F.lit(None).cast("map<string,int>").alias("_td_draws"), _found(text).alias("_td_found"))
     else:
         digest = F.sha2(text, 256)
-        held = docs.select(digest.alias("_digest"), F.explode(_found(text)).alias("entity")).distinct()
+        held = docs.select(digest.alias("_td_digest"), F.explode(_found(text)).alias("entity")).distinct()
         kinds = held.withColumn("kind", kind_of(F.col("entity")))
-        maps = kinds.withColumn("canon", canonical(F.col("kind"), F.col("entity"))).join(redrawn, ["kind", "canon"]).groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("_draws"))
-        marked = docs.withColumn("_digest", digest).join(maps, "_digest", "left").select(*names, "_draws", _found(text).alias("_found"))
+        maps = kinds.withColumn("canon", canonical(F.col("kind"), F.col("entity"))).join(redrawn, ["kind", "canon"]).groupBy("_td_digest").agg(F.map_from_entries(F.collect_list(F.struct("entity", "draw"))).alias("_td_draws"))
+        marked = docs.withColumn("_td_digest", digest).join(maps, "_td_digest", "left").select(*names, "_td_draws", _found(text).alias("_td_found"))
 
     # step by step, so that each part of an entity's draw is computed once
-    typed = F.transform("_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("k"), F.coalesce(F.try_element_at("_draws", e), F.lit(0)).alias("d")))
+    typed = F.transform("_td_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("k"), F.coalesce(F.try_element_at("_td_draws", e), F.lit(0)).alias("d")))
     canoned = F.transform(typed, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["d"].alias("d"), canonical(x["k"], x["e"]).alias("c")))
-    seeded = F.transform(canoned, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), _hex(key, x["k"], x["c"], x["d"]).alias("h")))
-    swapped = marked.select(*names, "_found", F.transform(seeded, lambda x: surrogate(x["k"], x["e"], x["c"], x["h"])).alias("_new"))
+    seeded = F.transform(canoned, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["c"].alias("c"), x["d"].alias("d"), _hex(key, x["k"], x["c"], x["d"]).alias("h")))
+    swapped = marked.select(*names, "_td_found", F.transform(seeded, lambda x: surrogate(x["k"], x["e"], x["c"], x["h"], x["d"])).alias("_td_new"))
     gaps = F.split(text, _ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    changed = F.when(F.size("_found") > 0, joined).otherwise(text)
-    return swapped.select(*[changed.alias(c) if c == text_col else F.col(c) for c in names], F.size("_found").cast("long").alias("n_entities"))
+    joined = F.array_join(F.zip_with(gaps, F.concat("_td_new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
+    changed = F.when(F.size("_td_found") > 0, joined).otherwise(text)
+    return swapped.select(*[changed.alias(c) if c == text_col else F.col(c) for c in names], F.size("_td_found").cast("long").alias("n_entities"))
 
 
 #: In production the key comes from a secret store; surrogates are only as private as it is.

@@ -111,19 +111,19 @@ def judge(urls: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patter
     known = F.array(*map(F.lit, sorted(set(token_of.values()))))
 
     def candidates(rules_of: Column) -> Column:
-        return F.flatten(F.filter(F.transform("_tokens", lambda t: F.try_element_at(rules_of, t)), lambda x: x.isNotNull()))
+        return F.flatten(F.filter(F.transform("_td_tokens", lambda t: F.try_element_at(rules_of, t)), lambda x: x.isNotNull()))
 
     keep = [F.col(c) for c in urls.columns if c not in ("host", "path", "rule", "patterns", "verdict")]
-    parted = urls.select(*keep, url.alias("_url"), lower_ascii(F.regexp_extract(url, _PARTS, 1)).alias("host"), F.regexp_extract(url, _PARTS, 2).alias("path"), F.array_intersect(_tokens(url), known).alias("_tokens"))
+    parted = urls.select(*keep, url.alias("_td_url"), lower_ascii(F.regexp_extract(url, _PARTS, 1)).alias("host"), F.regexp_extract(url, _PARTS, 2).alias("path"), F.array_intersect(_tokens(url), known).alias("_td_tokens"))
     found = parted.select(
         *keep,
         "host",
         "path",
-        F.array_max(F.filter(candidates(host_index), lambda r: F.regexp_like(F.concat("host", "path"), r["regex"]))).alias("_best"),
-        F.transform(F.filter(candidates(pattern_index), lambda r: F.regexp_like(F.col("_url"), r["regex"])), lambda r: r["name"]).alias("patterns"),
+        F.array_max(F.filter(candidates(host_index), lambda r: F.regexp_like(F.concat("host", "path"), r["regex"]))).alias("_td_best"),
+        F.transform(F.filter(candidates(pattern_index), lambda r: F.regexp_like(F.col("_td_url"), r["regex"])), lambda r: r["name"]).alias("patterns"),
     )
-    verdict = F.coalesce(F.col("_best.action"), F.when(F.size("patterns") > 0, "block").otherwise("allow"))
-    return found.select(*keep, "host", "path", F.col("_best.name").alias("rule"), F.array_sort("patterns").alias("patterns"), verdict.alias("verdict"))
+    verdict = F.coalesce(F.col("_td_best.action"), F.when(F.size("patterns") > 0, "block").otherwise("allow"))
+    return found.select(*keep, "host", "path", F.col("_td_best.name").alias("rule"), F.array_sort("patterns").alias("patterns"), verdict.alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
