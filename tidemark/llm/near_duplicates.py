@@ -284,8 +284,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (least id of all texts connected by links), n_links, copy_of (least id with the same set)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_join(docs).select("doc_id", "class_id", "group_id", "n_links")
+    return jaccard_join(docs).select("doc_id", F.col("group_id").alias("class_id"), "n_links", F.col("class_id").alias("copy_of"))
 
 
 def brute_force(docs: list[tuple], threshold: float = THRESHOLD) -> dict:
