@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +19,12 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared folder; what follows reads it and does not compute it again."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` as a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.shared import checkpointed
+from tidemark.llm.shared import checkpointed, stored
 
 LENGTH = 400
 GRAM = 24
@@ -225,10 +225,11 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``texts`` has (digest, text). ``first`` marks windows whose earliest occurrence this is.
     """
-    runs = checkpointed(_runs(texts, length))
+    runs = stored(_runs(texts, length))
     place = F.struct("text", "at")
-    kinds = checkpointed(runs.groupBy("anchor", "run").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.max("tied").alias("tied")))
-    several = F.col("least") != F.col("most")
+    several = F.min(place) != F.max(place)
+    kinds = stored(runs.groupBy("anchor", "run").agg(F.min(place).alias("least"), several.alias("several"), F.max("tied").alias("tied")))
+    several = F.col("several")
     size = F.col("least.at").bitwiseAND(0xFFFFFFFF) + length - 1
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("tied") & ~several).alias("tied"), F.sum(size).alias("bytes"))
     whole = runs.join(kinds.where(several).select("anchor", "run", "least"), ["anchor", "run"]).select("text", "at", (place == F.col("least")).alias("first"))
