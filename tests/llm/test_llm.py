@@ -1,6 +1,8 @@
 """The training-data operators against brute force and SQL, and their edge cases."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -265,6 +267,18 @@ def test_classifiers_without_labels_and_with_odd_texts(spark):
             assert len(rows) == table.count() and all(r.score < 1e-6 for r in rows)
 
 
+def test_shared_counts_are_exact(spark, monkeypatch):
+    docs = documents(spark)
+    text = lambda t: {w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))}
+    want = Counter(w for _, t in docs for w in text(t))
+    for most in (1 << 21, 50):  # 50: a task passes its counts on many times
+        monkeypatch.setattr(toxicity, "MERGED_WORDS", most)
+        got = toxicity.word_documents(frame(spark, docs)).collect()
+        assert sorted(r.n for r in got) == sorted(want.values())
+    shared = toxicity.shared_counts(frame(spark, docs), np.array([1, 2], np.uint64))
+    assert (shared.total, shared.kinds, len(shared.words)) == (sum(want.values()), len(want), 0)
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 

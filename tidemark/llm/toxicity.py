@@ -5,15 +5,17 @@ number of different contexts an n-gram occurs in, here documents, so that an n-g
 repeated within a text counts once. Discounted bigram counts back off to discounted word
 counts of the class, and those to one distribution that both classes share, taken from
 every document of the corpus. A rare expression thus has the shared probability under both
-classes and says nothing. The two length-normalised log-likelihoods are compared through a
+classes and says nothing; a count added to every shared one keeps words that only a few
+documents hold from weighing too much. The two length-normalised log-likelihoods are compared through a
 logistic curve. Word by word, a difference within ``margin`` counts as none: topics and
 languages are not equally frequent in the classes, and over hundreds of common words that
 would outweigh the few telling ones.
 
-Order, discount and margin are those with the least loss on texts the models have not seen
+Order, discount, added count and margin are those with the least loss on texts the models have not seen
 (two folds). The class models are fitted on a bounded sample of labelled rows
-(``labelled.MAX_ROWS`` and ``MAX_BYTES``), so what is broadcast is bounded by that sample;
-the shared counts are an array of fixed size over all documents. Scoring is a scan.
+(``labelled.MAX_ROWS`` and ``MAX_BYTES``), so what is broadcast is bounded by that sample.
+The shared counts are exact, over every word of every document: tasks count, a grouping adds
+up, and the counts of the sample's words are looked up in the result. Scoring is a scan.
 
 Null and empty texts have no evidence and score the calibrated base. Without rows of both
 classes every text scores 0.
@@ -32,17 +34,15 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.labelled import MAX_BYTES, MAX_ROWS, held_out, labelled_sample
+from tidemark.llm.shared import stored
 
-CELLS = 1 << 17
-#: Tried on held-out texts: bigrams or words only, the count taken off every n-gram, the margin.
-SETTINGS = tuple((order, discount, margin) for order in (1, 2) for discount in (1.0, 2.0, 5.0, 10.0) for margin in (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0))
+#: Words that a task counts before it passes its counts on; no word is dropped.
+MERGED_WORDS = 1 << 21
+#: Tried on held-out texts: bigrams or words only, the count taken off every n-gram, the count added to every shared one, the margin.
+SETTINGS = tuple((order, discount, added, margin) for order in (1, 2) for discount in (1.0, 2.0, 5.0) for added in (1.0, 30.0, 300.0) for margin in (0.0, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0))
 _START = np.uint64(0x5BF03635)
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(47)).astype(np.int64)
-
-
 def _previous(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
@@ -63,25 +63,68 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return slot, keys[slot] == wanted
 
 
-def shared_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Documents holding a word, by the word's cell, over all documents."""
+@dataclass
+class SharedCounts:
+    """Documents that hold each word of a vocabulary, and the sums over all words of the corpus.
+
+    Words beyond the vocabulary count 0 here: no class has seen them, so whatever is shared
+    cancels between the classes.
+    """
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    documents: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    total: int = 0
+    kinds: int = 0
+
+    def probability(self, hashes: np.ndarray, added: float) -> np.ndarray:
+        slot, known = _find(self.words, hashes)
+        held = np.where(known, self.documents[slot], 0) if len(self.words) else np.zeros(len(hashes))
+        return (held + added) / (self.total + added * (self.kinds + 1))
+
+
+def word_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): the hash of each word of the corpus, and how many documents hold it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            kinds, slot = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return kinds, np.bincount(slot, np.concatenate([h[1] for h in held]), len(kinds)).astype(np.int64)
+
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
+
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column(0)):
                 hashes, _, _, counts = tb.words(data, offsets)
-                text = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-                # one bit for each text and cell: a word counts once a document
-                seen = np.unique(text * CELLS + _cells(hashes))
-                total += np.bincount(seen % CELLS, minlength=CELLS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], ["cell", "n"])
-
-    found = docs.select(text_col).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.float64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+                kinds, slot = np.unique(hashes, return_inverse=True)
+                # a word counts once a document
+                once = np.unique(slot * len(counts) + np.repeat(np.arange(len(counts)), counts)) // len(counts)
+                held.append((kinds, np.bincount(once, minlength=len(kinds))))
+                size += len(kinds)
+                if size > MERGED_WORDS:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > MERGED_WORDS // 2:
+                        yield passed_on()
+                        held, size = [], 0
+        if held:
+            held = [merged()]
+            yield passed_on()
+
+    return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> SharedCounts:
+    """Counts over all documents; only those of ``vocabulary``, the words of a bounded sample, come to the driver."""
+    counted = stored(word_documents(docs, text_col))
+    whole = counted.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
+    known = docs.sparkSession.createDataFrame(pa.table({"word": np.unique(vocabulary).view(np.int64)}))
+    found = counted.join(F.broadcast(known), "word").toArrow()
+    words, documents = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(words)
+    return SharedCounts(words[order], documents[order], whole.total or 0, whole.kinds)
 
 
 def _documents(keys: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -99,18 +142,18 @@ def _documents(keys: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[n
 class ClassModels:
     """Models of the ordinary (0) and the toxic (1) class."""
 
-    shared: np.ndarray
+    shared: SharedCounts = field(default_factory=SharedCounts)
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     word_counts: list[np.ndarray] = field(default_factory=list)
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pair_counts: list[np.ndarray] = field(default_factory=list)
     context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    setting: tuple[int, float, float] = (1, 5.0, 2.0)
+    setting: tuple[int, float, float, float] = (1, 5.0, 30.0, 2.0)
     slope: float = 0.0
     offset: float = -30.0
 
     @classmethod
-    def fit(cls, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, shared: np.ndarray) -> ClassModels:
+    def fit(cls, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, shared: SharedCounts) -> ClassModels:
         model = cls(shared)
         text = np.repeat(np.arange(len(counts)), counts)
         before = _previous(hashes, counts)
@@ -121,17 +164,17 @@ class ClassModels:
         model.context = np.where(known, slot, len(model.words)).astype(np.int32)
         return model
 
-    def ratios(self, hashes: np.ndarray, counts: np.ndarray, settings: list[tuple[int, float]]) -> Iterator[np.ndarray]:
-        """Toxic minus ordinary log-probability of each word, for each (order, discount)."""
+    def ratios(self, hashes: np.ndarray, counts: np.ndarray, settings: list[tuple[int, float, float]]) -> Iterator[np.ndarray]:
+        """Toxic minus ordinary log-probability of each word, for each (order, discount, added)."""
         word, known = _find(self.words, hashes)
-        base = (self.shared[_cells(hashes)] + 1) / (self.shared.sum() + CELLS)
-        if any(order == 2 for order, _ in settings):
+        bases = {added: self.shared.probability(hashes, added) for added in dict.fromkeys(x[2] for x in settings)}
+        if any(order == 2 for order, _, _ in settings):
             before = _previous(hashes, counts)
             pair, has_pair = _find(self.pairs, _pairs(before, hashes))
             slot, has_context = _find(self.words, before)
             context = np.where(has_context, slot, len(self.words))
-        for order, discount in settings:
-            logs = []
+        for order, discount, added in settings:
+            base, logs = bases[added], []
             for c in (0, 1):
                 mass, kept = max(1.0, float(self.word_counts[c].sum())), np.maximum(self.word_counts[c] - discount, 0)
                 p = (np.where(known, kept[word], 0) + (mass - float(kept.sum())) * base) / mass
@@ -144,7 +187,7 @@ class ClassModels:
                 logs.append(np.log(np.maximum(p, 1e-30)))
             yield logs[1] - logs[0]
 
-    def evidence(self, hashes: np.ndarray, counts: np.ndarray, settings: tuple[tuple[int, float, float], ...] = ()) -> np.ndarray:
+    def evidence(self, hashes: np.ndarray, counts: np.ndarray, settings: tuple[tuple[int, float, float, float], ...] = ()) -> np.ndarray:
         """Evidence a word for each text, 0 without words: one row for each setting, or the model's own alone."""
         wanted = settings or (self.setting,)
         if len(counts) > 200:
@@ -155,10 +198,10 @@ class ClassModels:
         rows: dict = {}
         if not len(self.words):
             return np.zeros((len(wanted), len(counts)))
-        models = list(dict.fromkeys(x[:2] for x in wanted))
+        models = list(dict.fromkeys(x[:3] for x in wanted))
         for model, ratio in zip(models, self.ratios(hashes, counts, models)):
-            for setting in (x for x in wanted if x[:2] == model):
-                beyond = np.sign(ratio) * np.maximum(np.abs(ratio) - setting[2], 0)
+            for setting in (x for x in wanted if x[:3] == model):
+                beyond = np.sign(ratio) * np.maximum(np.abs(ratio) - setting[3], 0)
                 rows[setting] = tb.segment_sums(beyond, counts) / np.maximum(counts, 1)
         return np.array([rows[x] for x in wanted])
 
@@ -185,11 +228,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> ClassModels:
     texts, marks = labelled_sample(docs, labels, label_col, max_rows, max_bytes)
     y = np.array(marks, np.int64)
-    shared = shared_counts(docs)
     if len(set(marks)) < 2:
-        return ClassModels(shared)
+        return ClassModels()
     parts = [tb.words(data, offsets) for _, _, data, offsets in tb.chunks(texts)]
     hashes, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[3] for p in parts])
+    shared = shared_counts(docs, hashes)
     edges = np.concatenate([[0], np.cumsum(counts)])
 
     def take(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
