@@ -200,6 +200,14 @@ def test_jaccard_join(spark, monkeypatch):
         assert got == want
 
 
+def test_jaccard_join_of_rows_without_ids(spark):
+    base = " ".join(f"u{k}" for k in range(60))
+    rows = [(None, base), (None, base), (None, base + " more"), (7, base + " and more"), (7, "some other text of seven words"), (7, base + " and more")]
+    got = near_duplicates.jaccard_join(frame(spark, rows)).select("doc_id", "group_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(None, 7, 2)] * 3 + [(7, 7, 2), (7, 7, 0), (7, 7, 2)], key=repr)
+    assert sorted(r.text for r in near_duplicates.deduplicate(frame(spark, rows)).collect() if "u5" not in r.text) == ["some other text of seven words"]
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     docs = _near(random.Random(6))
     want = {g for _, g, _ in near_duplicates.brute_force(docs).values()}

@@ -14,7 +14,8 @@ keys meet only in joins that Spark splits and in groupings that pre-aggregate. S
 checkpointed, so an executor's loss costs the tasks of one step.
 
 A null or empty text, or one without words, equals only texts with the same bytes and links
-to none. Ids may repeat or be null: every row finds its class through the digest of its set.
+to none. Ids may repeat or be null: every row finds its class through the digest of its set,
+and texts without an id are compared as all others.
 """
 
 from __future__ import annotations
@@ -119,6 +120,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
     return docs.select(id_col, _text_key(text_col).alias("text_key"), text_col).mapInArrow(sign, schema)
 
 
+def _place(id_: Column, text_key: Column) -> Column:
+    """Where a class's text is fetched from: its least id, or its text where no copy has an id."""
+    return F.coalesce(F.when(id_.isNotNull(), F.xxhash64(id_)), text_key)
+
+
 def _band_rows(classes: DataFrame, bands: int) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +191,7 @@ def _verify(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], share
 
 
 def _tile_results(share: Fraction):
-    """Rows arrive sorted by tile: (tile, block, node, shingles)."""
+    """Rows arrive sorted by tile and node: (tile, block, node, shingles); repeated rows bring a node again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, nodes, blocks, sets = None, [], [], []
@@ -200,6 +206,8 @@ def _tile_results(share: Fraction):
                 if tiles[k] != tile:
                     yield from result()
                     tile, nodes, blocks, sets = tiles[k], [], [], []
+                elif nodes[-1] == node[k]:
+                    continue
                 nodes.append(node[k])
                 blocks.append(block[k])
                 sets.append(np.frombuffer(shingles[k], np.uint64))
@@ -209,11 +217,11 @@ def _tile_results(share: Fraction):
 
 
 def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(node, links, tie) from every tile of every component of ``members`` (id, node, n, component)."""
+    """(node, links, tie) from every tile of every component of ``members`` (id, text_key, node, n, component)."""
     sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
-    placed = members.join(sizes, "component").select("id", "node", "component", blocks.alias("blocks"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed, "id").select("text", "node", "component", "blocks")
+    placed = members.join(sizes, "component").select(_place(F.col("id"), F.col("text_key")).alias("place"), "node", "component", blocks.alias("blocks"))
+    texts = docs.select(_place(F.col(id_col), _text_key(text_col)).alias("place"), F.col(text_col).alias("text")).join(placed, "place").select("text", "node", "component", "blocks")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +246,7 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, th
 
     tiles = texts.mapInArrow(spread, "component long, tile long, block long, node long, shingles binary")
     # a random mix of component and tile names the task; rows of a tile then come together
-    dealt = tiles.withColumn("tile", F.xxhash64("component", "tile")).drop("component").repartition(_partitions(docs.sparkSession), "tile").sortWithinPartitions("tile")
+    dealt = tiles.withColumn("tile", F.xxhash64("component", "tile")).drop("component").repartition(_partitions(docs.sparkSession), "tile").sortWithinPartitions("tile", "node")
     return dealt.select("tile", "block", "node", "shingles").mapInArrow(_tile_results(Fraction(threshold).limit_denominator(1000)), "node long, links long, tie long")
 
 
@@ -260,10 +268,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bands, rows = banding(threshold, recall)
     signed = checkpointed(signatures(docs, id_col, text_col, bands, rows))
-    classes = checkpointed(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = checkpointed(signed.groupBy("node").agg(F.min("id").alias("id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     ties = checkpointed(candidate_ties(classes, bands))
     groups = components(ties)
-    members = checkpointed(classes.select("id", "node", "n").join(groups, "node"))
+    members = checkpointed(classes.select("id", "text_key", "node", "n").join(groups, "node"))
     found = checkpointed(verified(docs, members, id_col, text_col, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(found.where("links > 0 AND node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")))
