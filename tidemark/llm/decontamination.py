@@ -9,8 +9,8 @@ at once through the wavelet ranks, their occurrences located by walking to the n
 sampled position, and the spans merged.
 
 There is no shuffle: documents are scanned once and each row answers for itself, so hot
-sources, copies and lost executors need no care. The benchmark is broadcast in blocks of at
-most ``block_bytes``; a larger one costs one pass over the documents for each block.
+sources, copies and lost executors need no care. The benchmark is broadcast in blocks of
+about ``block_bytes``; a larger one costs one pass over the documents for each block.
 
 Null or empty texts have no words. Repeated rows and repeated ids are judged row by row.
 An item without id marks words but is not listed; items that repeat an id count once.
@@ -19,7 +19,7 @@ An item without id marks words but is not listed; items that repeat an id count
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from tidemark.llm import textbytes as tb
 
 SAMPLE_EVERY = 8
+#: Bytes of benchmark texts whose windows the driver and each worker hold at once, about.
+BLOCK_BYTES = 8 << 20
 
 
 class WaveletMatrix:
@@ -221,75 +223,88 @@ def _judge(windows: Windows, hashes: np.ndarray, counts: np.ndarray) -> tuple[np
     return hit, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, pa.Array]]:
-    """Blocks of items of bounded size, each fetched by itself."""
+def _n_blocks(benchmark: DataFrame, text_col: str, block_bytes: int) -> int:
+    return int((benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // block_bytes) + 1
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[tuple[list, pa.Array]]:
+    """``n`` blocks of items, dealt by a hash, each fetched by itself."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // block_bytes) + 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         table = part.toArrow()
         yield table["item"].to_pylist(), table["text"].combine_chunks()
 
 
-def _scan(spark: SparkSession, benchmark: DataFrame, n: int, item_col: str, item_text_col: str, block_bytes: int, run: Callable[[object], object]) -> list:
-    return [run(spark.sparkContext.broadcast(Windows(ids, texts, n))) for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+def _merged_items(found: list[list[str]], before: pa.Array) -> list[list[str]]:
+    """Sorted items of each text, with those that blocks before have found."""
+    return [sorted({*own, *(earlier or ())}) for own, earlier in zip(found, before.to_pylist())]
+
 
+def _add_runs(hit: np.ndarray, counts: np.ndarray, runs: pa.Array) -> np.ndarray:
+    """``hit`` with the words in each text's ``runs`` (first word, word after the last, ...) flagged too."""
+    edges = runs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).astype(np.int64)
+    times = np.array([len(x) // 2 for x in runs], np.int64)
+    base = np.repeat(np.cumsum(counts) - counts, times)
+    mark = np.zeros(len(hit) + 1, np.int64)
+    np.add.at(mark, base + edges[:, 0], 1)
+    np.add.at(mark, base + edges[:, 1], -1)
+    return hit | (np.cumsum(mark[:-1]) > 0)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, items (sorted strings), spans.
 
     ``spans`` are the merged removal spans: byte offsets [start, end) in the UTF-8 text,
-    from the first to the last hit word of a run. With a benchmark of several blocks there
-    is a row for each block and document, merged by a grouping on the id; there ids must
-    be unique.
+    from the first to the last hit word of a run. Each block of the benchmark is a pass over
+    the rows that adds to the runs of hit words found so far, so rows stay apart whatever
+    their ids are.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    answer = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
+    runs_field = T.StructField("runs", T.ArrayType(T.LongType()))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    id_field = T.StructField(id_col, docs.schema[id_col].dataType)
+
+    def run(frame: DataFrame, shared, first: bool, last: bool) -> DataFrame:
+        schema = T.StructType([id_field, *answer] if last else [id_field, T.StructField("text", T.StringType()), answer[2], runs_field])
 
-    def run(shared):
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row, end, data, offsets in tb.chunks(batch.column(1)):
                     hashes, starts, ends, counts = tb.words(data, offsets)
                     hit, items = _judge(shared.value, hashes, counts)
+                    if not first:
+                        items = _merged_items(items, batch.column(2)[row:end])
+                        hit = _add_runs(hit, counts, batch.column(3)[row:end])
                     spans: list[list[dict]] = [[] for _ in counts]
+                    runs: list[list[int]] = [[] for _ in counts]
                     if hit.any():
                         text = np.repeat(np.arange(len(counts)), counts)
-                        change = hit.copy()
-                        change[1:] &= ~hit[:-1] | (text[1:] != text[:-1])
-                        last = hit.copy()
-                        last[:-1] &= ~hit[1:] | (text[1:] != text[:-1])
-                        for a, b in zip(np.flatnonzero(change).tolist(), np.flatnonzero(last).tolist()):
-                            base = int(offsets[text[a]])
-                            spans[text[a]].append({"start": int(starts[a]) - base, "end": int(ends[b]) - base})
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], pa.array(counts, pa.int64()), pa.array(tb.segment_sums(hit.astype(np.int64), counts), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], [id_col, "n_words", "n_hit", "items", "spans"])
-
-        return docs.select(id_col, text_col).mapInArrow(judge, schema)
-
-    parts = _scan(docs.sparkSession, benchmark, n, item_col, item_text_col, block_bytes, run)
-    if len(parts) == 1:
-        return parts[0]
-    return _merge(parts, id_col)
-
-
-def _merge(parts: list[DataFrame], id_col: str) -> DataFrame:
-    """Join the blocks' answers; hit spans overlap between blocks, so they are merged by position."""
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    start = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
-    merged = F.aggregate(
-        "spans",
-        F.array(start),
-        lambda acc, x: F.when(x["start"] <= F.element_at(acc, -1)["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    grouped = whole.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans"))
-    return grouped.withColumn("spans", F.slice(merged, 2, F.size("spans") + 1))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+                        word = np.cumsum(counts) - counts
+                        begins, stops = hit.copy(), hit.copy()
+                        begins[1:] &= ~hit[:-1] | (text[1:] != text[:-1])
+                        stops[:-1] &= ~hit[1:] | (text[1:] != text[:-1])
+                        for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(stops).tolist()):
+                            k = int(text[a])
+                            spans[k].append({"start": int(starts[a] - offsets[k]), "end": int(ends[b] - offsets[k])})
+                            runs[k] += [a - int(word[k]), b + 1 - int(word[k])]
+                    ids, found = batch.column(0)[row:end], pa.array(items, pa.list_(pa.string()))
+                    if last:
+                        columns = [ids, pa.array(counts, pa.int64()), pa.array(tb.segment_sums(hit.astype(np.int64), counts), pa.int64()), found, pa.array(spans, span_type)]
+                    else:
+                        columns = [ids, batch.column(1)[row:end], found, pa.array(runs, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        return frame.mapInArrow(judge, schema)
+
+    frame = docs.select(id_col, F.col(text_col).alias("text"))
+    blocks = _n_blocks(benchmark, item_text_col, block_bytes)
+    for k, (ids, texts) in enumerate(_blocks(benchmark, item_col, item_text_col, blocks)):
+        frame = run(frame, docs.sparkSession.sparkContext.broadcast(Windows(ids, texts, n)), k == 0, k == blocks - 1)
+    return frame
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the removal spans cut out of its texts; other columns and rows stay.
 
     Cutting brings words together that were apart, so a text is searched again until
@@ -336,7 +351,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
 
         return frame.mapInArrow(clean, frame.schema)
 
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for ids, texts in _blocks(benchmark, item_col, item_text_col, _n_blocks(benchmark, item_text_col, block_bytes)):
         docs = run(docs, docs.sparkSession.sparkContext.broadcast(Windows(ids, texts, n)))
     return docs
 
