@@ -226,11 +226,17 @@ def test_banding_reaches_its_recall():
 
 def test_quality_rules_edges(spark):
     same = "one two three four five six seven " * 3
-    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (5, same), (6, "a b c d e f g h i j k l"), (6, "a\na\n \na\nb c d e f g h"), (None, "x " * 30000), (8, "é" * 70000 + " # | " + "z")]
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (5, same), (6, "a b c d e f g h i j k l"), (6, "a\na\n \na\nb c d e f g h"), (None, "x " * 30000), (8, "é" * 70000 + " # | " + "z"), (9, "these ordinary words make up one plain sentence that every rule lets pass")]
     got = {(r.doc_id, r.n_words): r for r in quality_rules.measured(frame(spark, rows).withColumn("n_words", F.lit("clash"))).collect()}
     assert got[(5, 21)].n_repeat_words == 21 and got[(None, 30000)].n_repeat_words == 30000 and got[(6, 10)].n_dup_lines == 2
     assert got[(8, 4)].word_chars == 70003 and got[(8, 4)].n_symbols == 2 and got[(4, 1)].n_repeat_words == 0
     assert quality_rules.cascade_order(frame(spark, rows))
+    rules = quality_rules.RULES
+    for order in (list(rules), list(reversed(rules))):  # the order changes no verdict
+        kept = quality_rules.judge(frame(spark, rows).withColumn("kept", F.lit(1)), order).where("kept").collect()
+        assert [r.doc_id for r in kept] == [9]
+    clash = frame(spark, rows).withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit(0))
+    assert [tuple(r) for r in quality_rules.filtered(clash).collect()] == [(9, rows[-1][1], "clash", 0)]
     assert quality_rules.measured(frame(spark, [])).count() == 0 and quality_rules.cascade_order(frame(spark, []))
 
 

@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Rules are native expressions over a text. On a sample of bounded size each rule is run by
-itself: its time is its cost, the share it rejects its selectivity. The rules are then
-chained in order of rejections per cost, so that a cheap rule that rejects much spares the
-dear ones behind it. The order changes no verdict, only the work.
+Rules are native conditions on features of a text. On a sample of bounded size each rule is
+run by itself, with only the features it needs: its time is its cost, the share it rejects
+its selectivity. The rules are then chained in order of rejections per cost, so that a cheap
+rule that rejects much spares the dear ones behind it: a feature is computed where the first
+rule that needs it is reached, and only for texts that no rule before it has rejected. The
+order changes no verdict, only the work.
 
 All is one scan without a shuffle; a text's repeated windows are found within its row by
 sorting window hashes. Null and empty texts have no words and fail.
@@ -11,7 +13,9 @@ sorting window hashes. Null and empty texts have no words and fail.
 
 from __future__ import annotations
 
+import re
 import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,38 +39,77 @@ class Rule:
     def rejects(self) -> Column:
         return F.expr(self.condition)
 
+    @property
+    def needs(self) -> list[str]:
+        return [f for f in FEATURES if re.search(rf"\b{f}\b", self.condition)]
+
+
+def _without(text: Column, characters: str) -> Column:
+    return F.char_length(F.translate(text, characters, "")).cast("long")
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_bangs."""
-    made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs")
-    keep = [F.col(c) for c in docs.columns if c not in made]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != "")
-    split = docs.select(*keep, F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_td_words"), lines.alias("_td_lines"))
-    n = F.size("_td_words")
+
+def _windows(words: Column) -> Column:
+    """(hash, place) of each window, in the order of hashes."""
 
     def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(*[F.get("_td_words", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
-
-    hashed = split.select(*keep, n.alias("_td_n"), F.size("_td_lines").alias("_td_n_lines"), (F.size("_td_lines") - F.size(F.array_distinct("_td_lines"))).alias("_td_dup"), F.when(n > WINDOW, F.sort_array(F.transform(F.sequence(F.lit(0), n - WINDOW), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_td_windows"))
-    # places of windows whose neighbour in hash order is the same window
-    twice = F.filter("_td_windows", lambda w, k: (F.get("_td_windows", k - 1)["h"] == w["h"]) | (F.get("_td_windows", k + 1)["h"] == w["h"]))
-    placed = hashed.select(*keep, "_td_n", "_td_n_lines", "_td_dup", F.sort_array(F.transform(twice, lambda w: w["i"])).alias("_td_at"))
-    # a window adds the words that the one before it in the text does not cover
-    gain = F.transform("_td_at", lambda a, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), a - F.get("_td_at", k - 1))))
-    covered = F.aggregate(gain, F.lit(0), lambda total, x: total + x)
-    length = F.char_length(text)
-    return placed.select(
-        *keep,
-        F.col("_td_n").cast("long").alias("n_words"),
-        F.char_length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"),
-        (length - F.char_length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.col("_td_n_lines").cast("long").alias("n_lines"),
-        F.col("_td_dup").cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        (length - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (length - F.char_length(F.translate(text, "!?", ""))).cast("long").alias("n_bangs"),
-    )
+        return F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))
+
+    n = F.size(words)
+    return F.when(n > WINDOW, F.sort_array(F.transform(F.sequence(F.lit(0), n - WINDOW), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def _repeated(windows: Column) -> Column:
+    """Places of windows whose neighbour in hash order is the same window."""
+    twice = F.filter(windows, lambda w, k: (F.get(windows, k - 1)["h"] == w["h"]) | (F.get(windows, k + 1)["h"] == w["h"]))
+    return F.sort_array(F.transform(twice, lambda w: w["i"]))
+
+
+def _covered(places: Column) -> Column:
+    """Words in the windows at ``places``: each adds those that the one before it in the text does not cover."""
+    gain = F.transform(places, lambda a, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), a - F.get(places, k - 1))))
+    return F.aggregate(gain, F.lit(0), lambda total, x: total + x).cast("long")
+
+
+#: Features, and the arrays they are counted on: what each is computed from, and how.
+_ARRAYS: dict[str, tuple[str | None, Callable[[Column], Column]]] = {
+    "_td_words": (None, lambda text: F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")),
+    "_td_lines": (None, lambda text: F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != "")),
+    "_td_windows": ("_td_words", _windows),
+    "_td_places": ("_td_windows", _repeated),
+}
+FEATURES: dict[str, tuple[str | None, Callable[[Column], Column]]] = {
+    "n_words": ("_td_words", lambda words: F.size(words).cast("long")),
+    "word_chars": (None, lambda text: _without(text, _SPACES)),
+    "n_symbols": (None, lambda text: F.char_length(text) - _without(text, _SYMBOLS)),
+    "n_lines": ("_td_lines", lambda lines: F.size(lines).cast("long")),
+    "n_dup_lines": ("_td_lines", lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
+    "n_repeat_words": ("_td_places", _covered),
+    "n_upper": (None, lambda text: F.char_length(text) - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+    "n_bangs": (None, lambda text: F.char_length(text) - _without(text, "!?")),
+}
+
+
+def _with_features(frame: DataFrame, wanted: Iterable[str], where: Column | None = None) -> DataFrame:
+    """``frame`` (with _td_text) with features it lacks, one projection for each step; null where ``where`` is false."""
+    todo = [f for f in wanted if f not in frame.columns]
+    sources = {s for f in todo if (s := (FEATURES | _ARRAYS)[f][0]) is not None}
+    if sources - set(frame.columns):
+        frame = _with_features(frame, sorted(sources), where)
+    made = {f: compute(F.col(source or "_td_text")) for f in todo for source, compute in [(FEATURES | _ARRAYS)[f]]}
+    return frame.withColumns(made if where is None else {f: F.when(where, c) for f, c in made.items()}) if made else frame
+
+
+def _prepared(docs: DataFrame, text_col: str) -> tuple[list[str], DataFrame]:
+    """The columns to keep, and ``docs`` without those whose names are made here."""
+    keep = [c for c in docs.columns if c not in FEATURES and c != "kept"]
+    return keep, docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_td_text"))
+
+
+def measured(docs: DataFrame, text_col: str = "text", features: Iterable[str] = tuple(FEATURES)) -> DataFrame:
+    """``docs`` with the features; columns of their names are replaced."""
+    keep, frame = _prepared(docs, text_col)
+    wanted = list(features)
+    return _with_features(frame, wanted).select(*keep, *wanted)
 
 
 BASE_RULES = (
@@ -92,26 +135,40 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
         scores = []
         for rule in rules:
             began = time.perf_counter()
-            rejected = measured(sample, text_col).agg(F.count_if(rule.rejects)).first()[0]
+            rejected = measured(sample, text_col, rule.needs).agg(F.count_if(rule.rejects)).first()[0]
             scores.append((rejected / rows) / max(1e-6, time.perf_counter() - began))
     finally:
         sample.unpersist()
     return [rule for _, _, rule in sorted(zip((-s for s in scores), range(len(rules)), rules), key=lambda x: x[:2])]
 
 
-def cascade(order: list[Rule]) -> Column:
-    """True for rows that no rule rejects; a rule is evaluated only if those before it did not reject."""
-    passed: Column = F.lit(True)
-    for rule in reversed(order):
-        passed = F.when(rule.rejects, F.lit(False)).otherwise(passed)
-    return passed
+def judge(docs: DataFrame, order: list[Rule], text_col: str = "text", always: Iterable[str] = ()) -> DataFrame:
+    """``docs`` with the features of ``always`` and ``kept``: true for rows that no rule rejects.
+
+    Features that are not asked for in every row are computed only for rows that reach a rule
+    which needs them.
+    """
+    keep, frame = _prepared(docs, text_col)
+    always = list(always)
+    frame = _with_features(frame, always).withColumn("kept", F.lit(True))
+    for rule in order:
+        frame = _with_features(frame, rule.needs, F.col("kept"))
+        frame = frame.withColumn("kept", F.when(F.col("kept"), ~rule.rejects).otherwise(False))
+    # not deterministic to Catalyst, so that a filter on kept stays above and does not copy the cascade into itself
+    return frame.select(*keep, *always, (F.col("kept") & (F.spark_partition_id() >= 0)).alias("kept"))
+
+
+def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects."""
+    own = docs.withColumns({"_td_row": F.struct(*docs.columns)}).select("_td_row", F.col(text_col).alias("_td_source"))
+    return judge(own, cascade_order(docs, rules, text_col), "_td_source").where("kept").select("_td_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    order = cascade_order(docs)
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = BASE_RULES[0].rejects | BASE_RULES[1].rejects
-    return measured(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), cascade(order).alias("kept"))
+    return judge(docs, cascade_order(docs), always=asked).select("doc_id", *asked, failed.alias("base_failed"), "kept")
 
 
 OP6_SQL = r"""
