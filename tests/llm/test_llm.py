@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import both
-from tidemark.llm import decontamination, near_duplicates, packing, preference, quality_model, quality_rules, suffix_dedup, surrogates, tokens, toxicity, urls
+from tidemark.llm import decontamination, labelled, near_duplicates, packing, preference, quality_model, quality_rules, suffix_dedup, surrogates, tokens, toxicity, urls
 from tidemark.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
@@ -281,6 +282,24 @@ def test_classifiers_without_labels_and_with_odd_texts(spark):
             assert len(rows) == table.count() and all(r.score < 1e-6 for r in rows)
 
 
+def test_labelled_sample_passes_over_long_texts(spark):
+    rows = [(k, f"some text {k}" + " long" * 5000 * (k % 4 == 0)) for k in range(400)] + [(k, None) for k in range(400, 410)]
+    marks = [(k, int(k % 10 == 3)) for k in range(410)]
+    docs, labels = frame(spark, rows), frame(spark, marks, "doc_id long, toxic int")
+    learnt = [k for k, _ in marks if zlib.crc32(str(k).encode()) % 5]
+    for most in (8000, 100_000):
+        texts, y, shift = labelled.labelled_sample(docs, labels, "toxic", 100, most, long_bytes=1000)
+        toxic = sum(y)
+        assert toxic == sum(k % 10 == 3 for k in learnt) and len(y) - toxic == 100 and max(map(len, texts.to_pylist())) < 1000
+        assert np.isclose(shift, -np.log(sum(k % 10 != 3 for k in learnt) / 100))
+    # only long texts: the first of each class is learnt from, the shortest
+    long = frame(spark, [(k, "x" * (5000 + k)) for k in range(40)])
+    texts, y, _ = labelled.labelled_sample(long, labels, "toxic", 100, 4000, long_bytes=1000)
+    assert sorted(y) == [0, 1] and sorted(map(len, texts.to_pylist())) == sorted(5000 + min(k for k in learnt if (k % 10 == 3) == c) for c in (False, True))
+    model = toxicity.fit(docs.unionByName(frame(spark, [(1003, "x" * (13 << 20))])), labels.unionByName(frame(spark, [(1003, 1)], "doc_id long, toxic int")))
+    assert len(model.words)
+
+
 def test_shared_counts_are_exact(spark, monkeypatch):
     docs = documents(spark)
     text = lambda t: {w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))}

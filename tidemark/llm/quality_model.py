@@ -5,7 +5,8 @@ unigrams and bigrams fall into ``2**BITS`` cells. A text is the set of its cells
 length one, so a score is one sparse dot product and does not grow with length.
 
 The weights are fitted on a bounded sample of labelled rows (``labelled.MAX_ROWS`` and
-``MAX_BYTES``); they are one array of fixed size, which is broadcast. Scoring is a scan.
+``MAX_BYTES``), the bias then set to the class shares of all labelled rows that are not held
+out; they are one array of fixed size, which is broadcast. Scoring is a scan.
 Null and empty texts score the bias alone. Without rows of both classes every text scores
 that base.
 """
@@ -81,8 +82,9 @@ def train(texts: pa.Array, labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
-    weights, bias = train(*labelled_sample(docs, labels, label_col, max_rows, max_bytes))
-    return weights.astype(np.float32), bias
+    texts, marks, shift = labelled_sample(docs, labels, label_col, max_rows, max_bytes)
+    weights, bias = train(texts, marks)
+    return weights.astype(np.float32), bias + shift
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", to: str = "score") -> DataFrame:

@@ -13,7 +13,8 @@ would outweigh the few telling ones.
 
 Order, discount, added count and margin are those with the least loss on texts the models have not seen
 (two folds). The class models are fitted on a bounded sample of labelled rows
-(``labelled.MAX_ROWS`` and ``MAX_BYTES``), so what is broadcast is bounded by that sample.
+(``labelled.MAX_ROWS`` and ``MAX_BYTES``), so what is broadcast is bounded by that sample;
+the curve's offset is set to the class shares of all labelled rows that are not held out.
 The shared counts are exact, over every word of every document: tasks count, a grouping adds
 up, and the counts of the sample's words are looked up in the result. Scoring is a scan.
 
@@ -226,7 +227,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> ClassModels:
-    texts, marks = labelled_sample(docs, labels, label_col, max_rows, max_bytes)
+    texts, marks, shift = labelled_sample(docs, labels, label_col, max_rows, max_bytes)
     y = np.array(marks, np.int64)
     if len(set(marks)) < 2:
         return ClassModels()
@@ -249,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     model = ClassModels.fit(hashes, counts, y, shared)
     model.setting = setting or model.setting
     model.slope, model.offset, _ = curve or _logistic(model.evidence(hashes, counts)[0], y)
+    model.offset += shift
     if model.setting[0] == 1:  # the bigrams were not worth their cost
         model.pairs, model.pair_counts, model.context = model.pairs[:0], [], model.context[:0]
     return model
