@@ -84,6 +84,18 @@ def test_decontaminate_leaves_nothing_to_find(spark):
     assert all(before[i] == after[i] for i in untouched)
 
 
+def test_decontaminate_in_blocks_equals_one_block(spark):
+    w = [f"v{k}" for k in range(40)]
+    # overlapping passages of different items, and a passage that appears when another is cut out
+    items = [(k, " ".join(w[2 * k : 2 * k + 12])) for k in range(12)]
+    texts = ["x " + " ".join(w) + " y", "x " + " ".join(w[:18]) + " y", " ".join(w[24:30] + w[:12] + w[30:36]) + " z", None, "", " ".join(reversed(w))]
+    docs = frame(spark, [(k, t, k) for k, t in enumerate([*texts, *texts])] + [(*d, 7) for d in _contaminated()], DOCS + ", other int")
+    rows = frame(spark, items + _items(), "item_id long, text string")
+    size = sum(len((r.text or "").encode()) for r in rows.collect())
+    one, several = (sorted((tuple(r) for r in decontamination.decontaminate(docs, rows, block_bytes=b).collect()), key=repr) for b in (1 << 23, size // 4))
+    assert one == several and len(one) == docs.count()
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 

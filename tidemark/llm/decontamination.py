@@ -10,7 +10,8 @@ sampled position, and the spans merged.
 
 There is no shuffle: documents are scanned once and each row answers for itself, so hot
 sources, copies and lost executors need no care. The benchmark is broadcast in blocks of
-about ``block_bytes``; a larger one costs one pass over the documents for each block.
+about ``block_bytes``; a larger one costs one pass over the documents for each block, with a
+written table between blocks, so that a task holds one block. The driver makes each block's windows.
 
 Null or empty texts have no words. Repeated rows and repeated ids are judged row by row.
 An item without id marks words but is not listed; items that repeat an id count once.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
+from tidemark.llm.shared import stored
 
 SAMPLE_EVERY = 8
 #: Bytes of benchmark texts whose windows the driver and each worker hold at once, about.
@@ -300,60 +302,131 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     frame = docs.select(id_col, F.col(text_col).alias("text"))
     blocks = _n_blocks(benchmark, item_text_col, block_bytes)
     for k, (ids, texts) in enumerate(_blocks(benchmark, item_col, item_text_col, blocks)):
-        frame = run(frame, docs.sparkSession.sparkContext.broadcast(Windows(ids, texts, n)), k == 0, k == blocks - 1)
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(ids, texts, n))
+        frame = run(frame, shared, k == 0, k == blocks - 1)
+        if k < blocks - 1:
+            frame = stored(frame)
+            shared.unpersist()
     return frame
 
 
+def _runs(hit: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    """Of each text the runs of its hit words: first word, word after the last, ..."""
+    runs: list[list[int]] = [[] for _ in counts]
+    text = np.repeat(np.arange(len(counts)), counts)
+    word = np.cumsum(counts) - counts
+    begins, stops = hit.copy(), hit.copy()
+    begins[1:] &= ~hit[:-1] | (text[1:] != text[:-1])
+    stops[:-1] &= ~hit[1:] | (text[1:] != text[:-1])
+    for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(stops).tolist()):
+        runs[int(text[a])] += [a - int(word[text[a]]), b + 1 - int(word[text[a]])]
+    return runs
+
+
+def _without(data: np.ndarray, offsets: np.ndarray, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(texts with a hit word, their bytes without the runs of hit words)."""
+    touched = np.flatnonzero(tb.segment_sums(hit.astype(np.int64), counts))
+    text = np.repeat(np.arange(len(counts)), counts)
+    same = text[1:] == text[:-1]
+    gone = np.zeros(len(data) + 1, np.int64)
+    np.add.at(gone, starts[hit], 1)
+    np.add.at(gone, ends[hit], -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    between = np.flatnonzero(hit[:-1] & hit[1:] & same)
+    fill = np.zeros(len(data) + 1, np.int64)
+    np.add.at(fill, ends[between], 1)
+    np.add.at(fill, starts[between + 1], -1)
+    gone |= np.cumsum(fill[:-1]) > 0
+    return touched, [data[offsets[k] : offsets[k + 1]][~gone[offsets[k] : offsets[k + 1]]] for k in touched]
+
+
+def _replaced(texts: pa.Array, changed: dict[int, str]) -> pa.Array:
+    if not changed:
+        return texts
+    rows = texts.to_pylist()
+    for row, text in changed.items():
+        rows[row] = text
+    return pa.array(rows, texts.type)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the removal spans cut out of its texts; other columns and rows stay.
 
     Cutting brings words together that were apart, so a text is searched again until
-    nothing is found. Texts without a hit are returned byte for byte.
+    nothing is found. With several blocks, a round marks the words that any block hits in
+    the uncut text, cuts their merged runs, and rows with a hit go through another round:
+    the result is that of one block. Texts without a hit are returned byte for byte.
     """
     names = docs.columns
     at = names.index(text_col)
+    runs_field = T.StructField("_td_runs", T.ArrayType(T.LongType()))
+    hit_field = T.StructField("_td_hit", T.BooleanType())
 
-    def run(frame: DataFrame, shared) -> DataFrame:
+    def at_once(frame: DataFrame, shared) -> DataFrame:
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, changed = batch.column(at), {}
-                for row, end, data, offsets in tb.chunks(texts):
+                changed: dict[int, str] = {}
+                for row, end, data, offsets in tb.chunks(batch.column(at)):
                     owners = np.arange(row, end)
                     while len(owners):
                         hashes, starts, ends, counts = tb.words(data, offsets)
                         hit, _ = _judge(shared.value, hashes, counts)
-                        touched = np.flatnonzero(tb.segment_sums(hit.astype(np.int64), counts))
+                        touched, pieces = _without(data, offsets, hit, starts, ends, counts)
                         if not len(touched):
                             break
-                        text = np.repeat(np.arange(len(counts)), counts)
-                        same = text[1:] == text[:-1]
-                        gone = np.zeros(len(data) + 1, np.int64)
-                        np.add.at(gone, starts[hit], 1)
-                        np.add.at(gone, ends[hit], -1)
-                        gone = np.cumsum(gone[:-1]) > 0
-                        between = np.flatnonzero(hit[:-1] & hit[1:] & same)
-                        fill = np.zeros(len(data) + 1, np.int64)
-                        np.add.at(fill, ends[between], 1)
-                        np.add.at(fill, starts[between + 1], -1)
-                        gone |= np.cumsum(fill[:-1]) > 0
-                        pieces = [data[offsets[k] : offsets[k + 1]][~gone[offsets[k] : offsets[k + 1]]] for k in touched]
                         owners = owners[touched]
                         for owner, piece in zip(owners.tolist(), pieces):
                             changed[owner] = piece.tobytes().decode()
                         data = np.concatenate(pieces)
                         offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
-                if changed:
-                    rows = texts.to_pylist()
-                    for owner, text in changed.items():
-                        rows[owner] = text
-                    texts = pa.array(rows, texts.type)
-                yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names)
+                yield pa.RecordBatch.from_arrays([_replaced(c, changed) if k == at else c for k, c in enumerate(batch.columns)], names)
 
         return frame.mapInArrow(clean, frame.schema)
 
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, _n_blocks(benchmark, item_text_col, block_bytes)):
-        docs = run(docs, docs.sparkSession.sparkContext.broadcast(Windows(ids, texts, n)))
-    return docs
+    def marked(frame: DataFrame, shared, first: bool, last: bool) -> DataFrame:
+        """With the runs of hit words so far; the last block cuts them and says which rows it changed."""
+        schema = T.StructType([*docs.schema.fields, hit_field if last else runs_field])
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                changed: dict[int, str] = {}
+                runs: list[list[int]] = []
+                for row, end, data, offsets in tb.chunks(batch.column(at)):
+                    hashes, starts, ends, counts = tb.words(data, offsets)
+                    hit, _ = _judge(shared.value, hashes, counts)
+                    if not first:
+                        hit = _add_runs(hit, counts, batch.column(len(names))[row:end])
+                    if not last:
+                        runs += _runs(hit, counts)
+                        continue
+                    touched, pieces = _without(data, offsets, hit, starts, ends, counts)
+                    for k, piece in zip(touched.tolist(), pieces):
+                        changed[row + k] = piece.tobytes().decode()
+                columns = [_replaced(c, changed) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
+                added = pa.array([k in changed for k in range(batch.num_rows)], pa.bool_()) if last else pa.array(runs, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, added], schema.names)
+
+        return frame.mapInArrow(mark, schema)
+
+    context = docs.sparkSession.sparkContext
+    blocks = _n_blocks(benchmark, item_text_col, block_bytes)
+    if blocks == 1:
+        for ids, texts in _blocks(benchmark, item_col, item_text_col, 1):
+            return at_once(docs, context.broadcast(Windows(ids, texts, n)))
+    done, open_ = [], docs
+    while True:
+        for k, (ids, texts) in enumerate(_blocks(benchmark, item_col, item_text_col, blocks)):
+            shared = context.broadcast(Windows(ids, texts, n))
+            open_ = stored(marked(open_, shared, k == 0, k == blocks - 1))
+            shared.unpersist()
+        done.append(open_.where("NOT _td_hit").select(*names))
+        open_ = open_.where("_td_hit").select(*names)
+        if open_.isEmpty():
+            break
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
