@@ -137,6 +137,28 @@ def test_lower_bound_and_best_fit():
 # 3 -------------------------------------------------------------------------------------------
 
 
+def test_packing_of_clustered_lengths(spark):
+    # pieces of 1,100 and of 900 tokens in partitions of their own pair up over the whole table
+    rows = [(k, 1100 if k < 600 else 900) for k in range(1200)]
+    pieces = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, length long")
+    packed = packing.pack(pieces).toPandas()
+    assert packed.sequence_id.nunique() == 600 and len(packed) == 1200 and packed.doc_id.nunique() == 1200
+    for _, group in packed.sort_values("offset").groupby("sequence_id"):
+        assert list(group.offset) == [0, *group.length.cumsum()[:-1]] and group.length.sum() <= 2048
+
+
+def test_plan_is_best_fit_decreasing_of_all_lengths():
+    rng = np.random.default_rng(1)
+    for high in (40, 300, 2049):
+        lengths = rng.integers(1, high, 3000)
+        segments, bins = packing.plan(np.bincount(lengths, minlength=2049))
+        assert bins == len(packing.best_fit_decreasing(lengths)[1])
+        assert sum(x[2] for x in segments) == len(lengths)
+    assert packing.plan(np.zeros(2049, np.int64)) == ([], 0)
+    # the cost is that of the lengths, not of the pieces
+    assert packing.plan(np.full(2049, 10**9) * (np.arange(2049) > 0))[1] == 2049 * 10**9 // 2
+
+
 def test_preference_pairs(spark):
     turns = [(0, 0, "user", "q"), (1, 0, "user", "q"), (0, 1, "assistant", "yes"), (1, 1, "assistant", "no"), (0, 2, "user", None), (2, 0, None, "solo"), (4, 0, "user", "same"), (5, 0, "user", "same"), (4, 0, "user", "same"), (None, 0, "user", "lost"), (6, None, "user", "x"), (7, None, "user", "x"), (7, None, "assistant", "x")]
     rows = frame(spark, turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))

@@ -1,15 +1,16 @@
-"""Best-fit packing, certified by dual-feasible functions.
+"""Best-fit packing of all pieces at once, from their length histogram.
 
-Each partition packs its documents by best-fit decreasing and compares its bins with a
-lower bound: the largest that a family of dual-feasible functions proves for its lengths. A
-partition whose count equals the bound is certified and only gives up its emptiest bin, as
-remainders of partitions may share one. A partition with a gap gives up every bin with room
-for more than ``SPARE`` tokens. What is given up moves on to an eighth of the partitions,
-where best-fit decreasing runs again, until one partition is left or nothing is open.
+Pieces of one length are exchangeable, so best-fit decreasing over the whole table needs only
+how many pieces each of the lengths has. The driver packs that histogram: bins with
+the same content are one group, and a length that goes into a group is one segment of the
+plan, however many pieces it stands for. The plan is broadcast; a piece finds its sequence and
+offset by its rank among the pieces of its length. The bins are those of one best-fit
+decreasing run over all lengths, wherever the pieces lie; ``lower_bound`` of all lengths
+tells how far they can be from the least number.
 
-Only ids, lengths and checksums move, never tokens or texts. The rows of a partition are
-those of an input split, so one source or id that holds many rows changes nothing. Pieces and
-the rounds' results are checkpointed: a lost executor costs the tasks of one round.
+Ranks are counted within partitions and moved up by the counts of the partitions before, which
+are summed in a window of one row for each length and partition. Only ids, lengths and checksums
+are written, never tokens or texts. A source or id that holds many rows changes nothing.
 
 A null text is empty and makes one token, the separator. Repeated rows are packed each.
 """
@@ -22,16 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import checkpointed
+from tidemark.llm.shared import checkpointed, stored
 from tidemark.llm.tokens import encode_column
 
 LENGTH = 2048
-SPARE = 16
-FAN_IN = 8
 
 
 def default_tokenizer() -> str:
@@ -112,63 +111,107 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(pieces, schema)
 
 
+def plan(count: np.ndarray, capacity: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """(segments, bins) of best-fit decreasing over ``count[x]`` pieces of each length x.
+
+    A segment (length, first rank, pieces, first bin, pieces a bin, offset) lays pieces of
+    consecutive ranks into consecutive bins, so many in each.
+    """
+    segments: list[tuple[int, int, int, int, int, int]] = []
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first bin, bins) of each room
+    open_rooms, n_bins = 0, 0
+
+    def put(room: int, group: tuple[int, int]) -> None:
+        nonlocal open_rooms
+        if room and group[1]:
+            by_room[room].append(group)
+            open_rooms |= 1 << room
+
+    for size in range(capacity, 0, -1):
+        left, rank = int(count[size]), 0
+        while left:
+            fits = open_rooms >> size
+            if fits:
+                room = (fits & -fits).bit_length() - 1 + size
+                first, bins = by_room[room].pop()
+                if not by_room[room]:
+                    open_rooms &= ~(1 << room)
+            else:
+                room, first, bins = capacity, n_bins, -(-left // (capacity // size))
+                n_bins += bins
+            each = room // size
+            whole = min(bins, left // each)
+            rest = min(left - whole * each, each) if whole < bins else 0
+            used = whole + (rest > 0)
+            segments.append((size, rank, whole * each + rest, first, each, capacity - room))
+            put(room - each * size, (first, whole))
+            if rest:
+                put(room - rest * size, (first + whole, 1))
+            put(room, (first + used, bins - used))
+            rank += whole * each + rest
+            left -= whole * each + rest
+    return segments, n_bins
+
+
+def _ranked(pieces: DataFrame, names: list[str], length: int) -> DataFrame:
+    """``pieces`` with their partition and their rank among its pieces of one length."""
+    at = names.index("length")
+    schema = T.StructType([*[pieces.schema[c] for c in names], T.StructField("_td_part", T.LongType()), T.StructField("_td_rank", T.LongType())])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen = np.zeros(length + 1, np.int64)
+        for batch in batches:
+            lengths = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(lengths, kind="stable")
+            counts = np.bincount(lengths, minlength=length + 1)
+            ranks = np.zeros(len(lengths), np.int64)
+            ranks[order] = np.arange(len(lengths)) + (seen - (np.cumsum(counts) - counts))[lengths[order]]
+            seen += counts
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int64)), pa.array(ranks)], schema.names)
+
+    return pieces.select(*names).mapInArrow(rank, schema)
+
+
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """``pieces`` with sequence_id and offset: rows of a sequence fill it from 0 without gaps.
 
-    ``pieces`` needs a column ``length``; it should be checkpointed or a table, as it is
-    read once in the first round.
+    ``pieces`` needs a column ``length``, from 1 to the argument's value.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     at = names.index("length")
-    kinds = [f for f in pieces.schema.fields if f.name in names]
-    schema = T.StructType([*kinds, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")], T.StructField("_td_open", T.BooleanType()), T.StructField("_td_home", T.LongType())])
-
-    def round_of(number: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-            if table is None or not table.num_rows:
-                return
-            home = TaskContext.get().partitionId()
-            lengths = table.column(at).to_numpy().astype(np.int64)
-            bins, room = best_fit_decreasing(lengths, length)
-            left = np.array(room)
-            gap = len(room) - lower_bound(lengths, length)
-            give = left > SPARE if gap else np.zeros(len(room), bool)
-            give[np.argmax(left)] = left.max() > 0
-            order = np.argsort(bins, kind="stable")
-            sizes = lengths[order]
-            before = np.cumsum(sizes) - sizes
-            first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
-            offset = np.zeros(len(bins), np.int64)
-            offset[order] = before - before[np.flatnonzero(first)][np.cumsum(first) - 1]
-            sequence = (number << 58) | (home << 34) | bins
-            added = [pa.array(sequence), pa.array(offset), pa.array(give[bins]), pa.array(np.full(len(bins), home, np.int64))]
-            whole = pa.table([*table.columns, *added], names=schema.names)
-            yield from whole.to_batches(max_chunksize=20_000)
-
-        return run
-
-    rounds = []
-    open_ = pieces.select(*names)
-    partitions = max(1, open_.rdd.getNumPartitions())
-    number = 0
-    while True:
-        result = checkpointed(open_.mapInArrow(round_of(number), schema))
-        number += 1
-        if partitions == 1:
-            rounds.append(result)
-            break
-        rounds.append(result.where(~F.col("_td_open")))
-        moved = result.where("_td_open")
-        if moved.isEmpty():
-            break
-        partitions = -(-partitions // FAN_IN)
-        # whole homes move together; the homes of a round are spread evenly over the next one's partitions
-        open_ = moved.withColumn("_td_to", F.pmod("_td_home", F.lit(partitions))).repartition(partitions, "_td_to").select(*names)
-    whole = rounds[0]
-    for part in rounds[1:]:
-        whole = whole.unionByName(part)
-    return whole.select(*names, "sequence_id", "offset")
+    ranked = stored(_ranked(pieces, names, length))
+    counts = stored(ranked.groupBy("_td_part", "length").agg(F.count("*").alias("_td_n")))
+    count = np.zeros(length + 1, np.int64)
+    for row in counts.groupBy("length").agg(F.sum("_td_n").alias("n")).collect():
+        count[row["length"]] = row["n"]
+    segments, _ = plan(count, length)
+    table = np.array(segments, np.int64).reshape(-1, 6)
+    shared = pieces.sparkSession.sparkContext.broadcast(table)
+    before = F.sum("_td_n").over(Window.partitionBy("length").orderBy("_td_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_td_part", "length", F.coalesce(before, F.lit(0)).alias("_td_start"))
+    placed = ranked.join(starts, ["_td_part", "length"]).select(*names, (F.col("_td_rank") + F.col("_td_start")).alias("_td_rank"))
+    schema = T.StructType([*[pieces.schema[c] for c in names], *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # segments run by falling length, then by rising rank
+        size, rank, _, first, each, offset = shared.value.T
+        begin = np.searchsorted(-size, -np.arange(length + 1), "left")
+        stop = np.searchsorted(-size, -np.arange(length + 1), "right")
+        for batch in batches:
+            lengths = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            ranks = batch.column(len(names)).to_numpy().astype(np.int64)
+            low, high = begin[lengths], stop[lengths]
+            while (high - low > 1).any():
+                middle = (low + high) // 2
+                after = rank[middle] <= ranks
+                wide = high - low > 1
+                low, high = np.where(wide & after, middle, low), np.where(wide & ~after, middle, high)
+            k = ranks - rank[low]
+            sequence = first[low] + k // each[low]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset[low] + k % each[low] * lengths)], schema.names)
+
+    return placed.mapInArrow(place, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
