@@ -288,6 +288,14 @@ def test_url_filters(spark):
     assert urls.judge(frame(spark, [], "page_id long, url string")).count() == 0
 
 
+def test_url_index_finds_what_all_expressions_find(spark):
+    hosts = [f"{left}{word}{right}" for word in ("adult", "porn", "xxx") for left in ("", "www.", "a.", "a-") for right in (".example.org", "-b.example.org", "s.example.org")]
+    rows = [(k, u) for k, u in enumerate([f"http://{h}/" for h in hosts] + ["http://a.adult.porn.xxx.example.org/wp-login.php?page=2", "http://www.spam-farm.org/?utm_source=feed"])]
+    got = {r.url: r.patterns for r in urls.judge(frame(spark, rows, "page_id long, url string")).collect()}
+    assert got == {u: sorted(p.name for p in urls.PATTERN_RULES if re.search(p.regex, u)) for _, u in rows}
+    assert got["http://www.porn.example.org/"] == got["http://a.xxx-b.example.org/"] == ["adult"]
+
+
 # 8, 9 ----------------------------------------------------------------------------------------
 
 

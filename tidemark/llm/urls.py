@@ -1,7 +1,8 @@
 """URL filters: rules indexed by their rarest literal token.
 
 Every rule names whole URL tokens (runs of letters and digits) that any URL it matches must
-hold. The token of each rule that fewest URLs hold becomes its index entry; a URL's tokens
+hold, or several sets of tokens one of which it must hold. The token of each set that fewest
+URLs hold becomes an index entry of the rule; a URL's tokens
 fetch the candidate rules, and only those run their regular expression.
 
 Host rules (allow or block a host with its subdomains below a path) and pattern rules share
@@ -51,11 +52,12 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """Block URLs that ``regex`` finds a match in; each match holds all ``literals`` as whole tokens."""
+    """Block URLs that ``regex`` finds a match in; each match holds all ``literals``, or all of one of ``alternatives``, as whole tokens."""
 
     name: str
     regex: str
     literals: tuple[str, ...]
+    alternatives: tuple[tuple[str, ...], ...] = ()
 
 
 HOST_RULES = (
@@ -69,7 +71,7 @@ PATTERN_RULES = (
     PatternRule("spam farm", r"://([^/?#]*[.])?spam-farm[.]", ("spam", "farm")),
     PatternRule("feed tracking", r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
     PatternRule("paged listing", r"[?&]page=[0-9]+(&|#|$)", ("page",)),
-    PatternRule("adult", r"://[^/?#]*(^|[./-])(adult|porn|xxx)[./-]", ("adult",)),
+    PatternRule("adult", r"://[^/?#]*(^|[./-])(adult|porn|xxx)[./-]", ("adult",), (("porn",), ("xxx",))),
     PatternRule("login", r"/(wp-)?login[./?#]", ("login",)),
 )
 
@@ -86,29 +88,31 @@ def _tokens(url: Column) -> Column:
     return F.array_distinct(F.split(lower_ascii(url), "[^a-z0-9]+"))
 
 
-def rarest_literals(urls: DataFrame, rules: list, url_col: str) -> dict[str, str]:
-    """Index token of each rule, by how many URLs of the whole table hold it."""
-    literals = sorted({x for rule in rules for x in rule.literals})
+def rarest_literals(urls: DataFrame, rules: list, url_col: str) -> dict[str, list[str]]:
+    """Index tokens of each rule, one for each alternative, by how many URLs of the whole table hold them."""
+    sets = {rule.name: (rule.literals, *getattr(rule, "alternatives", ())) for rule in rules}
+    literals = sorted({x for own in sets.values() for one in own for x in one})
     held = F.explode(F.array_intersect(_tokens(F.col(url_col)), F.array(*map(F.lit, literals))))
     counts = {r["token"]: r["n"] for r in urls.select(held.alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    return {rule.name: min(rule.literals, key=lambda x: (counts.get(x, 0), x)) for rule in rules}
+    return {name: sorted({min(one, key=lambda x: (counts.get(x, 0), x)) for one in own}) for name, own in sets.items()}
 
 
 def judge(urls: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES, url_col: str = "url") -> DataFrame:
     """``urls`` with host, path, rule, patterns (names of the pattern rules that match) and verdict."""
     rules = [*host_rules, *pattern_rules]
-    token_of = rarest_literals(urls, rules, url_col)
+    tokens_of = rarest_literals(urls, rules, url_col)
 
     def index(own: tuple, entry) -> Column:
         by_token: dict[str, list] = {}
         for rule in own:
-            by_token.setdefault(token_of[rule.name], []).append(rule)
+            for token in tokens_of[rule.name]:
+                by_token.setdefault(token, []).append(rule)
         return F.create_map(*[x for token, held in by_token.items() for x in (F.lit(token), F.array(*map(entry, held)))])
 
     host_index = index(host_rules, lambda r: F.struct(F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.regex).alias("regex")))
     pattern_index = index(pattern_rules, lambda r: F.struct(F.lit(r.name).alias("name"), F.lit(r.regex).alias("regex")))
     url = F.coalesce(F.col(url_col), F.lit(""))
-    known = F.array(*map(F.lit, sorted(set(token_of.values()))))
+    known = F.array(*map(F.lit, sorted({x for tokens in tokens_of.values() for x in tokens})))
 
     def candidates(rules_of: Column) -> Column:
         return F.flatten(F.filter(F.transform("_td_tokens", lambda t: F.try_element_at(rules_of, t)), lambda x: x.isNotNull()))
@@ -123,7 +127,7 @@ def judge(urls: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patter
         F.transform(F.filter(candidates(pattern_index), lambda r: F.regexp_like(F.col("_td_url"), r["regex"])), lambda r: r["name"]).alias("patterns"),
     )
     verdict = F.coalesce(F.col("_td_best.action"), F.when(F.size("patterns") > 0, "block").otherwise("allow"))
-    return found.select(*keep, "host", "path", F.col("_td_best.name").alias("rule"), F.array_sort("patterns").alias("patterns"), verdict.alias("verdict"))
+    return found.select(*keep, "host", "path", F.col("_td_best.name").alias("rule"), F.array_sort(F.array_distinct("patterns")).alias("patterns"), verdict.alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
