@@ -379,12 +379,54 @@ def test_suffix_dedup(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == want
 
 
-def test_suffix_dedup_keeps_one_occurrence(spark):
+def _first_kept(docs, length=400):
+    """Kept texts by rows in the operator's order of places, in plain Python."""
+    order = {t: k for k, t in enumerate(sorted({(t or "") for _, t, _ in docs}, key=lambda t: next(d for _, x, d in docs if (x or "") == t)))}
+    seen, keep, gone = set(), {}, {}
+    times = Counter(t.encode()[k : k + length] for t in order for k in range(len(t.encode()) - length + 1))
+    for text in order:
+        raw = text.encode()
+        keep[text], gone[text] = bytearray(len(raw)), bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            window = raw[k : k + length]
+            if times[window] > 1:
+                (gone if window in seen else keep)[text][k : k + length] = b"\x01" * length
+            seen.add(window)
+    return keep, gone
+
+
+def test_suffix_dedup_keeps_one_occurrence(spark, monkeypatch):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefgh ") for _ in range(500))
     docs = [(6, "v" * 900), (1, "p" * 10 + text), (2, text + "q" * 10), (3, "r" + text + "s"), (4, text), (5, text)]
     kept = [r.kept.decode() for r in suffix_dedup.remove_repeats(frame(spark, docs), keep_first=True).collect()]
     assert sum(text in k for k in kept) == 1 and sum(len(k) for k in kept) == 400 + 10 + 10 + 2 + 500
+    docs = [d for d in _repeats() if d[0] != 205]
+    digests = {r.doc_id: r.d for r in frame(spark, docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("d")).collect()}
+    keep, gone = _first_kept([(i, t, digests[i]) for i, t in docs])
+    want = {i: bytes(b for b, g, k in zip((t or "").encode(), gone[t or ""], keep[t or ""]) if k or not g) for i, t in docs}
+    for part in (4 << 20, 2000):  # 2000: anchors are dealt out
+        monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
+        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(frame(spark, docs), keep_first=True).collect()}
+        assert got == want
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(4)
+    for size, letters, length in ((60, 2, 7), (200, 3, 16), (90, 1, 5)):
+        data = rng.integers(97, 97 + letters, size).astype(np.uint8)
+        starts = np.arange(size - length + 1)
+        factor, source = suffix_dedup.longest_previous_factors(suffix_dedup._levels(data, length), starts, np.zeros(len(starts), np.int64), length)
+        raw = data.tobytes()
+        for k in range(len(starts)):
+            best = max((next((n for n in range(length) if raw[j + n] != raw[k + n]), length) for j in range(k)), default=0)
+            assert factor[k] == best
+            assert source[k] == -1 if not best else source[k] < k and raw[source[k] : source[k] + best] == raw[k : k + best]
+
+
+def test_suffix_dedup_of_the_whole_table(spark):
+    got = suffix_dedup.op10_suffix_dedup(spark, SF).collect()
+    assert sorted(tuple(r) for r in got) == sorted(suffix_dedup.brute_force(documents(spark)))
 
 
 # all -----------------------------------------------------------------------------------------

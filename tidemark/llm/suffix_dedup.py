@@ -1,27 +1,29 @@
 """Removal of byte strings that occur twice, by longest-previous-factor arrays.
 
-A window is a string of ``length`` bytes. Only windows that can have an equal need suffix
-order, so candidates are narrowed first, without losing any:
+A window is a string of ``length`` bytes. Only windows that can have an equal are put in
+suffix order, so candidates are narrowed first, without losing any:
 
 1. The least hash of the 24-byte strings in a window is its anchor; equal windows have
    equal anchors. Neighbouring windows with one anchor form a run, and one row for each run
    (anchor, digest of the run's bytes, place) is grouped: a run that occurs in two places is
    repeated as a whole, an anchor with a single run has no repeats.
-2. Anchors with several different runs are compared window by window, one copy of each run:
-   the suffixes that start in them are sorted by their first ``length`` bytes (prefix
-   doubling over ranks, ties by place), which gives the longest previous factor up to
-   ``length``. In this order the previous smaller position of a suffix that shares
-   ``length`` bytes with it is its predecessor, and its next smaller position shares less;
-   so the factor is ``length`` just when the predecessor's common prefix is. The first of a
-   class of equal suffixes has a later equal if the class holds another.
-3. An anchor with more bytes of runs than ``PART_BYTES`` is dealt out in parts; the first
-   suffixes of each part meet in a grouping on a digest of their window.
-
-Texts are compared by digest, so exact copies cost one text. With ``keep_first`` the
-occurrence at the least (digest of the text, place) stays whole, even where later copies of
-other strings overlap it, as does the row with the least id of equal texts; otherwise every
-occurrence goes. Null texts are empty; texts under
-``length`` bytes keep all. Removing bytes may cut a character, so kept bytes are binary.
+2. Anchors with several different runs meet in a task, one copy of each run. The suffixes that
+   start in the runs are put in suffix order (prefix doubling), with the common prefixes of
+   neighbours. For each suffix the previous and the next smaller position in that order are
+   its nearest earlier texts; the longer of the two common prefixes is its longest previous
+   factor. Where that reaches ``length``, the window is a later copy of the one it points to.
+3. An anchor with more bytes of runs than ``PART_BYTES`` is dealt out in parts; the windows
+   that no part finds earlier meet in a grouping on a digest of their bytes, which also
+   settles which of them is the first of all.
+
+The order of places is (digest of the text, place), everywhere the same, so the result does
+not depend on ``PART_BYTES`` or on how rows are dealt out. Texts are compared by digest, so
+exact copies cost one text. With ``keep_first`` the first occurrence stays whole, even where
+later copies of other strings overlap it, as does the row with the least id of equal texts;
+otherwise every occurrence goes. Null texts are empty; texts under ``length`` bytes keep all.
+Repeated rows, and ids that stand for several texts, are judged row by row; columns other than
+the id and the text are not read. A very long text is one chunk of its own, never cut.
+Removing bytes may cut a character, so kept bytes are binary.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from tidemark.llm.shared import checkpointed, stored
 LENGTH = 400
 GRAM = 24
 #: Bytes of runs that are compared at once, if not of one anchor; bytes beyond which an anchor is dealt out.
-CHUNK_BYTES, PART_BYTES = 1 << 20, 4 << 20
+CHUNK_BYTES, PART_BYTES = 1 << 19, 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -129,47 +131,101 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(find, "anchor long, run long, text long, at long, tied boolean")
 
 
-def ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the ``length`` bytes at each start, equal for equal bytes and in their order, by prefix doubling."""
-    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(1, np.int64)])
-    level, have, at, total = padded, 1, 0, None
-    n = len(padded)
-    rest = length
-    while rest:
-        if rest & 1:
-            piece = level[np.minimum(starts + at, n - 1)]
-            total = piece if total is None else np.unique(total * (n + 1) + piece, return_inverse=True)[1]
-            at += have
-        rest >>= 1
-        if rest:
-            following = level[np.minimum(np.arange(n) + have, n - 1)]
-            level = np.unique(level * (max(n, 256) + 2) + following, return_inverse=True)[1].astype(np.int64)
-            have *= 2
-    return total
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of keys in their order, equal for equal keys."""
+    order = np.argsort(keys)
+    found = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.concatenate([[False], found[1:] != found[:-1]]), dtype=np.int32)
+    return out
+
+
+def _levels(data: np.ndarray, length: int) -> list[np.ndarray]:
+    """Ranks of the strings of 1, 2, 4, ... bytes at each place, by prefix doubling, while they fit in ``length``."""
+    levels, have = [data.astype(np.int32)], 1
+    while have * 2 <= length:
+        last = levels[-1]
+        n = len(last)
+        following = np.minimum(np.arange(n, dtype=np.int64) + have, n - 1)
+        levels.append(_dense(last.astype(np.int64) * (max(n, 256) + 1) + last[following]))
+        have *= 2
+    return levels
+
+
+def suffix_order(levels: list[np.ndarray], starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Indices of ``starts`` by group, then by their first ``length`` bytes, then by place."""
+    n = len(levels[0]) + 1
+    total, at = group.astype(np.int64), 0
+    for k in range(len(levels) - 1, -1, -1):
+        if length - at >= 1 << k:
+            total = _dense(total * n + levels[k][starts + at]).astype(np.int64)
+            at += 1 << k
+    return np.argsort(total, kind="stable")
+
+
+def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes, up to ``length``, that the strings at ``a`` and ``b`` share."""
+    n = len(levels[0])
+    shared = np.zeros(len(a), np.int32)
+    for k in range(len(levels) - 1, -1, -1):
+        for _ in range(1 + (k == len(levels) - 1)):  # the longest string may fit twice
+            fits = shared + (1 << k) <= length
+            same = levels[k][np.minimum(a + shared, n - 1)] == levels[k][np.minimum(b + shared, n - 1)]
+            shared[fits & same] += 1 << k
+    return shared
+
+
+def _smaller(places: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix in order, the last one before it with a smaller place (-1: none), and what they share.
+
+    ``prefixes[k]`` is what suffixes k - 1 and k share. Each suffix steps from one candidate to that
+    one's own until the place is smaller; what lies between is known to be larger.
+    """
+    found, shared = np.arange(-1, len(places) - 1), prefixes.copy()
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_ := open_[(found[open_] >= 0) & (places[found[open_]] > places[open_])]):
+        over = found[open_]
+        shared[open_] = np.minimum(shared[open_], shared[over])
+        found[open_] = found[over]
+    shared[found < 0] = 0
+    return found, shared
+
+
+def longest_previous_factors(levels: list[np.ndarray], starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, up to ``length``, that each string shares with an earlier one of its group; index of that one, or -1)."""
+    order = suffix_order(levels, starts, group, length)
+    prefixes = np.zeros(len(order), np.int32)
+    prefixes[1:] = common_prefixes(levels, starts[order[:-1]], starts[order[1:]], length)
+    prefixes[1:][group[order[1:]] != group[order[:-1]]] = 0
+    previous, with_previous = _smaller(order, prefixes)
+    # the next smaller place is the previous one of the reversed order
+    turned = np.concatenate([[0], prefixes[:0:-1]]).astype(np.int32)
+    following, with_following = _smaller(order[::-1], turned)
+    following, with_following = len(order) - 1 - following[::-1], with_following[::-1]
+    ahead = with_following > with_previous
+    factor, source = np.zeros(len(order), np.int32), np.full(len(order), -1, np.int64)
+    factor[order] = np.where(ahead, with_following, with_previous)
+    best = np.where(ahead, np.minimum(following, len(order) - 1), previous)
+    source[order] = np.where(np.where(ahead, with_following, with_previous) > 0, order[best], -1)
+    return factor, source
 
 
 def _factors(segments: list[tuple], length: int) -> tuple[np.ndarray, ...]:
-    """Per window of the segments (group, text, place, bytes): segment, shift, class, first of class, class size."""
-    group, text, place, raw = zip(*segments)
+    """Per window of the segments (group, text, place, bytes): segment, shift, later copy, earlier one of a copy; and the bytes."""
+    group, _, _, raw = zip(*segments)
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.array([len(x) for x in raw], np.int64)
     base = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
     segment = np.repeat(np.arange(len(raw)), windows)
     shift = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    rank = ranks(data, base[segment] + shift, length)
     _, groups = np.unique(np.array(group), return_inverse=True)
-    key = rank * (int(groups.max()) + 1) + groups[segment]
-    text, place = np.array(text), np.array(place)
-    order = np.lexsort((place[segment] + shift, text[segment], key))
-    # equal strings share a class; the predecessor in suffix order is the previous smaller position
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
-    # one window may be there twice, as runs of the same text overlap only in bytes, not in windows
-    size = np.diff(np.append(np.flatnonzero(fresh), len(order)))
-    first, sized = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
-    first[order], sized[order] = fresh, np.repeat(size, size)
-    return segment, shift, first, sized, data, base
+    # segments come by (group, text, place), so that an earlier window has a smaller index
+    factor, source = longest_previous_factors(_levels(data, length), base[segment] + shift, groups[segment], length)
+    later = factor >= length
+    copied = np.zeros(len(later), bool)
+    copied[source[later]] = True
+    return segment, shift, later, copied, data, base
 
 
 def _compare(length: int):
@@ -182,26 +238,26 @@ def _compare(length: int):
         def result() -> Iterator[pa.RecordBatch]:
             if not waiting:
                 return
-            segment, shift, first, size, data, base = _factors([(w[0], w[2], w[3], w[5]) for w in waiting], length)
+            segment, shift, later, copied, data, base = _factors([(w[0], w[2], w[3], w[5]) for w in waiting], length)
             parts, text, place, whole = (np.array([w[k] for w in waiting]) for k in (1, 2, 3, 4))
-            repeated = (size > 1) & ~whole[segment]
+            repeated = later | copied | whole[segment]
             at = place[segment] + shift
-            pick = np.flatnonzero(repeated)
+            dealt = parts[segment] > 1
+            pick = np.flatnonzero(repeated & (later | ~dealt))
             # neighbouring windows with the same answer form one span
             cut = np.ones(len(pick), bool)
-            cut[1:] = (pick[1:] != pick[:-1] + 1) | (segment[pick[1:]] != segment[pick[:-1]]) | (first[pick[1:]] != first[pick[:-1]])
+            cut[1:] = (pick[1:] != pick[:-1] + 1) | (segment[pick[1:]] != segment[pick[:-1]]) | (later[pick[1:]] != later[pick[:-1]])
             begin = np.flatnonzero(cut)
             count = np.diff(np.append(begin, len(pick)))
             p = pick[begin]
-            none = np.zeros(len(p), np.int64)
-            yield _batch(text[segment[p]], at[p] << 32 | count, first[p], none, none.astype(bool))
-            dealt = np.flatnonzero(first & (parts[segment] > 1))
-            if len(dealt):
-                start = base[segment[dealt]] + shift[dealt]
+            yield _batch(text[segment[p]], at[p] << 32 | count, ~later[p], np.ones(len(p), bool), np.zeros(len(p), np.int64), np.zeros(len(p), bool))
+            opened = np.flatnonzero(dealt & ~later)
+            if len(opened):
+                start = base[segment[opened]] + shift[opened]
                 digest = tb.span_hashes(data, start, start + length).view(np.int64)
-                for cut_at in range(0, len(dealt), 50_000):
-                    d = dealt[cut_at : cut_at + 50_000]
-                    yield _batch(text[segment[d]], at[d] << 32 | 1, np.ones(len(d), bool), digest[cut_at : cut_at + 50_000], np.ones(len(d), bool))
+                for cut_at in range(0, len(opened), 50_000):
+                    d = opened[cut_at : cut_at + 50_000]
+                    yield _batch(text[segment[d]], at[d] << 32 | 1, np.ones(len(d), bool), repeated[d], digest[cut_at : cut_at + 50_000], np.ones(len(d), bool))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -216,8 +272,9 @@ def _compare(length: int):
     return run
 
 
-def _batch(text, at, first, window, opened) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(text, pa.int64()), pa.array(at, pa.int64()), pa.array(first, pa.bool_()), pa.array(window, pa.int64()), pa.array(opened, pa.bool_())], ["text", "at", "first", "window", "opened"])
+def _batch(text, at, first, again, window, opened) -> pa.RecordBatch:
+    columns = zip((text, at, first, again, window, opened), (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["text", "at", "first", "again", "window", "opened"])
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -232,8 +289,11 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     several = F.col("several")
     size = F.col("least.at").bitwiseAND(0xFFFFFFFF) + length - 1
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("tied") & ~several).alias("tied"), F.sum(size).alias("bytes"))
-    whole = runs.join(kinds.where(several).select("anchor", "run", "least"), ["anchor", "run"]).select("text", "at", (place == F.col("least")).alias("first"))
     mixed = anchors.where("kinds > 1 OR tied").select("anchor", F.ceil(F.col("bytes") / PART_BYTES).cast("long").alias("parts"))
+    # of a run that occurs twice all but the first occurrence are copies; the first one is too if its windows lie earlier in another run
+    twice = kinds.where(several).select("anchor", "run", "least").join(mixed.select("anchor", F.lit(True).alias("mixed")), "anchor", "left")
+    is_least = place == F.col("least")
+    whole = runs.join(twice, ["anchor", "run"]).where(~(is_least & F.col("mixed").isNotNull())).select("text", "at", is_least.alias("first"))
     wanted = kinds.join(mixed, "anchor").select("anchor", "parts", F.col("least.text").alias("digest"), F.col("least.at").alias("at"), several.alias("whole"))
     # one text may hold many runs; they travel with it in one row for each text
     by_text = wanted.groupBy("digest").agg(F.collect_list(F.struct("anchor", "parts", "at", "whole")).alias("runs"))
@@ -259,10 +319,10 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = single.mapInArrow(slices, "anchor long, part long, parts long, text long, place long, whole boolean, bytes binary")
     # copies of a text bring the same slice again
     grouped = cut.withColumn("group", F.xxhash64("anchor", "part")).repartition(2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "text", "place")
-    compared = checkpointed(grouped.select("group", "parts", "text", "place", "whole", "bytes").mapInArrow(_compare_once(length), "text long, at long, first boolean, window long, opened boolean"))
+    compared = checkpointed(grouped.select("group", "parts", "text", "place", "whole", "bytes").mapInArrow(_compare_once(length), "text long, at long, first boolean, again boolean, window long, opened boolean"))
     spans = compared.where("NOT opened").select("text", "at", "first")
-    opened = compared.where("opened").select("text", "at", "window")
-    met = opened.groupBy("window").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("window", "least")
+    opened = compared.where("opened").select("text", "at", "again", "window")
+    met = opened.groupBy("window").agg(F.min(place).alias("least"), (F.max("again") | (F.min(place) != F.max(place))).alias("again")).where("again").select("window", "least")
     again = opened.join(met, "window").select("text", "at", (place == F.col("least")).alias("first"))
     return whole.unionByName(spans).unionByName(again)
 

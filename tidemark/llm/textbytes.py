@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP = 1 << 12
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,24 +89,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) from two short tables, made for the call: nothing stays in the worker."""
+    low = np.full(min(n, _STEP), base, np.uint64)
+    low[:1] = 1
+    low = np.cumprod(low)
+    high = np.full(-(-n // _STEP), pow(base, _STEP, 1 << 64), np.uint64)
+    high[:1] = 1
+    return np.multiply.outer(np.cumprod(high), low).ravel()[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
     n = len(data)
-    powers, inverses = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverses[:n], out=sums[1:])
-    with np.errstate(over="ignore"):
-        raw = (sums[ends] - sums[starts]) * powers[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    terms = _powers(_INVERSE, n)
+    terms *= data.astype(np.uint64) + np.uint64(1)
+    np.cumsum(terms, out=sums[1:])
+    del terms
+    raw = sums[ends] - sums[starts]
+    raw *= _powers(_MULTIPLIER, n + 1)[starts]
+    raw += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(raw)
 
 
