@@ -339,19 +339,80 @@ def test_labelled_sample_passes_over_long_texts(spark):
     texts, y, _ = labelled.labelled_sample(long, labels, "toxic", 100, 4000, long_bytes=1000)
     assert sorted(y) == [0, 1] and sorted(map(len, texts.to_pylist())) == sorted(5000 + min(k for k in learnt if (k % 10 == 3) == c) for c in (False, True))
     model = toxicity.fit(docs.unionByName(frame(spark, [(1003, "x" * (13 << 20))])), labels.unionByName(frame(spark, [(1003, 1)], "doc_id long, toxic int")))
-    assert len(model.words)
+    assert model.slope and len(model.classes) == 2
+
+
+def _split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _hash(*words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return toxicity.tb.words(data, np.array([0, len(data)]))[0]
 
 
 def test_shared_counts_are_exact(spark, monkeypatch):
     docs = documents(spark)
-    text = lambda t: {w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))}
-    want = Counter(w for _, t in docs for w in text(t))
-    for most in (1 << 21, 50):  # 50: a task passes its counts on many times
-        monkeypatch.setattr(toxicity, "MERGED_WORDS", most)
-        got = toxicity.word_documents(frame(spark, docs)).collect()
-        assert sorted(r.n for r in got) == sorted(want.values())
-    shared = toxicity.shared_counts(frame(spark, docs), np.array([1, 2], np.uint64))
-    assert (shared.total, shared.kinds, len(shared.words)) == (sum(want.values()), len(want), 0)
+    before = {}
+    for own in map(_split, (t for _, t in docs)):
+        for k, w in enumerate(own):
+            before.setdefault(w, set()).add(own[k - 1] if k else None)
+    words = [w for w in before if len(w) > 2][::7]
+    for most in (1 << 20, 50):  # 50: a task passes its pairs on many times
+        monkeypatch.setattr(toxicity, "MERGED_PAIRS", most)
+        shared = toxicity.shared_counts(frame(spark, docs), _hash(*words, "neverseen"))
+        got = dict(zip(shared.words.tolist(), shared.contexts.tolist()))
+        assert [got[int(h)] for h in _hash(*words)] == [len(before[w]) for w in words] and got[int(_hash("neverseen")[0])] == 0
+
+
+def _plain_kneser_ney(texts, added, shared, order):
+    """Log-probability of a text's words under an interpolated Kneser-Ney model, in plain Python."""
+    pairs = Counter((own[k - 1] if k else None, w) for own in texts for k, w in enumerate(own))
+    follows = Counter(w for _, w in pairs)
+
+    def off(counts):
+        n = [sum(c == k for c in counts) for k in (0, 1, 2, 3, 4)]
+        if not all(n[1:]):
+            return lambda c: min(c, 1) * 0.75
+        y = n[1] / (n[1] + 2 * n[2])
+        return lambda c: [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]][min(c, 3)]
+
+    d1, d2 = off(follows.values()), off(pairs.values())
+    mass, freed = sum(follows.values()), sum(d1(c) for c in follows.values())
+    total = sum(shared.values()) + added * (len(shared) + 1)
+
+    def p(v, w):
+        low = (follows[w] - d1(follows[w]) + freed * (shared.get(w, 0) + added) / total) / mass
+        seen = {x: c for (u, x), c in pairs.items() if u == v}
+        if order == 1 or not seen:
+            return low
+        return (pairs[v, w] - d2(pairs[v, w]) + sum(d2(c) for c in seen.values()) * low) / sum(seen.values())
+
+    return lambda own: [np.log(p(own[k - 1] if k else None, w)) for k, w in enumerate(own)]
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join(rng.choices(words[: 25 - 5 * (k % 2)], range(1, 26 - 5 * (k % 2)), k=rng.randrange(1, 40))) for k in range(30)]
+    toxic = [k % 2 for k in range(30)]
+    unlabelled = [" ".join(rng.choices([*words, "more", "words"], k=30)) for _ in range(10)]
+    hashes = [_hash(*_split(t)) for t in texts]
+    counts = np.array([len(h) for h in hashes])
+    corpus = [_split(t) for t in texts + unlabelled]
+    before = {}
+    for own in corpus:
+        for k, w in enumerate(own):
+            before.setdefault(w, set()).add(own[k - 1] if k else None)
+    counted = toxicity.shared_counts(frame(spark, list(enumerate(texts + unlabelled))), np.concatenate(hashes))
+    shared = {w: len(before[w]) for own in map(_split, texts) for w in own}
+    model = toxicity.ClassModels.fit(np.concatenate(hashes), counts, np.array(toxic), counted)
+    for order in (1, 2):
+        plain = [_plain_kneser_ney([_split(t) for t, y in zip(texts, toxic) if y == c], 30.0, shared, order) for c in (0, 1)]
+        for text in (texts[0], texts[1], "w3 unseen w4 w4"):
+            own = _split(text)
+            want = sum(b - a for a, b in zip(plain[0](own), plain[1](own))) / len(own)
+            assert np.isclose(model.evidence(_hash(*own), np.array([len(own)]), ((order, 30.0, 0.0),))[0, 0], want)
 
 
 # 10 ------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from tidemark.llm.shared import stored
 
 #: Rows of each class, and bytes of text in all, that a classifier is fitted on at most.
 MAX_ROWS = 2000
-MAX_BYTES = 12 << 20
+MAX_BYTES = 8 << 20
 #: Longer texts are drawn after all others of their class, the shortest first.
 LONG_BYTES = 128 << 10
 

@@ -1,25 +1,30 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Each class has an interpolated model whose counts are Kneser-Ney continuation counts: the
-number of different contexts an n-gram occurs in, here documents, so that an n-gram
-repeated within a text counts once. Discounted bigram counts back off to discounted word
-counts of the class, and those to one distribution that both classes share, taken from
-every document of the corpus. A rare expression thus has the shared probability under both
-classes and says nothing; a count added to every shared one keeps words that only a few
-documents hold from weighing too much. The two length-normalised log-likelihoods are compared through a
-logistic curve. Word by word, a difference within ``margin`` counts as none: topics and
-languages are not equally frequent in the classes, and over hundreds of common words that
-would outweigh the few telling ones.
-
-Order, discount, added count and margin are those with the least loss on texts the models have not seen
-(two folds). The class models are fitted on a bounded sample of labelled rows
-(``labelled.MAX_ROWS`` and ``MAX_BYTES``), so what is broadcast is bounded by that sample;
-the curve's offset is set to the class shares of all labelled rows that are not held out.
-The shared counts are exact, over every word of every document: tasks count, a grouping adds
-up, and the counts of the sample's words are looked up in the result. Scoring is a scan.
-
-Null and empty texts have no evidence and score the calibrated base. Without rows of both
-classes every text scores 0.
+Each class has an interpolated bigram model. Its lower order is made of continuation counts:
+the number of different words that a word follows in the class. Discounts for n-grams seen
+once, twice, and more often come from the counts of counts of the class. Bigrams back off to
+the continuation distribution of the class, and that to one distribution that both classes
+share: the continuation counts of the words over every document of the corpus. A rare
+expression thus has the shared probability under both classes and says nothing. The two
+length-normalised log-likelihoods are compared through a logistic curve.
+
+Three things are chosen by the loss on texts that the models have not seen (two folds of the
+labelled rows that are not held out): whether the bigrams take part or the continuation order
+alone, a count added to every shared one, and a margin within which a word's difference counts
+as none. The margin is needed because topics and languages are not equally frequent in the
+classes, and over hundreds of common words that would outweigh the few telling ones.
+
+The class models are fitted on a bounded sample of labelled rows (``labelled.MAX_ROWS`` and
+``MAX_BYTES``), so what is broadcast is bounded by that sample; the curve's offset is set to
+the class shares of all labelled rows that are not held out. The shared counts are exact up to
+collisions of 40 bits: each task passes on the distinct pairs (word of the sample, word before
+it) of its texts, a shuffle by pair makes them distinct in the corpus, and a grouping counts
+them by word. A frequent word's pairs are spread over all tasks. Scoring is a scan.
+
+Null and empty texts have no evidence and score the calibrated base; without rows of both
+classes every text scores 0. Rows are scored one by one, whatever their ids: repeated rows
+score alike, ties have no meaning. A very long text is one chunk of its own, never cut. Other
+columns stay as they are; one named like the score is replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -35,20 +40,20 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.labelled import MAX_BYTES, MAX_ROWS, held_out, labelled_sample
-from tidemark.llm.shared import stored
 
-#: Words that a task counts before it passes its counts on; no word is dropped.
-MERGED_WORDS = 1 << 21
-#: Tried on held-out texts: bigrams or words only, the count taken off every n-gram, the count added to every shared one, the margin.
-SETTINGS = tuple((order, discount, added, margin) for order in (1, 2) for discount in (1.0, 2.0, 5.0) for added in (1.0, 30.0, 300.0) for margin in (0.0, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0))
+#: Pairs that a task makes distinct before it passes them on; no pair is dropped.
+MERGED_PAIRS = 1 << 20
+#: Tried on texts the models have not seen: order, count added to every shared one, margin.
+SETTINGS = tuple((order, added, margin) for order in (1, 2) for added in (1.0, 30.0) for margin in (0.0, 1.0, 2.0, 3.0))
 _START = np.uint64(0x5BF03635)
+_CONTEXT_BITS = 40
 
 
 def _previous(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The word before each word; at the start of a text a mark of its own."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    before[first] = _START
+    before[(np.cumsum(counts) - counts)[counts > 0]] = _START
     return before
 
 
@@ -64,79 +69,109 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return slot, keys[slot] == wanted
 
 
+def _of(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    slot, known = _find(keys, wanted)
+    return np.where(known, values[slot], 0)
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off an n-gram seen 0, 1, 2, or 3 and more times, by the counts of counts."""
+    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
+    if not min(n1, n2, n3, n4):
+        return np.array([0.0, 0.75, 0.75, 0.75])
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.0, [0.0, 1.0, 2.0, 3.0])
+
+
 @dataclass
 class SharedCounts:
-    """Documents that hold each word of a vocabulary, and the sums over all words of the corpus.
+    """In how many contexts of the corpus each word of a vocabulary stands.
 
-    Words beyond the vocabulary count 0 here: no class has seen them, so whatever is shared
+    Words beyond the vocabulary count 0: no class has seen them, so whatever is shared
     cancels between the classes.
     """
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    documents: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    total: int = 0
-    kinds: int = 0
+    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def probability(self, hashes: np.ndarray, added: float) -> np.ndarray:
-        slot, known = _find(self.words, hashes)
-        held = np.where(known, self.documents[slot], 0) if len(self.words) else np.zeros(len(hashes))
-        return (held + added) / (self.total + added * (self.kinds + 1))
+        return (_of(self.words, self.contexts, hashes) + added) / (float(self.contexts.sum()) + added * (len(self.words) + 1))
 
 
-def word_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): the hash of each word of the corpus, and how many documents hold it."""
+def shared_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> SharedCounts:
+    """Continuation counts over all documents of ``vocabulary``, the words of a bounded sample."""
+    words = np.unique(vocabulary)
+    if not len(words):
+        return SharedCounts()
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            kinds, slot = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return kinds, np.bincount(slot, np.concatenate([h[1] for h in held]), len(kinds)).astype(np.int64)
-
-        def passed_on() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
-
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column(0)):
                 hashes, _, _, counts = tb.words(data, offsets)
-                kinds, slot = np.unique(hashes, return_inverse=True)
-                # a word counts once a document
-                once = np.unique(slot * len(counts) + np.repeat(np.arange(len(counts)), counts)) // len(counts)
-                held.append((kinds, np.bincount(once, minlength=len(kinds))))
-                size += len(kinds)
-                if size > MERGED_WORDS:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > MERGED_WORDS // 2:
-                        yield passed_on()
+                slot, known = _find(shared.value, hashes)
+                context = (_previous(hashes, counts) >> np.uint64(64 - _CONTEXT_BITS)).astype(np.int64)
+                held.append(np.unique(slot[known] << _CONTEXT_BITS | context[known]))
+                size += len(held[-1])
+                if size > MERGED_PAIRS:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > MERGED_PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0])], ["pair"])
                         held, size = [], 0
         if held:
-            held = [merged()]
-            yield passed_on()
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["pair"])
 
-    return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # dealt out by pair first, so that what a task has made distinct already is not grouped again before the shuffle
+    distinct = docs.select(text_col).mapInArrow(pairs, "pair long").repartition("pair").distinct()
+    found = distinct.groupBy(F.shiftright("pair", _CONTEXT_BITS).cast("int").alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    shared.unpersist()
+    contexts = np.zeros(len(words), np.int64)
+    contexts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return SharedCounts(words, contexts)
 
 
-def shared_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> SharedCounts:
-    """Counts over all documents; only those of ``vocabulary``, the words of a bounded sample, come to the driver."""
-    counted = stored(word_documents(docs, text_col))
-    whole = counted.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
-    known = docs.sparkSession.createDataFrame(pa.table({"word": np.unique(vocabulary).view(np.int64)}))
-    found = counted.join(F.broadcast(known), "word").toArrow()
-    words, documents = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(words)
-    return SharedCounts(words[order], documents[order], whole.total or 0, whole.kinds)
-
-
-def _documents(keys: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct keys, in how many ordinary and toxic texts each is, and a place of each."""
-    kinds, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    inverse *= len(toxic)
-    inverse += text
-    inverse.sort()
-    once = inverse[np.append(True, inverse[1:] != inverse[:-1])[: len(inverse)]]
-    kind, mark = once // len(toxic), toxic[once % len(toxic)]
-    return kinds, [np.bincount(kind[mark == c], minlength=len(kinds)).astype(np.float32) for c in (0, 1)], first
+@dataclass
+class KneserNey:
+    """An interpolated bigram model of one class over the shared distribution."""
+
+    words: np.ndarray
+    kept: np.ndarray
+    freed: float
+    total: float
+    pairs: np.ndarray
+    pair_kept: np.ndarray
+    contexts: np.ndarray
+    context_total: np.ndarray
+    context_freed: np.ndarray
+
+    @classmethod
+    def fit(cls, hashes: np.ndarray, counts: np.ndarray) -> KneserNey:
+        before = _previous(hashes, counts)
+        pairs, first, times = np.unique(_pairs(before, hashes), return_index=True, return_counts=True)
+        off = discounts(times)[np.minimum(times, 3)]
+        contexts, slot = np.unique(before[first], return_inverse=True)
+        words, continuations = np.unique(hashes[first], return_counts=True)
+        word_off = discounts(continuations)[np.minimum(continuations, 3)]
+        return cls(words, continuations - word_off, float(word_off.sum()), float(continuations.sum()), pairs, times - off, contexts, np.bincount(slot, times, len(contexts)), np.bincount(slot, off, len(contexts)))
+
+    def without_pairs(self) -> KneserNey:
+        none = np.zeros(0)
+        return KneserNey(self.words, self.kept, self.freed, self.total, none.astype(np.uint64), none, none.astype(np.uint64), none, none)
+
+    def continuation(self, hashes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        return (_of(self.words, self.kept, hashes) + self.freed * shared) / max(1.0, self.total)
+
+    def probability(self, before: np.ndarray, pairs: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        slot, there = _find(self.contexts, before)
+        if not there.any():
+            return lower
+        total = np.where(there, self.context_total[slot], 1.0)
+        return np.where(there, (_of(self.pairs, self.pair_kept, pairs) + self.context_freed[slot] * lower) / total, lower)
 
 
 @dataclass
@@ -144,51 +179,29 @@ class ClassModels:
     """Models of the ordinary (0) and the toxic (1) class."""
 
     shared: SharedCounts = field(default_factory=SharedCounts)
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    word_counts: list[np.ndarray] = field(default_factory=list)
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    pair_counts: list[np.ndarray] = field(default_factory=list)
-    context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    setting: tuple[int, float, float, float] = (1, 5.0, 30.0, 2.0)
+    classes: tuple[KneserNey, ...] = ()
+    setting: tuple[int, float, float] = (1, 30.0, 2.0)
     slope: float = 0.0
     offset: float = -30.0
 
     @classmethod
     def fit(cls, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, shared: SharedCounts) -> ClassModels:
-        model = cls(shared)
-        text = np.repeat(np.arange(len(counts)), counts)
+        of_word = np.repeat(labels, counts)
+        return cls(shared, tuple(KneserNey.fit(hashes[of_word == c], counts[labels == c]) for c in (0, 1)))
+
+    def _ratios(self, hashes: np.ndarray, counts: np.ndarray, models: list[tuple[int, float]]) -> Iterator[np.ndarray]:
+        """Toxic minus ordinary log-probability of each word, for each (order, added)."""
         before = _previous(hashes, counts)
-        model.words, model.word_counts, _ = _documents(hashes, text, labels)
-        model.pairs, model.pair_counts, first = _documents(_pairs(before, hashes), text, labels)
-        # the start of a text is a context of its own, after the words
-        slot, known = _find(model.words, before[first])
-        model.context = np.where(known, slot, len(model.words)).astype(np.int32)
-        return model
-
-    def ratios(self, hashes: np.ndarray, counts: np.ndarray, settings: list[tuple[int, float, float]]) -> Iterator[np.ndarray]:
-        """Toxic minus ordinary log-probability of each word, for each (order, discount, added)."""
-        word, known = _find(self.words, hashes)
-        bases = {added: self.shared.probability(hashes, added) for added in dict.fromkeys(x[2] for x in settings)}
-        if any(order == 2 for order, _, _ in settings):
-            before = _previous(hashes, counts)
-            pair, has_pair = _find(self.pairs, _pairs(before, hashes))
-            slot, has_context = _find(self.words, before)
-            context = np.where(has_context, slot, len(self.words))
-        for order, discount, added in settings:
-            base, logs = bases[added], []
-            for c in (0, 1):
-                mass, kept = max(1.0, float(self.word_counts[c].sum())), np.maximum(self.word_counts[c] - discount, 0)
-                p = (np.where(known, kept[word], 0) + (mass - float(kept.sum())) * base) / mass
-                if order == 2:
-                    left = np.maximum(self.pair_counts[c] - discount, 0)
-                    total = np.bincount(self.context, self.pair_counts[c], len(self.words) + 1)
-                    freed = total - np.bincount(self.context, left, len(self.words) + 1)
-                    there = (has_context | (before == _START)) & (total[context] > 0)
-                    p = np.where(there, (np.where(has_pair, left[pair], 0) + freed[context] * p) / np.maximum(total[context], 1), p)
-                logs.append(np.log(np.maximum(p, 1e-30)))
+        pairs = _pairs(before, hashes) if any(order == 2 for order, _ in models) else None
+        for order, added in models:
+            logs = []
+            base = self.shared.probability(hashes, added)
+            for model in self.classes:
+                p = model.continuation(hashes, base)
+                logs.append(np.log(np.maximum(model.probability(before, pairs, p) if order == 2 else p, 1e-30)))
             yield logs[1] - logs[0]
 
-    def evidence(self, hashes: np.ndarray, counts: np.ndarray, settings: tuple[tuple[int, float, float, float], ...] = ()) -> np.ndarray:
+    def evidence(self, hashes: np.ndarray, counts: np.ndarray, settings: tuple[tuple[int, float, float], ...] = ()) -> np.ndarray:
         """Evidence a word for each text, 0 without words: one row for each setting, or the model's own alone."""
         wanted = settings or (self.setting,)
         if len(counts) > 200:
@@ -196,13 +209,12 @@ class ClassModels:
             cuts = np.arange(0, len(counts), 200)
             edges = np.append(np.concatenate([[0], np.cumsum(counts)])[cuts], len(hashes))
             return np.concatenate([self.evidence(hashes[edges[k] : edges[k + 1]], counts[cut : cut + 200], wanted) for k, cut in enumerate(cuts)], axis=1)
-        rows: dict = {}
-        if not len(self.words):
+        if not self.classes:
             return np.zeros((len(wanted), len(counts)))
-        models = list(dict.fromkeys(x[:3] for x in wanted))
-        for model, ratio in zip(models, self.ratios(hashes, counts, models)):
-            for setting in (x for x in wanted if x[:3] == model):
-                beyond = np.sign(ratio) * np.maximum(np.abs(ratio) - setting[3], 0)
+        models, rows = list(dict.fromkeys(x[:2] for x in wanted)), {}
+        for model, ratio in zip(models, self._ratios(hashes, counts, models)):
+            for setting in (x for x in wanted if x[:2] == model):
+                beyond = np.sign(ratio) * np.maximum(np.abs(ratio) - setting[2], 0)
                 rows[setting] = tb.segment_sums(beyond, counts) / np.maximum(counts, 1)
         return np.array([rows[x] for x in wanted])
 
@@ -251,8 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     model.setting = setting or model.setting
     model.slope, model.offset, _ = curve or _logistic(model.evidence(hashes, counts)[0], y)
     model.offset += shift
-    if model.setting[0] == 1:  # the bigrams were not worth their cost
-        model.pairs, model.pair_counts, model.context = model.pairs[:0], [], model.context[:0]
+    if model.setting[0] == 1:  # the bigrams were not worth their cost; the continuation counts come from them
+        model.classes = tuple(m.without_pairs() for m in model.classes)
     return model
 
 
