@@ -137,24 +137,65 @@ def test_lower_bound_and_best_fit():
 # 3 -------------------------------------------------------------------------------------------
 
 
+def _check_bins(packed):
+    for _, group in packed.sort_values("offset").groupby("sequence_id"):
+        assert list(group.offset) == [0, *group.length.cumsum()[:-1]] and group.length.sum() <= 2048
+
+
 def test_packing_of_clustered_lengths(spark):
-    # pieces of 1,100 and of 900 tokens in partitions of their own pair up over the whole table
+    # pieces of 1,100 and of 900 tokens in partitions of their own: certified alone, yet they pair up over the whole table
     rows = [(k, 1100 if k < 600 else 900) for k in range(1200)]
     pieces = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, length long")
-    packed = packing.pack(pieces).toPandas()
-    assert packed.sequence_id.nunique() == 600 and len(packed) == 1200 and packed.doc_id.nunique() == 1200
-    for _, group in packed.sort_values("offset").groupby("sequence_id"):
-        assert list(group.offset) == [0, *group.length.cumsum()[:-1]] and group.length.sum() <= 2048
+    for fan in (2, 16):
+        packed, certificates = packing.pack_certified(pieces, fan=fan)
+        packed = packed.toPandas()
+        assert packed.sequence_id.nunique() == 600 and len(packed) == 1200 and packed.doc_id.nunique() == 1200
+        _check_bins(packed)
+        total = certificates.where("level = -1").first()
+        assert (total.bins, total.bound) == (600, 600)
+        alone = certificates.where("level = 0").collect()
+        assert len(alone) == 12 and all(r.bins == r.bound and r.closed == 0 for r in alone)
+    # short pieces of a certified partition belong into the bins of another
+    rows = [(k, 1500) for k in range(300)] + [(k, 256) for k in range(300, 900)]
+    pieces = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, length long")
+    assert packing.pack_certified(pieces)[1].where("level = -1").first().bins == 300
+
+
+def test_packing_rounds_stay_near_one_run_over_all(spark):
+    rng = np.random.default_rng(5)
+    for low, high in ((1, 2048), (600, 1000), (1, 90)):
+        lengths = rng.integers(low, high, 4000)
+        pieces = spark.createDataFrame(spark.sparkContext.parallelize([(int(k), int(x)) for k, x in enumerate(lengths)], 9), "doc_id long, length long").withColumns({"offset": F.lit("clash"), "part": F.lit(1), "level": F.lit(2)})
+        packed, certificates = packing.pack_certified(pieces, fan=3)
+        packed = packed.toPandas()
+        _check_bins(packed)
+        assert sorted(packed.doc_id) == list(range(4000)) and (packed.sort_values("doc_id").length.to_numpy() == lengths).all()
+        total = certificates.where("level = -1").first()
+        assert total.bins == packed.sequence_id.nunique() and total.bound == packing.lower_bound(lengths)
+        assert total.bins <= len(packing.best_fit_decreasing(lengths)[1])
+        assert all(r.bins >= r.bound for r in certificates.collect())
+
+
+def test_pieces_equal_those_of_a_plain_tokenizer(spark):
+    rows = documents(spark)[:60] + [(9001, None), (9002, ""), (9003, "word " * 5000), (9004, "中文 text " * 900)]
+    plain = tokens.tokenizer(packing.default_tokenizer()).tokenizer
+    want = []
+    for i, text in rows:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
+        cuts = [0, *range(len(ids) % 2048 or min(2048, len(ids)), len(ids) + 1, 2048)]
+        cuts = cuts if cuts[-1] == len(ids) else [*cuts, len(ids)]
+        want += [(i, k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted(tuple(r) for r in packing.cut(frame(spark, rows), packing.default_tokenizer()).collect()) == sorted(want)
 
 
 def test_plan_is_best_fit_decreasing_of_all_lengths():
     rng = np.random.default_rng(1)
     for high in (40, 300, 2049):
         lengths = rng.integers(1, high, 3000)
-        segments, bins = packing.plan(np.bincount(lengths, minlength=2049))
+        segments, bins, _ = packing.plan(np.bincount(lengths, minlength=2049))
         assert bins == len(packing.best_fit_decreasing(lengths)[1])
         assert sum(x[2] for x in segments) == len(lengths)
-    assert packing.plan(np.zeros(2049, np.int64)) == ([], 0)
+    assert packing.plan(np.zeros(2049, np.int64)) == ([], 0, [])
     # the cost is that of the lengths, not of the pieces
     assert packing.plan(np.full(2049, 10**9) * (np.arange(2049) > 0))[1] == 2049 * 10**9 // 2
 

@@ -1,22 +1,35 @@
-"""Best-fit packing of all pieces at once, from their length histogram.
-
-Pieces of one length are exchangeable, so best-fit decreasing over the whole table needs only
-how many pieces each of the lengths has. The driver packs that histogram: bins with
-the same content are one group, and a length that goes into a group is one segment of the
-plan, however many pieces it stands for. The plan is broadcast; a piece finds its sequence and
-offset by its rank among the pieces of its length. The bins are those of one best-fit
-decreasing run over all lengths, wherever the pieces lie; ``lower_bound`` of all lengths
-tells how far they can be from the least number.
-
-Ranks are counted within partitions and moved up by the counts of the partitions before, which
-are summed in a window of one row for each length and partition. Only ids, lengths and checksums
-are written, never tokens or texts. A source or id that holds many rows changes nothing.
-
-A null text is empty and makes one token, the separator. Repeated rows are packed each.
+"""Best-fit packing with certified bin counts, partition by partition.
+
+Pieces of one length are exchangeable, so whatever is decided about a partition is decided on
+its length histogram (at most 2,048 counts), however many pieces it holds:
+
+1. Each partition is packed by best-fit decreasing. Dual-feasible functions of its lengths prove
+   a lower bound; a count that meets it is certified.
+2. If the counts of all partitions together meet the bound of all lengths, nothing can be saved
+   and all bins close. Otherwise a partition that is certified by its mere number of tokens closes
+   its full bins, and its fullest others as long as they leave no more than 1/32 of a bin. A
+   certificate by longer pieces closes nothing, as shorter pieces of other partitions may fill
+   those bins; nor does a partition with a gap between count and bound.
+3. What does not close is exchanged: ``FAN`` partitions at a time pool the rest of their
+   histograms, and best-fit decreasing runs again on the pool, under a bound of its own. After
+   log(partitions) rounds one pool is left, and closes.
+4. If the result misses the bound of all lengths, certified partitions may hold what others lack:
+   the rounds run again with all pieces exchanged, and the smaller number of bins is taken.
+
+A round groups histogram rows, never pieces, and no group holds more than one row for each
+length and partition that it pools. A piece finds its place by its rank among the pieces of its length: the
+ranks that each round places are carried back to the partitions as intervals, and one join
+on (partition, length) ends it. Only ids, lengths and checksums are written, never tokens or
+texts. A source or id that holds many rows changes nothing.
+
+A null text is empty and makes one token, the separator. Repeated rows and null ids are packed
+each; of pieces of equal length any may come first. Other columns are carried along, ones named
+like the results replaced. A very long text is encoded as one chunk and cut. Empty tables give none.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +44,8 @@ from tidemark.llm.shared import checkpointed, stored
 from tidemark.llm.tokens import encode_column
 
 LENGTH = 2048
+#: Partitions, or pools, that exchange pieces in one round.
+FAN = 16
 
 
 def default_tokenizer() -> str:
@@ -41,9 +56,13 @@ def default_tokenizer() -> str:
 
 def lower_bound(lengths: np.ndarray, capacity: int = LENGTH) -> int:
     """The largest number of bins that dual-feasible functions prove necessary."""
-    if not len(lengths):
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def histogram_bound(count: np.ndarray, capacity: int = LENGTH) -> int:
+    """``lower_bound`` of ``count[x]`` pieces of each length x."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     many, total = np.cumsum(count), np.cumsum(count * size)
     best = -(-int(total[-1]) // capacity)
@@ -111,13 +130,17 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(pieces, schema)
 
 
-def plan(count: np.ndarray, capacity: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """(segments, bins) of best-fit decreasing over ``count[x]`` pieces of each length x.
+Segment = tuple[int, int, int, int, int, int]
+
+
+def plan(count: np.ndarray, capacity: int = LENGTH) -> tuple[list[Segment], int, list[tuple[int, int, int]]]:
+    """(segments, bins, bins with room) of best-fit decreasing over ``count[x]`` pieces of each length x.
 
     A segment (length, first rank, pieces, first bin, pieces a bin, offset) lays pieces of
-    consecutive ranks into consecutive bins, so many in each.
+    consecutive ranks into consecutive bins, so many in each. Bins with room come as
+    (first bin, end bin, room); all others are full.
     """
-    segments: list[tuple[int, int, int, int, int, int]] = []
+    segments: list[Segment] = []
     by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first bin, bins) of each room
     open_rooms, n_bins = 0, 0
 
@@ -150,7 +173,53 @@ def plan(count: np.ndarray, capacity: int = LENGTH) -> tuple[list[tuple[int, int
             put(room, (first + used, bins - used))
             rank += whole * each + rest
             left -= whole * each + rest
-    return segments, n_bins
+    return segments, n_bins, [(first, first + bins, room) for room, groups in enumerate(by_room) for first, bins in groups]
+
+
+def _stay_open(count: np.ndarray, bins: int, bound: int, with_room: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
+    """Ranges of bins that do not close: all, or those with room but for the fullest of a group that is certified by its tokens."""
+    tokens = int((count * np.arange(capacity + 1)).sum())
+    if not bins == bound == -(-tokens // capacity):
+        return [(0, bins)] if bins else []
+    spare, left = capacity // 32, []
+    for first, end, room in sorted(with_room, key=lambda x: x[2]):
+        closes = min(end - first, spare // room)
+        spare -= closes * room
+        if closes < end - first:
+            spare = 0
+            left.append((first + closes, end))
+    return sorted(left)
+
+
+def _closed(segments: list[Segment], open_bins: list[tuple[int, int]], capacity: int) -> tuple[list[Segment], np.ndarray]:
+    """(segments in closed bins, ranked anew from 0 within each length; how many pieces of each length they hold)."""
+    closed: list[Segment] = []
+    held = np.zeros(capacity + 1, np.int64)
+    edges = [first for first, _ in open_bins]
+    for size, _, pieces, first, each, offset in segments:
+        end, at = first - (-pieces // each), first
+        k = max(0, bisect.bisect_right(edges, first) - 1)
+        while at < end:
+            while k < len(open_bins) and open_bins[k][1] <= at:
+                k += 1
+            low, high = open_bins[k] if k < len(open_bins) else (end, end)
+            if low > at:
+                stop = min(low, end)
+                n = min(pieces - (at - first) * each, (stop - at) * each)
+                closed.append((size, int(held[size]), n, at, each, offset))
+                held[size] += n
+                at = stop
+            else:
+                at = min(high, end)
+    return closed, held
+
+
+def pack_group(count: np.ndarray, capacity: int = LENGTH, closes: str = "certified") -> tuple[list[Segment], np.ndarray, int, int, int]:
+    """(closed segments, pieces of each length they hold, bins, bound, closed bins) of one histogram; all bins close, none, or those of a certified group."""
+    segments, bins, with_room = plan(count, capacity)
+    bound = histogram_bound(count, capacity)
+    open_bins = _stay_open(count, bins, bound, with_room, capacity) if closes == "certified" else [] if closes == "all" else [(0, bins)]
+    return *_closed(segments, open_bins, capacity), bins, bound, bins - sum(end - first for first, end in open_bins)
 
 
 def _ranked(pieces: DataFrame, names: list[str], length: int) -> DataFrame:
@@ -173,45 +242,91 @@ def _ranked(pieces: DataFrame, names: list[str], length: int) -> DataFrame:
     return pieces.select(*names).mapInArrow(rank, schema)
 
 
-def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``pieces`` with sequence_id and offset: rows of a sequence fill it from 0 without gaps.
-
-    ``pieces`` needs a column ``length``, from 1 to the argument's value.
+def _round(level: DataFrame, number: int, closes: str, length: int) -> DataFrame:
+    """Rows of one round over (group, length, n): closed segments, closed counts of each length, and each group's certificate."""
+    schema = "kind string, level int, group long, length long, rank long, n long, bin long, each long, offset long"
+
+    def fit(table: pa.Table) -> pa.Table:
+        count = np.zeros(length + 1, np.int64)
+        np.add.at(count, table["length"].to_numpy(), table["n"].to_numpy())
+        group = table["group"][0].as_py()
+        segments, held, bins, bound, closed = pack_group(count, length, closes)
+        rows = [("segment", size, rank, n, first, each, offset) for size, rank, n, first, each, offset in segments]
+        rows += [("held", int(size), int(held[size]), int(count[size] - held[size]), 0, 0, 0) for size in np.flatnonzero(count)]
+        rows.append(("certificate", 0, bound, bins, closed, 0, 0))
+        kind, *numbers = zip(*rows)
+        names = ("length", "rank", "n", "bin", "each", "offset")
+        return pa.table({"kind": pa.array(kind, pa.string()), "level": pa.array([number] * len(rows), pa.int32()), "group": pa.array([group] * len(rows), pa.int64()), **{c: pa.array(x, pa.int64()) for c, x in zip(names, numbers)}})
+
+    return stored(level.groupBy("group").applyInArrow(fit, schema))
+
+
+def _rounds(counts: DataFrame, groups: int, bound: int, closes: str, length: int, fan: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows of all rounds, intervals of ranks that each places, bins) for (part, length, n)."""
+    # pieces of a partition that reach a group: their first rank in the group, how many, how many of the partition were placed before
+    held = counts.select("part", "length", F.col("part").alias("group"), F.lit(0).cast("long").alias("at"), "n", F.lit(0).cast("long").alias("before"))
+    level = counts.select(F.col("part").alias("group"), "length", "n")
+    whole, spots, closed, number = None, None, 0, 0
+    while True:
+        last = groups <= 1
+        made = _round(level, number, "all" if last else closes, length)
+        sums = made.where("kind = 'certificate'").agg(F.sum("n").alias("bins"), F.sum("bin").alias("closed")).first()
+        if not last and closed + (sums.bins or 0) == bound:
+            last, made = True, _round(level, number, "all", length)  # nothing can be saved anywhere
+        closed += (sums.bins if last else sums.closed) or 0
+        here = held.join(made.where("kind = 'held'").select("group", "length", F.col("rank").alias("placed")), ["group", "length"])
+        fits = F.least(F.greatest(F.col("placed") - F.col("at"), F.lit(0)), F.col("n"))
+        spots_here = here.select("part", "length", F.lit(number).alias("level"), "group", "at", fits.alias("n"), "before").where("n > 0")
+        whole, spots = (made, spots_here) if whole is None else (whole.unionByName(made), spots.unionByName(spots_here))
+        if last:
+            return whole, spots, closed
+        passed = made.where("kind = 'held' AND n > 0")
+        order = Window.partitionBy("parent", "length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+        moved = stored(passed.withColumn("parent", F.floor(F.col("group") / fan).cast("long")).select("group", "parent", "length", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).cast("long").alias("start")))
+        level = moved.groupBy(F.col("parent").alias("group"), "length").agg(F.sum("n").alias("n"))
+        rest = here.withColumn("fits", fits).where("n > fits").select("part", "length", "group", (F.greatest("at", "placed") - F.col("placed")).alias("over"), (F.col("n") - F.col("fits")).alias("n"), (F.col("before") + F.col("fits")).alias("before"))
+        held = stored(rest.join(moved.select("group", "length", "parent", "start"), ["group", "length"]).select("part", "length", F.col("parent").alias("group"), (F.col("start") + F.col("over")).alias("at"), "n", "before"))
+        groups, number = -(-groups // fan), number + 1
+
+
+def pack_certified(pieces: DataFrame, length: int = LENGTH, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(``pieces`` with sequence_id and offset; certificates): rows of a sequence fill it from 0 without gaps.
+
+    ``pieces`` needs a column ``length``, from 1 to the argument's value. A certificate is a row
+    (level, group, bins, closed, bound) of a partition or pool, ``closed`` being the bins that it
+    keeps; level -1 has those of the result and the bound of all lengths.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    at = names.index("length")
     ranked = stored(_ranked(pieces, names, length))
-    counts = stored(ranked.groupBy("_td_part", "length").agg(F.count("*").alias("_td_n")))
+    counts = stored(ranked.groupBy(F.col("_td_part").alias("part"), "length").agg(F.count("*").alias("n")))
     count = np.zeros(length + 1, np.int64)
-    for row in counts.groupBy("length").agg(F.sum("_td_n").alias("n")).collect():
+    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         count[row["length"]] = row["n"]
-    segments, _ = plan(count, length)
-    table = np.array(segments, np.int64).reshape(-1, 6)
-    shared = pieces.sparkSession.sparkContext.broadcast(table)
-    before = F.sum("_td_n").over(Window.partitionBy("length").orderBy("_td_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_td_part", "length", F.coalesce(before, F.lit(0)).alias("_td_start"))
-    placed = ranked.join(starts, ["_td_part", "length"]).select(*names, (F.col("_td_rank") + F.col("_td_start")).alias("_td_rank"))
-    schema = T.StructType([*[pieces.schema[c] for c in names], *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # segments run by falling length, then by rising rank
-        size, rank, _, first, each, offset = shared.value.T
-        begin = np.searchsorted(-size, -np.arange(length + 1), "left")
-        stop = np.searchsorted(-size, -np.arange(length + 1), "right")
-        for batch in batches:
-            lengths = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            ranks = batch.column(len(names)).to_numpy().astype(np.int64)
-            low, high = begin[lengths], stop[lengths]
-            while (high - low > 1).any():
-                middle = (low + high) // 2
-                after = rank[middle] <= ranks
-                wide = high - low > 1
-                low, high = np.where(wide & after, middle, low), np.where(wide & ~after, middle, high)
-            k = ranks - rank[low]
-            sequence = first[low] + k // each[low]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset[low] + k % each[low] * lengths)], schema.names)
-
-    return placed.mapInArrow(place, schema)
+    bound, groups = histogram_bound(count, length), (counts.agg(F.max("part")).first()[0] or 0) + 1
+    whole, spots, bins = _rounds(counts, groups, bound, "certified", length, fan)
+    if bins > bound and groups > 1:
+        again = _rounds(counts, groups, bound, "none", length, fan)
+        whole, spots, bins = min((whole, spots, bins), again, key=lambda x: x[2])
+    segments = whole.where("kind = 'segment'").select("level", "group", "length", F.col("rank").alias("s_rank"), F.col("n").alias("s_n"), "bin", "each", F.col("offset").alias("s_offset"))
+    # the part of a segment that a partition's interval covers, by ranks of the partition
+    start, stop = F.greatest("at", "s_rank"), F.least(F.col("at") + F.col("n"), F.col("s_rank") + F.col("s_n"))
+    covered = spots.join(segments, ["level", "group", "length"]).where(start < stop)
+    sequence = F.shiftleft(F.col("level").cast("long"), 57) + F.shiftleft(F.col("group"), 36) + F.col("bin")
+    placed = covered.select("part", "length", F.struct((F.col("before") + start - F.col("at")).alias("rank"), (stop - start).alias("n"), (start - F.col("s_rank")).alias("skip"), sequence.alias("bin"), "each", F.col("s_offset").alias("offset")).alias("spot"))
+    spots_of = placed.groupBy(F.col("part").alias("_td_part"), "length").agg(F.collect_list("spot").alias("_td_spots"))
+    rank = F.col("_td_rank")
+    spot = F.get(F.filter("_td_spots", lambda x: (x["rank"] <= rank) & (rank < x["rank"] + x["n"])), F.lit(0))
+    found = ranked.join(spots_of, ["_td_part", "length"]).select(*names, "_td_rank", spot.alias("_td_spot"))
+    nth = F.col("_td_rank") - F.col("_td_spot.rank") + F.col("_td_spot.skip")
+    packed = found.select(*names, (F.col("_td_spot.bin") + F.floor(nth / F.col("_td_spot.each"))).cast("long").alias("sequence_id"), (F.col("_td_spot.offset") + nth % F.col("_td_spot.each") * F.col("length")).cast("long").alias("offset"))
+    certificates = whole.where("kind = 'certificate'").select("level", "group", F.col("n").alias("bins"), F.col("bin").alias("closed"), F.col("rank").alias("bound"))
+    total = counts.sparkSession.range(1).select(F.lit(-1).alias("level"), F.lit(None).cast("long").alias("group"), F.lit(bins).cast("long").alias("bins"), F.lit(bins).cast("long").alias("closed"), F.lit(bound).cast("long").alias("bound"))
+    return packed, certificates.unionByName(total)
+
+
+def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``pieces`` with sequence_id and offset, as ``pack_certified`` gives them."""
+    return pack_certified(pieces, length)[0]
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
