@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import mapped, stored
 
 SAMPLE_EVERY = 8
 #: Bytes of benchmark texts whose windows the driver and each worker hold at once, about.
@@ -297,7 +297,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
                         columns = [ids, batch.column(1)[row:end], found, pa.array(runs, pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        return frame.mapInArrow(judge, schema)
+        return mapped(frame, judge, schema)
 
     frame = docs.select(id_col, F.col(text_col).alias("text"))
     blocks = _n_blocks(benchmark, item_text_col, block_bytes)
@@ -381,7 +381,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
                         offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([_replaced(c, changed) if k == at else c for k, c in enumerate(batch.columns)], names)
 
-        return frame.mapInArrow(clean, frame.schema)
+        return mapped(frame, clean, frame.schema)
 
     def marked(frame: DataFrame, shared, first: bool, last: bool) -> DataFrame:
         """With the runs of hit words so far; the last block cuts them and says which rows it changed."""
@@ -406,7 +406,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
                 added = pa.array([k in changed for k in range(batch.num_rows)], pa.bool_()) if last else pa.array(runs, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*columns, added], schema.names)
 
-        return frame.mapInArrow(mark, schema)
+        return mapped(frame, mark, schema)
 
     context = docs.sparkSession.sparkContext
     blocks = _n_blocks(benchmark, item_text_col, block_bytes)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.graph import components
-from tidemark.llm.shared import checkpointed
+from tidemark.llm.shared import checkpointed, mapped
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                     packed[k] = line.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], batch.column(1)[row:end], pa.array(set_digests(data, offsets, shingles, counts)), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], schema.names)
 
-    return docs.select(id_col, _text_key(text_col).alias("text_key"), text_col).mapInArrow(sign, schema)
+    return mapped(docs.select(id_col, _text_key(text_col).alias("text_key"), text_col), sign, schema)
 
 
 def _place(id_: Column, text_key: Column) -> Column:
@@ -131,7 +131,7 @@ def _band_rows(classes: DataFrame, bands: int) -> DataFrame:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["key", "node"])
 
-    return classes.where("bands IS NOT NULL").select("node", "bands").mapInArrow(unpack, "key long, node long")
+    return mapped(classes.where("bands IS NOT NULL").select("node", "bands"), unpack, "key long, node long")
 
 
 def candidate_ties(classes: DataFrame, bands: int) -> DataFrame:
@@ -244,10 +244,10 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, th
                 if out:
                     yield _tile_batch(out)
 
-    tiles = texts.mapInArrow(spread, "component long, tile long, block long, node long, shingles binary")
+    tiles = mapped(texts, spread, "component long, tile long, block long, node long, shingles binary")
     # a random mix of component and tile names the task; rows of a tile then come together
     dealt = tiles.withColumn("tile", F.xxhash64("component", "tile")).drop("component").repartition(_partitions(docs.sparkSession), "tile").sortWithinPartitions("tile", "node")
-    return dealt.select("tile", "block", "node", "shingles").mapInArrow(_tile_results(Fraction(threshold).limit_denominator(1000)), "node long, links long, tie long")
+    return mapped(dealt.select("tile", "block", "node", "shingles"), _tile_results(Fraction(threshold).limit_denominator(1000)), "node long, links long, tie long")
 
 
 def _partitions(spark: SparkSession) -> int:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import checkpointed, stored
+from tidemark.llm.shared import checkpointed, mapped, stored
 from tidemark.llm.tokens import encode_column
 
 LENGTH = 2048
@@ -127,7 +127,7 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 rows, piece, start, size, crc = (np.array(x, np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc)], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(pieces, schema)
+    return mapped(docs.select(id_col, text_col), pieces, schema)
 
 
 Segment = tuple[int, int, int, int, int, int]
@@ -239,7 +239,7 @@ def _ranked(pieces: DataFrame, names: list[str], length: int) -> DataFrame:
             seen += counts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int64)), pa.array(ranks)], schema.names)
 
-    return pieces.select(*names).mapInArrow(rank, schema)
+    return mapped(pieces.select(*names), rank, schema)
 
 
 def _round(level: DataFrame, number: int, closes: str, length: int) -> DataFrame:

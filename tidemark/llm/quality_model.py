@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.labelled import MAX_BYTES, MAX_ROWS, held_out, labelled_sample
+from tidemark.llm.shared import mapped
 
 BITS = 19
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
@@ -104,7 +105,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 scores[row:end] = 1 / (1 + np.exp(-np.clip(total + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return mapped(docs, judge, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

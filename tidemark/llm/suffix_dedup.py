@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.shared import checkpointed, stored
+from tidemark.llm.shared import checkpointed, mapped, stored
 
 LENGTH = 400
 GRAM = 24
@@ -128,7 +128,7 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
                 text = batch.column(0)[row:end].to_numpy()[r["text"]]
                 yield pa.RecordBatch.from_arrays([pa.array(r["anchor"]), pa.array(r["digest"]), pa.array(text), pa.array(r["place"] << 32 | r["windows"]), pa.array(r["tied"].astype(bool))], ["anchor", "run", "text", "at", "tied"])
 
-    return texts.mapInArrow(find, "anchor long, run long, text long, at long, tied boolean")
+    return mapped(texts, find, "anchor long, run long, text long, at long, tied boolean")
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -316,10 +316,10 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             if out:
                 yield _slice_batch(out)
 
-    cut = single.mapInArrow(slices, "anchor long, part long, parts long, text long, place long, whole boolean, bytes binary")
+    cut = mapped(single, slices, "anchor long, part long, parts long, text long, place long, whole boolean, bytes binary")
     # copies of a text bring the same slice again
     grouped = cut.withColumn("group", F.xxhash64("anchor", "part")).repartition(2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "text", "place")
-    compared = checkpointed(grouped.select("group", "parts", "text", "place", "whole", "bytes").mapInArrow(_compare_once(length), "text long, at long, first boolean, again boolean, window long, opened boolean"))
+    compared = checkpointed(mapped(grouped.select("group", "parts", "text", "place", "whole", "bytes"), _compare_once(length), "text long, at long, first boolean, again boolean, window long, opened boolean"))
     spans = compared.where("NOT opened").select("text", "at", "first")
     opened = compared.where("opened").select("text", "at", "again", "window")
     met = opened.groupBy("window").agg(F.min(place).alias("least"), (F.max("again") | (F.min(place) != F.max(place))).alias("again")).where("again").select("window", "least")
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
                 kept.append(own[~covered[1:-1]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, span_type), pa.array(kept, pa.binary())], schema.names)
 
-    return marked.select("id", "text", all_gone.alias("gone"), "marks", "firsts").mapInArrow(cut, schema)
+    return mapped(marked.select("id", "text", all_gone.alias("gone"), "marks", "firsts"), cut, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

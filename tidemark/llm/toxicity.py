@@ -17,9 +17,9 @@ classes, and over hundreds of common words that would outweigh the few telling o
 The class models are fitted on a bounded sample of labelled rows (``labelled.MAX_ROWS`` and
 ``MAX_BYTES``), so what is broadcast is bounded by that sample; the curve's offset is set to
 the class shares of all labelled rows that are not held out. The shared counts are exact up to
-collisions of 40 bits: each task passes on the distinct pairs (word of the sample, word before
-it) of its texts, a shuffle by pair makes them distinct in the corpus, and a grouping counts
-them by word. A frequent word's pairs are spread over all tasks. Scoring is a scan.
+collisions of 32-bit hashes (``shared_counts``): tasks pass on the distinct pairs (word of the
+sample, word before it) of their texts, a shuffle by the word before makes them distinct in the
+corpus, and counts are added up by word. Scoring is a scan.
 
 Null and empty texts have no evidence and score the calibrated base; without rows of both
 classes every text scores 0. Rows are scored one by one, whatever their ids: repeated rows
@@ -40,13 +40,15 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.labelled import MAX_BYTES, MAX_ROWS, held_out, labelled_sample
+from tidemark.llm.shared import mapped
 
 #: Pairs that a task makes distinct before it passes them on; no pair is dropped.
-MERGED_PAIRS = 1 << 20
+MERGED_PAIRS = 1 << 19
+#: Buckets of contexts at most, and words whose counts travel in one row.
+MOST_BUCKETS, WORD_RANGE = 1 << 14, 1 << 12
 #: Tried on texts the models have not seen: order, count added to every shared one, margin.
 SETTINGS = tuple((order, added, margin) for order in (1, 2) for added in (1.0, 30.0) for margin in (0.0, 1.0, 2.0, 3.0))
 _START = np.uint64(0x5BF03635)
-_CONTEXT_BITS = 40
 
 
 def _previous(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -102,33 +104,75 @@ class SharedCounts:
 
 
 def shared_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> SharedCounts:
-    """Continuation counts over all documents of ``vocabulary``, the words of a bounded sample."""
+    """Continuation counts over all documents of ``vocabulary``, the words of a bounded sample.
+
+    A pair is (word, 32-bit hash of the word before it). Tasks pass on sorted pairs in one row for
+    each bucket of hashes, so a frequent word's pairs spread over all buckets; a task makes those of
+    a bucket distinct and adds up its counts, in one row for each range of words.
+    """
     words = np.unique(vocabulary)
     if not len(words):
         return SharedCounts()
+    buckets = min(max(4 * docs.rdd.getNumPartitions(), 64), MOST_BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.concatenate(held))
+        context = pairs & np.uint64(0xFFFFFFFF)
+        bucket = (context % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")  # sorted within each bucket
+        pairs, context = pairs[order], context[order].astype("<u4")
+        slot = (pairs >> np.uint64(32)).astype(np.int64)
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+        # words as steps, which are small and compress
+        blobs = [np.diff(slot[edges[k] : edges[k + 1]], prepend=0).astype("<u4").tobytes() + context[edges[k] : edges[k + 1]].tobytes() for k in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column(0)):
                 hashes, _, _, counts = tb.words(data, offsets)
                 slot, known = _find(shared.value, hashes)
-                context = (_previous(hashes, counts) >> np.uint64(64 - _CONTEXT_BITS)).astype(np.int64)
-                held.append(np.unique(slot[known] << _CONTEXT_BITS | context[known]))
+                context = _previous(hashes, counts) >> np.uint64(32)
+                held.append(np.unique(slot[known].astype(np.uint64) << np.uint64(32) | context[known]))
                 size += len(held[-1])
                 if size > MERGED_PAIRS:
-                    held = [np.unique(np.concatenate(held))]
-                    size = len(held[0])
-                    if size > MERGED_PAIRS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0])], ["pair"])
-                        held, size = [], 0
+                    yield from dealt(held)
+                    held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["pair"])
+            yield from dealt(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, at, held, size = np.zeros(len(shared.value), np.int64), None, [], 0
+
+        def add() -> None:
+            if held:
+                found[:] += np.bincount((np.unique(np.concatenate(held)) >> np.uint64(32)).astype(np.int64), minlength=len(found))
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != at:
+                    add()
+                    at, held, size = bucket, [], 0
+                numbers = np.frombuffer(blob.as_buffer(), "<u4")
+                half = len(numbers) // 2
+                held.append(np.cumsum(numbers[:half], dtype=np.uint64) << np.uint64(32) | numbers[half:].astype(np.uint64))
+                size += half
+                if size > 4 * MERGED_PAIRS:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0]) // 2  # merged again when it has grown by half
+        add()
+        starts = [k for k in range(0, len(found), WORD_RANGE) if found[k : k + WORD_RANGE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([found[k : k + WORD_RANGE].astype("<i8").tobytes() for k in starts], pa.binary())], ["start", "counts"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in table["counts"])
+        return pa.table({"slot": pa.array(table["start"][0].as_py() + np.arange(len(total)), pa.int64()), "n": pa.array(total)})
 
-    # dealt out by pair first, so that what a task has made distinct already is not grouped again before the shuffle
-    distinct = docs.select(text_col).mapInArrow(pairs, "pair long").repartition("pair").distinct()
-    found = distinct.groupBy(F.shiftright("pair", _CONTEXT_BITS).cast("int").alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    sent = mapped(docs.select(text_col), pairs, "bucket int, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = mapped(sent, count, "start int, counts binary").groupBy("start").applyInArrow(add_up, "slot long, n long").toArrow()
     shared.unpersist()
     contexts = np.zeros(len(words), np.int64)
     contexts[found["slot"].to_numpy()] = found["n"].to_numpy()
@@ -283,7 +327,7 @@ def score(docs: DataFrame, model: ClassModels, text_col: str = "text", to: str =
                 scores[row:end] = shared.value.score(hashes, counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return mapped(docs, judge, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
