@@ -33,8 +33,11 @@ def test_hash_bucket(spark):
             want.append(int(v, 16) % 256)
         except ValueError:
             want.append(int.from_bytes(hashlib.sha256(v.encode()).digest()[:8], "big") % 256)
-    got = spark.createDataFrame([(v,) for v in values], "v string").select(scalars.hash_bucket(F.col("v"))).collect()
-    assert [r[0] for r in got] == want
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in frame.select(scalars.hash_bucket(F.col("v"))).collect()] == want
+    long = spark.createDataFrame([(hashlib.sha256(str(k).encode()).hexdigest()[: 1 + k],) for k in range(64)], "v string")
+    for n in (7, 100, 1 << 31):
+        assert [(r[0], r[1]) for r in long.select("v", scalars.hash_bucket(F.col("v"), n)).collect()] == [(r.v, int(r.v, 16) % n) for r in long.collect()]
 
 
 def test_title_sketch(spark):
@@ -101,7 +104,7 @@ def test_segments_cover_all_buckets(spark):
 def test_absorb_short(runs, want):
     at_, rows = 0, []
     for label, n in runs:
-        rows.append([at_, at_ + n, label, n])
+        rows.append(segments.Run(at_, at_ + n, label, n))
         at_ += n
     got = segments.absorb_short(rows, 3)
     assert [(r[2], r[3]) for r in got] == want and got[-1][1] == at_
@@ -114,6 +117,52 @@ def test_transitions_need_persistence(spark):
     assert [(r.app, r.start_ts, r.end_ts) for r in got] == [("a", at(0), at(3)), ("b", at(3), at(6)), ("lock", at(6), at(8))]
 
 
+def _plain_transitions(polls, seconds, lock_seconds, locked):
+    """Blocks by stepping through the polls one by one."""
+    out, app, began, candidate, since = [], None, None, None, None
+    for now, seen in polls:
+        if app is None:
+            app, began = seen, now
+        elif seen == app:
+            candidate = None
+        else:
+            if seen != candidate:
+                candidate, since = seen, now
+            if now - since >= (0 if app in locked else lock_seconds if seen in locked else seconds):
+                out.append((app, began, since))
+                app, began, candidate = seen, since, None
+    return out
+
+
+def test_transitions_against_single_steps(spark):
+    rng, rows, want = random.Random(3), [], set()
+    for k in range(40):
+        at_, polls = 0, []
+        for _ in range(rng.randrange(1, 60)):
+            at_ += rng.choice([20, 40, 60])
+            polls.append((at_, rng.choice(["a", "a", "b", "c", "lock", "lock2"])))
+        rows += [(k, T0 + timedelta(seconds=t), a) for t, a in polls]
+        want |= {(k, a, T0 + timedelta(seconds=s), T0 + timedelta(seconds=e)) for a, s, e in _plain_transitions(polls, 60, 40, {"lock", "lock2"})}
+    got = segments.debounced_transitions(spark.createDataFrame(rows, "k int, ts timestamp, app string"), ["k"], 60, 40, ["lock", "lock2"]).collect()
+    assert len(got) == len(want) and {(r.k, r.app, r.start_ts, r.end_ts) for r in got} == want
+
+
+def test_short_segments_between_borders(spark):
+    # cut between long neighbours or not, the fold gives the same
+    rng, rows, want = random.Random(9), [], []
+    for k in range(30):
+        at_, runs = 0, []
+        for _ in range(rng.randrange(1, 25)):
+            n = rng.choice([1, 1, 2, 3, 4, 7])
+            runs.append(segments.Run(at(at_), at(at_ + n), rng.choice("ABC"), n))
+            at_ += n
+        rows += [(k, *r) for r in runs]
+        want += [(k, *r) for r in segments.absorb_short(runs, 3)]
+    frame = spark.createDataFrame(rows, "k int, start_ts timestamp, end_ts timestamp, label string, buckets long")
+    got = [tuple(r) for r in segments.merge_short_segments(frame, ["k"], 60, 180).collect()]
+    assert sorted(got) == sorted(want)
+
+
 SPAN = "start_ts timestamp, end_ts timestamp, label string, provenance string, user_id int, confidence double, extend_forward boolean, seq int"
 
 
@@ -140,6 +189,32 @@ def test_overwrite_splits_and_removes(spark):
     assert got == [("A", at(0), at(30)), ("A", at(60), at(100)), ("C", at(0), at(100)), ("N", at(30), at(60))]
 
 
+def test_covered_by_an_open_range_years_later(spark):
+    year = 366 * 24 * 60
+    spans = _spans(spark, [(0, 10, "A", 1, True), (20, 30, "B", 1, True), (0, 10, "C", 2, True), (5, 6, "D", 2, False)])
+    later = [(2 * year, 2 * year + 5), (12, 14), (15, 25), (-5, 3), (40, 41)]
+    candidates = _spans(spark, [(a, z, "x", u, False) for u in (1, 2, 3) for a, z in later])
+    got = {r.seq for r in intervals.covered(candidates, spans).collect()}
+    # user 1: A reaches to 20, B is open from 20; user 2: C ends with D's start
+    assert got == {0, 1, 4}
+
+
+def test_overlaps_with_anyones_spans_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(a := rng.randrange(3000), a + rng.randrange(1, 900), "A", rng.choice([1, 2, 3, None]), False) for _ in range(120)]
+    meets = lambda x, y: (x[3] is None or y[3] is None or x[3] == y[3]) and x[0] < y[1] and y[0] < x[1]
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if meets(rows[i], rows[j])}
+    got = intervals.overlaps(_spans(spark, rows)).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_mark_done_as_skipped(spark):
+    queue = spark.createDataFrame([(1, at(0), "pending"), (1, at(1), "pending")], "user_id int, bucket timestamp, status string")
+    assert sorted(r.status for r in intervals.mark_done(queue, queue.limit(1), "skipped").collect()) == ["pending", "skipped"]
+    with pytest.raises(ValueError):
+        intervals.mark_done(queue, queue, "lost")
+
+
 def test_append_truncates_and_rejects(spark):
     stored = _spans(spark, [(0, 50, "A", 1, True), (100, 120, "B", 1, False)])
     new = _spans(spark, [(20, 30, "N", 1, False), (110, 130, "M", 1, False)]).withColumn("seq", F.col("seq") + 5)
@@ -193,6 +268,19 @@ def test_drift_statistics_against_numpy(spark):
     assert drift.psi(frame([1.0]), frame(b)).first().psi == 0.0
 
 
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=2000), "b": rng.integers(0, 6, 900).astype(float), "c": np.array([5.0]), "d": np.repeat([1.0, 9.0], [700, 5])}
+    rows = [(f, float(v)) for f, own in values.items() for v in own]
+    shares = [0, 0.05, 0.1, 0.25, 0.5, 0.95, 1]
+    got = {r.feature: r for r in drift.quantiles(spark.createDataFrame(rows, "feature string, value double"), shares).collect()}
+    for f, own in values.items():
+        assert np.allclose(got[f].quantiles, np.quantile(own, shares)) and got[f].n == len(own)
+    assert drift.quantiles(spark.createDataFrame([], "feature string, value double"), shares).count() == 0
+
+
 def test_time_split_is_a_partition(spark):
     rows = spark.createDataFrame([(u, at(i)) for u, n in ((1, 20), (2, 7)) for i in range(n)], "user_id int, bucket timestamp")
     counts = {(r.user_id, r.split): r["count"] for r in learning.time_split(rows).groupBy("user_id", "split").count().collect()}

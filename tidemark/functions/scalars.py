@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,16 @@ def keyed_digest(payload: Column, secret: bytes, namespace: str) -> Column:
 
 
 def hash_bucket(value: Column, buckets: int = 256) -> Column:
-    """Hexadecimal strings modulo ``buckets``; others by the first eight bytes of their SHA-256.
+    """Hexadecimal strings modulo ``buckets`` (up to 2^31); others by the first eight bytes of their SHA-256.
 
-    Up to 16 digits are exact for any count; longer ones use their last 16 digits, which is
-    exact for counts that are powers of two.
+    Digits are taken in groups of seven from the left, the remainder so far being carried along,
+    so numbers of any length are exact.
     """
-    number = lambda h: F.conv(h, 16, 10).cast("decimal(20,0)")
     is_hex = F.regexp_like(value, F.lit("^[0-9a-fA-F]+$"))
-    digits = F.when(is_hex, F.substring(value, -16, 16)).otherwise(F.substring(F.sha2(value, 256), 1, 16))
-    return (number(digits) % buckets).cast("int")
+    digits = F.when(is_hex, value).otherwise(F.substring(F.sha2(value, 256), 1, 16))
+    groups = F.array_remove(F.split(F.regexp_replace(digits, "(.{7})", "$1 "), " "), "")
+    step = lambda rest, g: (rest * F.pow(F.lit(16.0), F.length(g)).cast("long") + F.conv(g, 16, 10).cast("long")) % buckets
+    return F.aggregate(groups, F.lit(0).cast("long"), step).cast("int")
 
 
 @F.pandas_udf(T.StringType())
@@ -82,13 +85,27 @@ def keyed_buckets(tokens: Column, secret: bytes, namespace: str, size: int = SKE
     return F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(keyed_digest(t, secret, namespace), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(size)).cast("int"))
 
 
-def bucket_frequencies(buckets: Column, size: int = SKETCH) -> Column:
-    """Shares of buckets, rounded to six places; zeros without any.
+def with_bucket_frequencies(df: DataFrame, columns: dict[str, str], size: int = SKETCH) -> DataFrame:
+    """For each (new column, column of buckets): shares of the ``size`` buckets, rounded to six places; zeros without any.
 
-    ``buckets`` should be a plain column: it is read once for each of ``size`` shares.
+    The columns of buckets go. Counted by numpy over Arrow batches: as an expression, each row
+    would be read ``size`` times.
     """
-    total = F.greatest(F.size(buckets), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.round(F.size(F.filter(buckets, lambda x: x == b)) / total, 6))
+    names = [c for c in df.columns if c not in columns.values() and c not in columns]
+    schema = T.StructType([*[df.schema[c] for c in names], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in columns]])
+
+    def shares(column: pa.Array) -> pa.Array:
+        sizes = np.diff(column.offsets.to_numpy())
+        rows = np.repeat(np.arange(len(column)), sizes)
+        counts = np.bincount(rows * size + column.flatten().to_numpy(), minlength=len(column) * size)
+        values = np.floor(counts / np.repeat(np.maximum(sizes, 1), size) * 1e6 + 0.5) / 1e6
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * size), pa.array(values))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[shares(batch.column(c)) for c in columns.values()]], schema.names)
+
+    return df.mapInArrow(count, schema)
 
 
 def title_scalars(title: Column) -> dict[str, Column]:
@@ -107,8 +124,8 @@ def title_sketch(df: DataFrame, title: str, secret: bytes) -> DataFrame:
     """Token and character sketches as arrays, and the five scalars."""
     clean = df.withColumn("_title", normalize_title(F.coalesce(F.col(title), F.lit(""))))
     hashed = clean.withColumns({"_tokens": keyed_buckets(title_tokens(F.col("_title")), secret, "title-token"), "_grams": keyed_buckets(char_ngrams(F.col("_title")), secret, "title-char3")})
-    columns = {"title_token_sketch": bucket_frequencies(F.col("_tokens")), "title_char3_sketch": bucket_frequencies(F.col("_grams")), **title_scalars(F.col("_title"))}
-    return hashed.withColumns(columns).drop("_title", "_tokens", "_grams")
+    counted = hashed.withColumns(title_scalars(F.col("_title"))).drop("_title")
+    return with_bucket_frequencies(counted, {"title_token_sketch": "_tokens", "title_char3_sketch": "_grams"})
 
 
 def align(ts: Column, seconds: int) -> Column:

@@ -1,9 +1,9 @@
 """Distribution drift and telemetry.
 
-Features are unpivoted once and everything is grouped by feature. Quantile edges come from
-counts of distinct values, and running sums for the two-sample statistic are taken in two
-levels (per value range, then within it), so no window runs over all values of a feature in
-one task.
+Features are unpivoted once and everything is grouped by feature. Exact quantiles and the
+two-sample statistic come from counts of distinct values and their running sums, which are
+taken in two levels (per value range, then within it), so no window and no aggregate holds
+all values of a feature in one task.
 """
 
 from __future__ import annotations
@@ -26,14 +26,46 @@ def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) ->
     return df.select(*keep, each.alias("x")).select(*keep, "x.*").where("value IS NOT NULL AND NOT isnan(value)")
 
 
+def running_sums(values: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """(feature, value, sums...) of distinct values, with ``before_`` columns: the sums over all smaller values of the feature."""
+    cuts = values.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)]), F.lit(1000)).alias("_cuts"))
+    # one row a feature; the block of a value is the number of cuts below it, found by bisection
+    blocked = values.join(F.broadcast(cuts), "feature").withColumn("_block", F.lit(0))
+    step = BLOCKS // 2
+    while step:
+        below = F.coalesce(F.get("_cuts", F.col("_block") + (step - 1)) < F.col("value"), F.lit(False))
+        blocked = blocked.withColumn("_block", F.col("_block") + F.when(below, step).otherwise(0))
+        step //= 2
+    blocked = blocked.drop("_cuts")
+    order = Window.partitionBy("feature").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("feature", "_block").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    ahead = totals.select("feature", "_block", *[F.coalesce(F.sum(f"_{c}").over(order), F.lit(0)).alias(f"_{c}") for c in sums])
+    inner = Window.partitionBy("feature", "_block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    within = blocked.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in sums})
+    return within.join(ahead, ["feature", "_block"]).select("feature", "value", *sums, *[(F.col(f"before_{c}") + F.col(f"_{c}")).alias(f"before_{c}") for c in sums])
+
+
+def quantiles(values: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(feature, quantiles, n): exact quantiles of (feature, value), interpolated between neighbours."""
+    counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("feature").agg(F.sum("n").alias("size"))
+    places = F.array(*[F.lit(float(q)) * (F.col("size") - 1) for q in shares])
+    wanted = sizes.select("feature", "size", places.alias("places")).withColumn("ranks", F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(F.floor(p), F.ceil(p))))))
+    ranked = running_sums(counts, ["n"]).join(F.broadcast(wanted), "feature")
+    met = ranked.select("feature", "size", "places", "value", F.explode(F.filter("ranks", lambda r: (r >= F.col("before_n")) & (r < F.col("before_n") + F.col("n")))).alias("rank"))
+    found = met.groupBy("feature").agg(F.first("size").alias("n"), F.first("places").alias("places"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    low, high = lambda p: F.element_at("at", F.floor(p)), lambda p: F.element_at("at", F.ceil(p))
+    between = lambda p: F.when(F.floor(p) == F.ceil(p), low(p)).otherwise((F.ceil(p) - p) * low(p) + (p - F.floor(p)) * high(p))
+    return found.select("feature", F.transform("places", between).alias("quantiles"), "n")
+
+
 def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     """Population stability index of each feature of (feature, value) tables.
 
     Edges are distinct quantiles of the reference; values beyond them are left out, the last
     bin is closed. Fewer than two values or edges give 0.
     """
-    quantiles = F.percentile("value", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))
-    edges = reference.groupBy("feature").agg(F.array_distinct(quantiles).alias("edges"), F.count("*").alias("n_ref"))
+    edges = quantiles(reference, [k / bins for k in range(bins + 1)]).select("feature", F.array_distinct("quantiles").alias("edges"), F.col("n").alias("n_ref"))
     both = reference.withColumn("_ref", F.lit(1)).unionByName(current.withColumn("_ref", F.lit(0)))
     placed = both.join(F.broadcast(edges), "feature").withColumn("_n", F.size("edges"))
     inside = placed.where((F.col("value") >= F.get("edges", F.lit(0))) & (F.col("value") <= F.element_at("edges", -1)))
@@ -54,15 +86,9 @@ def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value of each feature."""
     both = reference.withColumn("_r", F.lit(1)).unionByName(current.withColumn("_r", F.lit(0)))
     values = both.groupBy("feature", "value").agg(F.sum("_r").alias("r"), F.sum(1 - F.col("_r")).alias("c"))
-    # blocks of the value range from approximate quantiles, a fixed number of them
-    cuts = both.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)]), F.lit(1000)).alias("cuts"), F.sum("_r").alias("nr"), F.sum(1 - F.col("_r")).alias("nc"))
-    blocked = values.join(F.broadcast(cuts), "feature").withColumn("block", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
-    sums = blocked.groupBy("feature", "block").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))
-    order = Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("feature", "block", F.coalesce(F.sum("br").over(order), F.lit(0)).alias("pr"), F.coalesce(F.sum("bc").over(order), F.lit(0)).alias("pc"))
-    inner = Window.partitionBy("feature", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = blocked.withColumns({"sr": F.sum("r").over(inner), "sc": F.sum("c").over(inner)}).join(before, ["feature", "block"])
-    gap = F.abs(F.try_divide(F.col("pr") + F.col("sr"), F.col("nr")) - F.try_divide(F.col("pc") + F.col("sc"), F.col("nc")))
+    sizes = values.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+    run = running_sums(values, ["r", "c"]).join(F.broadcast(sizes), "feature")
+    gap = F.abs(F.try_divide(F.col("before_r") + F.col("r"), F.col("nr")) - F.try_divide(F.col("before_c") + F.col("c"), F.col("nc")))
     found = run.groupBy("feature").agg(F.max(gap).alias("d"), F.first("nr").alias("nr"), F.first("nc").alias("nc"))
     enough = (F.col("nr") >= 2) & (F.col("nc") >= 2)
     return found.select("feature", F.when(enough, F.col("d")).otherwise(0.0).alias("statistic"), F.when(enough, kolmogorov(F.col("d"), F.col("nr"), F.col("nc"))).otherwise(1.0).alias("p_value"))
@@ -127,10 +153,12 @@ def lowest_confidence(predictions: DataFrame, alert_rows: DataFrame, n: int = 50
 
 def snapshot(df: DataFrame, features: Sequence[str], probs: str = "probs") -> DataFrame:
     """One row: rows, missing rates, confidence statistics, reject rate and mean entropy."""
-    quantile = lambda q: F.percentile("confidence", q)
+    spread = quantiles(unpivot(df, ["confidence"]), [0.5, 0.05, 0.95]).select(F.col("quantiles").alias("_q"))
     missing = [F.round(F.avg(F.col(f).isNull().cast("int")), 4).alias(f"missing_{f}") for f in features]
     r = lambda c, name: F.round(c, 6).alias(name)
-    return df.agg(F.count("*").alias("rows"), *missing, r(F.avg("confidence"), "confidence_mean"), r(quantile(0.5), "confidence_median"), r(quantile(0.05), "confidence_p5"), r(quantile(0.95), "confidence_p95"), r(F.stddev_pop("confidence"), "confidence_std"), r(F.avg((F.col("predicted") == "Mixed/Unknown").cast("int")), "reject_rate"), r(F.avg(scalars.entropy(F.col(probs))), "mean_entropy"))
+    whole = df.agg(F.count("*").alias("rows"), *missing, r(F.avg("confidence"), "confidence_mean"), r(F.stddev_pop("confidence"), "confidence_std"), r(F.avg((F.col("predicted") == "Mixed/Unknown").cast("int")), "reject_rate"), r(F.avg(scalars.entropy(F.col(probs))), "mean_entropy"))
+    # both sides have at most one row
+    return whole.join(spread, how="left").select(*whole.columns, *[r(F.get("_q", F.lit(k)), f"confidence_{name}") for k, name in enumerate(("median", "p5", "p95"))])
 
 
 def suggestions_per_day(predictions: DataFrame, start: Column, end: Column) -> DataFrame:

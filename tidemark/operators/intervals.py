@@ -33,14 +33,18 @@ def project_labels(windows: DataFrame, spans: DataFrame, cell: int = CELL) -> Da
 def overlaps(spans: DataFrame, cell: int = 6 * CELL) -> DataFrame:
     """(a, b): sequence numbers of overlapping spans of one user, each pair once; a null user is anyone's."""
     spread = _cells(spans.select("user_id", "start_ts", "end_ts", "seq"), "start_ts", "end_ts", cell)
-    a = spread.select(*[F.col(c).alias(f"a_{c}") for c in spread.columns])
-    b = spread.select(*[F.col(c).alias(f"b_{c}") for c in spread.columns])
-    meets = (F.col("a_start_ts") < F.col("b_end_ts")) & (F.col("b_start_ts") < F.col("a_end_ts")) & (F.col("a_seq") < F.col("b_seq"))
-    same = a.join(b, (F.col("a_user_id") == F.col("b_user_id")) & (F.col("a__cell") == F.col("b__cell")) & meets)
-    wild = a.join(b, (F.col("a__cell") == F.col("b__cell")) & meets & (F.col("a_user_id").isNull() | F.col("b_user_id").isNull())) if _has_wildcards(spans) else None
-    found = same.select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b"))
-    if wild is not None:
-        found = found.unionByName(wild.select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b")))
+
+    def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = (side.select(*[F.col(c).alias(f"{name}_{c}") for c in spread.columns]) for side, name in ((left, "a"), (right, "b")))
+        same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
+        meets = (F.col("a_start_ts") < F.col("b_end_ts")) & (F.col("b_start_ts") < F.col("a_end_ts"))
+        joined = a.join(b, [*same, meets])
+        return joined.select(F.least("a_seq", "b_seq").alias("a"), F.greatest("a_seq", "b_seq").alias("b")).where("a < b")
+
+    owned, anyone = spread.where("user_id IS NOT NULL"), spread.where("user_id IS NULL")
+    found = pairs(owned, owned, ["user_id", "_cell"])
+    if _has_wildcards(spans):
+        found = found.unionByName(pairs(anyone, owned, ["_cell"])).unionByName(pairs(anyone, anyone, ["_cell"]))
     return found.distinct()
 
 
@@ -125,14 +129,19 @@ def delete_spans(spans: DataFrame, gone: DataFrame) -> DataFrame:
     return spans.join(gone, ["start_ts", "end_ts", "user_id"], "left_anti").select(*spans.columns)
 
 
-def covered(candidates: DataFrame, spans: DataFrame, cell: int = 6 * CELL, horizon: Column | None = None) -> DataFrame:
-    """Candidates that lie inside an extend-forward span's effective range; ``horizon`` closes open ranges for the cells."""
-    far = horizon if horizon is not None else F.timestamp_seconds(F.unix_seconds("start_ts") + 366 * 86_400)
-    reach = effective_ends(spans).where("extend_forward").select(F.col("user_id").alias("_u"), F.col("start_ts").alias("_s"), F.coalesce("effective_end", F.greatest(far, "end_ts")).alias("_e"), F.col("effective_end").isNull().alias("_open"))
-    spread = _cells(reach, "_s", "_e", cell)
-    placed = candidates.withColumn("_cell", F.floor(F.unix_seconds("start_ts") / cell))
-    inside = (placed["user_id"] == F.col("_u")) & (placed["_cell"] == spread["_cell"]) & (F.col("_s") <= F.col("start_ts")) & (F.col("_open") | (F.col("end_ts") <= F.col("_e")))
-    return placed.join(spread, inside, "left_semi").drop("_cell")
+def covered(candidates: DataFrame, spans: DataFrame, cell: int = 6 * CELL) -> DataFrame:
+    """Candidates that lie inside an extend-forward span's effective range.
+
+    Closed ranges are spread over time cells. An open range has no end and no cells: only the
+    spans with a user's latest start can be open, so they join on the user as one row, the start.
+    """
+    reach = effective_ends(spans).where("extend_forward").select(F.col("user_id").alias("_u"), F.col("start_ts").alias("_s"), F.col("effective_end").alias("_e"))
+    closed = _cells(reach.where("_e IS NOT NULL"), "_s", "_e", cell)
+    placed = candidates.withColumn("_at", F.floor(F.unix_seconds("start_ts") / cell))
+    inside = (F.col("user_id") == F.col("_u")) & (F.col("_at") == F.col("_cell")) & (F.col("_s") <= F.col("start_ts")) & (F.col("end_ts") <= F.col("_e"))
+    opened = reach.where("_e IS NULL").groupBy(F.col("_u").alias("_ou")).agg(F.min("_s").alias("_os"))
+    held = placed.join(opened, F.col("user_id") == F.col("_ou"), "left").withColumn("_open", F.coalesce(F.col("_os") <= F.col("start_ts"), F.lit(False)))
+    return held.where("_open").select(*candidates.columns).unionByName(held.where("NOT _open").join(closed, inside, "left_semi").select(*candidates.columns))
 
 
 def current_labels(spans: DataFrame, at: Column) -> DataFrame:
@@ -154,9 +163,12 @@ def serve_queue(queue: DataFrame, cap: int, limit: int, served: int = 0) -> Data
     return queue.where("status = 'pending'").orderBy(*order).limit(max(0, min(cap - served, limit)))
 
 
-def mark_done(queue: DataFrame, done: DataFrame) -> DataFrame:
+def mark_done(queue: DataFrame, done: DataFrame, status: str = "labeled") -> DataFrame:
+    """Requests of ``done`` get the status labeled or skipped."""
+    if status not in ("labeled", "skipped"):
+        raise ValueError(f"unknown status {status}")
     keys = ["user_id", "bucket"]
-    return queue.join(done.select(*keys).distinct().withColumn("_d", F.lit("labeled")), keys, "left").withColumn("status", F.coalesce("_d", "status")).drop("_d").select(*queue.columns)
+    return queue.join(done.select(*keys).distinct().withColumn("_d", F.lit(status)), keys, "left").withColumn("status", F.coalesce("_d", "status")).drop("_d").select(*queue.columns)
 
 
 def interval_accuracy(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

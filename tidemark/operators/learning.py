@@ -135,6 +135,7 @@ def search(df: DataFrame, columns: Sequence[str], classes: Sequence[str], grid:
         scored = score(train_classifier(train, columns, classes, **params), held, columns, classes)
         row = f1_scores(scored, classes).select(F.lit(number).alias("trial"), F.lit(str(params)).alias("params"), "macro_f1")
         results = row if results is None else results.unionByName(row)
+    train.unpersist()  # fits are over; scores read the validation split
     return results
 
 
@@ -158,7 +159,8 @@ def fit_temperature(df: DataFrame, classes: Sequence[str], keys: Sequence[str] =
     coarse = F.array(*[F.lit(round(k / 10, 1)) for k in range(1, 51)])
     best = lambda losses: losses.groupBy(*keys).agg(F.min_by("temperature", F.struct("loss", F.abs(F.col("temperature") - 1))).alias("_t"))
     first = best(_grid_loss(df, classes, coarse, keys))
-    joined = df.join(F.broadcast(first), list(keys)) if keys else df.join(F.broadcast(first))
+    # one row without keys; with keys a row for each of them, joined as Spark chooses
+    joined = df.join(first, list(keys)) if keys else df.join(F.broadcast(first))
     fine = F.filter(F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda k: F.round(F.col("_t") + k / 100, 2)), lambda t: t > 0)
     return best(_grid_loss(joined, classes, fine, keys)).select(*keys, F.col("_t").alias("temperature"))
 

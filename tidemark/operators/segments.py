@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def rolling_majority(df: DataFrame, keys: Sequence[str], size: int, label: str = "label", order: Sequence[str] = ("bucket",)) -> DataFrame:
-    """Most frequent label in a centred window; the row's own label wins a tie, else the first to occur."""
+def rolling_majority(df: DataFrame, keys: Sequence[str], size: int, label: str = "label", order: Sequence[str] = ("bucket",), trailing: bool = False) -> DataFrame:
+    """Most frequent label in a centred window; the row's own label wins a tie, else the first to occur.
+
+    With ``trailing`` only the half up to the row votes, as it does for the newest row of a stream.
+    """
     half = size // 2
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, 0 if trailing else half)
     seen = df.withColumn("_w", F.collect_list(label).over(frame))
     kinds = F.array_distinct("_w")
     counts = F.transform(kinds, lambda k: F.size(F.filter("_w", lambda x: x == k)))
@@ -23,51 +27,86 @@ def rolling_majority(df: DataFrame, keys: Sequence[str], size: int, label: str =
     return counted.withColumn("smoothed", F.when(own == F.array_max("_n"), F.col(label)).otherwise(top)).drop("_w", "_k", "_n")
 
 
+def join_runs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Neighbouring (start_ts, end_ts, label, buckets) rows of one label joined."""
+    order = Window.partitionBy(*keys).orderBy("start_ts")
+    cut = rows.withColumn("_new", (F.col("label") != F.lag("label").over(order)).cast("int"))
+    runs = cut.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.first("label").alias("label"), F.sum("buckets").alias("buckets")).drop("_run")
+
+
+def bucket_runs(df: DataFrame, keys: Sequence[str], seconds: int, label: str = "label") -> DataFrame:
+    """Each bucket as a run of its own."""
+    return df.select(*keys, F.col("bucket").alias("start_ts"), F.timestamp_seconds(F.unix_seconds("bucket") + seconds).alias("end_ts"), F.col(label).alias("label"), F.lit(1).cast("long").alias("buckets"))
+
+
 def segmentize(df: DataFrame, keys: Sequence[str], seconds: int, label: str = "label") -> DataFrame:
     """Runs of one label over observed buckets: start, end of the last bucket, label, buckets."""
-    order = Window.partitionBy(*keys).orderBy("bucket")
-    cut = df.withColumn("_new", (F.col(label) != F.lag(label).over(order)).cast("int"))
-    runs = cut.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "_run").agg(F.min("bucket").alias("start_ts"), F.timestamp_seconds(F.unix_seconds(F.max("bucket")) + seconds).alias("end_ts"), F.first(label).alias("label"), F.count("*").alias("buckets")).drop("_run")
-
-
-def absorb_short(segments: list[list], least: int) -> list[list]:
-    """[start, end, label, buckets] runs with those under ``least`` buckets merged into a neighbour, to a fixpoint."""
-    rows, changed = [list(s) for s in segments], len(segments) > 1
-    while changed:
-        changed, out, i = False, [], 0
-        while i < len(rows):
-            row, after = rows[i], rows[i + 1] if i + 1 < len(rows) else None
-            before = out[-1] if out else None
-            short = row[3] < least and len(rows) > 1
-            back = short and before is not None and (before[2] == row[2] or (not (after and after[2] == row[2]) and (after is None or before[3] >= after[3])))
-            ahead = short and not back and after is not None and (after[2] == row[2] or before is not None)
-            if back:
-                out[-1] = [before[0], row[1], before[2], before[3] + row[3]]
-            elif ahead:
-                out.append([row[0], after[1], after[2], row[3] + after[3]])
-                i += 1
+    return join_runs(bucket_runs(df, keys, seconds, label), keys)
+
+
+class Run(NamedTuple):
+    start: object
+    end: object
+    label: str
+    buckets: int
+
+
+def _host(left: Run | None, run: Run, right: Run | None) -> int:
+    """The side that takes a short run: -1, 1, or 0 for none. Equal labels attract; else the longer side does, the left one in a tie."""
+    if left and left.label == run.label:
+        return -1
+    if right and right.label == run.label:
+        return 1
+    if not left or not right:
+        return -1 if left else 0
+    return -1 if left.buckets >= right.buckets else 1
+
+
+def _joined(a: Run, b: Run, label: str) -> Run:
+    return Run(a.start, b.end, label, a.buckets + b.buckets)
+
+
+def absorb_short(runs: Sequence[Run], least: int) -> list[Run]:
+    """Runs in order, those under ``least`` buckets given to a neighbour; sweeps from the left until one changes nothing."""
+    while True:
+        todo, done = deque(runs), []
+        while todo:
+            run = todo.popleft()
+            side = _host(done[-1] if done else None, run, todo[0] if todo else None) if run.buckets < least else 0
+            if side < 0:
+                left = done.pop()
+                done.append(_joined(left, run, left.label))
+            elif side > 0:
+                right = todo.popleft()
+                done.append(_joined(run, right, right.label))
             else:
-                out.append(row)
-            changed = changed or back or ahead
-            i += 1
-        rows = out
-    return rows
+                done.append(run)
+        if len(done) == len(runs):
+            return done
+        runs = done
 
 
 def merge_short_segments(segments: DataFrame, keys: Sequence[str], seconds: int, least_seconds: int = 180) -> DataFrame:
-    """Short segments absorbed by their neighbours; a fold over the segments of a key."""
+    """Short segments absorbed by their neighbours.
+
+    A long segment is never absorbed, so nothing passes between two long ones side by side: a key's
+    sequence is cut there, and a fold runs over the segments from one such border to the next.
+    """
     least = max(1, least_seconds // seconds)
     schema = segments.select(*keys, "start_ts", "end_ts", "label", "buckets").schema
+    order = Window.partitionBy(*keys).orderBy("start_ts")
+    border = (F.col("buckets") >= least) & F.coalesce(F.lag("buckets").over(order) >= least, F.lit(False))
+    cut = segments.select(*schema.names).withColumn("_border", border.cast("int")).withColumn("_part", F.sum("_border").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = absorb_short(frame.sort_values("start_ts")[["start_ts", "end_ts", "label", "buckets"]].values.tolist(), least)
-        out = pd.DataFrame(rows, columns=["start_ts", "end_ts", "label", "buckets"])
+        rows = [Run(*x) for x in frame.sort_values("start_ts")[["start_ts", "end_ts", "label", "buckets"]].itertuples(index=False)]
+        out = pd.DataFrame(absorb_short(rows, least)).set_axis(["start_ts", "end_ts", "label", "buckets"], axis=1)
         for k in keys:
             out[k] = frame[k].iloc[0]
-        return out[[f.name for f in schema]]
+        return out[schema.names]
 
-    return segments.select(*schema.names).groupBy(*keys).applyInPandas(fold, schema)
+    return cut.drop("_border").groupBy(*keys, "_part").applyInPandas(fold, schema)
 
 
 def flap_rate(df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -102,32 +141,23 @@ def duration_histogram(segments: DataFrame) -> DataFrame:
 def debounced_transitions(polls: DataFrame, keys: Sequence[str], seconds: int = 120, lock_seconds: int = 60, lock_apps: Sequence[str] = ()) -> DataFrame:
     """Blocks of the dominant app: a new one counts once it has lasted; leaving a lock screen counts at once.
 
-    ``polls`` has (ts, app) rows; a block ends where the candidate that replaced it was first seen.
+    ``polls`` has (ts, app) rows; a block ends where the app that replaced it was first seen, the
+    last one is still open and left out. Polls are first reduced to runs of one app. A run takes
+    over if it lasts long enough, or if it follows a lock screen that has taken over; with lock
+    screens in a row, that is if one of those since the last other app has lasted.
     """
-    schema = T.StructType([*[polls.schema[k] for k in keys], T.StructField("app", T.StringType()), T.StructField("start_ts", T.TimestampType()), T.StructField("end_ts", T.TimestampType())])
-    locked = set(lock_apps)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "app"])
-        out, current, began, candidate, since = [], None, None, None, None
-        for ts, app in zip(frame["ts"], frame["app"]):
-            if current is None:
-                current, began = app, ts
-            elif app == current:
-                candidate = None
-            else:
-                if app != candidate:
-                    candidate, since = app, ts
-                need = 0 if current in locked else lock_seconds if app in locked else seconds
-                if (ts - since).total_seconds() >= need:
-                    out.append((current, began, since))
-                    current, began, candidate = app, since, None
-        rows = pd.DataFrame(out, columns=["app", "start_ts", "end_ts"])
-        for k in keys:
-            rows[k] = frame[k].iloc[0]
-        return rows[[f.name for f in schema]]
-
-    return polls.select(*keys, "ts", "app").groupBy(*keys).applyInPandas(fold, schema)
+    order = Window.partitionBy(*keys).orderBy("ts", "app")
+    marked = polls.select(*keys, "ts", "app").withColumn("_new", F.coalesce((F.col("app") != F.lag("app").over(order)).cast("int"), F.lit(0)))
+    runs = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(F.first("app").alias("app"), F.min("ts").alias("start_ts"), F.max("ts").alias("_last"))
+    locked = F.col("app").isin(*lock_apps) if lock_apps else F.lit(False)
+    lasted = (F.unix_micros("_last") - F.unix_micros("start_ts")) / 1e6 >= F.when(locked, lock_seconds).otherwise(seconds)
+    in_turn = Window.partitionBy(*keys).orderBy("_run")
+    before = in_turn.rowsBetween(Window.unboundedPreceding, -1)
+    judged = runs.withColumns({"_locked": locked, "_lasted": lasted | (F.col("_run") == 0)})
+    latest = lambda c: F.coalesce(F.max(F.when(c, F.col("_run"))).over(before), F.lit(-1))
+    takes = judged.withColumn("_takes", F.col("_lasted") | (latest(F.col("_lasted")) > latest(~F.col("_locked")))).where("_takes")
+    blocks = takes.withColumn("_same", F.coalesce(F.col("app") == F.lag("app").over(in_turn), F.lit(False))).where("NOT _same")
+    return blocks.select(*keys, "app", "start_ts", F.lead("start_ts").over(in_turn).alias("end_ts")).where("end_ts IS NOT NULL")
 
 
 def day_timeline(spans: DataFrame, keys: Sequence[str]) -> DataFrame:

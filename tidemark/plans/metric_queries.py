@@ -191,7 +191,7 @@ _RANGES = {"keys_per_min": (0.1, 2), "clicks_per_min": (0, 0.2), "scroll_events_
 
 
 def _inputs(spark, d):
-    return features.input_activity(td.samples(spark, d), KEYS, BUCKET).withColumns({c: F.when(F.col("k") > 0, F.col(c)) for c in _OPTIONAL})
+    return features.input_activity(td.samples(spark, d), KEYS, BUCKET).withColumns({c: F.when(F.col("k") % 5 > 0, F.col(c)) for c in _OPTIONAL})
 
 
 def v2(spark, d):
@@ -270,7 +270,7 @@ ks0 AS (SELECT feature, max(g) AS d, any_value(n) AS n, any_value(m) AS m FROM c
 ks AS (SELECT feature, d, CASE WHEN x2 < 0.04 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * k * k * x2))), 0.0), 1.0) END AS p FROM ks1)"""
 _SHARE = "SELECT predicted AS label, round(count(*) / (SELECT count(*) FROM pr WHERE vec_id % 3 {0} 0), 4) AS s FROM pr WHERE vec_id % 3 {0} 0 GROUP BY 1"
 _ENT = "-list_sum(list_transform(probs, lambda p: least(greatest(p, 1e-8), 1) * ln(least(greatest(p, 1e-8), 1))))"
-_INPK = f"{INP}, ik AS (SELECT k, CASE WHEN k > 0 THEN keys_per_min END AS keys_per_min, CASE WHEN k > 0 THEN clicks_per_min END AS clicks_per_min, CASE WHEN k > 0 THEN scroll_events_per_min END AS scroll_events_per_min FROM inp)"
+_INPK = f"{INP}, ik AS (SELECT k, CASE WHEN k % 5 > 0 THEN keys_per_min END AS keys_per_min, CASE WHEN k % 5 > 0 THEN clicks_per_min END AS clicks_per_min, CASE WHEN k % 5 > 0 THEN scroll_events_per_min END AS scroll_events_per_min FROM inp)"
 _SWEEP = "th AS (SELECT unnest([" + ", ".join(str(round(0.10 + 0.05 * k, 2)) for k in range(18)) + "])::DOUBLE AS threshold), sw AS (SELECT threshold, label, confidence, CASE WHEN confidence < threshold THEN 'Mixed/Unknown' ELSE predicted END AS predicted FROM prd, th)"
 
 QUERIES = {

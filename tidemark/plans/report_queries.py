@@ -11,7 +11,7 @@ from tidemark.operators import features, intervals, learning, metrics, reports,
 from tidemark.plans import feature_queries as fq
 from tidemark.plans.feature_queries import DOM, INP, _flat
 from tidemark.plans.metric_queries import _P, predictions
-from tidemark.plans.segment_queries import _LAB, _SMO, _seg, labelled, segmented, smoothed
+from tidemark.plans.segment_queries import _LAB, _SMO, _seg, labelled, segmented, smoothed, WITH_FOLLOWING, with_following
 from tidemark.sources import activity as io
 from tidemark.sources import scratch
 from tidemark.sources import testdata as td
@@ -20,15 +20,15 @@ from tidemark.streaming import live
 
 
 def _export(spark, d, kind):
-    """The events table written as export files, one document for each user."""
+    """The events table written as export files, one document for each hour of a user."""
     events = td.table(spark, d, "events")
     n = F.get_json_object("props", "$.k").cast("double")
     data = F.struct(F.when(F.col("event_id") % 7 > 0, F.element_at(F.array(*map(F.lit, ("Firefox", "nvim", "Slack", "zoom", "My Tool"))), (F.col("event_id") % 5 + 1).cast("int"))).alias("app"), F.col("event_type").alias("title"), n.alias("presses"), (n * 2).alias("deltaX"))
-    rows = events.select("user_id", F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.col("value").alias("duration"), data.alias("data")).alias("e"))
-    buckets = rows.groupBy("user_id").agg(F.collect_list("e").alias("events"))
+    rows = events.select("user_id", F.date_trunc("hour", "ts").alias("hour"), F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.col("value").alias("duration"), data.alias("data")).alias("e"))
+    buckets = rows.groupBy("user_id", "hour").agg(F.collect_list("e").alias("events"))
     entry = lambda t: F.struct(F.lit(t).alias("type"), F.col("events"))
     path = scratch.folder(spark, "export")
-    # one user's document a file would be many files; lines of whole documents are read the same way
+    # a document a file would be many files; lines of whole documents are read the same way
     buckets.select(F.map_from_arrays(F.array(F.lit("window"), F.lit("other")), F.array(entry(kind), entry("afkstatus"))).alias("buckets")).write.json(path)
     return path
 
@@ -119,7 +119,7 @@ def l1(spark, d):
 
 
 def l2(spark, d):
-    rows = fq._sessions(spark, d).select("k", "bucket").join(features.input_activity(td.samples(spark, d).where("seq % 3 = 0"), KEYS, BUCKET), ["k", "bucket"], "left")
+    rows = with_following(fq._sessions(spark, d)).join(features.input_activity(td.samples(spark, d), KEYS, BUCKET), ["k", "bucket"], "left")
     return _flat(learning.drop_blank_rows(rows, ["keys_per_min", "mouse_distance"]).select("k", "bucket"))
 
 
@@ -266,10 +266,24 @@ def r5(spark, d):
     return reports.baseline_report(rows, KEYS, BUCKET).withColumn("date", F.col("date").cast("string"))
 
 
-def _event_stream(spark, d):
+def _raw_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    return events.select((F.col("user_id") % 5).alias("k"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("duration_seconds"), td.chosen(F.col("event_type"), td.APPS).alias("app_id"), F.get_json_object("props", "$.k").cast("double").alias("keys_per_min"))
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.select(F.col("user_id").alias("k"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("duration_seconds"), td.chosen(F.col("event_type"), td.APPS).alias("app_id"), F.get_json_object("props", "$.k").cast("double").alias("keys_per_min"))
+
+
+def _event_stream(spark, d):
+    return _raw_stream(spark, d).withWatermark("ts", "10 minutes")
+
+
+def _closed_stream(spark, d):
+    """The event stream with a row a year after the last one, so that the watermark passes every window."""
+    path = scratch.folder(spark, "closing")
+    last = td.table(spark, d, "events").agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
+    stream = _raw_stream(spark, d)
+    last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]).write.parquet(path)
+    # one watermark over both, as that of two sources is the earlier one
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)).withWatermark("ts", "10 minutes")
 
 
 def _run(spark, stream, mode="append"):
@@ -286,14 +300,13 @@ def st1(spark, d):
 
 
 def st2(spark, d):
-    # the last watermark closes all but the buckets that reach beyond it
-    rows = _run(spark, live.bucket_stream(_event_stream(spark, d), KEYS, BUCKET))
-    return _flat(rows.where("bucket < '2024-01-30'").select("k", "bucket", "events", F.round("seconds", 2).alias("seconds")))
+    rows = _run(spark, live.bucket_stream(_closed_stream(spark, d), KEYS, BUCKET))
+    return _flat(rows.select("k", "bucket", "events", F.round("seconds", 2).alias("seconds")))
 
 
 def st3(spark, d):
-    rows = _run(spark, live.session_stream(_event_stream(spark, d), KEYS, 1800))
-    return rows.where("start_ts < '2024-01-28'").groupBy("k").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+    rows = _run(spark, live.session_stream(_closed_stream(spark, d), KEYS, 1800))
+    return rows.groupBy("k").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
 def st4(spark, d):
@@ -309,23 +322,23 @@ def st5(spark, d):
 
 def st6(spark, d):
     label, rule = rules.weak_label()
-    stream = _event_stream(spark, d).withColumns({"app_category": F.col("app_id"), "domain_category": F.lit(None).cast("string")}).select("k", "seq", F.coalesce(label, F.lit("Mixed/Unknown")).alias("predicted"))
-    return _run(spark, stream).groupBy("k", "predicted").agg(F.count("*").alias("n"))
+    stream = _event_stream(spark, d).withColumns({"app_category": F.col("app_id"), "domain_category": F.lit(None).cast("string")}).select("k", "ts", "seq", F.coalesce(label, F.lit("Mixed/Unknown")).alias("label"))
+    return _run(spark, live.trailing_votes(stream, KEYS, 5)).groupBy("k", F.col("label").alias("predicted"), "smoothed").agg(F.count("*").alias("n"))
 
 
 def st7(spark, d):
     path, marks = scratch.folder(spark, "queue"), scratch.folder(spark, "marks")
     stream = _event_stream(spark, d).select(F.col("k").alias("user_id"), F.date_trunc("hour", "ts").alias("bucket"), F.col("app_id").alias("predicted"), (F.col("keys_per_min") / 100).alias("confidence"))
-    none = spark.createDataFrame([], "user_id long, bucket timestamp")
-    live.append_batches(stream, path, marks, lambda batch: intervals.enqueue(batch, none, 0.3)).awaitTermination()
+    live.enqueue_batches(stream, path, marks, 0.3).awaitTermination()
     return spark.read.parquet(path).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
 def st8(spark, d):
     path, marks = scratch.folder(spark, "segments"), scratch.folder(spark, "marks")
-    per_hour = lambda b: segments.segmentize(b.groupBy("k", F.date_trunc("hour", "ts").alias("bucket")).agg(F.min_by("app_id", "seq").alias("label")), KEYS, BUCKET)
-    live.append_batches(_event_stream(spark, d), path, marks, per_hour).awaitTermination()
-    return spark.read.parquet(path).groupBy("k", "label").agg(F.count("*").alias("n"), F.sum("buckets").alias("buckets"))
+    hours = _closed_stream(spark, d).groupBy("k", F.window("ts", f"{BUCKET} seconds").alias("w")).agg(F.min_by("app_id", "seq").alias("label"))
+    live.running_segments(hours.select("k", F.col("w.start").alias("bucket"), "label"), path, marks, KEYS, BUCKET).awaitTermination()
+    schema = T.StructType.fromDDL("k LONG, start_ts TIMESTAMP, end_ts TIMESTAMP, label STRING, buckets LONG, batch INT")
+    return live.read_segments(spark, path, schema).groupBy("k", "label").agg(F.count("*").alias("n"), F.sum("buckets").alias("buckets"))
 
 
 def st9(spark, d):
@@ -353,6 +366,7 @@ QUERIES = {
 }
 _APPS5 = "['org.mozilla.firefox', 'io.neovim.nvim', 'com.tinyspeck.slackmacgap', 'us.zoom.xos', 'unknown.my_tool']"
 _KIND5 = "['browser', 'editor', 'chat', 'meeting', 'other']"
+_KQ = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 ORACLE_SQL = {
     "S1_export": f"SELECT CASE WHEN event_id % 7 = 0 THEN 'unknown.unknown' ELSE {_APPS5}[event_id % 5 + 1] END AS app_id, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE {_KIND5}[event_id % 5 + 1] END AS app_category, substr(sha256('salt:' || event_type), 1, 12) AS window_title_hash, count(*) AS n, round(sum(value), 2) AS seconds FROM events GROUP BY 1, 2, 3",
@@ -368,7 +382,7 @@ ORACLE_SQL = {
     "S14_telemetry": f"WITH {_P}, t AS (SELECT user_id, epoch(date::TIMESTAMP)::BIGINT AS ts, count(*) AS rows FROM pr GROUP BY 1, 2) SELECT * FROM t ORDER BY ts DESC, user_id LIMIT 10",
     "S15_timestamp_audit": "SELECT 'ts' AS \"column\", 'naive' AS kind, count(*) AS n FROM events UNION ALL SELECT 'text_ts', ['aware', 'naive', 'missing'][event_id % 3 + 1], count(*) FROM events GROUP BY 2 UNION ALL SELECT 'ts after', 'aware', count(*) FROM events",
     "L1_short_sessions": f"WITH {fq.SESS} SELECT k, b AS bucket FROM sess QUALIFY count(*) OVER (PARTITION BY k, s) >= 2",
-    "L2_blank_rows": f"WITH {DOM}, {INP.replace('FROM events)', 'FROM events WHERE event_id % 3 = 0)')} SELECT dom.k, dom.b AS bucket FROM dom JOIN inp ON inp.k = dom.k AND inp.bucket = dom.b",
+    "L2_blank_rows": f"WITH {_LAB}, {INP} SELECT f.k, f.b AS bucket FROM ({WITH_FOLLOWING}) f JOIN inp ON inp.k = f.k AND inp.bucket = f.b",
     "L3_time_split": f"WITH {_LAB}, r AS (SELECT k, b, row_number() OVER (PARTITION BY k ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM lab) SELECT k, b AS bucket, {_SPLIT} AS split FROM r",
     "L4_holdout_users": "WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id FROM u ORDER BY sha256('42:' || user_id) LIMIT (SELECT greatest(1, floor(count(*) * 0.1))::BIGINT FROM u)",
     "L7_dataset_snapshot": f"WITH {SQL_SPANS} SELECT count(*) AS rows, CAST(min(start_ts)::DATE AS VARCHAR) AS first_date, CAST(max(start_ts)::DATE AS VARCHAR) AS last_date, count(DISTINCT user_id) AS users, count(DISTINCT label) AS labels FROM spn",
@@ -383,9 +397,13 @@ ORACLE_SQL = {
     "R3_switch_stats": f"WITH {SQL_ACTIVITY}, c AS (SELECT k, b, app <> lag(app) OVER (PARTITION BY k, b ORDER BY ts, seq) AS c FROM act), n AS (SELECT count(*) FILTER (WHERE c) AS n FROM c GROUP BY k, b) SELECT round(avg(n), 2) AS mean, round(quantile_cont(n, 0.5), 2) AS median, max(n) AS max, sum(n)::BIGINT AS sum, count(n) AS buckets FROM n",
     "R4_flap_rates": f"WITH {_SMO}, c AS (SELECT k, own <> lag(own) OVER w AS a, label <> lag(label) OVER w AS z FROM smo WINDOW w AS (PARTITION BY k ORDER BY b)) SELECT k, round(count(*) FILTER (WHERE a) / count(*), 6) AS raw, round(count(*) FILTER (WHERE z) / count(*), 6) AS smooth FROM c GROUP BY k",
     "ST1_ingest": f"WITH {SQL_ACTIVITY} SELECT app AS app_id, count(*) AS n FROM act GROUP BY app",
-    "ST2_bucket_stream": f"WITH {SQL_ACTIVITY} SELECT k, b AS bucket, count(*) AS events, round(sum(dur), 2) AS seconds FROM act WHERE b < 1706572800 GROUP BY k, b",
-    "ST3_session_stream": f"WITH {SQL_ACTIVITY}, g AS (SELECT k, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY k ORDER BY ts) < 1800 THEN 0 ELSE 1 END AS c FROM act), r AS (SELECT k, ts, sum(c) OVER (PARTITION BY k ORDER BY ts) AS s FROM g), t AS (SELECT k, s, min(ts) AS a, count(*) AS n FROM r GROUP BY k, s) SELECT k, count(*) AS sessions, sum(n)::BIGINT AS events FROM t WHERE a < TIMESTAMP '2024-01-28' GROUP BY k",
-    "ST6_online_labels": f"WITH {SQL_ACTIVITY} SELECT k, CASE app WHEN 'editor' THEN 'Build' WHEN 'terminal' THEN 'Build' WHEN 'chat' THEN 'Communicate' WHEN 'meeting' THEN 'Meet' ELSE 'Mixed/Unknown' END AS predicted, count(*) AS n FROM act GROUP BY 1, 2",
+    "ST2_bucket_stream": f"WITH {SQL_ACTIVITY} SELECT k, b AS bucket, count(*) AS events, round(sum(dur), 2) AS seconds FROM act GROUP BY k, b",
+    "ST3_session_stream": f"WITH {SQL_ACTIVITY}, g AS (SELECT k, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY k ORDER BY ts) < 1800 THEN 0 ELSE 1 END AS c FROM act), r AS (SELECT k, ts, sum(c) OVER (PARTITION BY k ORDER BY ts) AS s FROM g), t AS (SELECT k, s, min(ts) AS a, count(*) AS n FROM r GROUP BY k, s) SELECT k, count(*) AS sessions, sum(n)::BIGINT AS events FROM t GROUP BY k",
+    "ST6_online_labels": f"""WITH {SQL_ACTIVITY}, p AS (SELECT k, CASE app WHEN 'editor' THEN 'Build' WHEN 'terminal' THEN 'Build' WHEN 'chat' THEN 'Communicate' WHEN 'meeting' THEN 'Meet' ELSE 'Mixed/Unknown' END AS own, row_number() OVER (PARTITION BY k ORDER BY ts, seq) AS i FROM act),
+        v AS (SELECT a.k, a.i, a.own, n.own AS label, count(*) AS c, min(n.i) AS f FROM p a JOIN p n ON n.k = a.k AND n.i BETWEEN a.i - 2 AND a.i GROUP BY ALL),
+        w AS (SELECT k, own AS predicted, label AS smoothed FROM v QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY c DESC, label = own DESC, f) = 1) SELECT k, predicted, smoothed, count(*) AS n FROM w GROUP BY ALL""",
+    "ST7_auto_enqueue": f"WITH {SQL_ACTIVITY}, q AS (SELECT k AS user_id, date_trunc('hour', act.ts) AS h, min({_KQ} / 100) AS c FROM events JOIN act ON seq = event_id WHERE {_KQ} / 100 < 0.3 GROUP BY ALL) SELECT user_id, count(*) AS n, round(sum(c), 4) AS confidence FROM q GROUP BY user_id",
+    "ST8_running_segments": f"WITH {SQL_ACTIVITY}, h AS (SELECT k, b, arg_min(app, seq) AS label FROM act GROUP BY k, b), {_seg('h', 'sg')} SELECT k, label, count(*) AS n, sum(buckets)::BIGINT AS buckets FROM sg GROUP BY k, label",
     "ST9_final_report": f"WITH {SQL_ACTIVITY} SELECT k, CAST(ts::DATE AS VARCHAR) AS date, count(*) AS n, round(sum(dur) / 60, 2) AS minutes FROM act GROUP BY 1, 2",
     "ST10_suggestion": f"WITH {SQL_ACTIVITY}, x AS (SELECT k, seq, app, dur / 500 AS c FROM act WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'), p AS (SELECT k, app, sum(c) AS s, min(seq) AS f, avg(c) AS m FROM x GROUP BY k, app) SELECT k, app AS winner, round(m, 6) AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, f) = 1",
 }

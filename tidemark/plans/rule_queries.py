@@ -72,7 +72,7 @@ def x4(spark: SparkSession, d: str) -> DataFrame:
 
 def x5(spark: SparkSession, d: str) -> DataFrame:
     hashed = _titles(spark, d).withColumn("buckets", scalars.keyed_buckets(scalars.title_tokens(F.col("title")), SECRET, "title-token", 16))
-    return hashed.select("conv_id", "turn", scalars.bucket_frequencies(F.col("buckets"), 16).alias("shares"))
+    return scalars.with_bucket_frequencies(hashed.select("conv_id", "turn", "buckets"), {"shares": "buckets"}, 16)
 
 
 def x6(spark: SparkSession, d: str) -> DataFrame:

@@ -82,9 +82,17 @@ def j1(spark, d):
     return _flat(intervals.project_labels(_windows(spark, d), td.spans(spark, d)))
 
 
+def with_following(buckets: DataFrame) -> DataFrame:
+    """The buckets, and the one after each, which may have no event."""
+    after = F.timestamp_seconds(F.unix_seconds("bucket") + BUCKET)
+    return buckets.select("k", F.explode(F.array("bucket", after)).alias("bucket")).distinct()
+
+
+WITH_FOLLOWING = f"SELECT k, b FROM lab UNION SELECT k, b + {BUCKET} FROM lab"
+
+
 def j2(spark, d):
-    buckets = labelled(spark, d).select("k", "bucket")
-    joined = buckets.join(features.input_activity(td.samples(spark, d).where("seq % 3 = 0"), KEYS, BUCKET), ["k", "bucket"], "left")
+    joined = with_following(labelled(spark, d)).join(features.input_activity(td.samples(spark, d), KEYS, BUCKET), ["k", "bucket"], "left")
     return _flat(joined.select("k", "bucket", "keys_per_min"))
 
 
@@ -115,7 +123,7 @@ def j6(spark, d):
 
 
 def j7(spark, d):
-    kept, rejected = intervals.append_spans(td.spans(spark, d).where("seq % 10 = 0"), _new(spark, d))
+    kept, rejected = intervals.append_spans(td.spans(spark, d), _new(spark, d))
     return kept.select("seq", F.unix_micros("end_ts").alias("e"), F.lit(True).alias("kept")).unionByName(rejected.select("seq", F.unix_micros("end_ts").alias("e"), F.lit(False).alias("kept")))
 
 
@@ -235,13 +243,23 @@ ORACLE_SQL = {
     "W21_unlabeled_time": f"WITH {SQL_SPANS}, m AS (SELECT user_id, greatest(({NOW} - CAST(floor(epoch(max(end_ts))) AS BIGINT)) / 60, 0) AS m FROM spn GROUP BY user_id) SELECT user_id, round(m, 3) AS minutes, m >= 480 AS escalate FROM m",
     "J1_label_projection": f"""WITH {_LAB}, {SQL_SPANS}, j AS (SELECT k, b, spn.label FROM lab JOIN spn ON spn.user_id = k AND epoch_us(start_ts) <= b * 1000000 AND (b + {BUCKET}) * 1000000 <= epoch_us(end_ts))
         SELECT k AS user_id, b AS start, b + {BUCKET} AS "end", any_value(label) AS label FROM j GROUP BY k, b HAVING count(DISTINCT label) = 1""",
-    "J2_input_join": f"WITH {_LAB}, {INP.replace('FROM events)', 'FROM events WHERE event_id % 3 = 0)')} SELECT lab.k, lab.b AS bucket, keys_per_min FROM lab LEFT JOIN inp ON inp.k = lab.k AND inp.bucket = lab.b",
+    "J2_input_join": f"WITH {_LAB}, {INP} SELECT f.k, f.b AS bucket, keys_per_min FROM ({WITH_FOLLOWING}) f LEFT JOIN inp ON inp.k = f.k AND inp.bucket = f.b",
     "J3_overlaps": f"WITH {SQL_SPANS} SELECT a.seq AS a, b.seq AS b FROM spn a JOIN spn b ON a.user_id = b.user_id AND a.seq < b.seq AND a.start_ts < b.end_ts AND b.start_ts < a.end_ts",
     "J4_merge_imports": f"WITH {SQL_SPANS} SELECT CASE WHEN seq % 2 = 0 THEN seq + 1000000 ELSE seq END AS seq, user_id, CASE WHEN seq % 2 = 0 THEN 'Review' ELSE label END AS label FROM spn",
     "J5_snap_boundaries": f"""WITH {_NEW}, s AS (SELECT nw.*, (SELECT arg_min(x.end_ts, abs(epoch_us(x.end_ts) - epoch_us(nw.start_ts))) FROM spn x WHERE x.user_id = nw.user_id AND abs(epoch_us(x.end_ts) - epoch_us(nw.start_ts)) <= 1000) AS s2,
         (SELECT arg_min(x.start_ts, abs(epoch_us(x.start_ts) - epoch_us(nw.end_ts))) FROM spn x WHERE x.user_id = nw.user_id AND abs(epoch_us(x.start_ts) - epoch_us(nw.end_ts)) <= 1000) AS e2 FROM nw)
         SELECT seq, epoch_us(coalesce(s2, start_ts)) AS s, epoch_us(CASE WHEN e2 > coalesce(s2, start_ts) THEN e2 ELSE end_ts END) AS e FROM s""",
     "J6_effective_ends": f"WITH {_EFF} SELECT seq, CASE WHEN extend_forward AND nxt IS NULL THEN NULL ELSE epoch_us(e0) END AS e FROM eff",
+    "J7_append_spans": f"""WITH {_NEW}, al AS (SELECT seq, user_id, start_ts, end_ts, extend_forward AS x, FALSE AS n FROM spn UNION ALL SELECT seq, user_id, start_ts, end_ts, FALSE, TRUE FROM nw),
+        c AS (SELECT seq, user_id, start_ts, n, CASE WHEN x AND NOT n THEN coalesce(min(CASE WHEN n THEN start_ts END) OVER (PARTITION BY user_id ORDER BY epoch_us(start_ts) RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), end_ts) ELSE end_ts END AS e FROM al),
+        j AS (SELECT seq, n, start_ts, e, max(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(CASE WHEN NOT n THEN start_ts END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS l FROM c WINDOW w AS (PARTITION BY user_id ORDER BY start_ts, n, seq))
+        SELECT seq, epoch_us(e) AS e, NOT (n AND coalesce(b > start_ts OR l < e, FALSE)) AS kept FROM j""",
+    "W19_transitions": f"""WITH {_LAB}, q AS (SELECT k, b, label AS app, CASE WHEN label <> lag(label) OVER (PARTITION BY k ORDER BY b) THEN 1 ELSE 0 END AS c FROM lab),
+        r AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY b) AS run FROM q), s AS (SELECT k, run AS i, any_value(app) AS app, min(b) AS a, max(b) AS z FROM r GROUP BY k, run),
+        t AS (SELECT *, i = 0 OR z - a >= CASE WHEN app = 'terminal' THEN {BUCKET} ELSE {2 * BUCKET} END AS lasted, app = 'terminal' AS locked FROM s),
+        u AS (SELECT *, coalesce(max(CASE WHEN lasted THEN i END) OVER w, -1) AS l, coalesce(max(CASE WHEN NOT locked THEN i END) OVER w, -1) AS f FROM t WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        v AS (SELECT *, coalesce(app = lag(app) OVER (PARTITION BY k ORDER BY i), FALSE) AS same FROM u WHERE lasted OR l > f),
+        x AS (SELECT k, app, a AS start_ts, lead(a) OVER (PARTITION BY k ORDER BY i) AS end_ts FROM v WHERE NOT same) SELECT * FROM x WHERE end_ts IS NOT NULL""",
     "J8_overwrite": f"""WITH {_NEW}, h AS (SELECT s.seq, s.start_ts, s.end_ts, n.start_ts AS a, n.end_ts AS z FROM spn s JOIN nw n ON n.user_id = s.user_id AND s.start_ts < n.end_ts AND n.start_ts < s.end_ts),
         f AS (SELECT *, greatest(start_ts, coalesce(max(z) OVER (PARTITION BY seq ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_ts)) AS lo FROM h)
         SELECT seq, epoch_us(lo) AS s, epoch_us(a) AS e FROM f WHERE lo < a UNION ALL SELECT seq, epoch_us(max(z)), epoch_us(any_value(end_ts)) FROM h GROUP BY seq HAVING max(z) < any_value(end_ts)

@@ -1,6 +1,6 @@
 """The driver's tables seen as activity data, in Spark and in DuckDB SQL.
 
-An ``events`` row is a foreground event of key ``user_id % 5``: its value is the duration in
+An ``events`` row is a foreground event of key ``user_id``: its value is the duration in
 seconds, its type stands for an app, and ``props.k`` for input counts. The SQL texts give
 the same views to the oracles.
 """
@@ -37,7 +37,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.get_json_object("props", "$.k").cast("long")
     app = chosen(F.col("event_type"), APPS)
     return events.select(
-        (F.col("user_id") % 5).alias("k"),
+        F.col("user_id").alias("k"),
         F.col("ts"),
         F.col("event_id").alias("seq"),
         F.col("value").alias("duration_seconds"),
@@ -58,7 +58,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     value = lambda c: F.when(live, c).otherwise(zero)
     return events.select(
-        (F.col("user_id") % 5).alias("k"),
+        F.col("user_id").alias("k"),
         F.col("ts"),
         F.col("event_id").alias("seq"),
         F.col("value").alias("duration_seconds"),
@@ -72,14 +72,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label spans: every fifth event opens four hours of its label for its key."""
-    events = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    """Label spans: an event opens four hours of its label for its user."""
+    events = table(spark, sf_dir, "events")
     return events.select(
         F.col("ts").alias("start_ts"),
         (F.col("ts") + F.expr("INTERVAL 4 HOURS")).alias("end_ts"),
         chosen(F.col("event_type"), LABELS).alias("label"),
         F.when(F.col("event_id") % 3 == 0, "manual").otherwise("import").alias("provenance"),
-        (F.col("user_id") % 5).alias("user_id"),
+        "user_id",
         F.least(F.lit(1.0), F.col("value") / 100).alias("confidence"),
         (F.col("event_id") % 10 == 0).alias("extend_forward"),
         F.col("event_id").alias("seq"),
@@ -110,19 +110,19 @@ def _case(column: str, values: dict[str, str]) -> str:
 
 _N = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL_ACTIVITY = f"""act AS (
-  SELECT user_id % 5 AS k, ts, event_id AS seq, value AS dur, {_case("event_type", APPS)} AS app,
+  SELECT user_id AS k, ts, event_id AS seq, value AS dur, {_case("event_type", APPS)} AS app,
          substr(sha256(event_type || ':' || ({_N} % 3)), 1, 12) AS title,
          CAST(floor(epoch(ts) / {BUCKET}) AS BIGINT) * {BUCKET} AS b FROM events)"""
 SQL_SAMPLES = f"""smp AS (
-  SELECT user_id % 5 AS k, ts, event_id AS seq, value AS dur, CASE WHEN n % 4 <> 0 THEN n ELSE 0 END AS presses,
+  SELECT user_id AS k, ts, event_id AS seq, value AS dur, CASE WHEN n % 4 <> 0 THEN n ELSE 0 END AS presses,
          CASE WHEN n % 4 <> 0 THEN n % 7 ELSE 0 END AS clicks, CASE WHEN n % 4 <> 0 THEN 3 * n ELSE 0 END AS dx,
          CASE WHEN n % 4 <> 0 THEN n % 5 ELSE 0 END AS sy, CAST(floor(epoch(ts) / {BUCKET}) AS BIGINT) * {BUCKET} AS b
   FROM (SELECT *, {_N} AS n FROM events))"""
 SQL_SPANS = f"""spn AS (
   SELECT ts AS start_ts, ts + INTERVAL 4 HOUR AS end_ts, {_case("event_type", LABELS)} AS label,
-         CASE WHEN event_id % 3 = 0 THEN 'manual' ELSE 'import' END AS provenance, user_id % 5 AS user_id,
+         CASE WHEN event_id % 3 = 0 THEN 'manual' ELSE 'import' END AS provenance, user_id,
          least(1.0::DOUBLE, value / 100) AS confidence, event_id % 10 = 0 AS extend_forward, event_id AS seq
-  FROM events WHERE event_id % 5 = 0)"""
+  FROM events)"""
 _CLASS_LIST = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
 SQL_PREDICTIONS = f"""prd0 AS (
   SELECT vec_id, label, list_transform(embedding[1:{len(CLASSES)}], lambda x: exp(round(x::DOUBLE, 4) * 12)) AS e FROM embeddings),

@@ -1,7 +1,9 @@
 """The activity pipeline on unbounded input.
 
 Built-in windows and watermarks do the bucketing; what needs memory of a key's past (rolling
-features, debounced transitions) keeps a bounded state in ``applyInPandasWithState``.
+features, trailing votes, debounced transitions) keeps a bounded state in
+``applyInPandasWithState``, which a key that stays silent for ``idle_seconds`` of event time loses;
+it then starts anew. Rows of a key come in the order of their time within a micro-batch.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import intervals, segments
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", late: str = "10 minutes", per_trigger: int = 100) -> DataFrame:
     """New Parquet files of a folder as events, with a watermark on their time."""
@@ -32,7 +36,16 @@ def session_stream(events: DataFrame, keys: Sequence[str], gap_seconds: int = 30
     return events.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("events")).select(*keys, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "events")
 
 
-def rolling_features(rows: DataFrame, keys: Sequence[str], size: int = 15, gap_seconds: int = 300) -> DataFrame:
+#: A key's state is dropped after so long without rows.
+IDLE_SECONDS = 7 * 86_400
+
+
+def _expire(held: GroupState, latest: float, idle_seconds: int) -> None:
+    """State is kept until the watermark passes the key's last row by ``idle_seconds``."""
+    held.setTimeoutTimestamp(max(int((latest + idle_seconds) * 1000), held.getCurrentWatermarkMs() + 1))
+
+
+def rolling_features(rows: DataFrame, keys: Sequence[str], size: int = 15, gap_seconds: int = 300, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """Per bucket: apps seen in the last 15 minutes less one, rolling mean and difference of keys a minute, session minutes.
 
     ``rows`` has (ts, app_id, keys_per_min); the state of a key is its last ``size`` rows and its session start.
@@ -41,6 +54,9 @@ def rolling_features(rows: DataFrame, keys: Sequence[str], size: int = 15, gap_s
     state = T.StructType.fromDDL("ts ARRAY<DOUBLE>, app ARRAY<STRING>, keys ARRAY<DOUBLE>, began DOUBLE")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         times, apps, values, began = ([], [], [], None) if not held.exists else [list(x) if hasattr(x, "__len__") else x for x in held.get]
         made = []
         for row in pd.concat(list(batches)).sort_values("ts").itertuples():
@@ -51,20 +67,24 @@ def rolling_features(rows: DataFrame, keys: Sequence[str], size: int = 15, gap_s
             recent = {a for t, a in zip(times, apps) if t >= now - 900}
             made.append((*key, row.ts, len(recent) - 1, round(sum(values[-5:]) / len(values[-5:]), 4), None if last is None else round(values[-1] - last, 4), round((now - began) / 60, 2)))
         held.update((times, apps, values, began))
+        _expire(held, times[-1], idle_seconds)
         yield pd.DataFrame(made, columns=out.names)
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def transitions(polls: DataFrame, keys: Sequence[str], seconds: int = 120, lock_seconds: int = 60, lock_apps: Sequence[str] = ()) -> DataFrame:
+def transitions(polls: DataFrame, keys: Sequence[str], seconds: int = 120, lock_seconds: int = 60, lock_apps: Sequence[str] = (), idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """Debounced app blocks of (ts, app) polls, event time driven; the state is the block and its challenger."""
     out = T.StructType([*[polls.schema[k] for k in keys], *T.StructType.fromDDL("app STRING, start_ts DOUBLE, end_ts DOUBLE").fields])
     state = T.StructType.fromDDL("app STRING, began DOUBLE, candidate STRING, since DOUBLE")
     locked = set(lock_apps)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         app, began, candidate, since = held.get if held.exists else (None, None, None, None)
-        made = []
+        made, now = [], 0.0
         for row in pd.concat(list(batches)).sort_values(["ts", "app"]).itertuples():
             now = row.ts.timestamp()
             if app is None:
@@ -79,9 +99,35 @@ def transitions(polls: DataFrame, keys: Sequence[str], seconds: int = 120, lock_
                     made.append((*key, app, began, since))
                     app, began, candidate = row.app, since, None
         held.update((app, began, candidate, since))
+        _expire(held, now, idle_seconds)
+        yield pd.DataFrame(made, columns=out.names)
+
+    return polls.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def trailing_votes(rows: DataFrame, keys: Sequence[str], size: int = 5, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """(ts, seq, label, smoothed): the most frequent of a key's last ``size // 2 + 1`` labels, rejected ones among them.
+
+    A row's own label wins a tie, else the first to occur, as in ``segments.rolling_majority`` with ``trailing``.
+    """
+    out = T.StructType([*[rows.schema[c] for c in (*keys, "ts", "seq", "label")], T.StructField("smoothed", T.StringType())])
+    state = T.StructType.fromDDL("labels ARRAY<STRING>, latest DOUBLE")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        labels, latest = (list(held.get[0]), held.get[1]) if held.exists else ([], 0.0)
+        made = []
+        for row in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
+            labels = [*labels, row.label][-(size // 2 + 1) :]
+            latest = max(latest, row.ts.timestamp())
+            made.append((*key, row.ts, row.seq, row.label, max(labels, key=lambda x: (labels.count(x), x == row.label, -labels.index(x)))))
+        held.update((labels, latest))
+        _expire(held, latest, idle_seconds)
         yield pd.DataFrame(made, columns=out.names)
 
-    return polls.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.select(*out.names[:-1]).groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None):
@@ -92,3 +138,50 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, each: Callable
         rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def enqueue_batches(stream: DataFrame, path: str, checkpoint: str, threshold: float = 0.55):
+    """Low-confidence buckets of every micro-batch, unless a pending request of an earlier batch names them."""
+    spark = stream.sparkSession
+    schema = T.StructType([*[stream.schema[c] for c in ("user_id", "bucket")], *T.StructType.fromDDL("status STRING, batch INT").fields])
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces its own requests
+        pending = batch.sparkSession.read.schema(schema).parquet(path).where((F.col("batch") != number) & (F.col("status") == "pending"))
+        rows = intervals.enqueue(batch, pending.select("user_id", "bucket").distinct(), threshold)
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_segments(buckets: DataFrame, path: str, checkpoint: str, keys: Sequence[str], seconds: int):
+    """Segments of (bucket, label) rows under ``path``: ``done``, and in ``open`` each key's last one after every batch.
+
+    A key's open segment is read back and goes on in the next batch, so segments do not end where
+    micro-batches do. Buckets are expected in order, once each, as a windowed aggregation emits them.
+    """
+    spark = buckets.sparkSession
+    schema = T.StructType([*[buckets.schema[k] for k in keys], *T.StructType.fromDDL("start_ts TIMESTAMP, end_ts TIMESTAMP, label STRING, buckets LONG, batch INT").fields])
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(schema).parquet(f"{path}/open/{number - 1}").drop("batch")
+        runs = segments.join_runs(before.unionByName(segments.bucket_runs(batch, keys, seconds)), keys)
+        last = F.col("start_ts") == F.max("start_ts").over(Window.partitionBy(*keys))
+        made = runs.withColumns({"_last": last, "batch": F.lit(number)}).persist()
+        # a batch that is run again replaces what it wrote
+        made.where("_last").drop("_last").write.mode("overwrite").parquet(f"{path}/open/{number}")
+        made.where("NOT _last").drop("_last").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/done")
+        made.unpersist()
+
+    none = spark.createDataFrame([], schema)
+    none.write.mode("ignore").parquet(f"{path}/open/-1")
+    none.write.mode("append").partitionBy("batch").parquet(f"{path}/done")
+    return buckets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_segments(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Finished segments and the open ones after the last batch; ``schema`` is theirs with an int column ``batch``."""
+    open_, done = spark.read.schema(schema).parquet(f"{path}/open/*"), spark.read.schema(schema).parquet(f"{path}/done")
+    latest = open_.agg(F.max("batch").alias("_latest"))
+    return done.unionByName(open_.join(F.broadcast(latest), F.col("batch") == F.col("_latest")).drop("_latest")).drop("batch")
