@@ -38,7 +38,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _same_columns(surrogates.pseudonymise(docs, surrogates.DEFAULT_KEY), docs)
+    return _same_columns(surrogates.pseudonymise(docs, surrogates.session_key(spark)), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
