@@ -321,6 +321,30 @@ def test_jaccard_join(spark, monkeypatch):
         assert got == want
 
 
+def test_chained_components_go_by_buckets(spark, monkeypatch):
+    # texts that drift away word by word: neighbours are linked, the ends of the chain share nothing
+    rng = random.Random(7)
+    words, docs = [f"c{rng.randrange(500)}" for _ in range(70)], []
+    for k in range(400):
+        docs.append((k, " ".join(words)))
+        words = words[3:] + [f"c{rng.randrange(500)}" for _ in range(3)]
+    want = near_duplicates.brute_force(docs)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 6)
+    units = []
+    whole = near_duplicates.units_of
+    monkeypatch.setattr(near_duplicates, "units_of", lambda *a: units.append(whole(*a)) or units[-1])
+    got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_duplicates.jaccard_join(frame(spark, docs)).collect()}
+    assert got == want and max(n for _, _, n in want.values()) > 2
+    assert units[0].where("size(shared) > 1").count() > 100  # the chain did not go as a whole
+
+
+def test_recall_of_banding_on_a_table(spark):
+    docs = [(i, t) for i, t in documents(spark)]
+    want = {i for i, (_, _, n) in near_duplicates.brute_force(docs).items() if n}
+    got = {r.doc_id for r in near_duplicates.jaccard_join(frame(spark, docs)).where("n_links > 0").collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_jaccard_join_of_rows_without_ids(spark):
     base = " ".join(f"u{k}" for k in range(60))
     rows = [(None, base), (None, base), (None, base + " more"), (7, base + " and more"), (7, "some other text of seven words"), (7, base + " and more")]

@@ -3,11 +3,16 @@
 A text is the set of its five-word shingles (one shingle of all words if there are fewer);
 texts with equal sets are one class. Each class has ``bands * rows`` minimum hashes; band
 and row counts are the cheapest whose chance to miss a pair at the threshold is at most
-``1 - recall``. Band hashes are shuffled and each class is tied to the least class of each
-bucket; the components of those ties hold every candidate pair. Inside a component all
-candidates are verified on full sets: intersections are counted for whole blocks at once,
-and only link counts and one tie for each class leave a task. A component beyond a block is
-dealt out as pairs of blocks, so no group meets in one task and no pair becomes a row.
+``1 - recall``. Band hashes are shuffled: classes that share one are candidates of each other.
+
+Candidates are verified on full sets, in units. Ties of each class to the least class of each
+bucket give components, which hold every candidate pair; a component is a unit, so that classes
+which share many buckets are compared once. A component beyond a block, where chains of loosely
+alike texts may join what no bucket does, is verified bucket by bucket instead wherever that brings
+fewer rows together: buckets with the same classes count once, and a pair that shares several
+is counted in the least of them. Within a unit intersections are counted for whole blocks at
+once, and only link counts and one tie for each class leave a task. A unit beyond a block is dealt
+out as pairs of blocks, so no group meets in one task and no pair becomes a row.
 
 Rows: exact copies collapse by a grouping before anything is compared; hot bucket and class
 keys meet only in joins that Spark splits and in groupings that pre-aggregate. Steps are
@@ -15,7 +20,9 @@ checkpointed, so an executor's loss costs the tasks of one step.
 
 A null or empty text, or one without words, equals only texts with the same bytes and links
 to none. Ids may repeat or be null: every row finds its class through the digest of its set,
-and texts without an id are compared as all others.
+and texts without an id are compared as all others. A pair exactly at the threshold is linked.
+Very long texts are one chunk each, never cut. Columns other than id and text play no part;
+``deduplicate`` keeps them. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 #: Classes, and shingles, of a block of candidates.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 200) -> tuple[int, int]:
@@ -167,18 +174,31 @@ def _intersections(columns: np.ndarray, owners: np.ndarray, m: int) -> np.ndarra
     return shared
 
 
-def _verify(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, links, least linked node) of the classes of one tile: all pairs of one block, or those across two."""
+def _counted_before(units: list[np.ndarray], unit: int, m: int) -> np.ndarray:
+    """m x m flags of pairs that share a unit before this one; ``units`` has those of each class."""
+    seen = np.zeros((m, m), bool)
+    sizes = [len(u) for u in units]
+    if sum(sizes):
+        all_units, owners = np.concatenate(units), np.repeat(np.arange(m), sizes)
+        for earlier in np.unique(all_units[all_units < unit]):
+            both = owners[all_units == earlier]
+            seen[np.ix_(both, both)] = True
+    return seen
+
+
+def _verify(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], units: list[np.ndarray], unit: int, across: bool, share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, least linked node) of the classes of one tile: all pairs of one block, or only those ``across`` two, one of which may be empty."""
     _, keep = np.unique(nodes, return_index=True)
-    nodes, blocks, sets = nodes[keep], blocks[keep], [sets[k] for k in keep]
+    nodes, blocks, sets, units = nodes[keep], blocks[keep], [sets[k] for k in keep], [units[k] for k in keep]
     m = len(nodes)
     sizes = np.array([len(s) for s in sets], np.int64)
     owners = np.repeat(np.arange(m), sizes)
     shared = _intersections(np.concatenate(sets), owners, m)
     p, q = share.numerator, share.denominator
     linked = (p + q) * shared.astype(np.int64) >= p * (sizes[:, None] + sizes[None, :])
-    if blocks.min() != blocks.max():
+    if across:
         linked &= blocks[:, None] != blocks[None, :]
+    linked &= ~_counted_before(units, unit, m)
     np.fill_diagonal(linked, False)
     label = np.arange(m)
     while True:
@@ -191,37 +211,64 @@ def _verify(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], share
 
 
 def _tile_results(share: Fraction):
-    """Rows arrive sorted by tile and node: (tile, block, node, shingles); repeated rows bring a node again."""
+    """Rows arrive sorted by tile and node: (tile, unit, across, block, node, units, shingles); repeated rows bring a node again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, nodes, blocks, sets = None, [], [], []
+        tile, unit, across, nodes, blocks, units, sets = None, 0, False, [], [], [], []
 
         def result() -> Iterator[pa.RecordBatch]:
             if len(nodes) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _verify(np.array(nodes), np.array(blocks), sets, share)], ["node", "links", "tie"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _verify(np.array(nodes), np.array(blocks), sets, units, unit, across, share)], ["node", "links", "tie"])
 
         for batch in batches:
-            tiles, block, node, shingles = (c.to_pylist() for c in batch.columns)
+            tiles, unit_, across_, block, node, shared, shingles = (c.to_pylist() for c in batch.columns)
             for k in range(len(tiles)):
                 if tiles[k] != tile:
                     yield from result()
-                    tile, nodes, blocks, sets = tiles[k], [], [], []
+                    tile, unit, across, nodes, blocks, units, sets = tiles[k], unit_[k], across_[k], [], [], [], []
                 elif nodes[-1] == node[k]:
                     continue
                 nodes.append(node[k])
                 blocks.append(block[k])
+                units.append(np.array(shared[k], np.int64))
                 sets.append(np.frombuffer(shingles[k], np.uint64))
         yield from result()
 
     return run
 
 
-def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(node, links, tie) from every tile of every component of ``members`` (id, text_key, node, n, component)."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
-    placed = members.join(sizes, "component").select(_place(F.col("id"), F.col("text_key")).alias("place"), "node", "component", blocks.alias("blocks"))
-    texts = docs.select(_place(F.col(id_col), _text_key(text_col)).alias("place"), F.col(text_col).alias("text")).join(placed, "place").select("text", "node", "component", "blocks")
+def _blocks(m: Column, s: Column) -> Column:
+    return F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("long")
+
+
+def units_of(classes: DataFrame, members: DataFrame, bands: int) -> DataFrame:
+    """(node, units, blocks, shared): the units that each class is verified in, their numbers of blocks, and those that pairs may share.
+
+    ``members`` has (node, n, component). One unit is the component; a larger component goes by its
+    buckets if their rows, each as often as its bucket has blocks, are fewer.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1").withColumn("blocks", _blocks(F.col("m"), F.col("s")))
+    large = checkpointed(sizes.where("blocks > 1"))
+    none = F.array().cast("array<bigint>")
+    if large.isEmpty():
+        return members.join(sizes, "component").select("node", F.array("component").alias("units"), F.array("blocks").alias("blocks"), none.alias("shared"))
+    inside = members.join(large.select("component"), "component").select("node", "n", "component")
+    keyed = checkpointed(_band_rows(classes.join(inside.select("node"), "node", "left_semi"), bands).join(inside, "node"))
+    # a bucket's classes are told by their number and the sum of their digests
+    members_sum = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
+    buckets = keyed.groupBy("key").agg(F.first("component").alias("component"), F.count("*").alias("m"), F.sum("n").alias("s"), members_sum.alias("d")).where("m > 1")
+    once = checkpointed(buckets.groupBy("component", "m", "d").agg(F.min("key").alias("key"), F.first("s").alias("s")).withColumn("blocks", _blocks(F.col("m"), F.col("s"))))
+    cost = once.groupBy("component").agg(F.sum(F.col("m") * F.col("blocks")).alias("cost"))
+    cheaper = checkpointed(large.join(cost, "component").where(F.col("cost") < F.col("m") * F.col("blocks")).select("component"))
+    whole = members.join(sizes, "component").join(cheaper, "component", "left_anti").select("node", F.array("component").alias("units"), F.array("blocks").alias("blocks"), none.alias("shared"))
+    held = keyed.join(once.join(cheaper, "component", "left_semi").select("key", "blocks"), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("u"))
+    return whole.unionByName(held.select("node", F.col("u.key").alias("units"), F.col("u.blocks").alias("blocks"), F.col("u.key").alias("shared")))
+
+
+def verified(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float, bands: int) -> DataFrame:
+    """(node, links, tie) from every tile of every unit of ``members`` (id, text_key, node, n, component)."""
+    placed = members.join(units_of(classes, members, bands), "node").select(_place(F.col("id"), F.col("text_key")).alias("place"), "node", "units", "blocks", "shared")
+    texts = docs.select(_place(F.col(id_col), _text_key(text_col)).alias("place"), F.col(text_col).alias("text")).join(placed, "place").select("text", "node", "units", "blocks", "shared")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,25 +276,27 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, th
                 shingles, counts = shingle_sets(data, offsets)
                 digest = set_digests(data, offsets, shingles, counts)
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                node, component, blocks = (batch.column(k)[row:end].to_numpy() for k in (1, 2, 3))
+                node = batch.column(1)[row:end].to_numpy()
                 own = np.flatnonzero(digest == node)  # an id may stand for other texts too
-                block = (tb.mix(node.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                out: list[tuple[int, int, int, int, bytes]] = []
+                mark = tb.mix(node.view(np.uint64))
+                out: list[tuple] = []
                 for k in own.tolist():
-                    b, raw = int(block[k]), shingles[edges[k] : edges[k + 1]].tobytes()
-                    for other in range(int(blocks[k])):
-                        low, high = min(b, other), max(b, other)
-                        out.append((int(component[k]), low * int(blocks[k]) + high, b, int(node[k]), raw))
-                        if len(out) >= 256:
-                            yield _tile_batch(out)
-                            out = []
+                    raw, shared = shingles[edges[k] : edges[k + 1]].tobytes(), batch.column(4)[row + k].as_py()
+                    for unit, blocks in zip(batch.column(2)[row + k].as_py(), batch.column(3)[row + k].as_py()):
+                        b = int(mark[k] % np.uint64(blocks))
+                        for other in range(blocks):
+                            low, high = min(b, other), max(b, other)
+                            out.append((unit, low * blocks + high, low != high, b, int(node[k]), shared, raw))
+                            if len(out) >= 256:
+                                yield _tile_batch(out)
+                                out = []
                 if out:
                     yield _tile_batch(out)
 
-    tiles = mapped(texts, spread, "component long, tile long, block long, node long, shingles binary")
-    # a random mix of component and tile names the task; rows of a tile then come together
-    dealt = tiles.withColumn("tile", F.xxhash64("component", "tile")).drop("component").repartition(_partitions(docs.sparkSession), "tile").sortWithinPartitions("tile", "node")
-    return mapped(dealt.select("tile", "block", "node", "shingles"), _tile_results(Fraction(threshold).limit_denominator(1000)), "node long, links long, tie long")
+    tiles = mapped(texts, spread, "unit long, tile long, across boolean, block long, node long, shared array<long>, shingles binary")
+    # a random mix of unit and tile names the task; rows of a tile then come together
+    dealt = tiles.withColumn("tile", F.xxhash64("unit", "tile")).repartition(_partitions(docs.sparkSession), "tile").sortWithinPartitions("tile", "node")
+    return mapped(dealt.select("tile", "unit", "across", "block", "node", "shared", "shingles"), _tile_results(Fraction(threshold).limit_denominator(1000)), "node long, links long, tie long")
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -255,8 +304,8 @@ def _partitions(spark: SparkSession) -> int:
 
 
 def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    component, tile, block, node, raw = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(component, pa.int64()), pa.array(tile, pa.int64()), pa.array(block, pa.int64()), pa.array(node, pa.int64()), pa.array(raw, pa.binary())], ["component", "tile", "block", "node", "shingles"])
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["unit", "tile", "across", "block", "node", "shared", "shingles"])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -272,7 +321,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ties = checkpointed(candidate_ties(classes, bands))
     groups = components(ties)
     members = checkpointed(classes.select("id", "text_key", "node", "n").join(groups, "node"))
-    found = checkpointed(verified(docs, members, id_col, text_col, threshold))
+    found = checkpointed(verified(docs, classes, members, id_col, text_col, threshold, bands))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = components(found.where("links > 0 AND node <> tie").select(F.col("node").alias("a"), F.col("tie").alias("b")))
     named = classes.select("node", F.col("id").alias("class_id")).join(linked, "node", "left").join(links, "node", "left")
