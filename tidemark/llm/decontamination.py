@@ -11,10 +11,13 @@ sampled position, and the spans merged.
 There is no shuffle: documents are scanned once and each row answers for itself, so hot
 sources, copies and lost executors need no care. The benchmark is broadcast in blocks of
 about ``block_bytes``; a larger one costs one pass over the documents for each block, with a
-written table between blocks, so that a task holds one block. The driver makes each block's windows.
+written table between blocks, so that a task holds one block. The driver makes each block's windows
+as arrays, about 50 bytes for each word of the block.
 
-Null or empty texts have no words. Repeated rows and repeated ids are judged row by row.
-An item without id marks words but is not listed; items that repeat an id count once.
+Null or empty texts have no words. Repeated rows and repeated ids are judged row by row; items
+that tie in a window are all listed. An item without id marks words but is not listed; items that
+repeat an id count once. A very long text is a shard of its own, never cut. Other columns stay.
+Empty tables give empty ones; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from tidemark.llm.shared import mapped, stored
 
 SAMPLE_EVERY = 8
 #: Bytes of benchmark texts whose windows the driver and each worker hold at once, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -114,7 +117,7 @@ class FMIndex:
             live = np.flatnonzero((lengths > k) & (low < high))
             if not len(live):
                 break
-            symbol = patterns[live, width - 1 - k]
+            symbol = patterns[live, width - 1 - k].astype(np.int64)
             low[live] = self.before[symbol] + self.matrix.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.matrix.rank(symbol, high[live])
         return low, np.maximum(low, high)
@@ -140,28 +143,30 @@ class Windows:
         data, offsets = tb.utf8(texts)
         hashes, _, _, counts = tb.words(data, offsets)
         self.vocabulary = np.unique(hashes)
-        ranks = np.searchsorted(self.vocabulary, hashes) + 1
+        ranks = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
         known = sorted({x for x in ids if x is not None})
-        code = {x: k for k, x in enumerate(known)}
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        found: dict[tuple[int, ...], set[int]] = {}
-        for row, item in enumerate(ids):
-            own = ranks[edges[row] : edges[row + 1]].tolist()
-            for start in range(max(1, len(own) - n + 1) if own else 0):
-                found.setdefault(tuple(own[start : start + n]), set()).add(code.get(item, -1))
+        codes = {x: k for k, x in enumerate(known)}
+        code = np.array([codes.get(x, -1) for x in ids], np.int64)
+        # each item's windows, right-aligned in rows of n words
+        sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+        item = np.repeat(np.arange(len(ids)), sizes)
+        start = np.repeat(np.cumsum(counts) - counts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(item))
+        width = np.minimum(counts, n)[item]
+        rows = np.zeros((len(item), n), np.int32)
+        for k in range(n):
+            live = np.flatnonzero(k < width)
+            rows[live, n - width[live] + k] = ranks[start[live] + k]
+        _, first, window = np.unique(rows.view(f"V{4 * n}").ravel(), return_index=True, return_inverse=True)
         self.items = np.array(known, dtype=object)
-        keys = list(found)
-        self.lengths = np.array([len(x) for x in keys], np.int64)
-        self.patterns = np.zeros((len(keys), n), np.int64)
-        for row, key in enumerate(keys):
-            self.patterns[row, n - len(key) :] = key
-        owners = [sorted(x for x in found[key] if x >= 0) for key in keys]
-        self.owner_edges = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        self.owners = np.array([y for x in owners for y in x], np.int64)
-        self.shortest = int(self.lengths.min()) if keys else 0
-        pairs = {(a, b) for key in keys for a, b in zip(key, key[1:])}
+        self.lengths, self.patterns = width[first].astype(np.int64), rows[first]
+        named = code[item] >= 0
+        owned = np.unique(window[named] * (len(known) + 1) + code[item][named])
+        self.owners = owned % (len(known) + 1)
+        self.owner_edges = np.searchsorted(owned // (len(known) + 1), np.arange(len(first) + 1))
+        self.shortest = int(self.lengths.min()) if len(first) else 0
         self.size = len(self.vocabulary) + 1
-        self.pairs = np.array(sorted(a * self.size + b for a, b in pairs), np.int64)
+        left, right = self.patterns[:, :-1].astype(np.int64), self.patterns[:, 1:]
+        self.pairs = np.unique((left * self.size + right)[left > 0])
         self.filter = np.zeros(1 << 18, bool)
         self.filter[(self.vocabulary >> np.uint64(46)).astype(np.int64)] = True
 
