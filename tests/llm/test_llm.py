@@ -406,6 +406,23 @@ def test_url_index_finds_what_all_expressions_find(spark):
     assert got["http://www.porn.example.org/"] == got["http://a.xxx-b.example.org/"] == ["adult"]
 
 
+def test_url_rules_as_a_table(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["adult", "porn", "xxx", "spam-farm", "login", "wp-login", "example", "www", "net", "com", "es", "en", "fr", "feed", "page"]
+    pick = lambda: rng.choice(words)
+    rows = [f"http://{pick()}.{pick()}.{rng.choice(['com', 'net', 'org'])}/{pick()}/{pick()}?{rng.choice(['page=2', 'utm_source=feed', 'x=1'])}" for _ in range(400)]
+    rows += [None, "", "no url", rows[0], rows[0], "http://example.com/en/" + "a" * 100_000, "HTTP://WWW.EXAMPLE.COM/en/x"]
+    hosts = (*urls.HOST_RULES, *[urls.HostRule("block", f"{a}.{b}.org", f"/{c}/") for a in words for b in words[:5] for c in words[:9]])
+    table = frame(spark, [(k, u, "h") for k, u in enumerate(rows)], "page_id long, url string, host string")
+    got = sorted((tuple(r) for r in urls.judge(table, hosts).collect()), key=repr)
+    monkeypatch.setattr(urls, "LITERAL_RULES", 10**6)
+    assert got == sorted((tuple(r) for r in urls.judge(table, hosts).collect()), key=repr) and len(got) == len(rows)
+    for page, url, host, path, rule, patterns, _ in got:
+        assert patterns == sorted(p.name for p in urls.PATTERN_RULES if re.search(p.regex, url or ""))
+        fits = [r.name for r in hosts if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        assert rule == (max(fits, key=lambda n: (len(n), n)) if fits else None)
+
+
 # 8, 9 ----------------------------------------------------------------------------------------
 
 
@@ -615,6 +632,27 @@ def test_empty_tables(spark):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"l{k}" for k in range(30_000))
+    rows = [(1, None, "a"), (2, "", "a"), (None, "no id but words enough to stay", "b"), (3, "twice the same row of some words", None), (3, "twice the same row of some words", None), (4, long, "c")]
+    for name, docs in (("none", []), ("some", rows)):
+        folder = str(tmp_path / name)
+        frame(spark, docs, "doc_id long, text string, source string").withColumns({"_toxicity": F.lit(9), "n_entities": F.lit("z"), "sequence_id": F.lit(1), "length": F.lit("y")}).write.parquet(f"{folder}/documents.parquet")
+        frame(spark, [(1, 0, 1)] if docs else [], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+        frame(spark, [(1, "words that are in no text of these at all and more")] if docs else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = kept
+            kept = packing.checkpointed(stage(spark, kept, folder))
+            assert kept.columns == before.columns
+        assert sorted((r.doc_id, r.text) for r in kept.where("doc_id IS NOT NULL").collect() if r.text) == ([(3, rows[3][1]), (4, long)] if docs else [])
+        packed = corpus_pipeline.run(spark, folder).toPandas()
+        assert set(packed.doc_id.dropna()) == ({1, 2, 3, 4} & {r.doc_id for r in kept.collect()})
+        assert not docs or packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

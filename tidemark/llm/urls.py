@@ -9,15 +9,22 @@ Host rules (allow or block a host with its subdomains below a path) and pattern
 the index. The longest fitting host rule decides; without one, a URL that any pattern rule
 matches is blocked and any other allowed.
 
-Rules are configuration, so the index is a literal; token counts come from one aggregation
-over all URLs that returns at most one row for each literal. Judging is one scan without a
-shuffle. A null url, or one without ``://``, has empty host and path and is judged by the
-pattern rules alone (a null one is allowed).
+Up to ``LITERAL_RULES`` rules the index is a literal of the plan: token counts come from one
+aggregation over all URLs that returns at most one row for each literal, and judging is one scan
+without a shuffle. A longer blocklist is a table of rules (``judge_by_table``): the tokens of
+distinct URLs join the index, which Spark broadcasts only if it is small, and both ways give the
+same rows. There a frequent token meets few rules, as a rule is indexed by its rarest token.
+
+A null url, or one without ``://``, has empty host and path and is judged by the pattern rules
+alone (a null one is allowed). Each row is judged by its url alone, so repeated rows get one
+verdict; of host rules of equal length the greater name wins. Very long urls are read whole. Other
+columns stay; those named like a result are replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +34,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+#: More rules than this are joined as a table.
+LITERAL_RULES = 500
+
+
 @dataclass(frozen=True)
 class HostRule:
     """``action`` (allow or block) for a host, its subdomains, and paths that begin with ``path``."""
@@ -100,6 +111,8 @@ def rarest_literals(urls: DataFrame, rules: list, url_col: str) -> dict[str, lis
 def judge(urls: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES, url_col: str = "url") -> DataFrame:
     """``urls`` with host, path, rule, patterns (names of the pattern rules that match) and verdict."""
     rules = [*host_rules, *pattern_rules]
+    if len(rules) > LITERAL_RULES:
+        return judge_by_table(urls, rule_table(urls.sparkSession, host_rules, pattern_rules), url_col)
     tokens_of = rarest_literals(urls, rules, url_col)
 
     def index(own: tuple, entry) -> Column:
@@ -130,6 +143,35 @@ def judge(urls: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES, patter
     return found.select(*keep, "host", "path", F.col("_td_best.name").alias("rule"), F.array_sort(F.array_distinct("patterns")).alias("patterns"), verdict.alias("verdict"))
 
 
+def rule_table(spark: SparkSession, host_rules: Iterable[HostRule], pattern_rules: Iterable[PatternRule]) -> DataFrame:
+    """Rules as rows: name, action, size (of host rules, else null), regex, literals (sets of tokens, one of which each match holds)."""
+    rows = [(r.name, r.action, len(r.name), r.regex, [list(r.literals)]) for r in host_rules]
+    rows += [(r.name, "block", None, r.regex, [list(x) for x in (r.literals, *r.alternatives)]) for r in pattern_rules]
+    return spark.createDataFrame(rows, "name string, action string, size int, regex string, literals array<array<string>>")
+
+
+def judge_by_table(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+    """``judge`` by a table of rules as ``rule_table`` makes it."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    tokens = urls.select(url.alias("_td_url")).distinct().select("_td_url", F.explode(_tokens(F.col("_td_url"))).alias("token"))
+    sets = rules.select("name", "action", "size", "regex", F.explode("literals").alias("one"))
+    named = sets.select(F.explode("one").alias("token")).distinct()
+    counts = tokens.join(named, "token").groupBy("token").agg(F.count("*").alias("n"))
+    each = sets.select("*", F.explode("one").alias("token")).join(counts, "token", "left")
+    rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")
+    index = each.groupBy("name", "action", "size", "regex", "one").agg(rarest).select("token", "name", "action", "size", "regex").distinct()
+    candidates = tokens.join(index, "token")
+    on_host = F.concat(lower_ascii(F.regexp_extract("_td_url", _PARTS, 1)), F.regexp_extract("_td_url", _PARTS, 2))
+    matched = candidates.where(F.regexp_like(F.when(F.col("size").isNotNull(), on_host).otherwise(F.col("_td_url")), F.col("regex")))
+    host = F.col("size").isNotNull()
+    found = matched.groupBy("_td_url").agg(F.max(F.when(host, F.struct("size", "name", "action"))).alias("_td_best"), F.collect_set(F.when(~host, F.col("name"))).alias("_td_patterns"))
+    keep = [c for c in urls.columns if c not in ("host", "path", "rule", "patterns", "verdict")]
+    joined = urls.select(*keep, url.alias("_td_url")).join(found, "_td_url", "left")
+    patterns = F.array_sort(F.coalesce("_td_patterns", F.array().cast("array<string>")))
+    verdict = F.coalesce(F.col("_td_best.action"), F.when(F.size(patterns) > 0, "block").otherwise("allow"))
+    return joined.select(*keep, lower_ascii(F.regexp_extract("_td_url", _PARTS, 1)).alias("host"), F.regexp_extract("_td_url", _PARTS, 2).alias("path"), F.col("_td_best.name").alias("rule"), patterns.alias("patterns"), verdict.alias("verdict"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
