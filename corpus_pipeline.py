@@ -2,6 +2,12 @@
 
 Each stage reads the Parquet table that its predecessor wrote to the shared checkpoint
 folder, so a stage lost to a failure starts again from a table.
+
+All stages but the last keep the columns of ``documents``, whatever their names; columns that
+the stages do not know are carried along. Null and empty texts are scored, stay one text each for
+the near-duplicate stage, and make one token each. Rows that repeat an id and a text become one;
+of a group of near duplicates the least id stays (a null one first), ties by the digest of the
+text. Very long texts pass whole through every stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +24,13 @@ from tidemark.llm.shared import checkpointed, ensure_checkpoint_dir
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, n_chars counted again where there is one."""
     return changed.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
@@ -25,8 +38,8 @@ def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), to="_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), to=(to := _free(docs, "_toxicity")))
+    return scored.where(F.col(to) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +51,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _same_columns(surrogates.pseudonymise(docs, surrogates.session_key(spark)), docs)
+    own = docs.withColumnRenamed("n_entities", aside := _free(docs, "_n_entities"))
+    return _same_columns(surrogates.pseudonymise(own, surrogates.session_key(spark)).drop("n_entities").withColumnRenamed(aside, "n_entities"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
