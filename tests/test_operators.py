@@ -281,6 +281,38 @@ def test_quantiles_against_numpy(spark):
     assert drift.quantiles(spark.createDataFrame([], "feature string, value double"), shares).count() == 0
 
 
+def test_temperature_and_isotonic_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    classes = ("a", "b", "c")
+    logits = rng.normal(size=(300, 3)) * 3
+    probs = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    label = np.where(rng.random(300) < 0.6, probs.argmax(1), rng.integers(0, 3, 300))
+    frame = spark.createDataFrame([(k % 4, classes[y], p.tolist()) for k, (y, p) in enumerate(zip(label, probs))], "user_id int, label string, probs array<double>")
+
+    def loss(rows, t):
+        x = np.log(np.maximum(probs[rows], 1e-12)) / t
+        return -np.mean(x[np.arange(len(rows)), label[rows]] - np.log(np.exp(x).sum(1)))
+
+    for keys, groups in (((), {None: np.arange(300)}), (("user_id",), {u: np.arange(u, 300, 4) for u in range(4)})):
+        got = {(r.user_id if keys else None): r.temperature for r in learning.fit_temperature(frame, classes, keys).collect()}
+        for u, rows in groups.items():
+            assert loss(rows, got[u]) <= min(loss(rows, t) for t in np.arange(0.1, 5, 0.01)) + 1e-6
+    boundaries, values = learning.fit_isotonic(frame, classes)[0]
+    # pool adjacent violators over probabilities rounded to thousandths
+    x = np.floor(probs[:, 0] * 1000 + 0.5) / 1000
+    blocks = []
+    for v in np.unique(x):
+        own = (label[x == v] == 0).astype(float)
+        blocks.append([own.mean(), len(own), v, v])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
+    for mean, _, low, high in blocks:
+        assert np.allclose(np.interp([low, high], boundaries, values), mean, atol=1e-6)
+
+
 def test_time_split_is_a_partition(spark):
     rows = spark.createDataFrame([(u, at(i)) for u, n in ((1, 20), (2, 7)) for i in range(n)], "user_id int, bucket timestamp")
     counts = {(r.user_id, r.split): r["count"] for r in learning.time_split(rows).groupBy("user_id", "split").count().collect()}

@@ -4,7 +4,6 @@ from tests.compare import both
 from tidemark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"L5_training_set", "L20_replay", "L13_search", "V11_validate"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -13,7 +12,7 @@ def test_matches_oracle(spark, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs_without_oracle(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 

@@ -306,6 +306,9 @@ ORACLE_SQL = {
           UNION ALL SELECT 'reject_rate', '', (SELECT round(avg((predicted = 'Mixed/Unknown')::INTEGER), 4) FROM pr) UNION ALL SELECT CASE WHEN seen THEN 'seen_macro_f1' ELSE 'unseen_macro_f1' END, '', round(avg(coalesce(f0, 0)), 4) FROM pc2 GROUP BY seen),
         gt(metric, label, comparison, bound) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {x}::DOUBLE)" for a, b, c, x in metrics.GATES)})
         SELECT gt.*, value, coalesce(CASE WHEN comparison = '>=' THEN value >= bound ELSE value <= bound END, false) AS passed FROM gt LEFT JOIN mt USING (metric, label)""",
+    "M18_evaluation_modes": f"""WITH {SQL_PREDICTIONS}, {_CL}, ca AS (SELECT label, predicted, 1 / list_sum(list_transform(probs, lambda p: exp((ln(greatest(p, 1e-12)) - ln(greatest(confidence, 1e-12))) / 1.4))) AS c FROM prd),
+        md AS (SELECT 'raw' AS mode, label, predicted FROM prd UNION ALL SELECT 'calibrated', label, predicted FROM prd UNION ALL SELECT 'calibrated_reject', label, CASE WHEN c < {LIMIT} THEN 'Mixed/Unknown' ELSE predicted END FROM ca), {_pc('md', 'mode')},
+        f AS (SELECT mode, {_F1} FROM pc GROUP BY mode), r AS (SELECT mode, {_RJ} FROM md GROUP BY mode) SELECT * FROM f JOIN r USING (mode)""",
     "M19_threshold_sweep": f"WITH {SQL_PREDICTIONS}, {_CL}, {_SWEEP}, {_pc('sw', 'threshold')}, f AS (SELECT threshold, round(avg(coalesce(f0, 0)), 4) AS macro_f1 FROM pc GROUP BY threshold), c AS (SELECT threshold, round(coalesce(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown' AND label = predicted) / nullif(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown'), 0), 0), 4) AS accuracy, round(count(*) FILTER (WHERE predicted = 'Mixed/Unknown') / count(*), 4) AS reject_rate, round(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown') / count(*), 4) AS coverage FROM sw GROUP BY threshold) SELECT * FROM c JOIN f USING (threshold)",
     "D1_psi": f"WITH {_PSI} SELECT feature, round(psi, 6) AS psi FROM ps",
     "D2_ks": f"WITH {_KS} SELECT feature, round(d, 6) AS statistic, round(p, 6) AS p_value FROM ks",

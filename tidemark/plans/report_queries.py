@@ -385,6 +385,9 @@ ORACLE_SQL = {
     "L2_blank_rows": f"WITH {_LAB}, {INP} SELECT f.k, f.b AS bucket FROM ({WITH_FOLLOWING}) f JOIN inp ON inp.k = f.k AND inp.bucket = f.b",
     "L3_time_split": f"WITH {_LAB}, r AS (SELECT k, b, row_number() OVER (PARTITION BY k ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM lab) SELECT k, b AS bucket, {_SPLIT} AS split FROM r",
     "L4_holdout_users": "WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id FROM u ORDER BY sha256('42:' || user_id) LIMIT (SELECT greatest(1, floor(count(*) * 0.1))::BIGINT FROM u)",
+    "L5_training_set": f"""WITH {fq.SESS}, {INP}, {SQL_SPANS}, lw AS (SELECT t.k, t.b, t.s, any_value(spn.label) AS label FROM sess t JOIN spn ON spn.user_id = t.k AND epoch_us(start_ts) <= t.b * 1000000 AND (t.b + {BUCKET}) * 1000000 <= epoch_us(end_ts) GROUP BY t.k, t.b, t.s HAVING count(DISTINCT spn.label) = 1),
+        ls AS (SELECT * FROM lw QUALIFY count(*) OVER (PARTITION BY k, s) >= 2), lb AS (SELECT ls.* FROM ls JOIN inp ON inp.k = ls.k AND inp.bucket = ls.b),
+        r AS (SELECT k, label, row_number() OVER (PARTITION BY k ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM lb) SELECT {_SPLIT} AS split, label, count(*) AS n FROM r GROUP BY ALL""",
     "L7_dataset_snapshot": f"WITH {SQL_SPANS} SELECT count(*) AS rows, CAST(min(start_ts)::DATE AS VARCHAR) AS first_date, CAST(max(start_ts)::DATE AS VARCHAR) AS last_date, count(DISTINCT user_id) AS users, count(DISTINCT label) AS labels FROM spn",
     "L8_category_codes": "WITH v AS (SELECT p_brand AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 HAVING count(*) >= 40 UNION ALL SELECT '__unknown__'), c AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INTEGER AS c FROM v) SELECT p_partkey, coalesce(c, (SELECT c FROM c WHERE v = '__unknown__')) AS code FROM part LEFT JOIN c ON v = p_brand",
     "L9_balanced_weights": f"WITH {_P} SELECT vec_id, round(count(*) OVER () / (max(list_position({td._CLASS_LIST}, label)) OVER () * count(*) OVER (PARTITION BY label)), 6) AS weight FROM pr",
@@ -396,6 +399,9 @@ ORACLE_SQL = {
     "R2_mapped_minutes": f"WITH {_SMO}, {_seg('smo', 'sg')} SELECT {td._case('label', _NAMES)} AS label, sum(buckets)::DOUBLE * {BUCKET / 60} AS minutes, count(*) AS segments FROM sg GROUP BY 1",
     "R3_switch_stats": f"WITH {SQL_ACTIVITY}, c AS (SELECT k, b, app <> lag(app) OVER (PARTITION BY k, b ORDER BY ts, seq) AS c FROM act), n AS (SELECT count(*) FILTER (WHERE c) AS n FROM c GROUP BY k, b) SELECT round(avg(n), 2) AS mean, round(quantile_cont(n, 0.5), 2) AS median, max(n) AS max, sum(n)::BIGINT AS sum, count(n) AS buckets FROM n",
     "R4_flap_rates": f"WITH {_SMO}, c AS (SELECT k, own <> lag(own) OVER w AS a, label <> lag(label) OVER w AS z FROM smo WINDOW w AS (PARTITION BY k ORDER BY b)) SELECT k, round(count(*) FILTER (WHERE a) / count(*), 6) AS raw, round(count(*) FILTER (WHERE z) / count(*), 6) AS smooth FROM c GROUP BY k",
+    "R5_baseline_report": f"""WITH {DOM}, {INP}, lab AS (SELECT dom.k, dom.b, CASE WHEN active_seconds_any IS NULL OR active_seconds_any < 5 OR idle > 50 THEN 'BreakIdle' WHEN app = 'browser' AND scroll_events_per_min > 3 AND keys_per_min < 10 THEN 'ReadResearch'
+        WHEN app IN ('editor', 'terminal') AND keys_per_min > 30 AND clicks_per_min > 1 THEN 'Build' ELSE 'Mixed/Unknown' END AS label FROM dom LEFT JOIN inp ON inp.k = dom.k AND inp.bucket = dom.b LEFT JOIN idle ON idle.k = dom.k AND idle.b = dom.b)
+        {_SMO[len(_LAB):].replace("a.i - 2 AND a.i + 2", "a.i - 1 AND a.i + 1")}, {_seg('smo', 'sg')} SELECT k, CAST(make_timestamp(start_ts * 1000000)::DATE AS VARCHAR) AS date, label, round(sum(buckets) * {BUCKET / 60}, 2) AS minutes, count(*) AS segments FROM sg GROUP BY 1, 2, 3""",
     "ST1_ingest": f"WITH {SQL_ACTIVITY} SELECT app AS app_id, count(*) AS n FROM act GROUP BY app",
     "ST2_bucket_stream": f"WITH {SQL_ACTIVITY} SELECT k, b AS bucket, count(*) AS events, round(sum(dur), 2) AS seconds FROM act GROUP BY k, b",
     "ST3_session_stream": f"WITH {SQL_ACTIVITY}, g AS (SELECT k, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY k ORDER BY ts) < 1800 THEN 0 ELSE 1 END AS c FROM act), r AS (SELECT k, ts, sum(c) OVER (PARTITION BY k ORDER BY ts) AS s FROM g), t AS (SELECT k, s, min(ts) AS a, count(*) AS n FROM r GROUP BY k, s) SELECT k, count(*) AS sessions, sum(n)::BIGINT AS events FROM t GROUP BY k",
