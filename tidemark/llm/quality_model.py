@@ -7,8 +7,11 @@ length one, so a score is one sparse dot product and does not grow with length.
 The weights are fitted on a bounded sample of labelled rows (``labelled.MAX_ROWS`` and
 ``MAX_BYTES``), the bias then set to the class shares of all labelled rows that are not held
 out; they are one array of fixed size, which is broadcast. Scoring is a scan.
+
 Null and empty texts score the bias alone. Without rows of both classes every text scores
-that base.
+that base. Rows are scored one by one, whatever their ids: repeated rows score alike, ties have no
+meaning. A very long text is one chunk of its own, never cut. Other columns stay as they are; one
+named like the score is replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.labelled import MAX_BYTES, MAX_ROWS, held_out, labelled_sample
+from tidemark.llm.labelled import MAX_ROWS, held_out, labelled_sample
 from tidemark.llm.shared import mapped
 
 BITS = 19
+#: Bytes of labelled texts at most; a text becomes one small array of cells, so more fit than in a language model.
+MAX_BYTES = 12 << 20
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
 #: Passes over the sample: at least MIN_STEPS updates, from 3 to 30 passes.
 MIN_STEPS = 20_000
