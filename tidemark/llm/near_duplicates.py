@@ -180,8 +180,12 @@ def _counted_before(units: list[np.ndarray], unit: int, m: int) -> np.ndarray:
     sizes = [len(u) for u in units]
     if sum(sizes):
         all_units, owners = np.concatenate(units), np.repeat(np.arange(m), sizes)
-        for earlier in np.unique(all_units[all_units < unit]):
-            both = owners[all_units == earlier]
+        earlier = all_units < unit
+        order = np.argsort(all_units[earlier], kind="stable")
+        found, owners = all_units[earlier][order], owners[earlier][order]
+        edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]])) if len(found) else np.zeros(1, np.int64)
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            both = owners[edges[k] : edges[k + 1]]
             seen[np.ix_(both, both)] = True
     return seen
 
