@@ -260,6 +260,7 @@ pc AS (SELECT {k}l.label, coalesce(hits, 0) / nullif(pred, 0) AS pr0, coalesce(h
 _F1 = "round(avg(coalesce(f0, 0)), 4) AS macro_f1, round(coalesce(sum(coalesce(f0, 0) * support) / nullif(sum(support), 0), 0), 4) AS weighted_f1"
 _RJ = "round(avg(CASE WHEN predicted = 'Mixed/Unknown' THEN 1 ELSE 0 END), 4) AS reject_rate"
 _HALF = f"ln AS (SELECT l_shipdate < TIMESTAMP '{SPLIT}' AS ref, CASE WHEN l_shipdate < TIMESTAMP '{SPLIT}' THEN l_quantity ELSE l_quantity + 3 END AS l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem), uf AS (" + " UNION ALL ".join(f"SELECT ref, '{m}' AS feature, {m} AS v FROM ln" for m in MEASURES) + ")"
+_XY = f"{_P}, uf AS (SELECT vec_id % 3 = 0 AS ref, 'x' AS feature, probs[1] + CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 0.5 END AS v FROM pr UNION ALL SELECT vec_id % 3 = 0, 'y', probs[2] FROM pr)"
 _PSI = f"""{_HALF}, ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{", ".join(str(k / 10) for k in range(11))}]))) AS e FROM uf WHERE ref GROUP BY feature),
 bn AS (SELECT feature, ref, least(len(list_filter(e, lambda x: x <= v)) - 1, len(e) - 2) AS b FROM uf JOIN ed USING (feature) WHERE v >= e[1] AND v <= e[-1]),
 ct AS (SELECT feature, b, count(*) FILTER (WHERE ref) AS r, count(*) FILTER (WHERE NOT ref) AS c FROM bn GROUP BY ALL),
@@ -316,6 +317,14 @@ ORACLE_SQL = {
     "D4_reject_increase": f"WITH {_P}, r AS (SELECT avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 = 0) AS a, avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 <> 0) AS b FROM pr) SELECT round(a, 4) AS reference, round(b, 4) AS current, b - a >= 0.1 AS flagged FROM r",
     "D5_entropy_spike": f"WITH {_P}, r AS (SELECT avg({_ENT}) FILTER (WHERE vec_id % 3 = 0) AS a, avg({_ENT}) FILTER (WHERE vec_id % 3 <> 0) AS b FROM pr) SELECT round(a, 4) AS reference, round(b, 4) AS current, a > 1e-8 AND b > 2 * a AS flagged FROM r",
     "D6_class_shift": f"WITH {_P}, a AS ({_SHARE.format('=')}), b AS ({_SHARE.format('<>')}) SELECT coalesce(a.label, b.label) AS label, coalesce(a.s, 0) AS reference, coalesce(b.s, 0) AS current, abs(coalesce(b.s, 0) - coalesce(a.s, 0)) > 0.15 AS flagged FROM a FULL JOIN b USING (label)",
+    "M20_regression_gates": f"""WITH {_P}, {_CL}, {_pc('pr')}, {_pc('prd').replace('t_', 't2').replace('p_', 'p2').replace('pc AS', 'pc2 AS')}, c AS (SELECT round(avg(coalesce(f0, 0)), 4) AS v FROM pc2), h AS (SELECT round(avg(coalesce(f0, 0)), 4) AS v FROM pc)
+        SELECT 'macro_f1_drop' AS gate, round(c.v - h.v, 4) AS value, c.v - h.v <= 0.02 AS passed FROM c, h UNION ALL SELECT 'min_precision', v, v >= 0.5 FROM (SELECT min(round(coalesce(pr0, 0), 4)) AS v FROM pc)
+        UNION ALL SELECT 'reject_rate', v, v >= 0 FROM (SELECT round(avg((predicted = 'Mixed/Unknown')::INTEGER), 4) AS v FROM pr)""",
+    "D7_alerts": f"""WITH {_PSI.replace(_HALF, _XY)}, {_KS.replace(_HALF + ',', '')}, ra AS (SELECT avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 = 0) AS a, avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 <> 0) AS b,
+        avg({_ENT}) FILTER (WHERE vec_id % 3 = 0) AS ea, avg({_ENT}) FILTER (WHERE vec_id % 3 <> 0) AS eb FROM pr), sa AS ({_SHARE.format('=')}), sb AS ({_SHARE.format('<>')})
+        SELECT CASE WHEN psi > 0.2 THEN 'feature_psi' ELSE 'feature_ks' END AS trigger, feature AS subject, round(psi, 4) AS value, CASE WHEN psi > 0.4 THEN 'critical' ELSE 'warning' END AS severity FROM ps JOIN ks USING (feature) WHERE psi > 0.2 OR p < 0.05
+        UNION ALL SELECT 'reject_rate', '', round(b, 4), 'critical' FROM ra WHERE b - a >= 0.1 UNION ALL SELECT 'entropy', '', round(eb, 4), 'warning' FROM ra WHERE ea > 1e-8 AND eb > 2 * ea
+        UNION ALL SELECT 'class_shift', coalesce(sa.label, sb.label), coalesce(sb.s, 0), 'warning' FROM sa FULL JOIN sb USING (label) WHERE abs(coalesce(sb.s, 0) - coalesce(sa.s, 0)) > 0.15""",
     "D8_lowest_confidence": f"WITH {_P} SELECT vec_id, round(confidence, 6) AS confidence FROM pr WHERE vec_id % 3 <> 0 ORDER BY pr.confidence, vec_id LIMIT 50",
     "D9_snapshot": f"WITH {_P} SELECT count(*) AS rows, round(avg((vec_id % 4 = 0)::INTEGER), 4) AS missing_x, round(avg(confidence), 6) AS confidence_mean, round(quantile_cont(confidence, 0.5), 6) AS confidence_median, round(quantile_cont(confidence, 0.05), 6) AS confidence_p5, round(quantile_cont(confidence, 0.95), 6) AS confidence_p95, round(stddev_pop(confidence), 6) AS confidence_std, round(avg((predicted = 'Mixed/Unknown')::INTEGER), 6) AS reject_rate, round(avg({_ENT}), 6) AS mean_entropy FROM pr",
     "D10_suggestions": f"WITH {_P}, days AS (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-01-08', INTERVAL 1 DAY)) AS DATE) AS date), c AS (SELECT date, count(*) AS n FROM pr WHERE predicted <> 'Mixed/Unknown' GROUP BY date) SELECT CAST(date AS VARCHAR) AS date, coalesce(n, 0) AS suggestions, coalesce(n, 0) = 0 AS none FROM days LEFT JOIN c USING (date)",
