@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import op1_decontamination
+from tidemark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tidemark.llm.near_duplicates import op5_jaccard_join
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.periodic_runs import op13_periodic_runs
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_sharding": op12_sharding,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -38,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
     "op7_url_filters": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_sharding": OP12_SQL,
 }
