@@ -95,7 +95,7 @@ def spanning_tree(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, parent[order], near[order]
 
 
-def _block(ids: list, labels: list, vectors: list) -> dict:
+def _block(ids: list, labels: list, vectors: list, reach: float = REACH) -> dict:
     """A block in the order of its trees: parents are places in the block, -1 for roots."""
     ids, labels, vectors = np.array(ids), np.array(labels), np.array(vectors)
     norms = np.sqrt(np.square(vectors).sum(axis=1))
@@ -105,7 +105,7 @@ def _block(ids: list, labels: list, vectors: list) -> dict:
         place, parent, edge = spanning_tree(vectors[mine])
         where = np.zeros(len(mine), np.int64)
         where[place] = len(order) + np.arange(len(mine))
-        cut = (parent < 0) | (edge > REACH * norms[mine[place]])
+        cut = (parent < 0) | (edge > reach * norms[mine[place]])
         parents.extend(np.where(cut, -1, where[parent]).tolist())
         edges.extend(np.where(cut, 0.0, edge).tolist())
         order.extend(mine[place].tolist())
@@ -124,29 +124,31 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids), pa.array(labels), pa.array(np.full(len(ids), values.shape[1], np.int32)), pa.array(signs.astype(np.int32)), vectors], ["id", "label", "dim", "signs", "vector"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, labels, vectors = [], [], []
-
-    def flush() -> pa.RecordBatch:
-        made = _block(ids, labels, vectors)
+def _blocks(block_rows: int, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def flush(ids: list, labels: list, vectors: list) -> pa.RecordBatch:
+        made = _block(ids, labels, vectors, reach)
         ids.clear(), labels.clear(), vectors.clear()
         return pa.RecordBatch.from_pylist([made], pa.schema([(k, pa.int32() if k in ("dim", "n") else pa.binary()) for k in made]))
 
-    for batch in batches:
-        for id_, label, vector in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("vector")):
-            vector = np.array(vector.values, np.float64)
-            if ids and (len(ids) == BLOCK_ROWS or len(vector) != len(vectors[0]) or (len(ids) + 1) * len(vector) * 4 > BLOCK_BYTES):
-                yield flush()
-            ids.append(id_), labels.append(label), vectors.append(vector)
-    if ids:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, vectors = [], [], []
+        for batch in batches:
+            for id_, label, vector in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("vector")):
+                vector = np.array(vector.values, np.float64)
+                if ids and (len(ids) == block_rows or len(vector) != len(vectors[0]) or (len(ids) + 1) * len(vector) * 4 > BLOCK_BYTES):
+                    yield flush(ids, labels, vectors)
+                ids.append(id_), labels.append(label), vectors.append(vector)
+        if ids:
+            yield flush(ids, labels, vectors)
+
+    return run
 
 
-def anchor_blocks(anchors: DataFrame) -> DataFrame:
+def anchor_blocks(anchors: DataFrame, block_rows: int = BLOCK_ROWS, reach: float = REACH) -> DataFrame:
     """Anchors (id, label, vector) in blocks with their spanning trees, numbered by (part, block)."""
     signed = mapped(anchors, _signed, "id LONG, label LONG, dim INT, signs INT, vector ARRAY<INT>").distinct()
     ranged = signed.repartitionByRange("dim", "label", "signs", "id").sortWithinPartitions("dim", "label", "signs", "id")
-    return stored(mapped(ranged.select("id", "label", "vector"), _blocks, ANCHORS).withColumn("block", F.monotonically_increasing_id()))
+    return stored(mapped(ranged.select("id", "label", "vector"), _blocks(block_rows, reach), ANCHORS).withColumn("block", F.monotonically_increasing_id()))
 
 
 class Anchors(NamedTuple):
@@ -319,23 +321,23 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["anchor_row", "anchor_id", "slot", "rank"])
 
 
-def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95)) -> DataFrame:
+def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95), block_rows: int = BLOCK_ROWS, pass_blocks: int = PASS_BLOCKS, reach: float = REACH) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     ``rows`` and ``anchors`` have (id, label, vector). Negatives score between ``window`` hundredths of the positive.
     """
     spark = rows.sparkSession
     context = spark.sparkContext
-    blocks = anchor_blocks(anchors)
+    blocks = anchor_blocks(anchors, block_rows, reach)
     # blocks by where they lie, and passes of so many in a row: one count for each part of the table
     part = F.shiftrightunsigned("block", 33)
     before, parts = 0, []
     for k, n in sorted((r.part, r.n) for r in blocks.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
         parts.append((k, before))
         before += n
-    passes = -(-before // PASS_BLOCKS)
+    passes = -(-before // pass_blocks)
     number = F.col("before") + F.col("block").bitwiseAND(F.lit((1 << 33) - 1))
-    dealt = blocks.withColumn("part", part).join(F.broadcast(spark.createDataFrame(parts, "part long, before long")), "part").withColumn("pass", F.floor(number / PASS_BLOCKS))
+    dealt = blocks.withColumn("part", part).join(F.broadcast(spark.createDataFrame(parts, "part long, before long")), "part").withColumn("pass", F.floor(number / pass_blocks))
     out = []
     low, high = window
     for p in range(passes):
