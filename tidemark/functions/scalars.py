@@ -128,6 +128,21 @@ def title_sketch(df: DataFrame, title: str, secret: bytes) -> DataFrame:
     return with_bucket_frequencies(counted, {"title_token_sketch": "_tokens", "title_char3_sketch": "_grams"})
 
 
+def units(column: Column, digits: int) -> Column:
+    """A number as whole units of its ``digits``-th decimal."""
+    return F.round(column * 10**digits).cast("long")
+
+
+def quotient(numerator: Column, denominator: Column, digits: int, unit: int = 0) -> Column:
+    """``numerator / denominator`` of whole numbers to ``digits`` decimals, half away from zero, in whole numbers.
+
+    The numerator counts units of the ``unit``-th decimal. Sums and quotients of doubles may fall on either side of a tie; these do not.
+    """
+    scaled = F.abs(numerator) * 10 ** (digits - unit) if digits >= unit else F.abs(numerator)
+    by = denominator if digits >= unit else denominator * 10 ** (unit - digits)
+    return F.sign(numerator).cast("long") * F.call_function("div", 2 * scaled + by, 2 * by) / 10**digits
+
+
 def align(ts: Column, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)
 

@@ -24,10 +24,10 @@ def bucketed(events: DataFrame, seconds: int) -> DataFrame:
 
 def dominant_apps(events: DataFrame, keys: Sequence[str], seconds: int, attributes: Sequence[str] = ()) -> DataFrame:
     """The app with most seconds in each bucket (ties: seen first), its first event's attributes, its share."""
-    place = F.struct("ts", "seq")
-    per_app = bucketed(events, seconds).groupBy(*keys, "bucket", "app_id").agg(F.sum("duration_seconds").alias("total"), F.min(place).alias("first"), F.min_by(F.struct(F.lit(1).alias("_"), *attributes), place).alias("at_first"))
+    place, whole = F.struct("ts", "seq"), F.lit(seconds * 1_000_000)
+    per_app = bucketed(events, seconds).groupBy(*keys, "bucket", "app_id").agg(F.sum(scalars.units(F.col("duration_seconds"), 6)).alias("total"), F.min(place).alias("first"), F.min_by(F.struct(F.lit(1).alias("_"), *attributes), place).alias("at_first"))
     best = per_app.groupBy(*keys, "bucket").agg(F.min_by(F.struct("app_id", "total", "at_first"), F.struct(-F.col("total"), F.col("first"))).alias("best"))
-    return best.select(*keys, "bucket", F.col("best.app_id").alias("app_id"), F.col("best.total").alias("dominant_seconds"), F.round(F.least(F.col("best.total") / seconds, F.lit(1.0)), 4).alias("app_foreground_time_ratio"), *[F.col(f"best.at_first.{c}").alias(c) for c in attributes])
+    return best.select(*keys, "bucket", F.col("best.app_id").alias("app_id"), (F.col("best.total") / 1e6).alias("dominant_seconds"), scalars.quotient(F.least(F.col("best.total"), whole), whole, 4).alias("app_foreground_time_ratio"), *[F.col(f"best.at_first.{c}").alias(c) for c in attributes])
 
 
 def app_changes(events: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
@@ -46,7 +46,7 @@ def input_activity(samples: DataFrame, keys: Sequence[str], seconds: int) -> Dat
     seconds_if = lambda flag: F.sum(F.when(flag, F.col("duration_seconds")).otherwise(0.0))
     runs = islands.groupBy(*keys, "bucket", "island").agg(
         seconds_if(~F.col("live")).alias("idle"), F.sum("presses").alias("presses"), F.sum("clicks").alias("clicks"), F.sum(F.col("scroll_x") + F.col("scroll_y")).alias("scroll"), F.sum(F.col("delta_x") + F.col("delta_y")).alias("distance"),
-        seconds_if(F.col("kb")).alias("kb"), seconds_if(F.col("mouse")).alias("mouse"), seconds_if(F.col("live")).alias("live"), F.count_if("live").alias("n_live"),
+        seconds_if(F.col("kb")).alias("kb"), seconds_if(F.col("mouse")).alias("mouse"), seconds_if(F.col("live")).alias("live"), F.count_if("live").alias("n_live"), F.sum(F.when(F.col("live"), scalars.units(F.col("duration_seconds"), 6)).otherwise(0)).alias("live_units"),
     )
     minutes = seconds / 60
     live = F.sum("live")
@@ -59,7 +59,7 @@ def input_activity(samples: DataFrame, keys: Sequence[str], seconds: int) -> Dat
         F.round(F.sum("mouse"), 2).alias("active_seconds_mouse"),
         F.round(live, 2).alias("active_seconds_any"),
         F.round(F.max("idle"), 2).alias("max_idle_run_seconds"),
-        F.round(F.coalesce(F.try_divide(F.sum("n_live"), live), F.lit(0.0)), 4).alias("event_density"),
+        F.coalesce(scalars.quotient(F.sum("n_live") * 1_000_000, F.nullif(F.sum("live_units"), F.lit(0)), 4), F.lit(0.0)).alias("event_density"),
     )
 
 
@@ -95,7 +95,7 @@ def lookback(events: DataFrame, keys: Sequence[str], seconds: int, window_second
     """
     if window_seconds % seconds:
         raise ValueError("the window must be a multiple of the bucket")
-    per_app = bucketed(events, seconds).groupBy(*keys, "bucket", "app_id").agg(F.sum("duration_seconds").alias("d"))
+    per_app = bucketed(events, seconds).groupBy(*keys, "bucket", "app_id").agg(F.sum(scalars.units(F.col("duration_seconds"), 6)).alias("d"))
     step = F.make_dt_interval(secs=F.lit(seconds))
     reach = F.explode(F.sequence("bucket", F.timestamp_seconds(F.unix_seconds("bucket") + window_seconds), step))
     spread = per_app.select(*keys, "app_id", "d", reach.alias("bucket")).groupBy(*keys, "bucket", "app_id").agg(F.sum("d").alias("d"))
@@ -103,7 +103,7 @@ def lookback(events: DataFrame, keys: Sequence[str], seconds: int, window_second
     totals = spread.groupBy(*keys, "bucket").agg(total.alias("total"), F.count("*").alias("apps"), F.sum(F.when(F.col("d") > 0, F.col("d") * F.log2("d"))).alias("dlogd"), F.sort_array(F.collect_list("d"), asc=False).alias("ds"))
     # -sum p log2 p = log2 total - (sum d log2 d) / total
     entropy = F.when(F.col("total") > 0, F.round(F.log2("total") - F.col("dlogd") / F.col("total"), 4)).otherwise(0.0)
-    top = F.when(F.col("total") > 0, F.round((F.get("ds", F.lit(0)) + F.coalesce(F.get("ds", F.lit(1)), F.lit(0.0))) / F.col("total"), 4))
+    top = scalars.quotient(F.get("ds", F.lit(0)) + F.coalesce(F.get("ds", F.lit(1)), F.lit(0)), F.when(F.col("total") > 0, F.col("total")), 4)
     found = totals.select(*keys, "bucket", (F.col("apps") - 1).alias("switches"), F.abs(entropy).alias("entropy"), top.alias("top2"))
     present = per_app.select(*keys, "bucket").distinct()
     return present.join(found, [*keys, "bucket"])
@@ -114,7 +114,7 @@ def dwell(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("bucket")
     marked = buckets.withColumn("_run", F.sum(F.coalesce((F.col("app_id") != F.lag("app_id").over(order)).cast("int"), F.lit(0))).over(order))
     run = Window.partitionBy(*keys, "_run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("app_dwell_time_seconds", F.round(F.sum("dominant_seconds").over(run), 2)).drop("_run")
+    return marked.withColumn("app_dwell_time_seconds", scalars.quotient(F.sum(scalars.units(F.col("dominant_seconds"), 6)).over(run), F.lit(1), 2, 6)).drop("_run")
 
 
 def title_repeats(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,9 +123,10 @@ def title_repeats(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dynamics(buckets: DataFrame, keys: Sequence[str], rolling: Sequence[str] = ("keys_per_min", "mouse_distance"), deltas: Sequence[str] = ("keys_per_min", "clicks_per_min", "mouse_distance"), sizes: Sequence[int] = (5, 15)) -> DataFrame:
-    """Rolling means over observed buckets and differences to the one before."""
+    """Rolling means over observed buckets, of values to four decimals, and differences to the one before."""
     order = Window.partitionBy(*keys).orderBy("bucket")
-    means = {f"{c}_rolling_{n}": F.round(F.avg(c).over(order.rowsBetween(1 - n, 0)), 4) for c in rolling for n in sizes}
+    last = lambda n: order.rowsBetween(1 - n, 0)
+    means = {f"{c}_rolling_{n}": scalars.quotient(F.sum(scalars.units(F.col(c), 4)).over(last(n)), F.count(c).over(last(n)), 4, 4) for c in rolling for n in sizes}
     return buckets.withColumns(means | {f"{c}_delta": F.round(F.col(c) - F.lag(c).over(order), 4) for c in deltas})
 
 
@@ -180,10 +181,14 @@ def top_apps(events: DataFrame, start: Column, end: Column, n: int = 5) -> DataF
     return inside.groupBy("app_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "app_id").limit(n)
 
 
-def label_summary(features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Means of input rates, bucket and session counts for each key."""
-    mean = lambda c: F.round(F.avg(c), 2).alias(f"mean_{c}")
-    return features.groupBy(*keys).agg(mean("keys_per_min"), mean("clicks_per_min"), mean("scroll_events_per_min"), F.count("*").alias("buckets"), F.countDistinct("session_start").alias("sessions"))
+def label_summary(features: DataFrame, keys: Sequence[str], events: DataFrame, n: int = 5) -> DataFrame:
+    """Means of input rates, bucket and session counts, and the ``n`` apps with most events of each key."""
+    mean = lambda c: scalars.quotient(F.sum(scalars.units(F.col(c), 2)), F.count(c), 2, 2).alias(f"mean_{c}")
+    rates = features.groupBy(*keys).agg(mean("keys_per_min"), mean("clicks_per_min"), mean("scroll_events_per_min"), F.count("*").alias("buckets"), F.countDistinct("session_start").alias("sessions"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "app_id")
+    ranked = events.groupBy(*keys, "app_id").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    apps = F.transform(F.sort_array(F.collect_list(F.struct("rank", "app_id", "n"))), lambda a: F.struct(a.app_id.alias("app_id"), a.n.alias("n")))
+    return rates.join(ranked.groupBy(*keys).agg(apps.alias("top_apps")), list(keys), "left")
 
 
 def label_stats(spans: DataFrame) -> DataFrame:

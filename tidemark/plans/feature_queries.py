@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators import features
 from tidemark.sources import testdata as td
-from tidemark.sources.testdata import BUCKET, KEYS, SQL_ACTIVITY, SQL_SAMPLES, SQL_SPANS
+from tidemark.sources.testdata import BUCKET, KEYS, SQL_ACTIVITY, SQL_SAMPLES, SQL_SPANS, sql_quotient
 
 GAP = 1800
 NEAR, FAR = 5 * BUCKET, 15 * BUCKET
@@ -73,7 +73,8 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return features.label_summary(table(spark, d), KEYS)
+    rows = features.label_summary(table(spark, d), KEYS, td.activity(spark, d))
+    return rows.withColumn("top_apps", F.array_join(F.transform("top_apps", lambda a: F.concat_ws(":", a.app_id, a.n.cast("string"))), ","))
 
 
 def a13(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +140,8 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
 
 
 DOM = f"""{SQL_ACTIVITY},
-per_app AS (SELECT k, b, app, sum(dur) AS total, min(ts) AS t0, min(seq) AS s0, arg_min(title, (ts, seq)) AS title FROM act GROUP BY k, b, app),
-dom AS (SELECT k, b, app, total, title FROM per_app QUALIFY row_number() OVER (PARTITION BY k, b ORDER BY total DESC, t0, s0) = 1)"""
+per_app AS (SELECT k, b, app, sum(round(dur * 1000000)::BIGINT)::BIGINT AS us, us / 1e6 AS total, min(ts) AS t0, min(seq) AS s0, arg_min(title, (ts, seq)) AS title FROM act GROUP BY k, b, app),
+dom AS (SELECT k, b, app, us, total, title FROM per_app QUALIFY row_number() OVER (PARTITION BY k, b ORDER BY us DESC, t0, s0) = 1)"""
 SESS = f"""{DOM},
 gaps AS (SELECT k, b, ts, epoch(ts) - lag(epoch(ts) + dur) OVER (PARTITION BY k ORDER BY ts, seq) AS gap FROM act),
 starts AS (SELECT DISTINCT k, b AS s FROM gaps WHERE gap IS NULL OR gap >= {GAP}),
@@ -155,15 +156,15 @@ inp AS (
          round(sum(sy) / {BUCKET / 60}, 2) AS scroll_events_per_min, sum(dx)::DOUBLE AS mouse_distance,
          round(coalesce(sum(dur) FILTER (WHERE kb), 0), 2) AS active_seconds_keyboard, round(coalesce(sum(dur) FILTER (WHERE ms), 0), 2) AS active_seconds_mouse,
          round(coalesce(sum(dur) FILTER (WHERE kb OR ms), 0), 2) AS active_seconds_any,
-         round(coalesce(count(*) FILTER (WHERE kb OR ms) / nullif(sum(dur) FILTER (WHERE kb OR ms), 0), 0), 4) AS event_density
+         coalesce({sql_quotient("count(*) FILTER (WHERE kb OR ms) * 1000000", "nullif(sum(round(dur * 1000000)::BIGINT) FILTER (WHERE kb OR ms), 0)::BIGINT", 4)}, 0) AS event_density
   FROM live GROUP BY k, b)"""
 
 
 def _back(window: int) -> str:
     return f"""{SQL_ACTIVITY}, here AS (SELECT DISTINCT k, b FROM act),
-spread AS (SELECT here.k, here.b, app, sum(dur) AS d FROM here JOIN act ON act.k = here.k AND act.b BETWEEN here.b - {window} AND here.b GROUP BY ALL),
+spread AS (SELECT here.k, here.b, app, sum(round(dur * 1000000)::BIGINT)::BIGINT AS d FROM here JOIN act ON act.k = here.k AND act.b BETWEEN here.b - {window} AND here.b GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY k, b ORDER BY d DESC) AS r, sum(d) OVER (PARTITION BY k, b) AS total FROM spread),
-back AS (SELECT k, b, count(*) - 1 AS switches, abs(round(-sum(d / total * log2(d / total)), 4)) AS entropy, round(sum(d) FILTER (WHERE r <= 2) / any_value(total), 4) AS top2 FROM ranked GROUP BY k, b)"""
+back AS (SELECT k, b, count(*) - 1 AS switches, abs(round(-sum(d / total * log2(d / total)), 4)) AS entropy, {sql_quotient("(sum(d) FILTER (WHERE r <= 2))::BIGINT", "nullif(any_value(total), 0)::BIGINT", 4)} AS top2 FROM ranked GROUP BY k, b)"""
 
 
 QUERIES = {
@@ -184,7 +185,7 @@ ORACLE_SQL = {
     "A1_event_buckets": f"WITH {SQL_ACTIVITY} SELECT k, b AS bucket, count(*) AS events, round(sum(dur), 2) AS seconds FROM act GROUP BY k, b",
     "A2_dominant_app": f"WITH {DOM} SELECT k, b AS bucket, app AS app_id FROM dom",
     "A3_dominant_attributes": f"WITH {DOM} SELECT k, b AS bucket, app AS app_category, title AS window_title_hash, app = 'browser' AS is_browser FROM dom",
-    "A4_foreground_ratio": f"WITH {DOM} SELECT k, b AS bucket, round(least(total / {BUCKET}, 1)::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS app_foreground_time_ratio FROM dom",
+    "A4_foreground_ratio": f"WITH {DOM} SELECT k, b AS bucket, {sql_quotient(f"least(us, {BUCKET * 1000000})", BUCKET * 1000000, 4)} AS app_foreground_time_ratio FROM dom",
     "A5_app_changes": f"WITH {SQL_ACTIVITY}, c AS (SELECT k, b, app <> lag(app) OVER (PARTITION BY k, b ORDER BY ts, seq) AS c FROM act) SELECT k, b AS bucket, count(*) FILTER (WHERE c) AS app_change_count FROM c GROUP BY k, b",
     "A6_input_activity": f"WITH {INP} SELECT * FROM inp",
     "A7_longest_idle_run": f"WITH {INP} SELECT k, b AS bucket, round(idle, 2) AS max_idle_run_seconds FROM idle",
@@ -193,8 +194,9 @@ ORACLE_SQL = {
     "A10_feature_rows": f"""WITH {SESS} SELECT k, b AS bucket, b + {BUCKET} AS bucket_end_ts, {SID} AS session_id, app AS app_id, (('0x' || title)::BIGINT % 256)::INTEGER AS window_title_bucket,
         (b // 3600 % 24)::INTEGER AS hour_of_day, ((b // 86400 + 3) % 7)::INTEGER AS day_of_week, 'v1' AS schema_version, 'activity,input' AS sources FROM sess""",
     "A11_top_apps": f"WITH {SQL_ACTIVITY} SELECT app AS app_id, count(*) AS n FROM act WHERE epoch(ts) >= 1704412800 AND epoch(ts) < 1705276800 GROUP BY app ORDER BY n DESC, app LIMIT 5",
-    "A12_label_summary": f"""WITH {SESS}, {INP.replace(SQL_ACTIVITY + ',', '')} SELECT sess.k, round(avg(keys_per_min), 2) AS mean_keys_per_min, round(avg(clicks_per_min), 2) AS mean_clicks_per_min,
-        round(avg(scroll_events_per_min), 2) AS mean_scroll_events_per_min, count(*) AS buckets, count(DISTINCT s) AS sessions FROM sess LEFT JOIN inp ON inp.k = sess.k AND inp.bucket = sess.b GROUP BY sess.k""",
+    "A12_label_summary": f"""WITH {SESS}, {INP.replace(SQL_ACTIVITY + ',', '')},
+        ta AS (SELECT k, app, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, app) AS r FROM act GROUP BY k, app), tops AS (SELECT k, string_agg(app || ':' || n, ',' ORDER BY r) AS top_apps FROM ta WHERE r <= 5 GROUP BY k)
+        SELECT sess.k, (SELECT top_apps FROM tops WHERE tops.k = sess.k) AS top_apps, {", ".join(sql_quotient(f"sum(round({c} * 100)::BIGINT)::BIGINT", f"count({c})", 2, 2) + f" AS mean_{c}" for c in ("keys_per_min", "clicks_per_min", "scroll_events_per_min"))}, count(*) AS buckets, count(DISTINCT s) AS sessions FROM sess LEFT JOIN inp ON inp.k = sess.k AND inp.bucket = sess.b GROUP BY sess.k""",
     "A13_label_stats": f"WITH {SQL_SPANS} SELECT CAST(start_ts::DATE AS VARCHAR) AS date, label, count(*) AS spans, round(sum(round((epoch(end_ts) - epoch(start_ts)) / 60, 1)), 1) AS minutes FROM spn GROUP BY ALL",
     "A14_readiness": f"""WITH {DOM}, {SQL_SPANS}, days AS (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS date),
         r AS (SELECT make_timestamp(b * 1000000)::DATE AS date, count(*) AS n_rows FROM dom GROUP BY 1), m AS (SELECT start_ts::DATE AS date, count(*) AS n_spans, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spn GROUP BY 1)
@@ -206,8 +208,8 @@ ORACLE_SQL = {
     "W5_app_switches": f"WITH {SQL_ACTIVITY}, here AS (SELECT DISTINCT k, b FROM act) SELECT here.k, here.b AS bucket, count(DISTINCT app) FILTER (WHERE act.b >= here.b - {NEAR}) - 1 AS near, count(DISTINCT app) - 1 AS far FROM here JOIN act ON act.k = here.k AND act.b BETWEEN here.b - {FAR} AND here.b GROUP BY here.k, here.b",
     "W6_app_entropy": f"WITH {_back(NEAR)} SELECT k, b AS bucket, entropy FROM back",
     "W7_top2_share": f"WITH {_back(FAR)} SELECT k, b AS bucket, top2 FROM back",
-    "W8_rolling_means": f"WITH {INP} SELECT k, bucket, " + ", ".join(f"round(avg({c}) OVER (PARTITION BY k ORDER BY bucket ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 4) AS {c}_rolling_{n}" for c in ("keys_per_min", "mouse_distance") for n in (5, 15)) + " FROM inp",
+    "W8_rolling_means": f"WITH {INP} SELECT k, bucket, " + ", ".join(f"{sql_quotient(f'(sum(round({c} * 10000)::BIGINT) OVER w{n})::BIGINT', f'(count({c}) OVER w{n})', 4, 4)} AS {c}_rolling_{n}" for c in ("keys_per_min", "mouse_distance") for n in (5, 15)) + " FROM inp WINDOW " + ", ".join(f"w{n} AS (PARTITION BY k ORDER BY bucket ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 15)),
     "W9_deltas": f"WITH {INP} SELECT k, bucket, " + ", ".join(f"round({c} - lag({c}) OVER (PARTITION BY k ORDER BY bucket), 4) AS {c}_delta" for c in ("keys_per_min", "clicks_per_min", "mouse_distance")) + " FROM inp",
-    "W10_dwell": f"WITH {DOM}, m AS (SELECT *, app <> lag(app) OVER (PARTITION BY k ORDER BY b) AS c FROM dom), r AS (SELECT *, count(*) FILTER (WHERE c) OVER (PARTITION BY k ORDER BY b) AS run FROM m) SELECT k, b AS bucket, round(sum(total) OVER (PARTITION BY k, run ORDER BY b), 2) AS app_dwell_time_seconds FROM r",
+    "W10_dwell": f"WITH {DOM}, m AS (SELECT *, app <> lag(app) OVER (PARTITION BY k ORDER BY b) AS c FROM dom), r AS (SELECT *, count(*) FILTER (WHERE c) OVER (PARTITION BY k ORDER BY b) AS run FROM m) SELECT k, b AS bucket, {sql_quotient("(sum(us) OVER (PARTITION BY k, run ORDER BY b))::BIGINT", 1, 2, 6)} AS app_dwell_time_seconds FROM r",
     "W11_title_repeats": f"WITH {SESS} SELECT k, b AS bucket, count(*) OVER (PARTITION BY k, s, title ORDER BY b) AS title_repeat_count_session FROM sess",
 }

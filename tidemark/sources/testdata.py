@@ -104,6 +104,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql_quotient(numerator: str, denominator: str | int, digits: int, unit: int = 0) -> str:
+    """``scalars.quotient`` in SQL."""
+    scaled = f"abs({numerator})" + (f" * {10 ** (digits - unit)}" if digits > unit else "")
+    by = f"{denominator}" + (f" * {10 ** (unit - digits)}" if digits < unit else "")
+    return f"(sign({numerator}) * ((2 * {scaled} + {by}) // (2 * ({by}))) / {10**digits})"
+
+
 def _case(column: str, values: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in values.items()) + " END"
 
