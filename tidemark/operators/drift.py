@@ -151,14 +151,25 @@ def lowest_confidence(predictions: DataFrame, alert_rows: DataFrame, n: int = 50
     return predictions.orderBy("confidence", "vec_id").limit(n).join(F.broadcast(any_alert)).where("_any").drop("_any")
 
 
-def snapshot(df: DataFrame, features: Sequence[str], probs: str = "probs") -> DataFrame:
-    """One row: rows, missing rates, confidence statistics, reject rate and mean entropy."""
+def class_shares(df: DataFrame, label: str = "predicted", ts: str | None = None) -> DataFrame:
+    """One row: rows, first and last window where ``ts`` is given, reject rate, and the share of each label as a map."""
+    span = [F.min("first").alias("first_window"), F.max("last").alias("last_window")] if ts else []
+    per = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), *([F.min(ts).alias("first"), F.max(ts).alias("last")] if ts else []))
+    counted = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), *span, F.coalesce(F.sum(F.when(F.col("label") == "Mixed/Unknown", F.col("n"))), F.lit(0)).alias("_r"), F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n")))).alias("_c"))
+    # one row for each label
+    shares = F.map_from_entries(F.transform("_c", lambda c: F.struct(c.label, scalars.quotient(c.n, F.col("rows"), 4))))
+    return counted.select("rows", *(["first_window", "last_window"] if ts else []), F.when(F.col("rows") > 0, scalars.quotient(F.col("_r"), F.col("rows"), 4)).otherwise(0.0).alias("reject_rate"), shares.alias("class_shares"))
+
+
+def snapshot(df: DataFrame, features: Sequence[str], probs: str = "probs", ts: str | None = None) -> DataFrame:
+    """One row: rows, missing rates, confidence statistics, reject rate, mean entropy, class shares; first and last window where ``ts`` is given."""
     spread = quantiles(unpivot(df, ["confidence"]), [0.5, 0.05, 0.95]).select(F.col("quantiles").alias("_q"))
     missing = [F.round(F.avg(F.col(f).isNull().cast("int")), 4).alias(f"missing_{f}") for f in features]
     r = lambda c, name: F.round(c, 6).alias(name)
     whole = df.agg(F.count("*").alias("rows"), *missing, r(F.avg("confidence"), "confidence_mean"), r(F.stddev_pop("confidence"), "confidence_std"), r(F.avg((F.col("predicted") == "Mixed/Unknown").cast("int")), "reject_rate"), r(F.avg(scalars.entropy(F.col(probs))), "mean_entropy"))
-    # both sides have at most one row
-    return whole.join(spread, how="left").select(*whole.columns, *[r(F.get("_q", F.lit(k)), f"confidence_{name}") for k, name in enumerate(("median", "p5", "p95"))])
+    shares = class_shares(df, "predicted", ts).drop("rows", "reject_rate")
+    # all sides have at most one row
+    return whole.join(spread, how="left").join(shares, how="left").select(*whole.columns, *[r(F.get("_q", F.lit(k)), f"confidence_{name}") for k, name in enumerate(("median", "p5", "p95"))], *shares.columns)
 
 
 def suggestions_per_day(predictions: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -122,14 +122,28 @@ def title_repeats(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return buckets.withColumn("title_repeat_count_session", F.count("*").over(run))
 
 
-def dynamics(buckets: DataFrame, keys: Sequence[str], rolling: Sequence[str] = ("keys_per_min", "mouse_distance"), deltas: Sequence[str] = ("keys_per_min", "clicks_per_min", "mouse_distance"), sizes: Sequence[int] = (5, 15)) -> DataFrame:
+def dynamics(buckets: DataFrame, keys: Sequence[str], rolling: Sequence[str] = ("keys_per_min", "mouse_distance"), deltas: Sequence[str] = ("keys_per_min", "clicks_per_min", "mouse_distance"), sizes: Sequence[int] = (5, 15), order: Sequence[str] = ("bucket",)) -> DataFrame:
     """Rolling means over observed buckets, of values to four decimals, and differences to the one before."""
-    order = Window.partitionBy(*keys).orderBy("bucket")
+    order = Window.partitionBy(*keys).orderBy(*order)
     last = lambda n: order.rowsBetween(1 - n, 0)
     means = {f"{c}_rolling_{n}": scalars.quotient(F.sum(scalars.units(F.col(c), 4)).over(last(n)), F.count(c).over(last(n)), 4, 4) for c in rolling for n in sizes}
     return buckets.withColumns(means | {f"{c}_delta": F.round(F.col(c) - F.lag(c).over(order), 4) for c in deltas})
 
 
+def rolling_context(rows: DataFrame, keys: Sequence[str], size: int = 15, gap_seconds: int = 300, rolling: Sequence[str] = ("keys_per_min",), deltas: Sequence[str] = ("keys_per_min",), sizes: Sequence[int] = (5, 15), recent_seconds: int = 900) -> DataFrame:
+    """Of (ts, app_id, ...) rows: distinct apps less one of the last ``size`` rows in ``recent_seconds``, rolling means, differences, session minutes.
+
+    Sessions begin where the row before starts ``gap_seconds`` or more earlier. The batch form of ``live.rolling_features``.
+    """
+    order = Window.partitionBy(*keys).orderBy("ts", "app_id")
+    past = F.collect_list(F.struct("ts", "app_id")).over(order.rowsBetween(1 - size, 0))
+    near = F.filter(past, lambda r: F.unix_micros(r.ts) >= F.unix_micros("ts") - recent_seconds * 1_000_000)
+    opens = F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) >= gap_seconds * 1_000_000, F.lit(True))
+    marked = dynamics(rows.withColumn("bucket", F.col("ts")), keys, rolling, deltas, sizes, order=("bucket", "app_id")).withColumns({"switches": F.size(F.array_distinct(F.transform(near, lambda r: r.app_id))) - 1, "_began": F.when(opens, F.unix_micros("ts"))})
+    began = F.last("_began", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("session_minutes", scalars.quotient(F.unix_micros("ts") - began, F.lit(600_000), 2, 2)).drop("_began", "bucket")
+
+
 def evidence(events: DataFrame, samples: DataFrame | None, keys: Sequence[str], seconds: int = 30) -> DataFrame:
     """Short slices: distinct apps and titles, foreground ms, input sums, switches, meeting and idle signals."""
     order = Window.partitionBy(*keys, "bucket").orderBy("ts", "seq")

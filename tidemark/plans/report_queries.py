@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import scalars
 from tidemark.operators import features, intervals, learning, metrics, reports, rules, segments
@@ -15,8 +14,14 @@ from tidemark.plans.segment_queries import _LAB, _SMO, _seg, labelled, segmented
 from tidemark.sources import activity as io
 from tidemark.sources import scratch
 from tidemark.sources import testdata as td
-from tidemark.sources.testdata import BUCKET, CLASSES, KEYS, SQL_ACTIVITY, SQL_PREDICTIONS, SQL_SPANS
+from tidemark.sources.testdata import BUCKET, CLASSES, KEYS, SQL_ACTIVITY, SQL_PREDICTIONS, SQL_SPANS, sql_quotient
 from tidemark.streaming import live
+from tidemark.streaming.ordered import started
+
+#: Blocks of event time in which the streams wait for the watermark: events of a user are hours apart here.
+DAY = 86_400
+#: Key of the row that closes a stream.
+CLOSING = -1
 
 
 def _export(spark, d, kind):
@@ -281,16 +286,23 @@ def _closed_stream(spark, d):
     path = scratch.folder(spark, "closing")
     last = td.table(spark, d, "events").agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
     stream = _raw_stream(spark, d)
-    last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]).write.parquet(path)
+    values = {"ts": F.col("ts"), "k": F.lit(CLOSING)}
+    last.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]).write.parquet(path)
     # one watermark over both, as that of two sources is the earlier one
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)).withWatermark("ts", "10 minutes")
 
 
-def _run(spark, stream, mode="append"):
+def _hours(spark, d):
+    """The first event's app of each hour, as a windowed aggregation of the stream."""
+    hours = _closed_stream(spark, d).groupBy("k", F.window("ts", f"{BUCKET} seconds").alias("w")).agg(F.min_by("app_id", "seq").alias("label"))
+    # the last moment of a window carries the watermark on
+    return hours.select("k", (F.window_time("w") - F.expr(f"INTERVAL {BUCKET * 1_000_000 - 1} MICROSECONDS")).alias("bucket"), "label")
+
+
+def _run(spark, stream, mode="append", marks=None):
     """The rows of a stream run to the end of its input, read back from its sink."""
-    path, marks = scratch.folder(spark, "stream"), scratch.folder(spark, "marks")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+    path, marks = scratch.folder(spark, "stream"), marks or scratch.folder(spark, "marks")
+    started(stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", marks).trigger(availableNow=True)).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -309,21 +321,72 @@ def st3(spark, d):
     return rows.groupBy("k").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
+def late_events(spark, d):
+    """The events in three deliveries by time: one in ten repeated in the next, one in seventeen delivered two later."""
+    folder, path, late, marks = (scratch.folder(spark, name) for name in ("deliveries", "in-time", "late", "marks"))
+    events = td.table(spark, d, "events").withColumn("_part", F.floor((F.dayofmonth("ts") - 1) / 10))
+    schema = events.drop("_part").schema
+    for part in range(6):
+        held = events.where(((F.col("_part") == part) & (F.col("event_id") % 17 != 0)) | ((F.col("_part") == part - 2) & (F.col("event_id") % 17 == 0)) | ((F.col("_part") == part - 1) & (F.col("event_id") % 10 == 0) & (F.col("event_id") % 17 != 0)))
+        held.drop("_part").write.mode("append").parquet(folder)
+        # a run takes what has come since the one before, as one micro-batch
+        live.admit(spark.readStream.schema(schema).parquet(folder), path, late, marks, 9 * DAY).awaitTermination()
+    admitted = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "9 days")
+    return _run(spark, live.without_repeats(admitted.drop("batch"), ["event_id"])), spark.read.schema(spark.read.parquet(path).schema).parquet(path), spark.read.schema(spark.read.parquet(path).schema).parquet(late)
+
+
+def st1_late(spark, d):
+    once, admitted, late = late_events(spark, d)
+    count = lambda df, name: df.groupBy("event_type").agg(F.count("*").alias(name))
+    return count(once, "once").join(count(admitted, "in_time"), "event_type", "left").join(count(late, "late"), "event_type", "left").fillna(0)
+
+
 def st4(spark, d):
-    rows = _run(spark, live.rolling_features(_event_stream(spark, d), KEYS, 15, 1800))
-    return rows.select("k", F.unix_micros("ts").alias("us"), "switches", F.round("keys_rolling", 2).alias("keys_rolling"), "keys_delta")
+    """Of every event's row; see ``features.rolling_context`` for the batch."""
+    rows = _run(spark, live.rolling_features(_closed_stream(spark, d), KEYS, 15, 1800, block_seconds=DAY))
+    return rows.where(F.col("k") != CLOSING).select("k", F.unix_micros("ts").alias("us"), "switches", "keys_per_min_rolling_5", "keys_per_min_rolling_15", "keys_per_min_delta", "session_minutes")
 
 
 def st5(spark, d):
-    polls = _event_stream(spark, d).select("k", "ts", F.col("app_id").alias("app"))
-    rows = _run(spark, live.transitions(polls, KEYS, 7200, 3600, ("terminal",)))
+    polls = _closed_stream(spark, d).select("k", "ts", F.col("app_id").alias("app"))
+    rows = _run(spark, live.transitions(polls, KEYS, 7200, 3600, ("terminal",), block_seconds=DAY))
     return rows.groupBy("k", "app").agg(F.count("*").alias("blocks"))
 
 
 def st6(spark, d):
     label, rule = rules.weak_label()
-    stream = _event_stream(spark, d).withColumns({"app_category": F.col("app_id"), "domain_category": F.lit(None).cast("string")}).select("k", "ts", "seq", F.coalesce(label, F.lit("Mixed/Unknown")).alias("label"))
-    return _run(spark, live.trailing_votes(stream, KEYS, 5)).groupBy("k", F.col("label").alias("predicted"), "smoothed").agg(F.count("*").alias("n"))
+    stream = _closed_stream(spark, d).withColumns({"app_category": F.col("app_id"), "domain_category": F.lit(None).cast("string")}).select("k", "ts", "seq", F.coalesce(label, F.lit("Mixed/Unknown")).alias("label"))
+    return _run(spark, live.trailing_votes(stream, KEYS, 5, block_seconds=DAY)).where(F.col("k") != CLOSING).groupBy("k", F.col("label").alias("predicted"), "smoothed").agg(F.count("*").alias("n"))
+
+
+_MODEL_COLUMNS = ["keys_per_min", "duration_seconds", "hour"]
+_TAXONOMY = {"Focus": ("Build", "Debug", "Write", "Review"), "People": ("Communicate", "Meet"), "Input": ("ReadResearch",)}
+
+
+def _moments(events):
+    """Rows that the model of the streams scores."""
+    return events.withColumns({"user_id": F.col("k"), "hour": F.hour("ts").cast("double")})
+
+
+def online_model(spark, d):
+    """A classifier of events, fitted on those before the 15th, and static tables of calibrators and thresholds."""
+    events = td.table(spark, d, "events")
+    past = _moments(events.select(F.col("user_id").alias("k"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("duration_seconds"), F.get_json_object("props", "$.k").cast("double").alias("keys_per_min"), td.chosen(F.col("event_type"), td.LABELS).alias("label"))).where("day(ts) < 15")
+    model = learning.train_classifier(past, _MODEL_COLUMNS, CLASSES, maxIter=20)
+    users = events.select("user_id").distinct()
+    return model, users.where("user_id % 3 = 0").select("user_id", (0.5 + F.col("user_id") % 5 / 4).alias("temperature")), users.where("user_id % 4 = 0").select("user_id", (0.2 + F.col("user_id") % 3 / 100).alias("threshold"))
+
+
+def predicted(rows, trained):
+    model, calibrators, thresholds = trained
+    return live.predictions(_moments(rows), model, _MODEL_COLUMNS, CLASSES, calibrators, 1.3, thresholds, 0.21, _TAXONOMY)
+
+
+def st6_predictions(spark, d):
+    """Score, per-user calibration and threshold, trailing vote and taxonomy of every event."""
+    scored = predicted(_closed_stream(spark, d), online_model(spark, d))
+    votes = live.trailing_votes(scored, KEYS, 5, block_seconds=DAY, carried=("predicted", "confidence", "rejected", "mapped_label"))
+    return _run(spark, votes).where(F.col("k") != CLOSING).select("k", "seq", "predicted", F.round("confidence", 4).alias("confidence"), "rejected", "smoothed", "mapped_label")
 
 
 def st7(spark, d):
@@ -334,16 +397,17 @@ def st7(spark, d):
 
 
 def st8(spark, d):
-    path, marks = scratch.folder(spark, "segments"), scratch.folder(spark, "marks")
-    hours = _closed_stream(spark, d).groupBy("k", F.window("ts", f"{BUCKET} seconds").alias("w")).agg(F.min_by("app_id", "seq").alias("label"))
-    live.running_segments(hours.select("k", F.col("w.start").alias("bucket"), "label"), path, marks, KEYS, BUCKET).awaitTermination()
-    schema = T.StructType.fromDDL("k LONG, start_ts TIMESTAMP, end_ts TIMESTAMP, label STRING, buckets LONG, batch INT")
-    return live.read_segments(spark, path, schema).groupBy("k", "label").agg(F.count("*").alias("n"), F.sum("buckets").alias("buckets"))
+    hours, marks = _hours(spark, d), scratch.folder(spark, "marks")
+    done = _run(spark, live.running_segments(hours, KEYS, BUCKET, DAY), marks=marks)
+    return live.read_segments(done, marks, KEYS).where(F.col("k") != CLOSING).groupBy("k", "label").agg(F.count("*").alias("n"), F.sum("buckets").alias("buckets"))
 
 
 def st9(spark, d):
-    rows = _run(spark, _event_stream(spark, d))
-    return rows.groupBy("k", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"), F.round(F.sum("duration_seconds") / 60, 2).alias("minutes"))
+    """Votes over the hours of a stream in its sink; the report of what it has left there."""
+    hours = _closed_stream(spark, d).groupBy("k", F.window("ts", f"{BUCKET} seconds").alias("w")).agg(F.min_by("app_id", "seq").alias("label"))
+    votes = live.trailing_votes(hours.select("k", F.window_time("w").alias("ts"), F.unix_seconds(F.col("w.start")).alias("seq"), "label"), KEYS, 5, block_seconds=DAY)
+    rows = _run(spark, votes).where(F.col("k") != CLOSING).select("k", F.timestamp_seconds("seq").alias("bucket"), "label", "smoothed")
+    return reports.final_report(rows, KEYS, BUCKET)
 
 
 def st10(spark, d):
@@ -353,6 +417,15 @@ def st10(spark, d):
     return votes.aggregate_interval(rows, ["k"], "confidence_weighted")
 
 
+def st10_predictions(spark, d):
+    """The model's label for a day of each user: majority of the events' labels and their mean confidence."""
+    from tidemark.operators import votes
+
+    rows = td.activity(spark, d).where("ts >= '2024-01-10' AND ts < '2024-01-11'").join(td.samples(spark, d).select("seq", F.col("presses").cast("double").alias("keys_per_min")), "seq")
+    scored = predicted(rows, online_model(spark, d)).select("k", "seq", F.col("predicted").alias("label"), "confidence")
+    return votes.aggregate_interval(scored, ["k"], "majority").select("k", "winner", F.round("confidence", 4).alias("confidence"))
+
+
 _SPLIT = "CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'val' ELSE 'test' END"
 _RUNS = f"{SQL_PREDICTIONS}, rn AS (SELECT user_id AS u, 'run' || user_id AS model_id, round(avg((label = predicted)::INTEGER), 4) AS weighted_f1, CASE WHEN user_id <> 6 THEN round(avg(confidence), 4) END AS macro_f1, max(date)::TIMESTAMP AS created_at FROM prd GROUP BY user_id)"
 _PREDW = "predicted"
@@ -362,7 +435,7 @@ QUERIES = {
     "L1_short_sessions": l1, "L2_blank_rows": l2, "L3_time_split": l3, "L4_holdout_users": l4, "L5_training_set": l5, "L6_fingerprint": l6, "L7_dataset_snapshot": l7, "L8_category_codes": l8, "L9_balanced_weights": l9, "L10_feature_vector": l10,
     "L11_train": l11, "L12_score": l12, "L13_search": l13, "L14_eligible_users": l14, "L15_temperature_fit": l15, "L16_isotonic_fit": l16, "L17_calibrators": l17, "L18_rank_runs": l18, "L19_due_runs": l19, "L20_replay": l20,
     "R1_daily_minutes": r1, "R2_mapped_minutes": r2, "R3_switch_stats": r3, "R4_flap_rates": r4, "R5_baseline_report": r5,
-    "ST1_ingest": st1, "ST2_bucket_stream": st2, "ST3_session_stream": st3, "ST4_rolling_state": st4, "ST5_transitions": st5, "ST6_online_labels": st6, "ST7_auto_enqueue": st7, "ST8_running_segments": st8, "ST9_final_report": st9, "ST10_suggestion": st10,
+    "ST1_ingest": st1, "ST1_late_events": st1_late, "ST6_online_predictions": st6_predictions, "ST10_model_suggestion": st10_predictions, "ST2_bucket_stream": st2, "ST3_session_stream": st3, "ST4_rolling_state": st4, "ST5_transitions": st5, "ST6_online_labels": st6, "ST7_auto_enqueue": st7, "ST8_running_segments": st8, "ST9_final_report": st9, "ST10_suggestion": st10,
 }
 _APPS5 = "['org.mozilla.firefox', 'io.neovim.nvim', 'com.tinyspeck.slackmacgap', 'us.zoom.xos', 'unknown.my_tool']"
 _KIND5 = "['browser', 'editor', 'chat', 'meeting', 'other']"
@@ -410,6 +483,27 @@ ORACLE_SQL = {
         w AS (SELECT k, own AS predicted, label AS smoothed FROM v QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY c DESC, label = own DESC, f) = 1) SELECT k, predicted, smoothed, count(*) AS n FROM w GROUP BY ALL""",
     "ST7_auto_enqueue": f"WITH {SQL_ACTIVITY}, q AS (SELECT k AS user_id, date_trunc('hour', act.ts) AS h, min({_KQ} / 100) AS c FROM events JOIN act ON seq = event_id WHERE {_KQ} / 100 < 0.3 GROUP BY ALL) SELECT user_id, count(*) AS n, round(sum(c), 4) AS confidence FROM q GROUP BY user_id",
     "ST8_running_segments": f"WITH {SQL_ACTIVITY}, h AS (SELECT k, b, arg_min(app, seq) AS label FROM act GROUP BY k, b), {_seg('h', 'sg')} SELECT k, label, count(*) AS n, sum(buckets)::BIGINT AS buckets FROM sg GROUP BY k, label",
-    "ST9_final_report": f"WITH {SQL_ACTIVITY} SELECT k, CAST(ts::DATE AS VARCHAR) AS date, count(*) AS n, round(sum(dur) / 60, 2) AS minutes FROM act GROUP BY 1, 2",
+    "ST1_late_events": """WITH e AS (SELECT *, (day(ts) - 1) // 10 AS p FROM events), dl AS (SELECT event_id, event_type, ts, p + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS b FROM e
+        UNION ALL SELECT event_id, event_type, ts, p + 1 FROM e WHERE event_id % 10 = 0 AND event_id % 17 <> 0),
+        m AS (SELECT b, max(max(ts)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM dl GROUP BY b),
+        j AS (SELECT dl.*, coalesce(ts <= latest - INTERVAL 9 DAY, false) AS late FROM dl JOIN m USING (b))
+        SELECT event_type, count(DISTINCT event_id) FILTER (WHERE NOT late) AS once, count(*) FILTER (WHERE NOT late) AS in_time, count(*) FILTER (WHERE late) AS late FROM j GROUP BY event_type""",
+    "ST4_rolling_state": f"""WITH {SQL_ACTIVITY}, p AS (SELECT act.k, act.ts, app, {_KQ} AS v, row_number() OVER (PARTITION BY act.k ORDER BY act.ts, app) AS i FROM act JOIN events ON seq = event_id),
+        s AS (SELECT a.k, a.i, count(DISTINCT n.app) - 1 AS switches FROM p a JOIN p n ON n.k = a.k AND n.i BETWEEN a.i - 14 AND a.i AND n.ts >= a.ts - INTERVAL 15 MINUTE GROUP BY ALL),
+        g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY k ORDER BY i) < 1800000000 THEN NULL ELSE epoch_us(ts) END AS o FROM p),
+        r AS (SELECT *, max(o) OVER (PARTITION BY k ORDER BY i) AS began FROM g)
+        SELECT k, epoch_us(ts) AS us, switches::INTEGER AS switches, {", ".join(sql_quotient(f"(sum(round(v * 10000)::BIGINT) OVER w{n})::BIGINT", f"(count(v) OVER w{n})", 4, 4) + f" AS keys_per_min_rolling_{n}" for n in (5, 15))},
+        v - lag(v) OVER (PARTITION BY k ORDER BY i) AS keys_per_min_delta, {sql_quotient("(epoch_us(ts) - began)", 600000, 2, 2)} AS session_minutes FROM r JOIN s USING (k, i)
+        WINDOW w5 AS (PARTITION BY k ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w15 AS (PARTITION BY k ORDER BY i ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)""",
+    "ST9_final_report": f"""WITH {SQL_ACTIVITY}, p AS (SELECT k, b, arg_min(app, seq) AS own, row_number() OVER (PARTITION BY k ORDER BY b) AS i FROM act GROUP BY k, b),
+        v AS (SELECT a.k, a.b, a.i, a.own, n.own AS label, count(*) AS c, min(n.i) AS f FROM p a JOIN p n ON n.k = a.k AND n.i BETWEEN a.i - 2 AND a.i GROUP BY ALL),
+        w AS (SELECT k, b, own, label FROM v QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY c DESC, label = own DESC, f) = 1), {_seg('w', 'sg')},
+        c AS (SELECT k, own <> lag(own) OVER q AS a, label <> lag(label) OVER q AS z FROM w WINDOW q AS (PARTITION BY k ORDER BY b)),
+        fl AS (SELECT k, count(*) FILTER (WHERE a) / count(*) AS raw, count(*) FILTER (WHERE z) / count(*) AS smooth FROM c GROUP BY k),
+        t AS (SELECT count(*) AS n, min(b) AS b0, max(b) AS b1 FROM w)
+        SELECT 'minutes' AS section, k::VARCHAR AS k, (make_timestamp(start_ts * 1000000)::DATE)::VARCHAR || ' ' || label AS name, round(sum(buckets) * {BUCKET / 60}, 2) AS value FROM sg GROUP BY 1, 2, 3
+        UNION ALL SELECT 'flap_rate', k::VARCHAR, 'raw', round(raw, 4) FROM fl UNION ALL SELECT 'flap_rate', k::VARCHAR, 'smoothed', round(smooth, 4) FROM fl
+        UNION ALL SELECT 'telemetry', NULL, unnest(['rows', 'first_window', 'last_window', 'reject_rate']), unnest([n, b0, b1, 0]::DOUBLE[]) FROM t
+        UNION ALL SELECT 'telemetry', NULL, 'share ' || label, {sql_quotient("count(*)", "any_value(n)", 4)} FROM w, t GROUP BY label""",
     "ST10_suggestion": f"WITH {SQL_ACTIVITY}, x AS (SELECT k, seq, app, dur / 500 AS c FROM act WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'), p AS (SELECT k, app, sum(c) AS s, min(seq) AS f, avg(c) AS m FROM x GROUP BY k, app) SELECT k, app AS winner, round(m, 6) AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, f) = 1",
 }
