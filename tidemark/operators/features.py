@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
+from tidemark.operators import scans
 
 INPUT_COLUMNS = ("keys_per_min", "clicks_per_min", "scroll_events_per_min", "mouse_distance", "active_seconds_keyboard", "active_seconds_mouse", "active_seconds_any", "max_idle_run_seconds", "event_density")
 
@@ -65,19 +66,16 @@ def input_activity(samples: DataFrame, keys: Sequence[str], seconds: int) -> Dat
 
 def sessions(events: DataFrame, keys: Sequence[str], gap_seconds: float) -> DataFrame:
     """Session starts: an event that begins ``gap_seconds`` or more after the end of the one before."""
-    order = Window.partitionBy(*keys).orderBy("ts", "seq")
     micros = F.unix_micros("ts") / 1e6
-    before = F.lag(micros + F.col("duration_seconds")).over(order)
-    return events.withColumn("_gap", micros - before).where(F.col("_gap").isNull() | (F.col("_gap") >= gap_seconds)).select(*keys, F.col("ts").alias("session_start"))
+    rows = scans.previous(events.select(*keys, "ts", "seq", "duration_seconds"), keys, ["ts", "seq"], micros + F.col("duration_seconds"), "_before")
+    gap = micros - F.col("_before")
+    return rows.where(gap.isNull() | (gap >= gap_seconds)).select(*keys, F.col("ts").alias("session_start"))
 
 
 def with_sessions(buckets: DataFrame, events: DataFrame, keys: Sequence[str], seconds: int, gap_seconds: float) -> DataFrame:
     """``session_start`` (bucket-aligned), length so far in minutes, and the idle-return flag of each bucket."""
-    starts = sessions(events, keys, gap_seconds).select(*keys, scalars.align(F.col("session_start"), seconds).alias("bucket")).groupBy(*keys, "bucket").agg(F.lit(True).alias("opens"))
-    order = Window.partitionBy(*keys).orderBy("bucket")
-    opened = buckets.join(starts, [*keys, "bucket"], "left")
-    start = F.last(F.when(F.col("opens"), F.col("bucket")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return opened.withColumn("session_start", start).drop("opens").withColumns({
+    starts = sessions(events, keys, gap_seconds).select(*keys, scalars.align(F.col("session_start"), seconds).alias("session_start")).distinct()
+    return scans.asof(buckets, starts, keys, "bucket", "session_start", ["session_start"]).withColumns({
         "session_length_so_far": F.round((F.unix_seconds("bucket") - F.unix_seconds("session_start")) / 60, 2),
         "idle_return_indicator": F.col("bucket") == F.col("session_start"),
     })

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
+
 CELL = 3600
 
 
@@ -150,6 +152,25 @@ def current_labels(spans: DataFrame, at: Column) -> DataFrame:
     return live.groupBy("user_id").agg(F.max_by("label", F.struct("start_ts", "seq")).alias("label"))
 
 
+def labels_at(instants: DataFrame, spans: DataFrame, at: str = "at", cell: int = 6 * CELL) -> DataFrame:
+    """(user_id, at, ...) rows with their user's ``label`` at that time: ``current_labels`` for many instants of many users.
+
+    An as-of join finds the latest extend-forward span that has begun; where that one has ended, an earlier one may still
+    last, and those instants alone meet the spans over time cells.
+    """
+    live = effective_ends(spans).where("extend_forward").select("user_id", "start_ts", "seq", F.col("label").alias("_label"), "effective_end")
+    found = scans.asof(instants, live, ["user_id"], at, "start_ts", ["_label", "effective_end"], ["seq"])
+    current = F.col("effective_end").isNull() | (F.col(at) < F.col("effective_end"))
+    judged = found.withColumns({"_ended": ~current, "label": F.when(current, F.col("_label"))}).drop("_label", "effective_end")
+    ended = judged.where("_ended").select("user_id", F.col(at).alias("_at")).distinct().withColumn("_cell", F.floor(F.unix_seconds("_at") / cell))
+    # only the last span of a user is open, and it never has ended
+    lasting = _cells(live.where("effective_end IS NOT NULL"), "start_ts", "effective_end", cell).withColumnRenamed("user_id", "_user")
+    met = ended.join(lasting, F.col("user_id").eqNullSafe(F.col("_user")) & (ended["_cell"] == lasting["_cell"]) & (F.col("start_ts") <= F.col("_at")) & (F.col("_at") < F.col("effective_end")))
+    earlier = met.groupBy("_user", "_at").agg(F.max_by("_label", F.struct("start_ts", "seq")).alias("_earlier"))
+    joined = judged.join(earlier, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col(at) == F.col("_at")), "left")
+    return joined.withColumn("label", F.coalesce("label", "_earlier")).drop("_ended", "_user", "_at", "_earlier")
+
+
 def enqueue(predictions: DataFrame, pending: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Low-confidence buckets that no pending request names, once each."""
     low = predictions.where(F.col("confidence") < threshold)

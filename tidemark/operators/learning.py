@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
+from tidemark.operators import scans
 
 UNKNOWN = "__unknown__"
 
@@ -73,8 +74,7 @@ def encode_category(df: DataFrame, column: str, train: Column, least: int = 5, m
     """
     counts = df.where(train).groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     known = counts.select(F.col(column).cast("string").alias("_v")).unionByName(df.sparkSession.createDataFrame([(UNKNOWN,)], "_v string"))
-    rank = F.row_number().over(Window.orderBy("_v")) - 1  # a vocabulary, not the rows
-    vocabulary = known.withColumn("_code", rank)
+    vocabulary = scans.numbered(known, ["_v"], "_code").withColumn("_code", F.col("_code").cast("int"))
     masked = F.lit(False) if key is None else train & (F.pmod(F.xxhash64(key), F.lit(10_000)) < int(mask * 10_000))
     value = F.when(masked, UNKNOWN).otherwise(F.col(column).cast("string"))
     unknown = vocabulary.where(F.col("_v") == UNKNOWN).select(F.col("_code").alias("_u"))

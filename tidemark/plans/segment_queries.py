@@ -146,6 +146,12 @@ def j11(spark, d):
     return intervals.current_labels(td.spans(spark, d), T(1705276800))
 
 
+def j11_buckets(spark, d):
+    """The label at every bucket of every user."""
+    instants = features.dominant_apps(td.activity(spark, d), KEYS, BUCKET).select(F.col("k").alias("user_id"), F.col("bucket").alias("at"))
+    return _flat(intervals.labels_at(instants, td.spans(spark, d)))
+
+
 def _preds(spark, d):
     return td.predictions(spark, d).withColumn("bucket", F.timestamp_seconds(F.lit(1704067200) + (F.col("vec_id") % 97) * 60))
 
@@ -223,7 +229,7 @@ QUERIES = {
     "W12_rolling_majority": w12, "W13_segments": w13, "W14_merge_short": w14, "W15_flap_rate": w15, "W16_session_label": w16, "W17_weak_spans": w17, "W18_duration_histogram": w18,
     "W19_transitions": w19, "W20_day_timeline": w20, "W21_unlabeled_time": w21,
     "J1_label_projection": j1, "J2_input_join": j2, "J3_overlaps": j3, "J4_merge_imports": j4, "J5_snap_boundaries": j5, "J6_effective_ends": j6, "J7_append_spans": j7, "J8_overwrite": j8,
-    "J9_update_delete": j9, "J10_covered": j10, "J11_current_label": j11, "J12_enqueue": j12, "J13_serve_queue": j13, "J14_interval_accuracy": j14, "J15_align": j15,
+    "J9_update_delete": j9, "J10_covered": j10, "J11_current_label": j11, "J11_labels_at": j11_buckets, "J12_enqueue": j12, "J13_serve_queue": j13, "J14_interval_accuracy": j14, "J15_align": j15,
     "V0a_majority": v0a, "V0b_confidence_weighted": v0b, "V0c_highest_probability": v0c, "V0d_interval_result": v0d,
 }
 ORACLE_SQL = {
@@ -268,6 +274,7 @@ ORACLE_SQL = {
     "J10_covered": f"""WITH {SQL_SPANS}, ext AS (SELECT * FROM spn WHERE seq % 10 = 0), r AS (SELECT user_id, start_ts, (SELECT min(x.start_ts) FROM ext x WHERE x.user_id = ext.user_id AND x.start_ts > ext.start_ts) AS nxt, end_ts FROM ext)
         SELECT seq FROM spn WHERE seq % 10 <> 0 AND EXISTS (SELECT 1 FROM r WHERE r.user_id = spn.user_id AND r.start_ts <= spn.start_ts AND (nxt IS NULL OR make_timestamp((CAST(floor(epoch(spn.start_ts)) AS BIGINT) + 600) * 1000000) <= greatest(r.end_ts, nxt)))""",
     "J11_current_label": f"WITH {_EFF} SELECT user_id, arg_max(label, (start_ts, seq)) AS label FROM eff WHERE extend_forward AND epoch(start_ts) <= 1705276800 AND (nxt IS NULL OR 1705276800 < epoch(e0)) GROUP BY user_id",
+    "J11_labels_at": f"WITH {DOM}, {_EFF} SELECT dom.k AS user_id, dom.b AS at, (SELECT arg_max(label, (start_ts, seq)) FROM eff WHERE eff.user_id = dom.k AND extend_forward AND epoch_us(start_ts) <= dom.b * 1000000 AND (nxt IS NULL OR dom.b * 1000000 < epoch_us(e0))) AS label FROM dom",
     "J12_enqueue": f"WITH {_PRED} SELECT user_id, bucket, round(confidence, 6) AS confidence, 'low_confidence' AS reason, 'pending' AS status FROM que",
     "J13_serve_queue": f"WITH {_PRED} SELECT user_id, bucket, round(confidence, 6) AS confidence FROM que WHERE user_id <> 3 ORDER BY que.confidence, user_id, bucket LIMIT 20",
     "J14_interval_accuracy": f"WITH {_SMO}, {_seg('smo', 'sg')}, {_seg('lab', 'gd')} SELECT count(*) AS segments, round(avg(CASE WHEN gd.label = sg.label THEN 1 ELSE 0 END), 6) AS accuracy FROM sg LEFT JOIN gd ON gd.k = sg.k AND gd.start_ts = sg.start_ts",
