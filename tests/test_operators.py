@@ -300,8 +300,8 @@ def test_temperature_and_isotonic_against_numpy(spark):
         for u, rows in groups.items():
             assert loss(rows, got[u]) <= min(loss(rows, t) for t in np.arange(0.1, 5, 0.01)) + 1e-6
     boundaries, values = learning.fit_isotonic(frame, classes)[0]
-    # pool adjacent violators over probabilities rounded to thousandths
-    x = np.floor(probs[:, 0] * 1000 + 0.5) / 1000
+    # pool adjacent violators over the distinct probabilities
+    x = probs[:, 0]
     blocks = []
     for v in np.unique(x):
         own = (label[x == v] == 0).astype(float)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import json
+import math
+import random
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
+
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,18 +131,38 @@ def score(model, df: DataFrame, columns: Sequence[str], classes: Sequence[str])
     return scored.select(*df.columns, "probs", F.element_at(names, F.array_position("probs", F.array_max("probs")).cast("int")).alias("predicted"), F.array_max("probs").alias("confidence"))
 
 
-def search(df: DataFrame, columns: Sequence[str], classes: Sequence[str], grid: Sequence[dict]) -> DataFrame:
-    """Macro F1 on the validation split of a model for each parameter set fitted on the training split."""
+def sample_settings(space: Mapping[str, Sequence | tuple[float, float]], n: int, seed: int = 7) -> list[dict]:
+    """``n`` settings: one of a list's values, or a number of a (low, high) range on a logarithmic scale, by seed and number of the trial."""
+    settings = []
+    for trial in range(n):
+        rng = random.Random(f"{seed}:{trial}")
+        drawn = {}
+        for name, values in sorted(space.items()):
+            drawn[name] = float(f"{math.exp(rng.uniform(math.log(values[0]), math.log(values[1]))):.6g}") if isinstance(values, tuple) else rng.choice(list(values))
+        settings.append(drawn)
+    return settings
+
+
+def search(df: DataFrame, columns: Sequence[str], classes: Sequence[str], settings: Sequence[dict], parallelism: int = 4) -> DataFrame:
+    """(trial, params, macro_f1, rank): macro F1 on the validation split of a model for each setting, fitted on the training split.
+
+    ``parallelism`` fits run at a time, as jobs on one kept split. The driver holds one row for each setting; of equal ones the first ranks first.
+    """
     from tidemark.operators.metrics import f1_scores
 
-    train, held = df.where("split = 'train'").persist(), df.where("split = 'val'")
-    results = None
-    for number, params in enumerate(grid):
-        scored = score(train_classifier(train, columns, classes, **params), held, columns, classes)
-        row = f1_scores(scored, classes).select(F.lit(number).alias("trial"), F.lit(str(params)).alias("params"), "macro_f1")
-        results = row if results is None else results.unionByName(row)
-    train.unpersist()  # fits are over; scores read the validation split
-    return results
+    spark = df.sparkSession
+    train, held = df.where("split = 'train'").persist(), df.where("split = 'val'").persist()
+
+    def trial(number: int) -> tuple[int, str, float]:
+        model = train_classifier(train, columns, classes, **settings[number])
+        return number, json.dumps(settings[number], sort_keys=True), f1_scores(score(model, held, columns, classes), classes).first()["macro_f1"]
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        made = pool.map(inheritable_thread_target(spark)(trial), range(len(settings)), chunksize=1)
+    train.unpersist(), held.unpersist()
+    ranked = sorted(made, key=lambda r: (-r[2], r[0]))
+    rows = sorted((*r, k) for k, r in enumerate(ranked, 1))
+    return spark.createDataFrame(rows, "trial int, params string, macro_f1 double, rank int")
 
 
 def eligible_users(df: DataFrame, windows: int = 200, days: int = 3, labels: int = 3) -> DataFrame:
@@ -173,17 +199,58 @@ def calibrators(df: DataFrame, classes: Sequence[str], **limits: int) -> DataFra
     return own.unionByName(everyone)
 
 
+def pool_adjacent(blocks: Iterable[tuple]) -> list[tuple]:
+    """Neighbouring (first, last, n, hits) blocks in order pooled until shares rise; shares are compared in whole numbers."""
+    done: list[tuple] = []
+    for first, last, n, hits in blocks:
+        while done and done[-1][3] * n >= hits * done[-1][2]:
+            first, _, m, h = done.pop()
+            n, hits = n + m, hits + h
+        done.append((first, last, n, hits))
+    return done
+
+
+def isotonic_blocks(df: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """(class, first, last, n, hits): the pooled blocks of each class's isotonic fit to the unrounded probabilities.
+
+    Distinct probabilities are sorted over ranges and pooled range by range; what the ranges leave is pooled once more for each class. The
+    order of pooling does not change the result. Shares that rise strictly need ever larger denominators, so a class of
+    n rows leaves less than 2 n ** (2 / 3) blocks in all, and each range no more than that of its rows.
+    """
+    schema = "class INT, first DOUBLE, last DOUBLE, n LONG, hits LONG"
+    each = df.select("label", F.posexplode("probs").alias("class", "x")).where("x IS NOT NULL AND NOT isnan(x)")
+    hit = (F.col("label") == F.get(F.array(*map(F.lit, classes)), F.col("class"))).cast("long")
+    points = each.where(F.col("class") < len(classes)).groupBy("class", "x").agg(F.count("*").alias("n"), F.sum(F.coalesce(hit, F.lit(0))).alias("hits"))
+    ranged = points.select("class", F.col("x").alias("first"), F.col("x").alias("last"), "n", "hits").repartitionByRange("class", "first").sortWithinPartitions("class", "first")
+
+    def frame(name: int, blocks: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(blocks, columns=["first", "last", "n", "hits"]).assign(**{"class": name})[["class", "first", "last", "n", "hits"]]
+
+    def pool_range(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[int, list[tuple]] | None = None
+        for part in frames:
+            for name, rows in part.groupby("class", sort=True):
+                if held and held[0] != name:
+                    yield frame(*held)
+                    held = None
+                held = (int(name), pool_adjacent([*(held[1] if held else []), *rows[["first", "last", "n", "hits"]].itertuples(index=False, name=None)]))
+        if held:
+            yield frame(*held)
+
+    def pool_class(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("first")
+        return frame(int(rows["class"].iloc[0]), pool_adjacent(ordered[["first", "last", "n", "hits"]].itertuples(index=False, name=None)))
+
+    return ranged.mapInPandas(pool_range, schema).groupBy("class").applyInPandas(pool_class, schema)
+
+
 def fit_isotonic(df: DataFrame, classes: Sequence[str]) -> dict[int, tuple[list[float], list[float]]]:
-    """(boundaries, values) of each class's isotonic fit, for ``rules.apply_isotonic``."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    curves = {}
-    for k, name in enumerate(classes):
-        rows = df.select((F.col("label") == name).cast("double").alias("label"), F.get("probs", F.lit(k)).alias("features"))
-        # equal probabilities in thousandths weigh together, so the fit sees at most 1001 points
-        pooled = rows.groupBy(F.round("features", 3).alias("features")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
-        model = IsotonicRegression(weightCol="weight").fit(pooled)
-        curves[k] = (list(model.boundaries), list(model.predictions))
+    """(boundaries, values) of each class's isotonic fit, for ``rules.apply_isotonic``: both ends of each block of ``isotonic_blocks``."""
+    curves: dict[int, tuple[list[float], list[float]]] = {}
+    for r in isotonic_blocks(df, classes).orderBy("class", "first").collect():
+        xs, ys = curves.setdefault(r["class"], ([], []))
+        for x in dict.fromkeys((r["first"], r["last"])):
+            xs.append(x), ys.append(r["hits"] / r["n"])
     return curves
 
 

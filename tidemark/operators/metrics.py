@@ -186,11 +186,52 @@ def best_threshold(sweep: DataFrame, low: float = 0.05, high: float = 0.30, defa
     return inside.agg(F.coalesce(F.min_by("threshold", F.struct(-F.col("accuracy"), F.col("threshold"))), F.lit(default)).alias("threshold"))
 
 
-def regression_gates(champion: DataFrame, challenger: DataFrame, tolerance: float = 0.02, floors: Mapping[str, float] | None = None) -> DataFrame:
-    """Challenger against champion: macro F1 may drop by the tolerance; floors hold for its own metrics."""
-    a, b = champion.where("metric = 'macro_f1'").select(F.col("value").alias("champion")), challenger.where("metric = 'macro_f1'").select(F.col("value").alias("challenger"))
-    drop = a.join(F.broadcast(b)).select(F.lit("macro_f1_drop").alias("gate"), F.round(F.col("champion") - F.col("challenger"), 4).alias("value"), (F.col("champion") - F.col("challenger") <= tolerance).alias("passed"))
-    floors = floors or {"min_precision": 0.50, "reject_rate": 0.0}
-    bounds = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(v))])
-    rest = challenger.where(F.col("metric").isin(*floors) & (F.col("label") == "")).select(F.col("metric").alias("gate"), "value", (F.col("value") >= F.element_at(bounds, F.col("metric"))).alias("passed"))
-    return drop.unionByName(rest)
+#: What a candidate's own metrics have to reach, beside the acceptance gates.
+CANDIDATE_FLOORS = (("breakidle_precision", "precision", "BreakIdle", 0.95), ("no_class_below_50_precision", "min_precision", "", 0.50))
+
+
+def candidate_gates(challenger: DataFrame, gates: Sequence[tuple] = GATES) -> DataFrame:
+    """(gate, value, passed) of a candidate by itself: BreakIdle precision, least class precision, and the number of acceptance gates that fail.
+
+    A metric that is missing fails, as in ``acceptance``.
+    """
+    floors = challenger.sparkSession.createDataFrame(list(CANDIDATE_FLOORS), "gate string, metric string, label string, floor double")
+    held = floors.join(challenger, ["metric", "label"], "left").select("gate", "value", F.coalesce(F.col("value") >= F.col("floor"), F.lit(False)).alias("passed"))
+    failed = acceptance(challenger, gates).agg(F.count_if(~F.col("passed")).cast("double").alias("value"))
+    return held.unionByName(failed.select(F.lit("challenger_acceptance").alias("gate"), "value", (F.col("value") == 0).alias("passed")))
+
+
+def regression_gates(champion: DataFrame, challenger: DataFrame, tolerance: float = 0.02, gates: Sequence[tuple] = GATES) -> DataFrame:
+    """Challenger against champion: macro F1 may drop by the tolerance; and the candidate's own gates."""
+    macro = lambda table, name: table.where("metric = 'macro_f1'").select(F.col("value").alias(name))
+    drop = F.round(F.col("champion") - F.col("challenger"), 4)
+    compared = macro(champion, "champion").join(F.broadcast(macro(challenger, "challenger"))).select(F.lit("macro_f1_no_regression").alias("gate"), drop.alias("value"), (drop <= tolerance).alias("passed"))
+    return compared.unionByName(candidate_gates(challenger, gates))
+
+
+def evaluation_modes(df: DataFrame, labels: Sequence[str], temperature: float, threshold: float, keys: Sequence[str], seconds: int, size: int = 5, seen: Column | None = None) -> DataFrame:
+    """macro_f1, weighted_f1 and reject_rate, and macro F1 of seen and unseen users, of each mode.
+
+    ``df`` has (keys, bucket, label, probs). raw rejects by the raw confidence, calibrated takes every calibrated prediction,
+    calibrated_reject rejects again, smoothed votes over a key's neighbouring buckets after that, and interval takes the share of smoothed segments that begin
+    with a true segment of their label in place of both F1 scores.
+    """
+    from tidemark.operators import intervals, rules, segments
+
+    def judged(name: str, probs: Column, least: float | None) -> DataFrame:
+        best = rules.argmax_label(probs, labels)
+        return df.select(*df.columns, (best if least is None else rules.reject(best, F.array_max(probs), F.lit(least))).alias("predicted"), F.lit(name).alias("mode"))
+
+    probs, calibrated = F.col("probs"), rules.apply_temperature(F.col("probs"), F.lit(temperature))
+    rejecting = judged("calibrated_reject", calibrated, threshold)
+    votes = segments.rolling_majority(rejecting, keys, size, "predicted").drop("predicted").withColumnRenamed("smoothed", "predicted")
+    smoothed = [votes.withColumn("mode", F.lit(m)).select(*rejecting.columns) for m in ("smoothed", "interval")]
+    rows = judged("raw", probs, threshold).unionByName(judged("calibrated", calibrated, None)).unionByName(rejecting).unionByName(smoothed[0]).unionByName(smoothed[1])
+    runs = lambda label: segments.segmentize(smoothed[0].select(*keys, "bucket", F.col(label).alias("label")), keys, seconds)
+    hit = intervals.interval_accuracy(runs("predicted"), runs("label"), list(keys)).select(F.lit("interval").alias("mode"), F.round("accuracy", 4).alias("_accuracy"))
+    out = f1_scores(rows, labels, ["mode"]).join(reject_rate(rows, ["mode"]), "mode").join(F.broadcast(hit), "mode", "left")
+    out = out.withColumns({c: F.coalesce("_accuracy", c) for c in ("macro_f1", "weighted_f1")}).drop("_accuracy")
+    if seen is None:
+        return out
+    by = f1_scores(rows.withColumn("_seen", seen), labels, ["mode", "_seen"]).groupBy("mode").agg(*[F.max(F.when(F.col("_seen") == flag, F.col("macro_f1"))).alias(f"{name}_macro_f1") for name, flag in (("seen", True), ("unseen", False))])
+    return out.join(by, "mode", "left")

@@ -230,16 +230,25 @@ def apply_user_temperature(df: DataFrame, calibrators: DataFrame, default: float
 
 
 def apply_isotonic(df: DataFrame, curves: Mapping[int, tuple[Sequence[float], Sequence[float]]], probs: str = "probs") -> DataFrame:
-    """Per class piecewise-linear (boundaries, values), clipped, floored at 1e-12, normalised."""
-
-    def curve(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
-        out = F.lit(float(ys[-1]))
-        for x0, x1, y0, y1 in reversed(list(zip(xs, xs[1:], ys, ys[1:]))):
-            slope = (y1 - y0) / (x1 - x0) if x1 > x0 else 0.0
-            out = F.when(x < x1, y0 + (x - x0) * slope).otherwise(out)
-        return F.when(x <= xs[0], float(ys[0])).otherwise(out)
+    """Per class piecewise-linear (boundaries, values), clipped, floored at 1e-12, normalised.
 
+    The curves are one row that is joined to all; a probability finds its place by bisection, whatever the number of boundaries.
+    """
     n = max(curves) + 1
-    parts = [curve(F.get(probs, F.lit(k)), *curves[k]) if k in curves else F.get(probs, F.lit(k)) for k in range(n)]
-    out = df.withColumn("_c", F.array(*[F.greatest(p, F.lit(1e-12)) for p in parts]))
-    return out.withColumn(probs, F.transform("_c", lambda x: x / F.aggregate("_c", F.lit(0.0), lambda t, y: t + y))).drop("_c")
+    row = [([float(x) for x in curves[k][0]], [float(y) for y in curves[k][1]]) if k in curves else None for k in range(n)]
+    table = df.sparkSession.createDataFrame([(row,)], "_curves array<struct<xs: array<double>, ys: array<double>>>")
+    most = max(len(xs) for xs, _ in curves.values())
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+
+    def curve(p: Column, c: Column) -> Column:
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(c.xs, at + step - 1) < p, F.lit(False)), at + step).otherwise(at))
+
+        def between(at: Column) -> Column:
+            x0, x1, y0, y1 = F.get(c.xs, at - 1), F.get(c.xs, at), F.get(c.ys, at - 1), F.get(c.ys, at)
+            return F.when(at == 0, F.get(c.ys, F.lit(0))).when(at >= F.size(c.xs), F.element_at(c.ys, -1)).when(x1 == p, y1).otherwise(y0 + (p - x0) * (y1 - y0) / (x1 - x0))
+
+        placed = F.element_at(F.transform(F.array(below), between), 1)
+        return F.greatest(F.when(c.isNull(), p).otherwise(placed), F.lit(1e-12))
+
+    out = df.join(F.broadcast(table)).withColumn("_c", F.zip_with(probs, "_curves", curve))
+    return out.withColumn(probs, F.transform("_c", lambda x: x / F.aggregate("_c", F.lit(0.0), lambda t, y: t + y))).drop("_c", "_curves")

@@ -9,7 +9,7 @@ from tidemark.operators import drift, features, metrics, rules, validation
 from tidemark.plans import feature_queries as fq
 from tidemark.plans.feature_queries import INP, SESS, _flat
 from tidemark.sources import testdata as td
-from tidemark.sources.testdata import BUCKET, CLASSES, KEYS, SQL_PREDICTIONS, SQL_SPANS
+from tidemark.sources.testdata import BUCKET, CLASSES, KEYS, SQL_PREDICTIONS, SQL_SPANS, sql_quotient
 
 LIMIT = 0.3
 
@@ -94,13 +94,9 @@ def m17(spark, d):
 
 
 def m18(spark, d):
-    base = td.predictions(spark, d)
-    modes = []
-    for mode, preds in (("raw", base), ("calibrated", base.withColumn("probs", rules.apply_temperature(F.col("probs"), F.lit(1.4))).withColumn("confidence", F.array_max("probs")))):
-        modes.append(preds.withColumn("mode", F.lit(mode)))
-    calibrated = modes[1].withColumns({"predicted": rules.reject(F.col("predicted"), F.col("confidence"), F.lit(LIMIT)), "mode": F.lit("calibrated_reject")})
-    rows = modes[0].unionByName(modes[1]).unionByName(calibrated)
-    return metrics.f1_scores(rows, CLASSES, ["mode"]).join(metrics.reject_rate(rows, ["mode"]), "mode")
+    """Users under 5 are seen; a user's rows are in the order of their ids."""
+    rows = td.predictions(spark, d).select("user_id", F.timestamp_seconds(F.col("vec_id") * BUCKET).alias("bucket"), "label", "probs")
+    return metrics.evaluation_modes(rows, CLASSES, 1.4, LIMIT, ["user_id"], BUCKET, 5, F.col("user_id") < 5)
 
 
 def m19(spark, d):
@@ -108,7 +104,7 @@ def m19(spark, d):
 
 
 def m20(spark, d):
-    champion, challenger = metrics.metric_table(td.predictions(spark, d), CLASSES), metrics.metric_table(predictions(spark, d), CLASSES)
+    champion, challenger = (metrics.metric_table(preds, CLASSES, F.col("user_id") < 5) for preds in (td.predictions(spark, d), predictions(spark, d)))
     return metrics.regression_gates(champion, challenger)
 
 
@@ -172,7 +168,9 @@ def d8(spark, d):
 
 
 def d9(spark, d):
-    return drift.snapshot(predictions(spark, d).withColumn("x", F.when(F.col("vec_id") % 4 > 0, F.col("confidence"))), ["x"])
+    state = drift.snapshot(predictions(spark, d).withColumn("x", F.when(F.col("vec_id") % 4 > 0, F.col("confidence"))), ["x"], ts="date")
+    shares = F.array_join(F.transform(F.map_entries("class_shares"), lambda e: F.concat_ws(":", e.key, e.value.cast("string"))), ",")
+    return state.withColumns({"class_shares": shares, "first_window": F.col("first_window").cast("string"), "last_window": F.col("last_window").cast("string")})
 
 
 def d10(spark, d):
@@ -274,6 +272,13 @@ _ENT = "-list_sum(list_transform(probs, lambda p: least(greatest(p, 1e-8), 1) *
 _INPK = f"{INP}, ik AS (SELECT k, CASE WHEN k % 5 > 0 THEN keys_per_min END AS keys_per_min, CASE WHEN k % 5 > 0 THEN clicks_per_min END AS clicks_per_min, CASE WHEN k % 5 > 0 THEN scroll_events_per_min END AS scroll_events_per_min FROM inp)"
 _SWEEP = "th AS (SELECT unnest([" + ", ".join(str(round(0.10 + 0.05 * k, 2)) for k in range(18)) + "])::DOUBLE AS threshold), sw AS (SELECT threshold, label, confidence, CASE WHEN confidence < threshold THEN 'Mixed/Unknown' ELSE predicted END AS predicted FROM prd, th)"
 
+_ACCEPTED = f"""WITH {_P}, {_CL}, {_pc('pr')}, s AS (SELECT user_id < 5 AS seen, label, predicted FROM pr), {_pc('s', 'seen').replace('t_', 't2').replace('p_', 'p2').replace('pc AS', 'pc2 AS')},
+        mt AS (SELECT 'macro_f1' AS metric, '' AS label, (SELECT round(avg(coalesce(f0, 0)), 4) FROM pc) AS value UNION ALL SELECT 'weighted_f1', '', (SELECT round(sum(coalesce(f0, 0) * support) / sum(support), 4) FROM pc)
+          UNION ALL SELECT 'precision', label, round(coalesce(pr0, 0), 4) FROM pc UNION ALL SELECT 'recall', label, round(coalesce(re0, 0), 4) FROM pc UNION ALL SELECT 'min_precision', '', (SELECT min(round(coalesce(pr0, 0), 4)) FROM pc)
+          UNION ALL SELECT 'reject_rate', '', (SELECT round(avg((predicted = 'Mixed/Unknown')::INTEGER), 4) FROM pr) UNION ALL SELECT CASE WHEN seen THEN 'seen_macro_f1' ELSE 'unseen_macro_f1' END, '', round(avg(coalesce(f0, 0)), 4) FROM pc2 GROUP BY seen),
+        gt(metric, label, comparison, bound) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {x}::DOUBLE)" for a, b, c, x in metrics.GATES)})
+        SELECT gt.*, value, coalesce(CASE WHEN comparison = '>=' THEN value >= bound ELSE value <= bound END, false) AS passed FROM gt LEFT JOIN mt USING (metric, label)"""
+
 QUERIES = {
     "M1_confusion": m1, "M2_per_class": m2, "M3_f1_scores": m3, "M4_class_distribution": m4, "M5_reject_rate": m5, "M6_compare": m6, "M7_per_user": m7, "M8_slices": m8, "M9_calibration_curve": m9,
     "M10_calibration_error": m10, "M11_brier": m11, "M12_log_loss": m12, "M13_top_confusions": m13, "M14_unknown_rates": m14, "M15_user_strata": m15, "M16_reject_by_group": m16, "M17_acceptance": m17,
@@ -301,15 +306,19 @@ ORACLE_SQL = {
     "M14_unknown_rates": "WITH " + ", ".join(f"k_{c} AS (SELECT DISTINCT {c} AS v FROM part WHERE p_partkey % 97 = 0 AND {c} NOT IN ('Brand#3', 'SMALL'))" for c in ("p_brand", "p_type")) + " " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(avg(CASE WHEN {c} IN (SELECT v FROM k_{c}) THEN 0 ELSE 1 END), 6) AS unknown_rate FROM part""" for c in ("p_brand", "p_type")),
     "M15_user_strata": f"WITH {_P} SELECT user_id, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE label = '{c}') AS n_{c}" for c in CLASSES) + ", round(count(*) / (SELECT count(*) FROM pr), 4) AS share, count(*) / (SELECT count(*) FROM pr) > 0.5 AS dominant FROM pr GROUP BY user_id",
     "M16_reject_by_group": f"WITH {_P}, g AS (SELECT user_id, date, avg((predicted = 'Mixed/Unknown')::INTEGER) AS r FROM pr GROUP BY ALL) SELECT user_id, CAST(date AS VARCHAR) AS date, round(r, 4) AS reject_rate, r > 2 * (SELECT avg((predicted = 'Mixed/Unknown')::INTEGER) FROM pr) AS flagged FROM g",
-    "M17_acceptance": f"""WITH {_P}, {_CL}, {_pc('pr')}, s AS (SELECT user_id < 5 AS seen, label, predicted FROM pr), {_pc('s', 'seen').replace('t_', 't2').replace('p_', 'p2').replace('pc AS', 'pc2 AS')},
-        mt AS (SELECT 'macro_f1' AS metric, '' AS label, (SELECT round(avg(coalesce(f0, 0)), 4) FROM pc) AS value UNION ALL SELECT 'weighted_f1', '', (SELECT round(sum(coalesce(f0, 0) * support) / sum(support), 4) FROM pc)
-          UNION ALL SELECT 'precision', label, round(coalesce(pr0, 0), 4) FROM pc UNION ALL SELECT 'recall', label, round(coalesce(re0, 0), 4) FROM pc UNION ALL SELECT 'min_precision', '', (SELECT min(round(coalesce(pr0, 0), 4)) FROM pc)
-          UNION ALL SELECT 'reject_rate', '', (SELECT round(avg((predicted = 'Mixed/Unknown')::INTEGER), 4) FROM pr) UNION ALL SELECT CASE WHEN seen THEN 'seen_macro_f1' ELSE 'unseen_macro_f1' END, '', round(avg(coalesce(f0, 0)), 4) FROM pc2 GROUP BY seen),
-        gt(metric, label, comparison, bound) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {x}::DOUBLE)" for a, b, c, x in metrics.GATES)})
-        SELECT gt.*, value, coalesce(CASE WHEN comparison = '>=' THEN value >= bound ELSE value <= bound END, false) AS passed FROM gt LEFT JOIN mt USING (metric, label)""",
-    "M18_evaluation_modes": f"""WITH {SQL_PREDICTIONS}, {_CL}, ca AS (SELECT label, predicted, 1 / list_sum(list_transform(probs, lambda p: exp((ln(greatest(p, 1e-12)) - ln(greatest(confidence, 1e-12))) / 1.4))) AS c FROM prd),
-        md AS (SELECT 'raw' AS mode, label, predicted FROM prd UNION ALL SELECT 'calibrated', label, predicted FROM prd UNION ALL SELECT 'calibrated_reject', label, CASE WHEN c < {LIMIT} THEN 'Mixed/Unknown' ELSE predicted END FROM ca), {_pc('md', 'mode')},
-        f AS (SELECT mode, {_F1} FROM pc GROUP BY mode), r AS (SELECT mode, {_RJ} FROM md GROUP BY mode) SELECT * FROM f JOIN r USING (mode)""",
+    "M17_acceptance": _ACCEPTED,
+    "M18_evaluation_modes": f"""WITH {SQL_PREDICTIONS}, {_CL}, ca AS (SELECT vec_id, user_id, label, predicted, confidence, 1 / list_sum(list_transform(probs, lambda p: exp((ln(greatest(p, 1e-12)) - ln(greatest(confidence, 1e-12))) / 1.4))) AS c FROM prd),
+        rj AS (SELECT user_id, vec_id, label, CASE WHEN c < {LIMIT} THEN 'Mixed/Unknown' ELSE predicted END AS own, row_number() OVER (PARTITION BY user_id ORDER BY vec_id) AS i FROM ca),
+        vt AS (SELECT a.user_id, a.vec_id, a.label AS truth, a.own, n.own AS vote, count(*) AS c, min(n.i) AS f FROM rj a JOIN rj n ON n.user_id = a.user_id AND n.i BETWEEN a.i - 2 AND a.i + 2 GROUP BY ALL),
+        sm AS (SELECT user_id, vec_id, truth AS label, vote AS predicted FROM vt QUALIFY row_number() OVER (PARTITION BY user_id, vec_id ORDER BY c DESC, vote = own DESC, f) = 1),
+        md AS (SELECT 'raw' AS mode, user_id < 5 AS seen, label, CASE WHEN confidence < {LIMIT} THEN 'Mixed/Unknown' ELSE predicted END AS predicted FROM ca UNION ALL SELECT 'calibrated', user_id < 5, label, predicted FROM ca
+          UNION ALL SELECT 'calibrated_reject', user_id < 5, label, own FROM rj UNION ALL SELECT m, user_id < 5, label, predicted FROM sm, (SELECT unnest(['smoothed', 'interval']) AS m)),
+        sp AS (SELECT user_id, vec_id, predicted AS label FROM sm QUALIFY coalesce(lag(predicted) OVER (PARTITION BY user_id ORDER BY vec_id) <> predicted, true)), sg AS (SELECT user_id, vec_id, label FROM sm QUALIFY coalesce(lag(label) OVER (PARTITION BY user_id ORDER BY vec_id) <> label, true)),
+        ia AS (SELECT round(avg((sg.label IS NOT NULL AND sg.label = sp.label)::INTEGER), 4) AS v FROM sp LEFT JOIN sg USING (user_id, vec_id)),
+        {_pc('md', 'mode')}, {_pc('md', 'mode, seen').replace('t_', 't2').replace('p_', 'p2').replace('pc AS', 'pc2 AS')},
+        f AS (SELECT mode, {_F1} FROM pc GROUP BY mode), r AS (SELECT mode, {_RJ} FROM md GROUP BY mode), e AS (SELECT mode, seen, round(avg(coalesce(f0, 0)), 4) AS m FROM pc2 GROUP BY mode, seen)
+        SELECT mode, CASE WHEN mode = 'interval' THEN (SELECT v FROM ia) ELSE macro_f1 END AS macro_f1, CASE WHEN mode = 'interval' THEN (SELECT v FROM ia) ELSE weighted_f1 END AS weighted_f1, reject_rate,
+        (SELECT m FROM e WHERE e.mode = f.mode AND seen) AS seen_macro_f1, (SELECT m FROM e WHERE e.mode = f.mode AND NOT seen) AS unseen_macro_f1 FROM f JOIN r USING (mode)""",
     "M19_threshold_sweep": f"WITH {SQL_PREDICTIONS}, {_CL}, {_SWEEP}, {_pc('sw', 'threshold')}, f AS (SELECT threshold, round(avg(coalesce(f0, 0)), 4) AS macro_f1 FROM pc GROUP BY threshold), c AS (SELECT threshold, round(coalesce(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown' AND label = predicted) / nullif(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown'), 0), 0), 4) AS accuracy, round(count(*) FILTER (WHERE predicted = 'Mixed/Unknown') / count(*), 4) AS reject_rate, round(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown') / count(*), 4) AS coverage FROM sw GROUP BY threshold) SELECT * FROM c JOIN f USING (threshold)",
     "D1_psi": f"WITH {_PSI} SELECT feature, round(psi, 6) AS psi FROM ps",
     "D2_ks": f"WITH {_KS} SELECT feature, round(d, 6) AS statistic, round(p, 6) AS p_value FROM ks",
@@ -317,16 +326,16 @@ ORACLE_SQL = {
     "D4_reject_increase": f"WITH {_P}, r AS (SELECT avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 = 0) AS a, avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 <> 0) AS b FROM pr) SELECT round(a, 4) AS reference, round(b, 4) AS current, b - a >= 0.1 AS flagged FROM r",
     "D5_entropy_spike": f"WITH {_P}, r AS (SELECT avg({_ENT}) FILTER (WHERE vec_id % 3 = 0) AS a, avg({_ENT}) FILTER (WHERE vec_id % 3 <> 0) AS b FROM pr) SELECT round(a, 4) AS reference, round(b, 4) AS current, a > 1e-8 AND b > 2 * a AS flagged FROM r",
     "D6_class_shift": f"WITH {_P}, a AS ({_SHARE.format('=')}), b AS ({_SHARE.format('<>')}) SELECT coalesce(a.label, b.label) AS label, coalesce(a.s, 0) AS reference, coalesce(b.s, 0) AS current, abs(coalesce(b.s, 0) - coalesce(a.s, 0)) > 0.15 AS flagged FROM a FULL JOIN b USING (label)",
-    "M20_regression_gates": f"""WITH {_P}, {_CL}, {_pc('pr')}, {_pc('prd').replace('t_', 't2').replace('p_', 'p2').replace('pc AS', 'pc2 AS')}, c AS (SELECT round(avg(coalesce(f0, 0)), 4) AS v FROM pc2), h AS (SELECT round(avg(coalesce(f0, 0)), 4) AS v FROM pc)
-        SELECT 'macro_f1_drop' AS gate, round(c.v - h.v, 4) AS value, c.v - h.v <= 0.02 AS passed FROM c, h UNION ALL SELECT 'min_precision', v, v >= 0.5 FROM (SELECT min(round(coalesce(pr0, 0), 4)) AS v FROM pc)
-        UNION ALL SELECT 'reject_rate', v, v >= 0 FROM (SELECT round(avg((predicted = 'Mixed/Unknown')::INTEGER), 4) AS v FROM pr)""",
+    "M20_regression_gates": f"""WITH ac AS ({_ACCEPTED}), {_P}, {_CL}, {_pc('pr')}, {_pc('prd').replace('t_', 't2').replace('p_', 'p2').replace('pc AS', 'pc2 AS')}, c AS (SELECT round(avg(coalesce(f0, 0)), 4) AS v FROM pc2), h AS (SELECT round(avg(coalesce(f0, 0)), 4) AS v FROM pc)
+        SELECT 'macro_f1_no_regression' AS gate, round(c.v - h.v, 4) AS value, round(c.v - h.v, 4) <= 0.02 AS passed FROM c, h UNION ALL SELECT 'no_class_below_50_precision', v, v >= 0.5 FROM (SELECT min(round(coalesce(pr0, 0), 4)) AS v FROM pc)
+        UNION ALL SELECT 'breakidle_precision', v, v >= 0.95 FROM (SELECT round(coalesce(pr0, 0), 4) AS v FROM pc WHERE label = 'BreakIdle') UNION ALL SELECT 'challenger_acceptance', count(*) FILTER (WHERE NOT passed)::DOUBLE, count(*) FILTER (WHERE NOT passed) = 0 FROM ac""",
     "D7_alerts": f"""WITH {_PSI.replace(_HALF, _XY)}, {_KS.replace(_HALF + ',', '')}, ra AS (SELECT avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 = 0) AS a, avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 <> 0) AS b,
         avg({_ENT}) FILTER (WHERE vec_id % 3 = 0) AS ea, avg({_ENT}) FILTER (WHERE vec_id % 3 <> 0) AS eb FROM pr), sa AS ({_SHARE.format('=')}), sb AS ({_SHARE.format('<>')})
         SELECT CASE WHEN psi > 0.2 THEN 'feature_psi' ELSE 'feature_ks' END AS trigger, feature AS subject, round(psi, 4) AS value, CASE WHEN psi > 0.4 THEN 'critical' ELSE 'warning' END AS severity FROM ps JOIN ks USING (feature) WHERE psi > 0.2 OR p < 0.05
         UNION ALL SELECT 'reject_rate', '', round(b, 4), 'critical' FROM ra WHERE b - a >= 0.1 UNION ALL SELECT 'entropy', '', round(eb, 4), 'warning' FROM ra WHERE ea > 1e-8 AND eb > 2 * ea
         UNION ALL SELECT 'class_shift', coalesce(sa.label, sb.label), coalesce(sb.s, 0), 'warning' FROM sa FULL JOIN sb USING (label) WHERE abs(coalesce(sb.s, 0) - coalesce(sa.s, 0)) > 0.15""",
     "D8_lowest_confidence": f"WITH {_P} SELECT vec_id, round(confidence, 6) AS confidence FROM pr WHERE vec_id % 3 <> 0 ORDER BY pr.confidence, vec_id LIMIT 50",
-    "D9_snapshot": f"WITH {_P} SELECT count(*) AS rows, round(avg((vec_id % 4 = 0)::INTEGER), 4) AS missing_x, round(avg(confidence), 6) AS confidence_mean, round(quantile_cont(confidence, 0.5), 6) AS confidence_median, round(quantile_cont(confidence, 0.05), 6) AS confidence_p5, round(quantile_cont(confidence, 0.95), 6) AS confidence_p95, round(stddev_pop(confidence), 6) AS confidence_std, round(avg((predicted = 'Mixed/Unknown')::INTEGER), 6) AS reject_rate, round(avg({_ENT}), 6) AS mean_entropy FROM pr",
+    "D9_snapshot": f"WITH {_P} SELECT count(*) AS rows, round(avg((vec_id % 4 = 0)::INTEGER), 4) AS missing_x, round(avg(confidence), 6) AS confidence_mean, round(quantile_cont(confidence, 0.5), 6) AS confidence_median, round(quantile_cont(confidence, 0.05), 6) AS confidence_p5, round(quantile_cont(confidence, 0.95), 6) AS confidence_p95, round(stddev_pop(confidence), 6) AS confidence_std, round(avg((predicted = 'Mixed/Unknown')::INTEGER), 6) AS reject_rate, round(avg({_ENT}), 6) AS mean_entropy, (SELECT string_agg(label || ':' || s, ',' ORDER BY label) FROM (SELECT predicted AS label, {sql_quotient('count(*)', '(SELECT count(*) FROM pr)', 4)} AS s FROM pr GROUP BY 1)) AS class_shares, CAST(min(date) AS VARCHAR) AS first_window, CAST(max(date) AS VARCHAR) AS last_window FROM pr",
     "D10_suggestions": f"WITH {_P}, days AS (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-01-08', INTERVAL 1 DAY)) AS DATE) AS date), c AS (SELECT date, count(*) AS n FROM pr WHERE predicted <> 'Mixed/Unknown' GROUP BY date) SELECT CAST(date AS VARCHAR) AS date, coalesce(n, 0) AS suggestions, coalesce(n, 0) = 0 AS none FROM days LEFT JOIN c USING (date)",
     "V1_contract": f"WITH {SESS} SELECT p.problem, p.subject, 0::BIGINT AS other_versions FROM (VALUES ('missing', 'ts'), ('extra', 'bucket')) AS p(problem, subject)",
     "V2_required": f"WITH {_INPK} " + " UNION ALL ".join(f"SELECT 'null' AS \"check\", '{c}' AS subject, count(*)::DOUBLE AS value FROM ik WHERE {c} IS NULL" for c in _OPTIONAL),

@@ -194,7 +194,8 @@ def l12(spark, d):
 
 
 def l13(spark, d):
-    return learning.search(_learn(spark, d), _COLUMNS, CLASSES, [{"regParam": 0.001}, {"regParam": 0.1}])
+    settings = learning.sample_settings({"regParam": (0.0001, 1.0), "elasticNetParam": [0.0, 0.5], "maxIter": [10, 30]}, 8)
+    return learning.search(_learn(spark, d), _COLUMNS, CLASSES, settings)
 
 
 def l14(spark, d):
@@ -466,6 +467,12 @@ ORACLE_SQL = {
     "L9_balanced_weights": f"WITH {_P} SELECT vec_id, round(count(*) OVER () / (max(list_position({td._CLASS_LIST}, label)) OVER () * count(*) OVER (PARTITION BY label)), 6) AS weight FROM pr",
     "L10_feature_vector": f"WITH {SQL_PREDICTIONS} SELECT vec_id, round(probs[1] + probs[2] + probs[3] + CASE WHEN vec_id % 2 > 0 THEN probs[4] ELSE 0 END, 6) AS total FROM prd",
     "L14_eligible_users": f"WITH {SQL_PREDICTIONS} SELECT user_id, count(*) AS windows, count(DISTINCT date) AS days, count(DISTINCT label) AS labels, count(*) >= 72 AND count(DISTINCT date) >= 3 AND count(DISTINCT label) >= 3 AS eligible FROM prd GROUP BY user_id",
+    # the greatest, over blocks that begin no later, of the least share over blocks that end no earlier
+    "L16_isotonic_fit": f"""WITH {SQL_PREDICTIONS}, u AS (SELECT vec_id, generate_subscripts(probs, 1) AS k, unnest(probs) AS x, ({td._CLASS_LIST}[generate_subscripts(probs, 1)] = label)::INTEGER AS y FROM prd),
+        c AS (SELECT k, x, count(*) AS n, sum(y) AS s FROM u GROUP BY k, x), r AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM c WINDOW w AS (PARTITION BY k ORDER BY x)),
+        g AS (SELECT a.k, b.i, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.k, a.i ORDER BY b.i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM r a JOIN r b ON a.k = b.k AND b.i >= a.i),
+        f AS (SELECT k, i, max(m) AS fit FROM g GROUP BY k, i), q AS (SELECT vec_id, y, greatest(fit, 1e-12) AS p FROM u JOIN r USING (k, x) JOIN f USING (k, i)),
+        z AS (SELECT vec_id, y, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM q), b AS (SELECT vec_id, sum((p - y) * (p - y)) AS b FROM z GROUP BY vec_id) SELECT round(avg(b), 6) AS brier FROM b""",
     "L18_rank_runs": f"WITH {_RUNS}, q AS (SELECT *, CASE WHEN u = 6 THEN 'invalid' WHEN u = 5 THEN 'schema' WHEN u = 4 THEN 'labels' END AS reason FROM rn) SELECT model_id, reason, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL ORDER BY macro_f1 DESC, weighted_f1 DESC, created_at DESC, model_id) END AS rank FROM q",
     "L19_due_runs": f"WITH {_RUNS} SELECT epoch(max(created_at))::BIGINT AS newest, (1706832000 - epoch(max(created_at))) / 86400 > 14 AS due FROM rn",
     "R1_daily_minutes": f"WITH {_SMO}, {_seg('smo', 'sg')} SELECT k, CAST(make_timestamp(start_ts * 1000000)::DATE AS VARCHAR) AS date, label, round(sum(buckets) * {BUCKET / 60}, 2) AS minutes, count(*) AS segments FROM sg GROUP BY 1, 2, 3",
