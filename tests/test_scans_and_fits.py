@@ -169,3 +169,37 @@ def test_final_report_of_nothing_and_of_little(spark):
     got = {(r.section, r.name): r.value for r in reports.final_report(spark.createDataFrame(rows, schema), ["k"], 3600).collect()}
     assert got == {("minutes", "2026-02-23 A"): 120.0, ("minutes", "2026-02-23 Mixed/Unknown"): 60.0, ("flap_rate", "raw"): 0.3333, ("flap_rate", "smoothed"): 0.3333, ("telemetry", "rows"): 3.0, ("telemetry", "first_window"): T0.timestamp() if T0.tzinfo else (T0 - datetime(1970, 1, 1)).total_seconds(), ("telemetry", "last_window"): (at(120) - datetime(1970, 1, 1)).total_seconds(), ("telemetry", "reject_rate"): 0.3333, ("telemetry", "share A"): 0.6667, ("telemetry", "share Mixed/Unknown"): 0.3333}
     assert drift.class_shares(spark.createDataFrame([], schema), "smoothed").first().rows == 0
+
+
+def test_running_sums_and_quantiles_over_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    columns = {"a": rng.normal(size=700), "b": rng.integers(0, 4, 300).astype(float), "c": np.array([5.0])}
+    frame = spark.createDataFrame([(f, float(v)) for f, vs in columns.items() for v in vs], "feature string, value double").repartition(6)
+    shares = [0.0, 0.05, 0.33, 0.5, 1.0]
+    got = {r.feature: r for r in drift.quantiles(frame, shares).collect()}
+    assert {f: r.n for f, r in got.items()} == {f: len(v) for f, v in columns.items()}
+    assert all(np.allclose(got[f].quantiles, np.quantile(v, shares)) for f, v in columns.items())
+    sums = drift.running_sums(frame.groupBy("feature", "value").agg(F.count("*").alias("n")), ["n"]).collect()
+    assert all(r.before_n == (columns[r.feature] < r.value).sum() for r in sums)
+
+
+def test_sketches_of_days_merge_to_the_whole(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    days = [(d, "x", float(v)) for d in range(12) for v in rng.exponential(1 + d, 2000)] + [(3, "y", None), (3, "y", 2.0)]
+    frame = spark.createDataFrame(days, "date int, feature string, value double")
+    sketches = drift.daily_sketches(frame.repartition(5))
+    assert sketches.count() == 13
+    shares = [0.01, 0.1, 0.5, 0.9, 0.99]
+    got = {r.feature: r for r in drift.sketched_quantiles(sketches, shares).collect()}
+    values = np.array([v for _, f, v in days if f == "x"])
+    assert got["x"].n == 24000 and got["y"].n == 1 and got["y"].quantiles == [2.0] * 5
+    assert all(abs((values <= q).mean() - s) < drift.SKETCH_ERROR for q, s in zip(got["x"].quantiles, shares))
+    old, new = sketches.where("date < 6"), sketches.where("date >= 6")
+    rows = frame.where("value IS NOT NULL").select("date", "feature", "value")
+    exact = {r.feature: r.psi for r in drift.psi(rows.where("date < 6").drop("date"), rows.where("date >= 6").drop("date")).collect()}
+    near = {r.feature: r.psi for r in drift.sketched_psi(old, new).collect()}
+    assert abs(near["x"] - exact["x"]) < 0.02 and near["y"] == exact["y"] == 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import drift, features, metrics, rules, validation
 from tidemark.plans import feature_queries as fq
 from tidemark.plans.feature_queries import INP, SESS, _flat
+from tidemark.sources import scratch
 from tidemark.sources import testdata as td
 from tidemark.sources.testdata import BUCKET, CLASSES, KEYS, SQL_PREDICTIONS, SQL_SPANS, sql_quotient
 
@@ -126,6 +127,36 @@ def d1(spark, d):
     return _r(drift.psi(drift.unpivot(a, MEASURES), drift.unpivot(b, MEASURES)), "psi")
 
 
+def _ranks(values, found, shares):
+    """Whether the share of values below, and up to, each found quantile is as near its own as the sketch promises."""
+    met = values.join(F.broadcast(found), "feature").groupBy("feature").agg(*[F.avg((F.col("value") < F.get("quantiles", F.lit(k))).cast("int")).alias(f"below_{k}") for k in range(len(shares))], *[F.avg((F.col("value") <= F.get("quantiles", F.lit(k))).cast("int")).alias(f"to_{k}") for k in range(len(shares))])
+    near = [(F.col(f"below_{k}") <= q + drift.SKETCH_ERROR) & (F.col(f"to_{k}") >= q - drift.SKETCH_ERROR) for k, q in enumerate(shares)]
+    return met.select("feature", sum((F.when(c, 0).otherwise(1) for c in near), F.lit(0)).alias("misses"))
+
+
+def d9_sketches(spark, d):
+    """A sketch of each ship date and measure, stored, merged, and held against all rows."""
+    path, shares = scratch.folder(spark, "sketches"), [0.05, 0.25, 0.5, 0.75, 0.95]
+    lines = td.table(spark, d, "lineitem").withColumn("date", F.to_date("l_shipdate"))
+    values = drift.unpivot(lines, MEASURES, ["date"])
+    drift.daily_sketches(values).write.parquet(path)
+    found = drift.sketched_quantiles(spark.read.parquet(path), shares)
+    return found.select("feature", "n").join(_ranks(values, found.select("feature", "quantiles"), shares), "feature")
+
+
+def d1_sketches(spark, d):
+    """Which features drift between the two halves, told from sketches alone; the exact PSI beside it.
+
+    Where few distinct values are, an edge that moves by one value moves a whole value's rows, so the figures themselves differ more than their ranks.
+    """
+    halves = [drift.unpivot(half.withColumn("date", F.to_date("l_shipdate")), MEASURES, ["date"]) for half in _halves(spark, d)]
+    paths = [scratch.folder(spark, "sketches") for _ in halves]
+    for values, path in zip(halves, paths):
+        drift.daily_sketches(values).write.parquet(path)
+    exact = drift.psi(*[values.drop("date") for values in halves]).select("feature", F.round("psi", 6).alias("exact"))
+    return drift.sketched_psi(*[spark.read.parquet(p) for p in paths]).join(exact, "feature").select("feature", (F.col("psi") > 0.2).alias("drifted"), "exact")
+
+
 def d2(spark, d):
     a, b = _halves(spark, d)
     return _r(drift.ks(drift.unpivot(a, MEASURES), drift.unpivot(b, MEASURES)), "statistic", "p_value")
@@ -283,7 +314,7 @@ QUERIES = {
     "M1_confusion": m1, "M2_per_class": m2, "M3_f1_scores": m3, "M4_class_distribution": m4, "M5_reject_rate": m5, "M6_compare": m6, "M7_per_user": m7, "M8_slices": m8, "M9_calibration_curve": m9,
     "M10_calibration_error": m10, "M11_brier": m11, "M12_log_loss": m12, "M13_top_confusions": m13, "M14_unknown_rates": m14, "M15_user_strata": m15, "M16_reject_by_group": m16, "M17_acceptance": m17,
     "M18_evaluation_modes": m18, "M19_threshold_sweep": m19, "M20_regression_gates": m20,
-    "D1_psi": d1, "D2_ks": d2, "D3_feature_drift": d3, "D4_reject_increase": d4, "D5_entropy_spike": d5, "D6_class_shift": d6, "D7_alerts": d7, "D8_lowest_confidence": d8, "D9_snapshot": d9, "D10_suggestions": d10,
+    "D1_psi": d1, "D1_sketched_psi": d1_sketches, "D9_daily_sketches": d9_sketches, "D2_ks": d2, "D3_feature_drift": d3, "D4_reject_increase": d4, "D5_entropy_spike": d5, "D6_class_shift": d6, "D7_alerts": d7, "D8_lowest_confidence": d8, "D9_snapshot": d9, "D10_suggestions": d10,
     "V1_contract": v1, "V2_required": v2, "V3_missing": v3, "V4_ranges": v4, "V5_bucket_ends": v5, "V6_monotonic": v6, "V7_session_gaps": v7, "V8_constant_columns": v8, "V9_invalid_spans": v9,
     "V10_rare_classes": v10, "V11_validate": v11, "V12_forbidden_columns": v12,
 }
@@ -321,6 +352,8 @@ ORACLE_SQL = {
         (SELECT m FROM e WHERE e.mode = f.mode AND seen) AS seen_macro_f1, (SELECT m FROM e WHERE e.mode = f.mode AND NOT seen) AS unseen_macro_f1 FROM f JOIN r USING (mode)""",
     "M19_threshold_sweep": f"WITH {SQL_PREDICTIONS}, {_CL}, {_SWEEP}, {_pc('sw', 'threshold')}, f AS (SELECT threshold, round(avg(coalesce(f0, 0)), 4) AS macro_f1 FROM pc GROUP BY threshold), c AS (SELECT threshold, round(coalesce(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown' AND label = predicted) / nullif(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown'), 0), 0), 4) AS accuracy, round(count(*) FILTER (WHERE predicted = 'Mixed/Unknown') / count(*), 4) AS reject_rate, round(count(*) FILTER (WHERE predicted <> 'Mixed/Unknown') / count(*), 4) AS coverage FROM sw GROUP BY threshold) SELECT * FROM c JOIN f USING (threshold)",
     "D1_psi": f"WITH {_PSI} SELECT feature, round(psi, 6) AS psi FROM ps",
+    "D1_sketched_psi": f"WITH {_PSI} SELECT feature, psi > 0.2 AS drifted, round(psi, 6) AS exact FROM ps",
+    "D9_daily_sketches": " UNION ALL ".join(f"SELECT '{m}' AS feature, count({m}) AS n, 0 AS misses FROM lineitem" for m in MEASURES),
     "D2_ks": f"WITH {_KS} SELECT feature, round(d, 6) AS statistic, round(p, 6) AS p_value FROM ks",
     "D3_feature_drift": f"WITH {_PSI}, {_KS.replace(_HALF + ',', '')} SELECT feature, psi > 0.2 OR p < 0.05 AS drifted FROM ps JOIN ks USING (feature)",
     "D4_reject_increase": f"WITH {_P}, r AS (SELECT avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 = 0) AS a, avg((predicted = 'Mixed/Unknown')::INTEGER) FILTER (WHERE vec_id % 3 <> 0) AS b FROM pr) SELECT round(a, 4) AS reference, round(b, 4) AS current, b - a >= 0.1 AS flagged FROM r",
