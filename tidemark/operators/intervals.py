@@ -178,6 +178,12 @@ def enqueue(predictions: DataFrame, pending: DataFrame, threshold: float = 0.55)
     return fresh.groupBy("user_id", "bucket").agg(F.min("confidence").alias("confidence"), F.min_by("predicted", "confidence").alias("predicted_label")).withColumns({"reason": F.lit("low_confidence"), "status": F.lit("pending")})
 
 
+def enqueue_drift(flagged: DataFrame, pending: DataFrame) -> DataFrame:
+    """Buckets that a drift alert has flagged and no pending request names, once each, whatever their confidence; the least one is kept."""
+    fresh = flagged.join(pending, ["user_id", "bucket"], "left_anti")
+    return fresh.groupBy("user_id", "bucket").agg(F.min("confidence").alias("confidence"), F.min_by("predicted", "confidence").alias("predicted_label")).withColumns({"reason": F.lit("drift"), "status": F.lit("pending")})
+
+
 def serve_queue(queue: DataFrame, cap: int, limit: int, served: int = 0) -> DataFrame:
     """Pending requests by rising confidence (missing is 0), within the day's cap and the limit."""
     order = [F.coalesce("confidence", F.lit(0.0)), "user_id", "bucket"]

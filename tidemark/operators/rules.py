@@ -70,15 +70,24 @@ def baseline_label(idle_active: float = 5, idle_run: float = 50, scroll_high: fl
 DEFAULT_WEAK_RULES = tuple((field, value, label) for field, rules in (("app_id", tables.APP_ID_LABELS), ("app_category", tables.APP_CATEGORY_LABELS), ("domain_category", tables.DOMAIN_LABELS)) for value, label in rules.items())
 
 
-def weak_label(rules: Sequence[tuple[str, str, str]] = DEFAULT_WEAK_RULES) -> tuple[Column, Column]:
+def weak_label(rules: Sequence[tuple] = DEFAULT_WEAK_RULES) -> tuple[Column, Column]:
     """(label, rule name) of the first rule (field, value, label) that fits; null if none does."""
     label, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for field, value, to in reversed(rules):
+    for field, value, to, *_ in reversed(rules):
         fits = F.col(field) == value
         label, name = F.when(fits, to).otherwise(label), F.when(fits, f"{field}:{value}").otherwise(name)
     return label, name
 
 
+def weak_confidence(rules: Sequence[tuple], rule: Column) -> Column:
+    """Confidence of the named rule: the fourth part of its (field, value, label, confidence), null where it has none."""
+    out = F.lit(None).cast("double")
+    for field, value, *rest in reversed(rules):
+        if len(rest) > 1 and rest[1] is not None:
+            out = F.when(rule == f"{field}:{value}", float(rest[1])).otherwise(out)
+    return out
+
+
 def evidence_windows(slices: DataFrame, keys: Sequence[str], seconds: int = 180) -> DataFrame:
     """Evidence of an inference window: sums, any and all signals, apps."""
     start = F.timestamp_seconds(F.floor(F.unix_seconds("bucket") / seconds) * seconds)

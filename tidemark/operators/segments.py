@@ -123,12 +123,15 @@ def session_label(df: DataFrame, keys: Sequence[str], share: float = 0.6, label:
 
 
 def weak_spans(df: DataFrame, keys: Sequence[str], seconds: int, tolerance: int = 1) -> DataFrame:
-    """Spans of consecutive buckets with one weak label; ``label`` and ``rule`` are null where no rule fits."""
+    """Spans of consecutive buckets with one weak label; ``label`` and ``rule`` are null where no rule fits.
+
+    Rule and, where there is such a column, confidence are those of a span's first bucket.
+    """
     order = Window.partitionBy(*keys).orderBy("bucket")
     gap = F.unix_seconds("bucket") - (F.unix_seconds(F.lag("bucket").over(order)) + seconds)
     joins = F.coalesce((F.col("label") == F.lag("label").over(order)) & (gap <= tolerance), F.lit(False))
     runs = df.withColumn("_n", (~joins).cast("int")).withColumn("_run", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.where("label IS NOT NULL").groupBy(*keys, "_run").agg(F.min("bucket").alias("start_ts"), F.timestamp_seconds(F.unix_seconds(F.max("bucket")) + seconds).alias("end_ts"), F.first("label").alias("label"), F.concat(F.lit("weak:"), F.min_by("rule", "bucket")).alias("provenance"))
+    spans = runs.where("label IS NOT NULL").groupBy(*keys, "_run").agg(F.min("bucket").alias("start_ts"), F.timestamp_seconds(F.unix_seconds(F.max("bucket")) + seconds).alias("end_ts"), F.first("label").alias("label"), F.concat(F.lit("weak:"), F.min_by("rule", "bucket")).alias("provenance"), *([F.min_by("confidence", "bucket").alias("confidence")] if "confidence" in df.columns else []))
     return spans.drop("_run")
 
 

@@ -236,9 +236,13 @@ def l20(spark, d):
     io.write_daily(_table(spark, d).drop("date"), path, "bucket")
     stored = io.read_features(spark, [path], "2024-01-01", "2024-01-31")
     rows = learning.training_set(stored, td.spans(spark, d), ["keys_per_min"], ["user_id", "session_start"], 2, BUCKET)
-    label, _ = rules.weak_label()
-    scored = rows.where("split = 'test'").withColumn("domain_category", F.lit(None).cast("string")).withColumn("predicted", F.coalesce(label, F.lit("Mixed/Unknown")))
-    return metrics.f1_scores(scored, CLASSES).join(metrics.reject_rate(scored))
+    columns = ["keys_per_min", "clicks_per_min", "scroll_events_per_min", "app_foreground_time_ratio", "session_length_so_far"]
+    # the features are made once: a fit reads its rows many times
+    rows.write.parquet(made := scratch.folder(spark, "labelled"))
+    rows = spark.read.parquet(made)
+    model = learning.train_classifier(rows.where("split = 'train'"), columns, CLASSES)
+    learning.score(model, rows.where("split = 'test'"), columns, CLASSES).select("user_id", "bucket", "label", "probs").write.parquet(kept := scratch.folder(spark, "scored"))
+    return metrics.evaluation_modes(spark.read.parquet(kept), CLASSES, 1.0, 0.2, ["user_id"], BUCKET)
 
 
 def r1(spark, d):

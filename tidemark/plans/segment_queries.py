@@ -48,9 +48,11 @@ def w16(spark, d):
 
 
 def w17(spark, d):
-    label, rule = rules.weak_label()
+    """Rules on editors and terminals with confidences of their own."""
+    known = [(*r, {"editor": 0.8, "terminal": 0.6}.get(r[1])) for r in rules.DEFAULT_WEAK_RULES]
+    label, rule = rules.weak_label(known)
     rows = features.dominant_apps(td.activity(spark, d), KEYS, BUCKET, ["app_category"]).withColumn("domain_category", F.lit(None).cast("string"))
-    return _flat(segments.weak_spans(rows.select("k", "bucket", label.alias("label"), rule.alias("rule")), KEYS, BUCKET))
+    return _flat(segments.weak_spans(rows.select("k", "bucket", label.alias("label"), rule.alias("rule"), rules.weak_confidence(known, rule).alias("confidence")), KEYS, BUCKET))
 
 
 def w18(spark, d):
@@ -162,6 +164,14 @@ def j12(spark, d):
     return _flat(intervals.enqueue(preds, pending).drop("predicted_label").withColumn("confidence", F.round("confidence", 6)))
 
 
+def j12_drift(spark, d):
+    """The fifty least confident buckets after an alert, as requests."""
+    preds = _preds(spark, d)
+    flagged = preds.orderBy("confidence", "vec_id").limit(50)
+    queue = intervals.enqueue_drift(flagged, preds.where("vec_id % 6 = 0").select("user_id", "bucket").distinct())
+    return _flat(queue.drop("predicted_label").withColumn("confidence", F.round("confidence", 6)))
+
+
 def _queue(spark, d):
     preds = _preds(spark, d)
     return intervals.enqueue(preds, preds.where("vec_id % 6 = 0").select("user_id", "bucket").distinct())
@@ -229,7 +239,7 @@ QUERIES = {
     "W12_rolling_majority": w12, "W13_segments": w13, "W14_merge_short": w14, "W15_flap_rate": w15, "W16_session_label": w16, "W17_weak_spans": w17, "W18_duration_histogram": w18,
     "W19_transitions": w19, "W20_day_timeline": w20, "W21_unlabeled_time": w21,
     "J1_label_projection": j1, "J2_input_join": j2, "J3_overlaps": j3, "J4_merge_imports": j4, "J5_snap_boundaries": j5, "J6_effective_ends": j6, "J7_append_spans": j7, "J8_overwrite": j8,
-    "J9_update_delete": j9, "J10_covered": j10, "J11_current_label": j11, "J11_labels_at": j11_buckets, "J12_enqueue": j12, "J13_serve_queue": j13, "J14_interval_accuracy": j14, "J15_align": j15,
+    "J9_update_delete": j9, "J10_covered": j10, "J11_current_label": j11, "J11_labels_at": j11_buckets, "J12_enqueue": j12, "J12_drift_enqueue": j12_drift, "J13_serve_queue": j13, "J14_interval_accuracy": j14, "J15_align": j15,
     "V0a_majority": v0a, "V0b_confidence_weighted": v0b, "V0c_highest_probability": v0c, "V0d_interval_result": v0d,
 }
 ORACLE_SQL = {
@@ -238,7 +248,7 @@ ORACLE_SQL = {
     "W15_flap_rate": f"WITH {_LAB}, c AS (SELECT k, label <> lag(label) OVER (PARTITION BY k ORDER BY b) AS c FROM lab) SELECT k, CASE WHEN count(*) > 1 THEN round(count(*) FILTER (WHERE c) / count(*), 6) ELSE 0 END AS flap_rate FROM c GROUP BY k",
     "W16_session_label": f"WITH {SESS}, p AS (SELECT k, s, app, count(*) AS n, min(b) AS f FROM sess GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY k, s) AS total FROM p QUALIFY row_number() OVER (PARTITION BY k, s ORDER BY n DESC, f) = 1) SELECT k, s AS session_start, CASE WHEN n / total >= 0.6 THEN app ELSE 'Mixed' END AS session_label FROM r",
     "W17_weak_spans": f"""WITH {DOM}, l AS (SELECT k, b, app, {_WEAK} AS label FROM dom), c AS (SELECT *, CASE WHEN label = lag(label) OVER w AND b - lag(b) OVER w - {BUCKET} <= 1 THEN 0 ELSE 1 END AS c FROM l WINDOW w AS (PARTITION BY k ORDER BY b)),
-        r AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY b) AS run FROM c) SELECT k, min(b) AS start_ts, max(b) + {BUCKET} AS end_ts, any_value(label) AS label, 'weak:app_category:' || arg_min(app, b) AS provenance FROM r WHERE label IS NOT NULL GROUP BY k, run""",
+        r AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY b) AS run FROM c) SELECT k, min(b) AS start_ts, max(b) + {BUCKET} AS end_ts, any_value(label) AS label, 'weak:app_category:' || arg_min(app, b) AS provenance, CASE arg_min(app, b) WHEN 'editor' THEN 0.8 WHEN 'terminal' THEN 0.6 END::DOUBLE AS confidence FROM r WHERE label IS NOT NULL GROUP BY k, run""",
     "W18_duration_histogram": f"WITH {_SMO}, {_seg('smo', 'sg')}, l AS (SELECT (end_ts - start_ts) // 60 AS l FROM sg) SELECT CASE WHEN l <= 60 THEN '<=60' WHEN l <= 120 THEN '<=120' WHEN l <= 180 THEN '<=180' WHEN l <= 300 THEN '<=300' ELSE '>300' END AS bin, count(*) AS n FROM l GROUP BY 1",
     "W20_day_timeline": f"""WITH {SQL_SPANS}, dd AS (SELECT user_id AS k, label, seq, start_ts, end_ts, CAST(unnest(generate_series(start_ts::DATE, end_ts::DATE, INTERVAL 1 DAY)) AS DATE) AS date FROM spn),
         cl AS (SELECT *, epoch_us(date::TIMESTAMP) AS d0, epoch_us(date::TIMESTAMP) + 86399999000 AS d1, greatest(epoch_us(start_ts), epoch_us(date::TIMESTAMP)) AS s, least(epoch_us(end_ts), epoch_us(date::TIMESTAMP) + 86399999000) AS e FROM dd),
@@ -275,6 +285,7 @@ ORACLE_SQL = {
         SELECT seq FROM spn WHERE seq % 10 <> 0 AND EXISTS (SELECT 1 FROM r WHERE r.user_id = spn.user_id AND r.start_ts <= spn.start_ts AND (nxt IS NULL OR make_timestamp((CAST(floor(epoch(spn.start_ts)) AS BIGINT) + 600) * 1000000) <= greatest(r.end_ts, nxt)))""",
     "J11_current_label": f"WITH {_EFF} SELECT user_id, arg_max(label, (start_ts, seq)) AS label FROM eff WHERE extend_forward AND epoch(start_ts) <= 1705276800 AND (nxt IS NULL OR 1705276800 < epoch(e0)) GROUP BY user_id",
     "J11_labels_at": f"WITH {DOM}, {_EFF} SELECT dom.k AS user_id, dom.b AS at, (SELECT arg_max(label, (start_ts, seq)) FROM eff WHERE eff.user_id = dom.k AND extend_forward AND epoch_us(start_ts) <= dom.b * 1000000 AND (nxt IS NULL OR dom.b * 1000000 < epoch_us(e0))) AS label FROM dom",
+    "J12_drift_enqueue": f"WITH {_PRED}, low AS (SELECT * FROM prb ORDER BY prb.confidence, vec_id LIMIT 50) SELECT user_id, bucket, round(min(confidence), 6) AS confidence, 'drift' AS reason, 'pending' AS status FROM low WHERE (user_id, bucket) NOT IN (SELECT (user_id, bucket) FROM prb WHERE vec_id % 6 = 0) GROUP BY user_id, bucket",
     "J12_enqueue": f"WITH {_PRED} SELECT user_id, bucket, round(confidence, 6) AS confidence, 'low_confidence' AS reason, 'pending' AS status FROM que",
     "J13_serve_queue": f"WITH {_PRED} SELECT user_id, bucket, round(confidence, 6) AS confidence FROM que WHERE user_id <> 3 ORDER BY que.confidence, user_id, bucket LIMIT 20",
     "J14_interval_accuracy": f"WITH {_SMO}, {_seg('smo', 'sg')}, {_seg('lab', 'gd')} SELECT count(*) AS segments, round(avg(CASE WHEN gd.label = sg.label THEN 1 ELSE 0 END), 6) AS accuracy FROM sg LEFT JOIN gd ON gd.k = sg.k AND gd.start_ts = sg.start_ts",
