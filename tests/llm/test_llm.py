@@ -404,6 +404,7 @@ def test_url_index_finds_what_all_expressions_find(spark):
     got = {r.url: r.patterns for r in urls.judge(frame(spark, rows, "page_id long, url string")).collect()}
     assert got == {u: sorted(p.name for p in urls.PATTERN_RULES if re.search(p.regex, u)) for _, u in rows}
     assert got["http://www.porn.example.org/"] == got["http://a.xxx-b.example.org/"] == ["adult"]
+    assert all(got[f"http://{word}.example.org/"] == ["adult"] for word in ("adult", "porn", "xxx"))
 
 
 def test_url_rules_as_a_table(spark, monkeypatch):

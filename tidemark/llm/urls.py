@@ -82,7 +82,7 @@ PATTERN_RULES = (
     PatternRule("spam farm", r"://([^/?#]*[.])?spam-farm[.]", ("spam", "farm")),
     PatternRule("feed tracking", r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
     PatternRule("paged listing", r"[?&]page=[0-9]+(&|#|$)", ("page",)),
-    PatternRule("adult", r"://[^/?#]*(^|[./-])(adult|porn|xxx)[./-]", ("adult",), (("porn",), ("xxx",))),
+    PatternRule("adult", r"://([^/?#]*[./-])?(adult|porn|xxx)[./-]", ("adult",), (("porn",), ("xxx",))),
     PatternRule("login", r"/(wp-)?login[./?#]", ("login",)),
 )
 
