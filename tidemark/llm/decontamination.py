@@ -220,7 +220,9 @@ def _judge(windows: Windows, hashes: np.ndarray, counts: np.ndarray) -> tuple[np
     hit = np.cumsum(edge[:-1]) > 0
     items: list[list[str]] = [[] for _ in counts]
     if len(window):
-        text = np.searchsorted(np.cumsum(counts), first, "right")
+        # a window counts once in a text, however often it occurs there and however many items own it
+        once = np.unique(np.searchsorted(np.cumsum(counts), first, "right") * len(windows.lengths) + window)
+        text, window = once // len(windows.lengths), once % len(windows.lengths)
         times = np.diff(windows.owner_edges)[window]
         start = windows.owner_edges[window]
         owner = windows.owners[np.repeat(start - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))]
