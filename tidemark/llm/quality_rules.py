@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that costs and selectivities are estimated on, at most about.
+SAMPLE_BYTES = 32 << 20
 SAMPLE_ROWS = 1000
 #: Runs of each rule, and the seconds that one is taken to cost at least.
 RUNS, LEAST_COST = 3, 1e-3
@@ -134,9 +135,10 @@ RULES = (
 
 
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second of cost on a sample of about ``sample_rows`` rows."""
-    total = docs.count()
-    sample = docs.select(text_col).sample(min(1.0, sample_rows / max(1, total)), seed=17).persist()
+    """The rules by rejections per second of cost on a sample of about ``sample_rows`` rows and at most about ``SAMPLE_BYTES``."""
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    share = min(1.0, sample_rows / max(1, total), SAMPLE_BYTES / max(1, size))
+    sample = docs.select(text_col).sample(share, seed=17).persist()
 
     def run(features: Iterable[str], rejects: Column) -> tuple[float, int]:
         job = measured(sample, text_col, features).agg(F.count_if(rejects))
