@@ -102,7 +102,7 @@ def at_micros(micros: int) -> pd.Timestamp:
 
 def started(writer) -> StreamingQuery:
     """Start a query with the state store it needs; the session's own setting stays as it was."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     name, store = STORE
     before = spark.conf.get(name, None)
     spark.conf.set(name, store)
