@@ -568,6 +568,33 @@ def test_suffix_dedup(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == want
 
 
+def test_suffix_dedup_of_long_runs(spark, monkeypatch):
+    rng = random.Random(12)
+    pad = lambda n: "".join(rng.choice("klmnop ") for _ in range(n))
+    line, mark = pad(90) + "\n", "one mark that is everywhere! "
+    docs = [(0, "ab" * 3000), (1, pad(33) + "ab" * 1500 + pad(500)), (2, line * 60), (3, pad(7) + line * 30 + pad(450) + line * 20), (4, "".join(mark + pad(180) for _ in range(40)))]
+    docs += [(5, docs[4][1][1000:5000]), (6, pad(9000)), (7, "é" * 2000), (8, None), (9, docs[2][1])]
+    want = sorted(suffix_dedup.brute_force(docs))
+    digests = {r.doc_id: r.d for r in frame(spark, docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("d")).collect()}
+    keep, gone = _first_kept([(i, t, digests[i]) for i, t in docs if i != 9])
+    first = {i: bytes(b for b, g, k in zip((t or "").encode(), gone[t or ""], keep[t or ""]) if k or not g) for i, t in docs} | {9: b""}
+    for piece, slab, part in ((1 << 16, 2 << 20, 2 << 20), (100, 1000, 2 << 20), (700, 1 << 20, 3000)):  # small: runs are cut, texts read in slabs
+        for name, value in (("PIECE", piece), ("SLAB", slab), ("PART_BYTES", part)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        cut = suffix_dedup.remove_repeats(frame(spark, docs), keep_first=False)
+        got = cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long"), F.size("spans").cast("long"), F.sha2("kept", 256)).collect()
+        assert sorted(tuple(r) for r in got) == want
+        assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(frame(spark, docs), keep_first=True).collect()} == first
+
+
+def test_pieces_of_a_periodic_run_are_equal():
+    data = np.frombuffer(b"0123456789" * 3 + b"a line that returns again and again\n" * 5000, np.uint8)
+    runs = suffix_dedup.anchor_runs(data, np.array([0, len(data)]), 400, 4096)
+    assert runs["windows"].sum() == len(data) - 399 and runs["windows"].max() < 4096 + 400
+    assert len(runs["digest"]) > 40 and len(np.unique(runs["digest"])) <= 5
+    assert np.array_equal(runs["place"][1:], (runs["place"] + runs["windows"])[:-1])
+
+
 def _first_kept(docs, length=400):
     """Kept texts by rows in the operator's order of places, in plain Python."""
     order = {t: k for k, t in enumerate(sorted({(t or "") for _, t, _ in docs}, key=lambda t: next(d for _, x, d in docs if (x or "") == t)))}

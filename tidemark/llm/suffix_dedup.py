@@ -6,7 +6,9 @@ suffix order, so candidates are narrowed first, without losing any:
 1. The least hash of the 24-byte strings in a window is its anchor; equal windows have
    equal anchors. Neighbouring windows with one anchor form a run, and one row for each run
    (anchor, digest of the run's bytes, place) is grouped: a run that occurs in two places is
-   repeated as a whole, an anchor with a single run has no repeats.
+   repeated as a whole, an anchor with a single run has no repeats. Runs end at ``PIECE`` windows
+   or a little later, where the anchor stands again, so that the pieces of a periodic run are
+   equal and collapse to one; a text is read in slabs of ``SLAB`` bytes, at whose borders runs end too.
 2. Anchors with several different runs meet in a task, one copy of each run. The suffixes that
    start in the runs are put in suffix order (prefix doubling), with the common prefixes of
    neighbours. For each suffix the previous and the next smaller position in that order are
@@ -17,12 +19,13 @@ suffix order, so candidates are narrowed first, without losing any:
    settles which of them is the first of all.
 
 The order of places is (digest of the text, place), everywhere the same, so the result does
-not depend on ``PART_BYTES`` or on how rows are dealt out. Texts are compared by digest, so
+not depend on these sizes or on how rows are dealt out. Texts are compared by digest, so
 exact copies cost one text. With ``keep_first`` the first occurrence stays whole, even where
 later copies of other strings overlap it, as does the row with the least id of equal texts;
 otherwise every occurrence goes. Null texts are empty; texts under ``length`` bytes keep all.
 Repeated rows, and ids that stand for several texts, are judged row by row; columns other than
-the id and the text are not read. A very long text is one chunk of its own, never cut.
+the id and the text are not read. A very long text takes the memory of one slab at a time and
+some copies of its bytes, whatever it repeats.
 Removing bytes may cut a character, so kept bytes are binary.
 """
 
@@ -44,6 +47,8 @@ LENGTH = 400
 GRAM = 24
 #: Bytes of runs that are compared at once, if not of one anchor; bytes beyond which an anchor is dealt out.
 CHUNK_BYTES, PART_BYTES = 1 << 19, 2 << 20
+#: Windows after which a run is cut; bytes of one text that are hashed at once; bytes of slices handed on at once.
+PIECE, SLAB, SLICE_BYTES = 1 << 16, 2 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -81,7 +86,36 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(level[: len(values) - width + 1], level[width - have :]) if width > have else level
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
+def _pieces(start: np.ndarray, stop: np.ndarray, key: np.ndarray, own: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, index of the run): runs over ``piece`` windows cut where their anchor stands.
+
+    ``key`` holds the places of all anchors in order, those of run i from ``own[i]`` on.
+    """
+    long = np.flatnonzero(stop - start > piece)
+    if not len(long):
+        return start, stop, np.arange(len(start))
+    starts, run, done = [], [], 0
+    for k in long:
+        starts.append(start[done : k + 1])
+        run.append(np.arange(done, k + 1))
+        done = k + 1
+        at, cuts = int(start[k]), []
+        while stop[k] - at > piece:
+            next_ = np.searchsorted(key, own[k] + at + piece)
+            at = int(key[next_] - own[k]) if next_ < len(key) else int(stop[k])
+            if at >= stop[k]:  # the next anchor is that of the last window, or another run's
+                break
+            cuts.append(at)
+        starts.append(np.array(cuts, np.int64))
+        run.append(np.full(len(cuts), k))
+    starts, run = np.concatenate([*starts, start[done:]]), np.concatenate([*run, np.arange(done, len(start))])
+    ends = stop[run]
+    same = run[1:] == run[:-1]
+    ends[:-1][same] = starts[1:][same]
+    return starts, ends, run
+
+
+def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: text, place, windows, anchor, digest, tied (an anchor met twice)."""
     width = length - GRAM + 1
     grams = _rolling(data, GRAM) if len(data) >= length else np.zeros(0, np.uint64)
@@ -103,7 +137,6 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     stop_mark[:-1] = change[1:] | ~valid[1:]
     stop = np.flatnonzero(stop_mark & valid) + 1
     anchor = least[start]
-    digest = tb.span_hashes(data, start, stop + length - 1)
     # places of the anchors: an anchor met twice within a run may repeat a window inside the run
     kinds = np.unique(anchor)
     table = np.zeros(1 << 20, bool)
@@ -113,20 +146,26 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     same = kinds[slot] == grams[at]
     key = np.sort(slot[same] * (len(data) + 1) + at[same])
     own = np.searchsorted(kinds, anchor) * (len(data) + 1)
+    start, stop, run = _pieces(start, stop, key, own, piece)
+    anchor, own = anchor[run], own[run]
+    digest = tb.span_hashes(data, start, stop + length - 1)
     met = np.searchsorted(key, own + stop + width - 1) - np.searchsorted(key, own + start)
     text = np.searchsorted(offsets, start, "right") - 1
     return {"text": text, "place": start - offsets[text], "windows": stop - start, "anchor": anchor.view(np.int64), "digest": digest.view(np.int64), "tied": met > 1}
 
 
-def _runs(texts: DataFrame, length: int) -> DataFrame:
+def _runs(texts: DataFrame, length: int, piece: int, slab: int) -> DataFrame:
     """anchor, run, text, at (place << 32 | windows), tied for each run of (digest, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in tb.chunks(batch.column(1), 1 << 20):
-                r = anchor_runs(data, offsets, length)
-                text = batch.column(0)[row:end].to_numpy()[r["text"]]
-                yield pa.RecordBatch.from_arrays([pa.array(r["anchor"]), pa.array(r["digest"]), pa.array(text), pa.array(r["place"] << 32 | r["windows"]), pa.array(r["tied"].astype(bool))], ["anchor", "run", "text", "at", "tied"])
+            for row, end, data, offsets in tb.chunks(batch.column(1), min(slab, 1 << 20)):
+                # a chunk beyond a slab is one text; its slabs share the bytes of the windows that cross a border
+                for begin in range(0, max(len(data), 1), slab):
+                    part = data[begin : begin + slab + length - 1] if len(data) > slab else data
+                    r = anchor_runs(part, offsets if len(data) <= slab else np.array([0, len(part)]), length, piece)
+                    text = batch.column(0)[row:end].to_numpy()[r["text"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(r["anchor"]), pa.array(r["digest"]), pa.array(text), pa.array(r["place"] + begin << 32 | r["windows"]), pa.array(r["tied"].astype(bool))], ["anchor", "run", "text", "at", "tied"])
 
     return mapped(texts, find, "anchor long, run long, text long, at long, tied boolean")
 
@@ -277,18 +316,20 @@ def _batch(text, at, first, again, window, opened) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["text", "at", "first", "again", "window", "opened"])
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = LENGTH, firsts: bool = True) -> DataFrame:
     """(text, at, first): windows with an equal elsewhere, ``at`` being place << 32 | count of windows.
 
-    ``texts`` has (digest, text). ``first`` marks windows whose earliest occurrence this is.
+    ``texts`` has (digest, text). ``first`` marks windows whose earliest occurrence this is; without
+    ``firsts`` it does not for windows that a run repeats in itself, which spares comparing those.
     """
-    runs = stored(_runs(texts, length))
+    runs = stored(_runs(texts, length, PIECE, SLAB))
+    slice_bytes = SLICE_BYTES
     place = F.struct("text", "at")
     several = F.min(place) != F.max(place)
     kinds = stored(runs.groupBy("anchor", "run").agg(F.min(place).alias("least"), several.alias("several"), F.max("tied").alias("tied")))
     several = F.col("several")
     size = F.col("least.at").bitwiseAND(0xFFFFFFFF) + length - 1
-    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("tied") & ~several).alias("tied"), F.sum(size).alias("bytes"))
+    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("tied") if firsts else F.col("tied") & ~several).alias("tied"), F.sum(size).alias("bytes"))
     mixed = anchors.where("kinds > 1 OR tied").select("anchor", F.ceil(F.col("bytes") / PART_BYTES).cast("long").alias("parts"))
     # of a run that occurs twice all but the first occurrence are copies; the first one is too if its windows lie earlier in another run
     twice = kinds.where(several).select("anchor", "run", "least").join(mixed.select("anchor", F.lit(True).alias("mixed")), "anchor", "left")
@@ -304,15 +345,17 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             digests, texts_, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             data, offsets = tb.utf8(texts_)
             out: list[tuple] = []
+            held = 0
             for k in range(len(digests)):
                 raw = data[offsets[k] : offsets[k + 1]].tobytes()
                 for r in lists[k].as_py():
                     at, windows = r["at"] >> 32, r["at"] & 0xFFFFFFFF
                     part = hash((digests[k], at)) % r["parts"]
                     out.append((r["anchor"], part, r["parts"], digests[k], at, r["whole"], raw[at : at + windows + length - 1]))
-                    if len(out) >= 4096:
+                    held += windows + length - 1
+                    if len(out) >= 4096 or held >= slice_bytes:
                         yield _slice_batch(out)
-                        out = []
+                        out, held = [], 0
             if out:
                 yield _slice_batch(out)
 
@@ -351,19 +394,25 @@ def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "part", "parts", "text", "place", "whole", "bytes"])
 
 
-def _covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Flags of the bytes that windows (place << 32 | count) cover."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, at >> 32, 1)
-    np.add.at(edge, (at >> 32) + (at & 0xFFFFFFFF) + length - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _spans(gone: np.ndarray, stay: np.ndarray, length: int) -> np.ndarray:
+    """Edges (start, end, start, ...) of what the windows ``gone`` cover and ``stay`` do not; windows are place << 32 | count."""
+    ends = lambda at: (at >> 32) + (at & 0xFFFFFFFF) + length - 1
+    place = np.concatenate([gone >> 32, ends(gone), stay >> 32, ends(stay)])
+    sign = np.repeat([1, -1], len(gone)), np.repeat([1, -1], len(stay))
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    removing = np.cumsum(np.concatenate([sign[0], np.zeros(2 * len(stay), np.int64)])[order])
+    staying = np.cumsum(np.concatenate([np.zeros(2 * len(gone), np.int64), sign[1]])[order])
+    last = np.append(place[1:] != place[:-1], True)[: len(place)]
+    place, removed = place[last], (removing[last] > 0) & (staying[last] == 0)
+    return place[removed != np.concatenate([[False], removed])[: len(removed)]]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, spans (removed [start, end) byte runs) and kept (the other bytes) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    found = repeated_windows(rows.select("digest", "text"), length)
+    found = repeated_windows(rows.select("digest", "text"), length, keep_first)
     stays = F.col("first") & F.lit(keep_first)
     marks = found.groupBy(F.col("text").alias("digest")).agg(F.collect_set(F.when(~stays, F.col("at"))).alias("marks"), F.collect_set(F.when(stays, F.col("at"))).alias("firsts"))
     copies = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("least_id"))
@@ -392,11 +441,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
                     spans.append([])
                     kept.append(own.tobytes())
                     continue
-                removed = _covered(at, n, length) & ~_covered(firsts[k].values.to_numpy(), n, length)
-                covered = np.concatenate([[False], removed, [False]])
-                turns = np.flatnonzero(covered[1:] != covered[:-1])
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])])
-                kept.append(own[~covered[1:-1]].tobytes())
+                edges = _spans(at, firsts[k].values.to_numpy(), length).tolist()
+                spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
+                kept.append(b"".join(own[a:b].tobytes() for a, b in zip([0, *edges[1::2]], [*edges[::2], n])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, span_type), pa.array(kept, pa.binary())], schema.names)
 
     return mapped(marked.select("id", "text", all_gone.alias("gone"), "marks", "firsts"), cut, schema)
