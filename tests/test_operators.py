@@ -45,6 +45,12 @@ def test_title_sketch(spark):
     assert row[0].title_token_count == 4 and row[0].title_separator_count == 2  # fix bug num file
     assert len(row[0].title_token_sketch) == 128 and abs(sum(row[0].title_char3_sketch) - 1) < 1e-3
     assert row[1].title_token_count == 0 and sum(row[1].title_token_sketch) == 0
+    titles = spark.createDataFrame([("Fix Bug 123 fix the bug",), ("",), ("Größe – naïve 42 ✓ 漢字漢字",), (None,)], "t string").repartition(3)
+    made = scalars.title_sketch(titles, "t", b"s" * 70)
+    clean = scalars.normalize_title(F.coalesce(F.col("t"), F.lit("")))
+    hashed = titles.withColumns({"a": scalars.keyed_buckets(scalars.title_tokens(clean), b"s" * 70, "title-token"), "b": scalars.keyed_buckets(scalars.char_ngrams(clean), b"s" * 70, "title-char3")})
+    want = scalars.with_bucket_frequencies(hashed, {"x": "a", "y": "b"})
+    assert sorted(map(str, made.select("t", "title_token_sketch", "title_char3_sketch").toLocalIterator())) == sorted(map(str, want.select("t", F.col("x").alias("title_token_sketch"), F.col("y").alias("title_char3_sketch")).toLocalIterator()))
 
 
 def _events(spark, rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,19 +92,46 @@ def with_bucket_frequencies(df: DataFrame, columns: dict[str, str], size: int =
     The columns of buckets go. Counted by numpy over Arrow batches: as an expression, each row
     would be read ``size`` times.
     """
-    names = [c for c in df.columns if c not in columns.values() and c not in columns]
+    return _with_shares(df, {new: (old, None) for new, old in columns.items()}, size)
+
+
+def with_token_sketches(df: DataFrame, columns: dict[str, tuple[str, str]], secret: bytes, size: int = SKETCH) -> DataFrame:
+    """For each (new column, (column of tokens, namespace)): ``keyed_buckets`` of the tokens and shares of these buckets.
+
+    The columns of tokens go. Each Arrow batch digests a token once, however often its rows hold it.
+    """
+
+    def buckets_of(namespace: str):
+        prefix = f"{namespace}:".encode()
+
+        def buckets(tokens: pa.Array) -> np.ndarray:
+            coded = tokens.dictionary_encode()
+            digests = (hmac.digest(secret, prefix + token.encode(), "sha256") for token in coded.dictionary.to_pylist())
+            own = np.fromiter((int.from_bytes(d[:8], "big") % size for d in digests), np.int64, len(coded.dictionary))
+            return own[coded.indices.to_numpy()]
+
+        return buckets
+
+    return _with_shares(df, {new: (old, buckets_of(namespace)) for new, (old, namespace) in columns.items()}, size)
+
+
+def _with_shares(df: DataFrame, columns: dict, size: int) -> DataFrame:
+    """For each (new column, (array column, buckets of its elements; None: they are buckets)): shares; the array columns go."""
+    old = {c for c, _ in columns.values()}
+    names = [c for c in df.columns if c not in old and c not in columns]
     schema = T.StructType([*[df.schema[c] for c in names], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in columns]])
 
-    def shares(column: pa.Array) -> pa.Array:
+    def shares(column: pa.Array, buckets) -> pa.Array:
         sizes = np.diff(column.offsets.to_numpy())
         rows = np.repeat(np.arange(len(column)), sizes)
-        counts = np.bincount(rows * size + column.flatten().to_numpy(), minlength=len(column) * size)
+        flat = column.flatten()
+        counts = np.bincount(rows * size + (buckets(flat) if buckets else flat.to_numpy()), minlength=len(column) * size)
         values = np.floor(counts / np.repeat(np.maximum(sizes, 1), size) * 1e6 + 0.5) / 1e6
         return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * size), pa.array(values))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[shares(batch.column(c)) for c in columns.values()]], schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[shares(batch.column(c), buckets) for c, buckets in columns.values()]], schema.names)
 
     return df.mapInArrow(count, schema)
 
@@ -123,9 +151,9 @@ def title_scalars(title: Column) -> dict[str, Column]:
 def title_sketch(df: DataFrame, title: str, secret: bytes) -> DataFrame:
     """Token and character sketches as arrays, and the five scalars."""
     clean = df.withColumn("_title", normalize_title(F.coalesce(F.col(title), F.lit(""))))
-    hashed = clean.withColumns({"_tokens": keyed_buckets(title_tokens(F.col("_title")), secret, "title-token"), "_grams": keyed_buckets(char_ngrams(F.col("_title")), secret, "title-char3")})
-    counted = hashed.withColumns(title_scalars(F.col("_title"))).drop("_title")
-    return with_bucket_frequencies(counted, {"title_token_sketch": "_tokens", "title_char3_sketch": "_grams"})
+    split = clean.withColumns({"_tokens": title_tokens(F.col("_title")), "_grams": char_ngrams(F.col("_title"))})
+    counted = split.withColumns(title_scalars(F.col("_title"))).drop("_title")
+    return with_token_sketches(counted, {"title_token_sketch": ("_tokens", "title-token"), "title_char3_sketch": ("_grams", "title-char3")}, secret)
 
 
 def units(column: Column, digits: int) -> Column:
