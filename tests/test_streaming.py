@@ -154,3 +154,87 @@ def test_windows_close_with_a_later_row(spark, tmp_path):
     stream = _in_files(spark, tmp_path, [rows], "k int, ts timestamp, duration_seconds double, app_id string").withWatermark("ts", "10 minutes")
     got = _result(spark, live.session_stream(stream, ["k"], 300), tmp_path).where("k IS NOT NULL").collect()
     assert sorted(r.events for r in got) == [1, 2]
+
+
+class _Store:
+    """A state store and its timers in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.maps, self.timers = 0, {}, {}, set()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def _state(self, held, **more):
+        from types import SimpleNamespace
+
+        def counted(f):
+            def call(*given):
+                self.calls += 1
+                return f(*given)
+
+            return call
+
+        return SimpleNamespace(**{name: counted(f) for name, f in more.items()})
+
+    def getValueState(self, name, schema):
+        v = self.values
+        return self._state(v, get=lambda: v.get(name), exists=lambda: name in v, update=lambda x: v.__setitem__(name, x), clear=lambda: v.pop(name, None))
+
+    def getMapState(self, name, keys, schema):
+        m = self.maps.setdefault(name, {})
+        return self._state(m, getValue=lambda k: m.get(k), containsKey=lambda k: k in m, updateValue=m.__setitem__, removeKey=m.pop, keys=lambda: iter(list(m)))
+
+    def expire(self, processor, watermark):
+        from types import SimpleNamespace
+
+        made = []
+        for at in sorted(t for t in self.timers if t < watermark):
+            self.timers.discard(at)
+            for frame in processor.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)):
+                made += frame["n"].tolist()
+        return made
+
+
+def _processor(spark, store):
+    from pyspark.sql import types as types
+
+    from tidemark.streaming.ordered import _OrderedFold
+
+    rows = types.StructType.fromDDL("ts ARRAY<LONG>, n ARRAY<LONG>")
+    processor = _OrderedFold(["ts", "n"], rows, types.StructType.fromDDL("_latest LONG, seen LONG"), ["k", "n"], lambda held, row: (((held[0] if held else 0) + 1,), [(row[1],)]), 86_400, None)
+    processor.init(store)
+    return processor
+
+
+def _frame(numbers):
+    import pandas as pd
+
+    return pd.DataFrame({"ts": [pd.Timestamp(T0) + pd.Timedelta(hours=n) for n in numbers], "n": list(numbers)})
+
+
+def test_a_key_with_few_rows_takes_few_calls_of_the_store(spark):
+    store = _Store()
+    processor = _processor(spark, store)
+    list(processor.handleInputRows((1,), iter([_frame(range(0, 27 * 24, 12))]), None))
+    assert store.expire(processor, 4_000_000_000_000) == list(range(0, 27 * 24, 12))
+    assert store.calls <= 8 and not store.timers and not store.maps["waiting"] and set(store.values) == {"memory"}
+
+
+def test_rows_of_a_busy_key_go_by_block_and_come_out_in_order(spark):
+    import random
+
+    rng, store, left = random.Random(3), _Store(), list(range(1500))
+    processor, got = _processor(spark, store), []
+    midnight = int(T0.timestamp() * 1000) // 86_400_000 * 86_400_000
+    # rows of days that wait already come between watermarks, and more than fit one value at once
+    for day, share in ((2, 0.5), (5, 0.02), (9, 0.1), (40, 0.9), (200, 1)):
+        must = [n for n in left if n + 10 < 24 * day]
+        part = [n for n in left if n in must or rng.random() < share]
+        left = [n for n in left if n not in set(part)]
+        rng.shuffle(part)
+        list(processor.handleInputRows((1,), iter([_frame(part[:100]), _frame(part[100:])]), None))
+        assert len(store.values["few"][0]) <= 256
+        got += store.expire(processor, midnight + day * 86_400_000 + 1)
+    assert got == list(range(1500)) and not store.maps["waiting"] and not store.timers
