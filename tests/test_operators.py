@@ -359,3 +359,9 @@ def test_empty_tables(spark):
     assert features.lookback(none, ["k"], 60, 300).count() == 0
     assert segments.segmentize(spark.createDataFrame([], "k int, bucket timestamp, label string"), ["k"], 60).count() == 0
     assert intervals.overlaps(spark.createDataFrame([], SPAN)).count() == 0
+
+
+def test_time_split_cuts_at_decimal_shares(spark):
+    # 90 * 0.7 is 62.99... in doubles
+    rows = spark.range(90).select(F.lit(1).alias("user_id"), F.timestamp_seconds("id").alias("bucket"))
+    assert {r["split"]: r["count"] for r in learning.time_split(rows).groupBy("split").count().collect()} == {"train": 63, "val": 13, "test": 14}
