@@ -365,3 +365,18 @@ def test_time_split_cuts_at_decimal_shares(spark):
     # 90 * 0.7 is 62.99... in doubles
     rows = spark.range(90).select(F.lit(1).alias("user_id"), F.timestamp_seconds("id").alias("bucket"))
     assert {r["split"]: r["count"] for r in learning.time_split(rows).groupBy("split").count().collect()} == {"train": 63, "val": 13, "test": 14}
+
+
+def test_merging_takes_no_group_for_each_part(spark):
+    rows, now = [], 0
+    for k in (None, 1, 2):
+        for n in range(400):
+            length = 5 if n % 4 < 2 else 1 + n % 3
+            rows.append((k, now, now + 60 * length, "ABC"[n * n % 3], length))
+            now += 60 * length
+    frame = spark.createDataFrame(rows, "k int, s long, e long, label string, buckets long").select("k", F.timestamp_seconds("s").alias("start_ts"), F.timestamp_seconds("e").alias("end_ts"), "label", "buckets")
+    merged = segments.merge_short_segments(frame, ["k"], 60, 180)
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().toString()
+    got = {(r.k, int(r.start_ts.timestamp()), int(r.end_ts.timestamp()), r.label, r.buckets) for r in merged.collect()}
+    whole = {(k, *run) for k in (None, 1, 2) for run in segments.absorb_short([segments.Run(*r[1:]) for r in rows if r[0] == k], 3)}
+    assert got == whole and merged.schema == frame.schema
