@@ -380,3 +380,16 @@ def test_merging_takes_no_group_for_each_part(spark):
     got = {(r.k, int(r.start_ts.timestamp()), int(r.end_ts.timestamp()), r.label, r.buckets) for r in merged.collect()}
     whole = {(k, *run) for k in (None, 1, 2) for run in segments.absorb_short([segments.Run(*r[1:]) for r in rows if r[0] == k], 3)}
     assert got == whole and merged.schema == frame.schema
+
+
+def test_validation_makes_its_table_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("bucket"), F.timestamp_seconds(F.col("id") * 60 + 60).alias("bucket_end_ts"), F.timestamp_seconds(F.lit(0)).alias("session_start"), F.lit("a").alias("app_id"), F.lit(2.0).alias("keys_per_min"))
+    found = validation.validate(rows.mapInArrow(counted, rows.schema), ["k"], ["app_id"], ["keys_per_min"], 60).collect()
+    assert [(r["check"], r["subject"]) for r in found] == [("constant", "keys_per_min")] and made.value == 50

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import tables
+from tidemark.sources import scratch
 
 
 def contract(df: DataFrame, expected: T.StructType) -> list[tuple[str, str]]:
@@ -94,7 +95,14 @@ def rare_classes(df: DataFrame, labels: Sequence[str], share: float = 0.05) -> D
 
 
 def validate(df: DataFrame, keys: Sequence[str], required: Sequence[str], optional: Sequence[str], seconds: int) -> DataFrame:
-    """All findings of a feature table as (check, subject, value); an empty table is one finding."""
+    """All findings of a feature table as (check, subject, value); an empty table is one finding.
+
+    The columns that are checked are written once: the checks scan them five times, and a feature table is dear to make.
+    """
+    checked = dict.fromkeys([*keys, "bucket", "bucket_end_ts", "session_start", *required, *optional, *(c for c in tables.RANGES if c in df.columns)])
+    path = scratch.folder(df.sparkSession, "validated")
+    df.select(*checked).write.parquet(path)
+    df = df.sparkSession.read.parquet(path)
     column = column_checks(df, required, optional)
     ends = bucket_ends(df, seconds).where("wrong_ends > 0").select(F.lit("bucket_end").alias("check"), F.lit("").alias("subject"), F.col("wrong_ends").cast("double").alias("value"))
     gaps = short_session_gaps(df, keys, seconds).select(F.lit("session_gap").alias("check"), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]).alias("subject"), F.col("gap").cast("double").alias("value"))
