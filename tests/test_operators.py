@@ -393,3 +393,14 @@ def test_validation_makes_its_table_once(spark):
     rows = spark.range(50).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("bucket"), F.timestamp_seconds(F.col("id") * 60 + 60).alias("bucket_end_ts"), F.timestamp_seconds(F.lit(0)).alias("session_start"), F.lit("a").alias("app_id"), F.lit(2.0).alias("keys_per_min"))
     found = validation.validate(rows.mapInArrow(counted, rows.schema), ["k"], ["app_id"], ["keys_per_min"], 60).collect()
     assert [(r["check"], r["subject"]) for r in found] == [("constant", "keys_per_min")] and made.value == 50
+
+
+def test_lookback_spreads_no_rows_over_empty_buckets(spark):
+    # two busy buckets, far apart and over a border of blocks: nothing is made for the 700 hours between
+    at = 8 * 54_000 * 4000
+    events = spark.createDataFrame([(1, at - 3600, "a", 2.0), (1, at, "b", 6.0), (1, at + 54_000, "b", 1.0), (1, at + 700 * 3600, "c", 1.0)], "k int, s long, app_id string, duration_seconds double").withColumn("ts", F.timestamp_seconds("s"))
+    back = features.lookback(events, ["k"], 3600, 54_000)
+    # a row stands in one block or two, however many buckets the window has
+    assert "sequence(bucket" not in back._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((int(r.bucket.timestamp()) - at, r.switches, r.entropy, r.top2) for r in back.collect())
+    assert got == [(-3600, 0, 0.0, 1.0), (0, 1, 0.8113, 1.0), (54_000, 0, 0.0, 1.0), (700 * 3600, 0, 0.0, 1.0)]
