@@ -184,7 +184,7 @@ class _Store:
 
     def getMapState(self, name, keys, schema):
         m = self.maps.setdefault(name, {})
-        return self._state(m, getValue=lambda k: m.get(k), containsKey=lambda k: k in m, updateValue=m.__setitem__, removeKey=m.pop, keys=lambda: iter(list(m)))
+        return self._state(m, getValue=lambda k: m.get(k), containsKey=lambda k: k in m, updateValue=m.__setitem__, removeKey=m.pop, keys=lambda: iter(list(m)), iterator=lambda: iter(list(m.items())))
 
     def expire(self, processor, watermark):
         from types import SimpleNamespace
@@ -202,8 +202,8 @@ def _processor(spark, store):
 
     from tidemark.streaming.ordered import _OrderedFold
 
-    rows = types.StructType.fromDDL("ts ARRAY<LONG>, n ARRAY<LONG>")
-    processor = _OrderedFold(["ts", "n"], rows, types.StructType.fromDDL("_latest LONG, seen LONG"), ["k", "n"], lambda held, row: (((held[0] if held else 0) + 1,), [(row[1],)]), 86_400, None)
+    ddl = types.StructType.fromDDL
+    processor = _OrderedFold(["ts", "n", "k"], 1, ddl("ts ARRAY<LONG>, n ARRAY<LONG>, k ARRAY<LONG>"), ddl("k LONG"), ddl("_latest LONG, seen LONG"), ["k", "n"], lambda held, row: (((held[0] if held else 0) + 1,), [(row[1],)]), 86_400, None)
     processor.init(store)
     return processor
 
@@ -211,7 +211,7 @@ def _processor(spark, store):
 def _frame(numbers):
     import pandas as pd
 
-    return pd.DataFrame({"ts": [pd.Timestamp(T0) + pd.Timedelta(hours=n) for n in numbers], "n": list(numbers)})
+    return pd.DataFrame({"ts": [pd.Timestamp(T0) + pd.Timedelta(hours=n) for n in numbers], "n": list(numbers), "k": 1})
 
 
 def test_a_key_with_few_rows_takes_few_calls_of_the_store(spark):
@@ -219,7 +219,7 @@ def test_a_key_with_few_rows_takes_few_calls_of_the_store(spark):
     processor = _processor(spark, store)
     list(processor.handleInputRows((1,), iter([_frame(range(0, 27 * 24, 12))]), None))
     assert store.expire(processor, 4_000_000_000_000) == list(range(0, 27 * 24, 12))
-    assert store.calls <= 8 and not store.timers and not store.maps["waiting"] and set(store.values) == {"memory"}
+    assert store.calls <= 8 and not store.timers and not store.maps["waiting"] and not store.values and set(store.maps["memory"]) == {(1,)}
 
 
 def test_rows_of_a_busy_key_go_by_block_and_come_out_in_order(spark):
