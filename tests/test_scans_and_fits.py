@@ -3,8 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import drift, features, intervals, learning, metrics, reports, rules, scans
 
 T0 = datetime(2026, 2, 23)
@@ -203,3 +205,50 @@ def test_sketches_of_days_merge_to_the_whole(spark):
     exact = {r.feature: r.psi for r in drift.psi(rows.where("date < 6").drop("date"), rows.where("date >= 6").drop("date")).collect()}
     near = {r.feature: r.psi for r in drift.sketched_psi(old, new).collect()}
     assert abs(near["x"] - exact["x"]) < 0.02 and near["y"] == exact["y"] == 0.0
+
+
+def _odd_events(spark):
+    """Two users and none, several events in a bucket, gaps inside buckets and between them, missing times, durations and apps."""
+    rows = [(u, s, (s * 7 + (u or 0)) % 997, None if s % 11 == 0 else float(s % 1900), None if s % 13 == 0 else "abc"[s % 3]) for u in (1, 2, None) for s in range(0, 90_000, 613)]
+    rows += [(1, None, 1000, 5.0, "a"), (2, 7, 1001, 4000.0, "b"), (2, 7, 1002, 1.0, "b")]
+    events = spark.createDataFrame(rows, "k long, s long, seq long, duration_seconds double, app_id string").withColumn("ts", F.timestamp_seconds(F.col("s") + F.lit(1_700_000_000))).drop("s")
+    events = events.withColumns({"app_category": F.concat(F.lit("of "), "app_id"), "window_title_hash": F.substring(F.sha2(F.col("app_id"), 256), 1, 12)})
+    zero = F.lit(0).cast("long")
+    samples = events.select("k", "ts", "seq", "duration_seconds", (F.col("seq") % 4).alias("presses"), (F.col("seq") % 3).alias("clicks"), F.col("seq").alias("delta_x"), zero.alias("delta_y"), zero.alias("scroll_x"), zero.alias("scroll_y"))
+    return events, samples
+
+
+def test_feature_table_shuffles_little(spark):
+    """Events, samples, blocks of the look-back and keys: one shuffle each."""
+    table = features.feature_table(*_odd_events(spark), ["k"], 3600, 1800, (5 * 3600, 15 * 3600))
+    assert table._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+
+
+def test_feature_table_is_its_operators(spark):
+    events, samples = _odd_events(spark)
+    keys, windows = ["k"], (5 * 3600, 15 * 3600)
+    table = features.feature_table(events, samples, keys, 3600, 1800, windows).drop("bucket_end_ts")
+    parts = features.dominant_apps(events, keys, 3600, ["app_category", "window_title_hash"]).join(features.app_changes(events, keys, 3600), ["k", "bucket"]).join(features.input_activity(samples, keys, 3600), ["k", "bucket"], "left")
+    for w, name in zip(windows, ("5m", "15m")):
+        parts = parts.join(features.lookback(events, keys, 3600, w).toDF("k", "bucket", f"app_switch_count_last_{name}", f"app_entropy_{name}", f"top2_app_concentration_{name}"), ["k", "bucket"])
+    parts = features.with_sessions(parts, events, keys, 3600, 1800)
+    order = Window.partitionBy("k").orderBy("bucket")
+    run = parts.withColumn("_run", F.sum(F.coalesce((F.col("app_id") != F.lag("app_id").over(order)).cast("int"), F.lit(0))).over(order))
+    in_run = Window.partitionBy("k", "_run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    units = lambda c, n: F.round(F.col(c) * 10**n).cast("long")
+    parts = run.withColumn("app_dwell_time_seconds", F.round(F.sum(units("dominant_seconds", 6)).over(in_run).cast("decimal(38,0)") / 1_000_000, 2).cast("double")).drop("_run")
+    for c in ("keys_per_min", "mouse_distance"):
+        for n in (5, 15):
+            last = order.rowsBetween(1 - n, 0)
+            parts = parts.withColumn(f"{c}_rolling_{n}", F.round(F.sum(units(c, 4)).over(last).cast("decimal(30,0)") / F.count(c).over(last) / 10_000, 4).cast("double"))
+    names = [c for c in table.columns if c in parts.columns]
+    assert len(names) > 25
+    want = [tuple(r) for r in parts.select(*names).orderBy("k", "bucket").collect()]
+    assert [tuple(r) for r in table.select(*names).orderBy("k", "bucket").collect()] == want
+    assert {r[0] for r in want} == {1, 2} and len({r.session_start for r in parts.collect()}) > 2
+
+
+def test_hash_bucket_of_short_and_long_digits(spark):
+    values = ["0", "ff", "123456789abcdef", "123456789abcdef0", "f" * 40, "ABCdef"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(scalars.hash_bucket(F.col("v"), 251)).collect()
+    assert [r[0] for r in got] == [int(v, 16) % 251 for v in values]
